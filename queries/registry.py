@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("transcript",)
+MODULES = ("transcript", "judging", "systems")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

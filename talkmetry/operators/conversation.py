@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from talkmetry.constants import BACKCHANNEL_MAX_MS, BACKCHANNEL_MAX_WORDS, KEYS, ROLES
 from talkmetry.functions.text import ratio, seconds, word_count
 from talkmetry.operators.intervals import cross_overlap, reach_before
-from talkmetry.operators.ordered import Scan, scan
+from talkmetry.operators.ordered import Scan, hot_keys, scan
 
 
 def durations(segments: DataFrame) -> DataFrame:
@@ -106,7 +106,12 @@ def conversation_stats(
     return totals.select(*KEYS, *columns)
 
 
-def response_gaps(segments: DataFrame, limit: int | None = None) -> DataFrame:
+def hot_conversations(segments: DataFrame, limit: int | None = None) -> DataFrame:
+    """Conversations too large for one task, for every scan along time to share."""
+    return hot_keys(segments, KEYS, "start_ms", limit)
+
+
+def response_gaps(segments: DataFrame, limit: int | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Gap (ms) from the previous segment to the next one of another role, sorted by start."""
     ordered = scan(
         segments.select(*KEYS, "start_ms", "seg_id", "role", "end_ms"),
@@ -114,20 +119,21 @@ def response_gaps(segments: DataFrame, limit: int | None = None) -> DataFrame:
         ["start_ms", "seg_id"],
         Scan(prev={"prev_role": "role", "prev_end_ms": "end_ms"}),
         limit,
+        hot,
     )
     return ordered.filter(~F.col("role").eqNullSafe(F.col("prev_role")) & F.col("prev_end_ms").isNotNull()).select(
         *KEYS, "seg_id", (F.col("start_ms") - F.col("prev_end_ms")).alias("gap_ms")
     )
 
 
-def response_latency(segments: DataFrame, limit: int | None = None) -> DataFrame:
+def response_latency(segments: DataFrame, limit: int | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Mean, median, p90 and count of the gaps that are not overlaps.
 
     Gaps are whole milliseconds, so the exact percentile keeps one counter per distinct
     gap and merges map-side.
     """
     return (
-        response_gaps(segments, limit)
+        response_gaps(segments, limit, hot)
         .filter(F.col("gap_ms") >= 0)
         .groupBy(*KEYS)
         .agg(
@@ -146,7 +152,7 @@ def speech_overlap(segments: DataFrame) -> DataFrame:
     return cross_overlap(segments.select(*KEYS, "role", "start_ms", "end_ms"), side)
 
 
-def backchannels(segments: DataFrame, limit: int | None = None) -> DataFrame:
+def backchannels(segments: DataFrame, limit: int | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Short segments said while the other role's segment is in progress.
 
     A role other than the two known ones is compared with the tutor.
@@ -160,7 +166,7 @@ def backchannels(segments: DataFrame, limit: int | None = None) -> DataFrame:
     ).withColumn("heard", F.when(F.col("role") == "tutor", F.lit("student")).otherwise(F.lit("tutor")))
     floor = known_roles(rows).select(*KEYS, F.col("role").alias("heard"), "start_ms", "end_ms")
     asked = short.select(*KEYS, "heard", "seg_id", "role", F.col("start_ms").alias("seg_start"), F.col("end_ms").alias("seg_end"))
-    reached = reach_before(asked, floor, "seg_end", [*KEYS, "heard"], limit=limit)
+    reached = reach_before(asked, floor, "seg_end", [*KEYS, "heard"], limit=limit, hot=hot)
     return reached.filter(F.col("reach_ms") > F.col("seg_start")).select(*KEYS, "seg_id", "role")
 
 
@@ -179,11 +185,12 @@ def turn_taking(
         base = convs.select(*KEYS, "duration_ms").join(base, list(KEYS), "left")
     else:
         base = base.withColumn("duration_ms", F.col("last_end_ms"))
+    hot = hot_conversations(segments, limit)
     joined = (
-        base.join(response_latency(segments, limit), list(KEYS), "left")
+        base.join(response_latency(segments, hot=hot), list(KEYS), "left")
         .join(speech_overlap(segments), list(KEYS), "left")
         .join(
-            backchannels(segments, limit).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_back")),
+            backchannels(segments, hot=hot).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_back")),
             list(KEYS),
             "left",
         )

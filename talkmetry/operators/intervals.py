@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmetry.constants import KEYS
-from talkmetry.operators.ordered import BLOCK, Scan, scan, split_hot
+from talkmetry.operators.ordered import BLOCK, Scan, hot_keys, scan, with_blocks
 
 
 def merge_intervals(
@@ -16,6 +16,7 @@ def merge_intervals(
     gap_ms: int = 0,
     keys: Sequence[str] = KEYS,
     limit: int | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Merge intervals that touch: a new run starts when ``start - max_end > gap``.
 
@@ -23,9 +24,12 @@ def merge_intervals(
     first and the (few) block results are merged again; other keys merge once.
     """
     rows = df.select(*keys, "start_ms", "end_ms", F.lit(1).cast("long").alias("n_merged"))
-    cold, hot = split_hot(rows, keys, "start_ms", limit)
-    pre_merged = _merge_once(hot, gap_ms, [*keys, BLOCK]).select(rows.columns)
-    return _merge_once(cold, gap_ms, keys).unionByName(_merge_once(pre_merged, gap_ms, keys))
+    if hot is None:
+        hot = hot_keys(rows, keys, "start_ms", limit)
+    on = [c for c in hot.columns if c not in ("_lo", "_width")]
+    pre_merged = _merge_once(with_blocks(rows, hot, "start_ms", "inner"), gap_ms, [*keys, BLOCK])
+    cold = rows.join(hot.select(*on), on, "left_anti").select(rows.columns)
+    return _merge_once(cold.unionByName(pre_merged.select(rows.columns)), gap_ms, keys)
 
 
 def _merge_once(rows: DataFrame, gap_ms: int, part: Sequence[str]) -> DataFrame:
@@ -104,6 +108,7 @@ def reach_before(
     keys: Sequence[str] = KEYS,
     out: str = "reach_ms",
     limit: int | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """For each query row: the latest end among intervals that start strictly before ``at``.
 
@@ -114,5 +119,5 @@ def reach_before(
     starts = intervals.groupBy(*keys, F.col("start_ms").alias("_t")).agg(F.max("end_ms").alias("_end"))
     asked = queries.withColumn("_t", F.col(at)).withColumn("_kind", F.lit(0))
     both = asked.unionByName(starts.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
-    seen = scan(both, keys, ["_t", "_kind"], Scan(max_before={out: "_end"}), limit)
+    seen = scan(both, keys, ["_t", "_kind"], Scan(max_before={out: "_end"}), limit, hot)
     return seen.filter(F.col("_kind") == 0).drop("_t", "_kind", "_end")

@@ -1,12 +1,14 @@
 """Ordered scans inside a key that survive one key holding most of the rows.
 
 A plain window puts a whole key in one task. Here keys above ``hot_rows`` rows are
-cut into time blocks. Each block becomes its own window partition; what a block
-needs from its neighbours (last row before it, first row after it, how many rows
-precede it, the running maximum so far) comes from a summary with one row per
-block and enters the window as an extra edge row. Keys below the limit take the
-plain window, and when no key is hot the adaptive planner finds the hot table
-empty and drops that branch before it reads anything.
+cut into blocks along the order (time, position or value), and each block is its own
+window partition. What a block needs from its neighbours (last row before it, first
+row after it, how many rows precede it, running maximum or sum so far) comes from a
+summary with one row per block and enters the window as an edge row.
+
+Ordinary keys have a null block, so they stay one partition. When no key is hot, the
+adaptive planner sees the hot table come out empty and drops the block join and the
+edge branch before they read anything.
 """
 
 from __future__ import annotations
@@ -26,15 +28,16 @@ _COUNT = "_rows"
 
 @dataclass
 class Scan:
-    """What to add to each row: neighbours, 0-based position, earlier maximum.
+    """What to add to each row: neighbours, 0-based position, earlier maximum or sum.
 
-    ``prev``/``next``/``max_before`` map an output column to an input column.
-    ``max_before`` covers the rows strictly before the current one.
+    ``prev``/``next``/``max_before``/``sum_before`` map an output column to an input
+    column. The last two cover the rows strictly before the current one.
     """
 
     prev: dict[str, str] = field(default_factory=dict)
     next: dict[str, str] = field(default_factory=dict)
     max_before: dict[str, str] = field(default_factory=dict)
+    sum_before: dict[str, str] = field(default_factory=dict)
     index: str | None = None
 
     def apply(self, df: DataFrame, part: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -43,38 +46,37 @@ class Scan:
         cols = {out: F.lag(src).over(w) for out, src in self.prev.items()}
         cols |= {out: F.lead(src).over(w) for out, src in self.next.items()}
         cols |= {out: F.max(src).over(before) for out, src in self.max_before.items()}
+        sums = dict(self.sum_before)
         if self.index:
-            rows = F.sum(_COUNT).over(before) if _COUNT in df.columns else F.row_number().over(w) - 1
-            cols[self.index] = F.coalesce(rows, F.lit(0)).cast("long")
+            sums[self.index] = _COUNT
+        cols |= {out: F.coalesce(F.sum(src).over(before), F.lit(0)) for out, src in sums.items()}
         return df.withColumns(cols)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], axis: str, limit: int) -> DataFrame:
+def hot_keys(df: DataFrame, keys: Sequence[str], axis: str, limit: int | None = None) -> DataFrame:
     """Keys above ``limit`` rows with the origin and width of their blocks.
 
     At most ``rows / limit`` of them exist, so the table stays small whatever the data.
+    Several scans over one table can share it (``hot=``); it is then computed once.
     """
+    limit = limit or session_hot_rows(df.sparkSession)
     stats = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min(axis).alias("_lo"), F.max(axis).alias("_hi")
     )
-    span = F.col("_hi") - F.col("_lo") + 1
-    return stats.filter(F.col("_n") > limit).select(
-        *keys,
-        F.col("_lo"),
-        F.greatest(F.lit(1), F.ceil(span * F.lit(limit) / (F.lit(4) * F.col("_n")))).cast("long").alias("_width"),
-    )
-
-
-def split_hot(
-    df: DataFrame, keys: Sequence[str], axis: str, limit: int | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """``(cold, hot)``: rows of ordinary keys, and rows of hot keys with their block."""
-    limit = limit or session_hot_rows(df.sparkSession)
-    hot = hot_keys(df, keys, axis, limit)
-    cold = df.join(hot.select(*keys), list(keys), "left_anti")
+    # About four blocks per ``limit`` rows, so uneven density still splits.
+    share = (F.col("_hi") - F.col("_lo")) * F.lit(float(limit)) / (F.lit(4.0) * F.col("_n"))
+    if dict(df.dtypes)[axis] in ("float", "double"):
+        width = F.when(share > 0, share).otherwise(F.lit(1.0))
+    else:
+        width = F.greatest(F.lit(1), F.ceil(share)).cast("long")
+    return stats.filter(F.col("_n") > limit).select(*keys, F.col("_lo"), width.alias("_width"))
+
+
+def with_blocks(df: DataFrame, hot: DataFrame, axis: str, how: str = "left") -> DataFrame:
+    """Add the block of each row: null outside hot keys. ``inner`` keeps hot rows only."""
+    on = [c for c in hot.columns if c not in ("_lo", "_width")]
     block = F.floor((F.col(axis) - F.col("_lo")) / F.col("_width")).cast("long")
-    split = df.join(hot, list(keys)).withColumn(BLOCK, block).drop("_lo", "_width")
-    return cold, split
+    return df.join(hot, on, how).withColumn(BLOCK, block).select(*df.columns, BLOCK)
 
 
 def scan(
@@ -83,33 +85,40 @@ def scan(
     order: Sequence[str],
     spec: Scan,
     limit: int | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Add the columns of ``spec`` to ``df``, ordered by ``order`` within ``keys``.
 
-    ``order[0]`` must be a whole number (time or position). ``order`` must leave no
+    ``order[0]`` must be a number (time, position or value). ``order`` must leave no
     ties among rows whose neighbours or positions are asked for, so the result does
     not depend on partitioning.
     """
-    columns = df.columns
-    cold, hot = split_hot(df, keys, order[0], limit)
-    ordering = [F.col(c) for c in order]
-    plain = spec.apply(cold, keys, ordering)
-    return plain.unionByName(
-        _scan_blocks(hot, keys, order, spec).select(plain.columns)
-    ).select(*columns, *[c for c in plain.columns if c not in columns])
+    if hot is None:
+        hot = hot_keys(df, keys, order[0], limit)
+    part = [*keys, BLOCK]
+    body = with_blocks(df, hot, order[0]).withColumn(_SIDE, F.lit(0)).withColumn(_COUNT, F.lit(1).cast("long"))
+    edges = _edge_rows(with_blocks(df, hot, order[0], "inner"), keys, order, spec)
+    ordering = [F.col(_SIDE), *[F.col(c) for c in order]]
+    out = spec.apply(body.unionByName(edges), part, ordering)
+    return out.filter(F.col(_SIDE) == 0).drop(_SIDE, _COUNT, BLOCK)
 
 
-def _scan_blocks(hot: DataFrame, keys: Sequence[str], order: Sequence[str], spec: Scan) -> DataFrame:
+def _edge_rows(hot_rows: DataFrame, keys: Sequence[str], order: Sequence[str], spec: Scan) -> DataFrame:
+    """One row before (and after) each block that stands for the blocks around it."""
     part = [*keys, BLOCK]
     position = F.struct(*order)
-    edge_cols = sorted({*spec.prev.values(), *spec.next.values()})
-    edge = F.struct(*edge_cols) if edge_cols else F.struct(F.lit(1).alias("_"))
-    maxima = sorted(set(spec.max_before.values()))
-    blocks = hot.groupBy(*part).agg(
+    neighbours = sorted({*spec.prev.values(), *spec.next.values()})
+    edge = F.struct(*neighbours) if neighbours else F.struct(F.lit(1).alias("_"))
+    maxima, sums = sorted(set(spec.max_before.values())), sorted(set(spec.sum_before.values()))
+    carried = {*maxima, *sums}
+    if len(carried) < len(maxima) + len(sums) or carried & set(neighbours):
+        raise ValueError("a column may serve one of neighbour, maximum and sum")
+    blocks = hot_rows.groupBy(*part).agg(
         F.max_by(edge, position).alias("_last"),
         F.min_by(edge, position).alias("_first"),
         F.count(F.lit(1)).alias(_COUNT),
-        *[F.max(c).alias(f"_max_{c}") for c in maxima],
+        *[F.max(c).alias(f"_carry_{c}") for c in maxima],
+        *[F.sum(c).alias(f"_carry_{c}") for c in sums],
     )
     # One row per block: this window is as long as the number of blocks of a key.
     w = Window.partitionBy(*keys).orderBy(BLOCK)
@@ -118,32 +127,24 @@ def _scan_blocks(hot: DataFrame, keys: Sequence[str], order: Sequence[str], spec
         *part,
         F.lag("_last").over(w).alias("_last"),
         F.lead("_first").over(w).alias("_first"),
-        F.coalesce(F.sum(_COUNT).over(before), F.lit(0)).alias(_COUNT),
-        *[F.max(f"_max_{c}").over(before).alias(f"_max_{c}") for c in maxima],
+        F.sum(_COUNT).over(before).alias(_COUNT),
+        *[F.max(f"_carry_{c}").over(before).alias(f"_carry_{c}") for c in maxima],
+        *[F.sum(f"_carry_{c}").over(before).alias(f"_carry_{c}") for c in sums],
     )
-    schema = dict(hot.dtypes)
+    types = dict(hot_rows.dtypes)
 
-    def edge_rows(source: str, side: int, with_maxima: bool) -> DataFrame:
+    def as_row(source: str, side: int) -> Column:
         values = []
-        for c in hot.columns:
+        for c in hot_rows.columns:
             if c in part:
-                values.append(F.col(c))
                 continue
-            value = F.col(f"{source}.{c}") if c in edge_cols else F.lit(None)
-            if with_maxima and c in maxima:
-                # The carried maximum replaces the neighbour's own value only where
-                # the column is not also read as a neighbour.
-                value = F.col(f"_max_{c}")
-            values.append(value.cast(schema[c]).alias(c))
+            value = F.col(f"{source}.{c}") if c in neighbours else F.lit(None)
+            if side < 0 and c in carried:
+                value = F.col(f"_carry_{c}")
+            values.append(value.cast(types[c]).alias(c))
         rows = F.col(_COUNT) if side < 0 else F.lit(0)
-        return blocks.filter(F.col(source).isNotNull()).select(
-            *values, F.lit(side).alias(_SIDE), rows.cast("long").alias(_COUNT)
-        )
-
-    overlap = set(maxima) & set(edge_cols)
-    if overlap:
-        raise ValueError(f"columns used both as neighbour and maximum: {sorted(overlap)}")
-    body = hot.withColumn(_SIDE, F.lit(0)).withColumn(_COUNT, F.lit(1).cast("long"))
-    rows = body.unionByName(edge_rows("_last", -1, True)).unionByName(edge_rows("_first", 1, False))
-    ordering = [F.col(_SIDE), *[F.col(c) for c in order]]
-    return spec.apply(rows, part, ordering).filter(F.col(_SIDE) == 0).drop(_SIDE, _COUNT, BLOCK)
+        row = F.struct(*values, F.lit(side).alias(_SIDE), rows.cast("long").alias(_COUNT))
+        return F.when(F.col(source).isNotNull(), row)
+
+    rows = F.array_compact(F.array(as_row("_last", -1), as_row("_first", 1)))
+    return blocks.select(*part, F.explode(rows).alias("_e")).select(*part, "_e.*")

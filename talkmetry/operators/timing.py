@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmetry.constants import KEYS, THRESHOLDS, TIMING_SUPPORT_MS, Thresholds
@@ -74,12 +74,17 @@ def timing_summary(samples: DataFrame) -> DataFrame:
     )
 
 
-def clip_to_support(samples: DataFrame) -> DataFrame:
-    """Keep samples inside the metric's inclusive support; nothing is clamped."""
+def in_support() -> Column:
+    """Is the sample inside its metric's inclusive support?"""
     keep = F.lit(False)
     for metric, (lo, hi) in TIMING_SUPPORT_MS.items():
         keep = keep | ((F.col("metric") == metric) & F.col("value_ms").between(lo, hi))
-    return samples.filter(keep)
+    return keep
+
+
+def clip_to_support(samples: DataFrame) -> DataFrame:
+    """Keep samples inside the metric's support; nothing is clamped."""
+    return samples.filter(in_support())
 
 
 def thresholds_column(th: Thresholds = THRESHOLDS):
