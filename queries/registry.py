@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("transcript", "judging", "systems")
+MODULES = ("transcript", "judging", "systems", "texts", "tables", "signals", "storage", "streams")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

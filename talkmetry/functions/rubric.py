@@ -32,7 +32,10 @@ def add_outcome(df: DataFrame, raw: str, rubric: Rubric) -> DataFrame:
     object, or a score that is no whole number in text form, is a parse error. The steps
     are separate columns so that each is computed once.
     """
-    fields = F.try_variant_get(F.try_parse_json(strip_fences(F.col(raw))), "$", "map<string,variant>")
+    # Wrapped in an array, text after the object is an error too, or a second element.
+    doc = F.try_parse_json(F.concat(F.lit("["), strip_fences(F.col(raw)), F.lit("]")))
+    alone = F.try_variant_get("_doc", "$[1]", "variant").isNull()
+    fields = F.when(alone, F.try_variant_get("_doc", "$[0]", "map<string,variant>"))
 
     def entry(e: Column) -> Column:
         score = F.try_variant_get(e["value"], "$.score", "variant")
@@ -50,14 +53,15 @@ def add_outcome(df: DataFrame, raw: str, rubric: Rubric) -> DataFrame:
     total = F.aggregate("_parts", F.lit(0), lambda acc, e: acc + e["value"]["score"])
     mean = F.when(F.size("_parts") > 0, F.round(total / F.size("_parts"), 3)).otherwise(F.lit(0.0))
     return (
-        df.withColumn("_fields", fields)
+        df.withColumn("_doc", doc)
+        .withColumn("_fields", fields)
         .withColumn("_found", found)
         .withColumn("_found", F.when(~F.exists("_found", lambda e: e["value"]["score"].isNull()), F.col("_found")))
         .withColumn("_parts", parts)
         .withColumns(
             {"_scores": F.map_from_entries("_found"), "_mean": F.when(F.col("_found").isNotNull(), mean)}
         )
-        .drop("_fields", "_found", "_parts")
+        .drop("_doc", "_fields", "_found", "_parts")
     )
 
 

@@ -16,7 +16,7 @@ from talkmetry.constants import (
     ROLES,
     Rubric,
 )
-from talkmetry.functions.text import lettered_choices, lookup, render, strip
+from talkmetry.functions.text import fixed_seconds, lettered_choices, lookup, render, strip
 from talkmetry.operators.ordered import Scan, scan
 
 # A text cell holds at most this many pieces; longer results continue in a next part.
@@ -56,7 +56,7 @@ def join_in_order(
 
 def transcript_line(style: str = "prompt") -> Column:
     """``[t=  1.23s] role: text`` for prompts, ``  [   1.23s] ROLE: text`` for reports."""
-    t = F.round(F.col("start_ms") / 1000.0, 2)
+    t = fixed_seconds(F.col("start_ms"), 2)
     role = F.coalesce(F.col("role"), F.lit("?"))
     text = strip(F.coalesce(F.col("text"), F.lit("")))
     if style == "prompt":
@@ -283,7 +283,7 @@ def conversation_reports(convs: DataFrame, lines: DataFrame, judged: DataFrame,
             name["student_backend"],
             name["student_voice"],
         ),
-        F.when(F.col("duration_ms").isNotNull(), F.format_string("Duration  %.1fs", F.col("duration_ms") / 1000.0)),
+        F.when(F.col("duration_ms").isNotNull(), F.format_string("Duration  %.1fs", fixed_seconds(F.col("duration_ms"), 1))),
         F.lit("\nQUESTION"),
         F.lit(rule),
         F.regexp_replace(strip(F.coalesce("question", F.lit(""))), "(?m)^", "  "),

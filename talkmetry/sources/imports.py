@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -94,14 +94,16 @@ TIMED_UNIT = StructType(
 )
 
 
-def timed_units(spark: SparkSession, glob: str) -> DataFrame:
+def timed_units(spark: SparkSession, glob: str, name: Column | None = None) -> DataFrame:
     """Words of timed-unit XML files ``<dialogue>.<g|f>.timed-units.xml``.
 
+    ``name`` gives that name where the files are called otherwise.
+
     Units without text or without a valid ``end > start`` are left out. The giver (g) is
     the tutor. Times are rounded from the file's four decimals to milliseconds.
     """
     raw = spark.read.format("xml").option("rowTag", "tu").schema(TIMED_UNIT).load(glob)
-    name = F.col("_metadata.file_name")
+    name = F.col("_metadata.file_name") if name is None else name
     start, end = F.col("_start").try_cast("double"), F.col("_end").try_cast("double")
     word = strip(F.coalesce("_VALUE", F.lit("")))
     return (

@@ -23,10 +23,15 @@ def _place(df: DataFrame) -> DataFrame:
 
 
 def read_tolerant(spark: SparkSession, path, schema: StructType) -> DataFrame:
-    """JSON lines; unreadable ones keep their text in ``_corrupt``. Blank lines vanish."""
+    """JSON lines; unreadable ones keep their text in ``_corrupt``. Blank lines vanish.
+
+    Lines are read as text and parsed in the projection, so counting or keeping only the
+    unreadable ones is an ordinary query.
+    """
     full = StructType(schema.fields + [StructField(CORRUPT, StringType())])
-    reader = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    return _place(reader.json(path))
+    text = _place(spark.read.text(path)).filter(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return text.withColumn("_r", F.from_json("value", full, options)).select("_r.*", *ORDER)
 
 
 def split_bad(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
