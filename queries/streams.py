@@ -15,7 +15,7 @@ from queries import inputs as I
 from queries.inputs import with_ctes
 from talkmetry.constants import KEYS
 from talkmetry.operators.conversation import spoken_ms
-from talkmetry.session import shared_dir
+from talkmetry.session import ROCKSDB_PROVIDER, STATE_STORE_KEY, shared_dir
 from talkmetry.streaming import incremental, live
 
 DELAY = "10 seconds"
@@ -76,6 +76,7 @@ def _dedup(spark, d):
 
 
 def _ends(spark, d):
+    spark.conf.set(STATE_STORE_KEY, ROCKSDB_PROVIDER)
     out = live.conversation_ends(tokens(spark, d), DELAY)
     return _finish(spark, out, "stream-ends").select(*KEYS, "reason", _millis("started"), _millis("ended"), "n_tokens")
 

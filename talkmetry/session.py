@@ -6,17 +6,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+STATE_STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HOT_ROWS_KEY = "spark.talkmetry.hotRows"
 DEFAULT_HOT_ROWS = 2_000_000
 
 
 def build_session(app: str = "talkmetry", master: str | None = None, **conf) -> SparkSession:
-    """A UTC session with AQE; ``conf`` keys use ``_`` for ``.``-free extras."""
+    """A UTC session with AQE and the state store that custom streaming state needs."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config(STATE_STORE_KEY, ROCKSDB_PROVIDER)
     )
     if master:
         builder = builder.master(master)

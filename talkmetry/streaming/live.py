@@ -121,8 +121,10 @@ def conversation_ends(
     """One row when a conversation ends: end token, maximum length, or silence.
 
     State is four numbers per conversation. Tokens are taken in time order within a
-    batch; those after the end are ignored. An event-time timer at ``last + silence``
-    fires when the watermark passes it.
+    micro-batch; those after the end are ignored. An event-time timer at ``last +
+    silence`` fires when the watermark passes it. One conversation's share of a batch is
+    held in memory, so bound the batch at the source (``maxBytesPerTrigger``). Needs the
+    RocksDB state store (``session.STATE_STORE_KEY``).
     """
     from pyspark.sql.streaming import StatefulProcessor
 
