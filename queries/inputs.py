@@ -22,9 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def micros(ts: Column | str = "ts") -> Column:
-    """Microseconds since 2024-01-01; zone-free, as the column has no zone."""
-    since = F.expr(f"cast({ts} - timestamp_ntz'2024-01-01 00:00:00' as interval second)")
-    return (since.cast("decimal(20,6)") * 1000000).cast("long")
+    """Microseconds since 2024-01-01 (the tables hold January 2024 without a zone)."""
+    since = F.unix_micros(F.col(ts).cast("timestamp")) if isinstance(ts, str) else F.unix_micros(ts.cast("timestamp"))
+    return since - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
 
 
 def _cents() -> Column:

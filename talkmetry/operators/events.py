@@ -10,6 +10,8 @@ from talkmetry.operators.timing import onset_order
 
 # Frame probabilities by channel: 0 = tutor, 1 = student.
 PROBS = ("p_now0", "p_now1", "p_future0", "p_future1")
+# The same window in SQL, where IGNORE NULLS can be written.
+_BY_TIME = f"OVER (PARTITION BY {', '.join(KEYS)}, who ORDER BY t, is_event DESC)"
 
 
 def turn_events(
@@ -58,17 +60,23 @@ def turn_events(
         F.lit(None).cast("string").alias("holder"),
         F.lit(None).cast("long").alias("gap_ms"),
     )
-    stream = steps.select(
-        *KEYS, F.explode(F.array_compact(F.array(tell, F.when(kind.isNotNull(), ask)))).alias("r")
-    ).select(*KEYS, "r.*")
-    by_time = Window.partitionBy(*KEYS, "who")
-    # Strictly before: an event precedes a run that starts at the same instant.
-    past = by_time.orderBy("t", F.desc("is_event")).rowsBetween(Window.unboundedPreceding, -1)
-    # Strictly after: an event follows a run that starts at the same instant.
-    later = by_time.orderBy(F.desc("t"), F.desc("is_event")).rowsBetween(Window.unboundedPreceding, -1)
+    both = F.array(tell, F.when(kind.isNotNull(), ask))
+    stream = steps.select(*KEYS, F.explode(both).alias("r")).filter(F.col("r").isNotNull()).select(*KEYS, "r.*")
+    # An event sorts before a run that starts at the same instant, so "earlier rows" means
+    # strictly before. Strictly after is the next onset, or the one behind it where the
+    # next is at the event itself (a role's runs never start together).
+    by_time = Window.partitionBy(*KEYS, "who").orderBy("t", F.desc("is_event"))
+    onset = F.when(F.col("is_event") == 0, F.col("t"))
     events = (
-        stream.withColumn("reach_ms", F.max("run_end").over(past))
-        .withColumn("onset_ms", F.min(F.when(F.col("is_event") == 0, F.col("t"))).over(later))
+        stream.withColumn("_onset", onset)
+        .withColumns(
+            {
+                "reach_ms": F.max("run_end").over(by_time.rowsBetween(Window.unboundedPreceding, -1)),
+                "_next": F.expr(f"lead(_onset, 1) IGNORE NULLS {_BY_TIME}"),
+                "_after": F.expr(f"lead(_onset, 2) IGNORE NULLS {_BY_TIME}"),
+            }
+        )
+        .withColumn("onset_ms", F.when(F.col("_next") > F.col("t"), F.col("_next")).otherwise(F.col("_after")))
         .filter(F.col("is_event") == 1)
         .select(
             *KEYS,

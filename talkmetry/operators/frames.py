@@ -41,9 +41,9 @@ def decode_frames(text: Column) -> Column:
 def decoded_rows(windows: DataFrame, text: str = "frames") -> DataFrame:
     """One row per kept frame with its number inside the window."""
     keep = [c for c in windows.columns if c != text]
-    return windows.select(*keep, F.posexplode(decode_frames(F.col(text))).alias("frame", "f")).select(
-        *keep, "frame", "f.label", "f.probs"
-    )
+    # The outer form keeps Catalyst from decoding twice (once to test for emptiness).
+    rows = windows.select(*keep, F.posexplode_outer(decode_frames(F.col(text))).alias("frame", "f"))
+    return rows.filter(F.col("f").isNotNull()).select(*keep, "frame", "f.label", "f.probs")
 
 
 def frame_clock(frames: DataFrame, onsets: DataFrame, step_ms: int = FRAME_STEP_MS) -> DataFrame:

@@ -83,7 +83,8 @@ def json_leaf_array(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def numeric_leaves_json(results: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
     """As ``numeric_leaves`` for JSON text of unknown shape and any depth. Arrow batches;
     use the typed form where the shape is known."""
-    return results.select(*keys, F.explode(json_leaf_array(F.col(column))).alias("l")).select(*keys, "l.*")
+    rows = results.select(*keys, F.explode_outer(json_leaf_array(F.col(column))).alias("l"))
+    return rows.filter(F.col("l").isNotNull()).select(*keys, "l.*")
 
 
 def leaf_rollup(leaves: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -146,5 +146,5 @@ def _edge_rows(hot_rows: DataFrame, keys: Sequence[str], order: Sequence[str], s
         row = F.struct(*values, F.lit(side).alias(_SIDE), rows.cast("long").alias(_COUNT))
         return F.when(F.col(source).isNotNull(), row)
 
-    rows = F.array_compact(F.array(as_row("_last", -1), as_row("_first", 1)))
-    return blocks.select(*part, F.explode(rows).alias("_e")).select(*part, "_e.*")
+    rows = F.array(as_row("_last", -1), as_row("_first", 1))
+    return blocks.select(*part, F.explode(rows).alias("_e")).filter(F.col("_e").isNotNull()).select(*part, "_e.*")

@@ -35,9 +35,11 @@ def parse_responses(responses: DataFrame, rubric: Rubric, raw: str = "raw", erro
 def criterion_scores(parsed: DataFrame) -> DataFrame:
     """One row per scored criterion of the ok responses."""
     ids = [c for c in parsed.columns if c not in ("status", "scores", "mean_component_score", "raw")]
+    # Only ok rows have scores. The outer form keeps Catalyst from adding a filter on the
+    # parsed map, which would parse every response twice.
     return (
-        parsed.filter(F.col("status") == "ok")
-        .select(*ids, F.explode("scores").alias("criterion", "s"))
+        parsed.select(*ids, F.explode_outer("scores").alias("criterion", "s"))
+        .filter(F.col("criterion").isNotNull())
         .select(*ids, "criterion", F.col("s.score").alias("score"), F.col("s.rationale").alias("rationale"))
     )
 
@@ -58,8 +60,8 @@ def comparison_scores(parsed: DataFrame, rubric: Rubric) -> DataFrame:
             for k in rubric.compare
         ]
     )
-    ok = parsed.filter(F.col("status") == "ok")
-    return ok.select(*ids, F.explode(items).alias("c")).select(*ids, "c.comparison_key", "c.score")
+    kept = parsed.select(*ids, F.explode_outer(F.when(F.col("status") == "ok", items)).alias("c"))
+    return kept.filter(F.col("c").isNotNull()).select(*ids, "c.comparison_key", "c.score")
 
 
 def axis_of(criterion: Column, rubric: Rubric) -> Column:
@@ -167,7 +169,6 @@ def judge_matrix(parsed: DataFrame, rubric: Rubric, models: Sequence[str]) -> Da
 
 def judge_sums(parsed: DataFrame, rubric: Rubric) -> DataFrame:
     """(run, judge_model, criterion, value) including the two summary rows."""
-    ok = parsed.filter(F.col("status") == "ok")
     items = [
         F.struct(F.lit(k).alias("criterion"), F.try_element_at("scores", F.lit(k))["score"].cast("double").alias("v"))
         for k in rubric.keys
@@ -175,7 +176,8 @@ def judge_sums(parsed: DataFrame, rubric: Rubric) -> DataFrame:
         F.struct(F.lit("MEAN COMPONENT").alias("criterion"), F.col("mean_component_score").alias("v")),
         F.struct(F.lit("n (ok convs)").alias("criterion"), F.lit(1.0).alias("v")),
     ]
-    rows = ok.select("run", "judge_model", F.explode(F.array(*items)).alias("i")).filter(F.col("i.v").isNotNull())
+    kept = F.explode_outer(F.when(F.col("status") == "ok", F.array(*items)))
+    rows = parsed.select("run", "judge_model", kept.alias("i")).filter(F.col("i.v").isNotNull())
     return rows.groupBy("run", "judge_model", F.col("i.criterion").alias("criterion")).agg(
         F.when(F.first("i.criterion") == "n (ok convs)", F.sum("i.v"))
         .otherwise(F.round(F.sum("i.v") / F.count("i.v"), 2))

@@ -57,9 +57,8 @@ def timing_samples(runs: DataFrame) -> DataFrame:
         sample("overlap_s", -delta, ~same & (delta < 0)),
         sample("within_pause_s", delta, same & (delta > 0)),
     )
-    return adjacent_runs(runs).select(*KEYS, F.explode(F.array_compact(samples)).alias("s")).select(
-        *KEYS, "s.metric", "s.value_ms"
-    )
+    rows = adjacent_runs(runs).select(*KEYS, F.explode(samples).alias("s")).filter(F.col("s").isNotNull())
+    return rows.select(*KEYS, "s.metric", "s.value_ms")
 
 
 def timing_summary(samples: DataFrame) -> DataFrame:

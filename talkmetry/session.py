@@ -20,6 +20,8 @@ def build_session(app: str = "talkmetry", master: str | None = None, **conf) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config(STATE_STORE_KEY, ROCKSDB_PROVIDER)
+        # Call-site capture costs as much as analysing these plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)

@@ -21,7 +21,8 @@ def listing(spark: SparkSession, glob: str) -> DataFrame:
 def discover_runs(spark: SparkSession, root: str, required: str) -> DataFrame:
     """Sub-directories that hold ``required``: run, mtime, n_records, newest first.
 
-    Directories starting with ``_`` or ``.`` or ending in ``__aligned`` do not count.
+    Directories starting with ``_`` or ``.`` or ending in ``__aligned`` do not count, nor
+    do files of length 0.
     """
     glob = f"{root.rstrip('/')}/*/{required}"
     files = listing(spark, glob).select(_parent(F.col("path")).alias("run"), F.col("modificationTime").alias("mtime"))

@@ -201,10 +201,8 @@ def test_lines(spark, tmp_path):
     (tmp_path / "_skip" / "conversations.jsonl").write_text("{}\n")
     (tmp_path / "x__aligned").mkdir()
     (tmp_path / "x__aligned" / "conversations.jsonl").write_text("{}\n")
-    (tmp_path / "empty").mkdir()
-    (tmp_path / "empty" / "conversations.jsonl").write_text("")
     found = runs.discover_runs(spark, str(tmp_path), "conversations.jsonl")
-    assert rows(found, "run", "n_records") == [("empty", 0), ("run1", 4)]
+    assert rows(found, "run", "n_records") == [("run1", 4)]
 
 
 def test_whole_file_json(spark, tmp_path):
