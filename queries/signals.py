@@ -58,7 +58,7 @@ def words(spark, d):
 
 
 def _flat(segs):
-    return segs.select(*KEYS, "role", "seg_no", "start_ms", "end_ms", "text", F.size("words").alias("n_words"))
+    return segs.select(*KEYS, "role", "seg_no", "part", "start_ms", "end_ms", "text", F.size("words").alias("n_words"))
 
 
 def _audio(spark, d):
@@ -105,8 +105,8 @@ QUERIES = {
 _SPLIT = """f AS (SELECT run, conv_index, role, seg_id, start_ms, end_ms, CAST(coalesce(start_ms - lag(end_ms) OVER w > {gap}, FALSE) AS INT) AS o FROM seg
     WINDOW w AS (PARTITION BY run, conv_index, role ORDER BY seg_id)),
     g AS (SELECT *, CAST(sum(o) OVER (PARTITION BY run, conv_index, role ORDER BY seg_id) AS BIGINT) AS seg_no FROM f)
-    SELECT run, conv_index, role, seg_no, arg_min(start_ms, seg_id) AS start_ms, {end} AS end_ms,
-    string_agg(concat('w', CAST(seg_id % 7 AS VARCHAR)), '{sep}' ORDER BY seg_id) AS text, CAST(count(*) AS INT) AS n_words FROM g GROUP BY 1, 2, 3, 4"""
+    SELECT run, conv_index, role, seg_no, CAST(0 AS INT) AS part, arg_min(start_ms, seg_id) AS start_ms, {end} AS end_ms,
+    string_agg(concat('w', CAST(seg_id % 7 AS VARCHAR)), '{sep}' ORDER BY seg_id) AS text, CAST(count(*) AS INT) AS n_words FROM g GROUP BY 1, 2, 3, 4, 5"""
 _ACT = """act AS (SELECT f.run, f.conv_index, f.frame, f.now_pm / 1000.0::DOUBLE AS p_now0, f.future_pm / 1000.0::DOUBLE AS p_future0,
     CAST(coalesce(max(CASE WHEN s.role = 'tutor' THEN 1 END), 0) AS INT) AS tutor_active, CAST(coalesce(max(CASE WHEN s.role = 'student' THEN 1 END), 0) AS INT) AS student_active
     FROM frames f LEFT JOIN seg s ON s.run = f.run AND s.conv_index = f.conv_index AND s.start_ms <= f.t_ms AND f.t_ms < s.end_ms GROUP BY 1, 2, 3, 4, 5)"""

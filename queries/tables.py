@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from queries import inputs as I
 from queries import texts, transcript
@@ -17,7 +18,6 @@ from talkmetry.operators import work as W
 from talkmetry.operators.conversation import run_summary
 from talkmetry.plans import evaluators as P
 from talkmetry.sources.runs import default_variant, variant_listing
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 CELL = ("run", "conv_index")
 
@@ -115,12 +115,18 @@ def _evaluate(spark, d):
 def _longest(pdf):
     if pdf["conv_index"].iloc[0] % 10 == 3:
         raise ValueError("no score")
-    return {"longest_ms": int((pdf["end_ms"] - pdf["start_ms"]).max()), "mean_start": float(pdf["start_ms"].mean())}
+    return {"longest_ms": int((pdf["end_ms"] - pdf["start_ms"]).max()), "starts": int(pdf["start_ms"].sum()), "n": len(pdf)}
+
+
+def _longest_of_all(parts):
+    return {"longest_ms": int(parts["longest_ms"].max()), "mean_start": float(parts["starts"].sum() / parts["n"].sum())}
 
 
 def _plugin(spark, d):
+    """Chunks of 25 segments, so that most conversations take several."""
+    partial = StructType([StructField(c, LongType()) for c in ("longest_ms", "starts", "n")])
     schema = StructType([StructField("longest_ms", LongType()), StructField("mean_start", DoubleType())])
-    ev = P.conversation_plugin("longest", _longest, schema)
+    ev = P.conversation_plugin("longest", _longest, partial, schema, _longest_of_all, chunk_rows=25)
     return ev.run(P.Tables(I.segments(spark, d))).withColumn("mean_start", F.round("mean_start", 3))
 
 

@@ -230,18 +230,25 @@ def quartiles(scores: DataFrame, by: Sequence[str], value: str = "score", limit:
     """min, quartiles and max per group, exact for any number of distinct values.
 
     Rows are numbered in value order by the block-wise scan; the quartiles are the rows
-    at the wanted positions. No group's values are held in one aggregation buffer.
+    at the wanted positions, fetched by (group, position). No group's values are held in
+    one aggregation buffer, and no join key repeats.
     """
     rows = scores.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("min"), F.max("v").alias("max"))
-    placed = scan(rows, by, ["v"], Scan(index="i"), limit).join(sizes.select(*by, "n"), list(by))
-    picks = []
+    placed = scan(rows, by, ["v"], Scan(index="i"), limit)
+    targets = []
     for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
-        at = (F.col("n") - 1) * F.lit(q)
-        low = F.floor(at)
-        picks.append(F.max(F.when(F.col("i") == low, F.col("v"))).alias(f"_{name}_lo"))
-        picks.append(F.max(F.when(F.col("i") == F.least(low + 1, F.col("n") - 1), F.col("v"))).alias(f"_{name}_hi"))
-    found = placed.groupBy(*by).agg(*picks)
+        low = F.floor((F.col("n") - 1) * F.lit(q)).cast("long")
+        for side, at in (("lo", low), ("hi", F.least(low + 1, F.col("n") - 1))):
+            targets.append(F.struct(F.lit(f"_{name}_{side}").alias("what"), at.alias("i")))
+    wanted = sizes.select(*by, F.explode(F.array(*targets)).alias("t")).select(*by, "t.what", "t.i")
+    found = placed.join(wanted, [*by, "i"]).groupBy(*by).agg(
+        *[
+            F.max(F.when(F.col("what") == f"_{name}_{side}", F.col("v"))).alias(f"_{name}_{side}")
+            for name in ("q1", "median", "q3")
+            for side in ("lo", "hi")
+        ]
+    )
 
     def value_at(name: str, q: float) -> Column:
         at = (F.col("n") - 1) * F.lit(q)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmetry.constants import KEYS
-from talkmetry.operators.ordered import BLOCK, Scan, hot_keys, scan, with_blocks
+from talkmetry.operators.ordered import BLOCK, Scan, hot_keys, key_columns, scan, with_blocks
 
 
 def merge_intervals(
@@ -26,9 +26,9 @@ def merge_intervals(
     rows = df.select(*keys, "start_ms", "end_ms", F.lit(1).cast("long").alias("n_merged"))
     if hot is None:
         hot = hot_keys(rows, keys, "start_ms", limit)
-    on = [c for c in hot.columns if c not in ("_lo", "_width")]
     pre_merged = _merge_once(with_blocks(rows, hot, "start_ms", "inner"), gap_ms, [*keys, BLOCK])
-    cold = rows.join(hot.select(*on), on, "left_anti").select(rows.columns)
+    on = key_columns(hot)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").select(rows.columns)
     return _merge_once(cold.unionByName(pre_merged.select(rows.columns)), gap_ms, keys)
 
 

@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from talkmetry.session import hot_rows as session_hot_rows
 
 BLOCK = "_block"
+MAX_HOT_KEYS = 100_000
+# A text or list cell holds at most this many pieces; longer results go on in a next row.
+PIECES_PER_PART = 10_000
 _SIDE = "_side"
 _COUNT = "_rows"
 
@@ -56,8 +59,10 @@ class Scan:
 def hot_keys(df: DataFrame, keys: Sequence[str], axis: str, limit: int | None = None) -> DataFrame:
     """Keys above ``limit`` rows with the origin and width of their blocks.
 
-    At most ``rows / limit`` of them exist, so the table stays small whatever the data.
-    Several scans over one table can share it (``hot=``); it is then computed once.
+    Only the ``MAX_HOT_KEYS`` largest are listed, so the table has a fixed bound and may
+    be broadcast. A key that does not make the list stays in one partition, which is then
+    harmless: it holds less than one row in ``MAX_HOT_KEYS``. Several scans over one table
+    can share the list (``hot=``); it is then computed once.
     """
     limit = limit or session_hot_rows(df.sparkSession)
     stats = df.groupBy(*keys).agg(
@@ -69,14 +74,18 @@ def hot_keys(df: DataFrame, keys: Sequence[str], axis: str, limit: int | None =
         width = F.when(share > 0, share).otherwise(F.lit(1.0))
     else:
         width = F.greatest(F.lit(1), F.ceil(share)).cast("long")
-    return stats.filter(F.col("_n") > limit).select(*keys, F.col("_lo"), width.alias("_width"))
+    largest = stats.filter(F.col("_n") > limit).orderBy(F.desc("_n"), *keys).limit(MAX_HOT_KEYS)
+    return largest.select(*keys, F.col("_lo"), width.alias("_width"))
+
+
+def key_columns(hot: DataFrame) -> list[str]:
+    return [c for c in hot.columns if c not in ("_lo", "_width")]
 
 
 def with_blocks(df: DataFrame, hot: DataFrame, axis: str, how: str = "left") -> DataFrame:
     """Add the block of each row: null outside hot keys. ``inner`` keeps hot rows only."""
-    on = [c for c in hot.columns if c not in ("_lo", "_width")]
     block = F.floor((F.col(axis) - F.col("_lo")) / F.col("_width")).cast("long")
-    return df.join(hot, on, how).withColumn(BLOCK, block).select(*df.columns, BLOCK)
+    return df.join(F.broadcast(hot), key_columns(hot), how).withColumn(BLOCK, block).select(*df.columns, BLOCK)
 
 
 def scan(

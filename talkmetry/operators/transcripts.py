@@ -17,11 +17,7 @@ from talkmetry.constants import (
     Rubric,
 )
 from talkmetry.functions.text import fixed_seconds, lettered_choices, lookup, render, strip
-from talkmetry.operators.ordered import Scan, scan
-
-# A text cell holds at most this many pieces; longer results continue in a next part.
-PIECES_PER_PART = 10_000
-
+from talkmetry.operators.ordered import PIECES_PER_PART, Scan, scan
 
 def dataset_role(user: Column) -> Column:
     """Teacher -> tutor, Student -> student, anything else (or nothing) -> student."""

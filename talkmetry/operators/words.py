@@ -18,7 +18,7 @@ from talkmetry.constants import (
     SILENCE_LABELS,
 )
 from talkmetry.functions.text import strip
-from talkmetry.operators.ordered import Scan, hot_keys, scan
+from talkmetry.operators.ordered import PIECES_PER_PART, Scan, hot_keys, scan
 
 
 def to_ms(seconds: Column) -> Column:
@@ -74,15 +74,24 @@ def segment_numbers(
     keys: Sequence[str] = (*KEYS, "role"),
     limit: int | None = None,
 ) -> DataFrame:
-    """Number the segments of each key: a new one starts after a silence longer than
-    ``gap_ms`` since the *previous word's* end (not the latest end so far)."""
+    """Add ``seg_no`` and ``seg_pos`` (place inside the segment): a segment starts after a
+    silence longer than ``gap_ms`` since the *previous word's* end (not the latest end so
+    far)."""
     hot = hot_keys(words, keys, "word_no", limit)
-    flagged = scan(words, keys, ["word_no"], Scan(prev={"prev_end_ms": "end_ms"}), hot=hot).withColumn(
-        "opened", F.coalesce((F.col("start_ms") - F.col("prev_end_ms") > gap_ms).cast("long"), F.lit(0).cast("long"))
+    placed = scan(words, keys, ["word_no"], Scan(prev={"_prev_end": "end_ms"}, index="_at"), hot=hot)
+    after_silence = F.coalesce(F.col("start_ms") - F.col("_prev_end") > gap_ms, F.lit(False))
+    flagged = placed.withColumns(
+        {
+            "_opened": after_silence.cast("long"),
+            "_open_at": F.when(after_silence | (F.col("_at") == 0), F.col("_at")),
+        }
     )
-    numbered = scan(flagged, keys, ["word_no"], Scan(sum_before={"seg_before": "opened"}), hot=hot)
-    return numbered.withColumn("seg_no", F.col("seg_before") + F.col("opened")).drop(
-        "prev_end_ms", "opened", "seg_before"
+    spec = Scan(sum_before={"_segs": "_opened"}, max_before={"_last_open": "_open_at"})
+    numbered = scan(flagged, keys, ["word_no"], spec, hot=hot)
+    return numbered.select(
+        *words.columns,
+        (F.col("_segs") + F.col("_opened")).alias("seg_no"),
+        (F.col("_at") - F.coalesce("_open_at", "_last_open")).alias("seg_pos"),
     )
 
 
@@ -93,18 +102,19 @@ def words_to_segments(
     joiner: str = " ",
     end: str = "max",
     limit: int | None = None,
+    per_part: int = PIECES_PER_PART,
 ) -> DataFrame:
     """Segments with text, times and their words in order.
 
     ``end="max"`` takes the latest word end, ``end="last"`` the last word's. Blank
-    segments are dropped. A segment ends at the first silence, so its word list is as
-    long as one uninterrupted stretch of speech.
+    segments are dropped. Speech that goes on for more than ``per_part`` words without a
+    silence continues in further rows (``part`` 1, 2, ...), so no row is unbounded.
     """
     numbered = segment_numbers(words, gap_ms, keys, limit)
     item = F.struct("word_no", "word", "start_ms", "end_ms", *(["confidence"] if "confidence" in words.columns else []))
     last_end = F.max("end_ms") if end == "max" else F.max_by("end_ms", "word_no")
     return (
-        numbered.groupBy(*keys, "seg_no")
+        numbered.groupBy(*keys, "seg_no", F.floor(F.col("seg_pos") / per_part).cast("int").alias("part"))
         .agg(
             F.min_by("start_ms", "word_no").alias("start_ms"),
             last_end.alias("end_ms"),

@@ -80,6 +80,12 @@ def test_words_to_segments(segments):
     w = segments.select(*KEYS, "role", F.col("seg_id").alias("word_no"), F.lit("w").alias("word"), "start_ms", "end_ms")
     a, b = both(lambda limit: words.words_to_segments(w, limit=limit))
     assert a == b
+    parts = words.words_to_segments(w, limit=ALWAYS, per_part=3)
+    keys = [*KEYS, "role", "seg_no"]
+    whole = words.words_to_segments(w, limit=NEVER)
+    assert parts.agg(F.max(F.size("words"))).first()[0] == 3
+    joined = parts.groupBy(*keys).agg(F.sum(F.size("words")).alias("n"), F.min("start_ms").alias("s"), F.max("end_ms").alias("e"))
+    assert rows(joined) == rows(whole.select(*keys, F.size("words").cast("long").alias("n"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e")))
 
 
 def test_signed_ranks_and_quartiles(spark):
