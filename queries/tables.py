@@ -195,6 +195,7 @@ QUERIES = {
     "manifest_drift": lambda s, d: W.manifest_drift(_manifest(s, d, False), _manifest(s, d, True)),
     "first_n": lambda s, d: W.first_n(I.table(s, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), ["o_orderdate", "o_orderkey"], 25),
     "seeded_sample": lambda s, d: W.seeded_sample(I.table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 100, seed=7),
+    "indexed_sample": lambda s, d: W.indexed_sample(I.table(s, d, "orders").select("o_orderkey"), "o_orderkey", 100, seed=7),
     "sorted_scores": lambda s, d: W.sort_rows(I.paired(s, d).withColumn("ce", F.when(F.col("cu") < 5, F.col("ce"))).select("run", "conv_index", "ce"), "ce", descending=True),
     "first_seen": lambda s, d: W.first_seen(I.table(s, d, "events"), "user_id", "event_id"),
     "union_runs": lambda s, d: W.union_runs([I.paired(s, d).filter(F.col("run") == "view").select("run", "conv_index", "pq"), I.paired(s, d).filter(F.col("run") != "view").select("run", "conv_index", "ce")]),

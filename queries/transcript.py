@@ -39,6 +39,14 @@ def _event_frames(spark, d):
     )
 
 
+def _irregular(spark, d):
+    """Two thirds of the frames, unevenly spaced."""
+    frames = I.frames(spark, d).filter((F.col("frame") * 7 + F.col("conv_index")) % 3 != 0)
+    return E.nearest_frames(E.kept_events(_events(spark, d)), frames).select(
+        *KEYS, "t_ms", "holder", "event_type", "frame_ms", "p_now0"
+    )
+
+
 QUERIES = {
     "conversation_stats": lambda s, d: C.conversation_stats(I.segments(s, d)),
     "run_summary": lambda s, d: C.run_summary(C.conversation_stats(I.segments(s, d))),
@@ -64,6 +72,7 @@ QUERIES = {
         *KEYS, "t_ms", "holder", "event_type", "took_floor", "latency_ms"
     ),
     "frame_asof": _event_frames,
+    "frame_asof_irregular": _irregular,
     "event_cues_cells": lambda s, d: classified(s, d).select(
         *KEYS, "t_ms", "holder", "event_type", "cue_label", "cell", "vap_pred", "responder_action"
     ),
@@ -206,6 +215,13 @@ ORACLES = {
         JOIN frames f ON f.run = t.run AND f.conv_index = t.conv_index AND f.frame BETWEEN t.idx - 2 AND t.idx
         GROUP BY ALL""",
     ),
+    "frame_asof_irregular": with_ctes(
+        "tev frames",
+        """WITH fr AS (SELECT * FROM frames WHERE (frame * 7 + conv_index) % 3 <> 0)
+        SELECT e.run, e.conv_index, e.t_ms, holder, event_type, min_by(f.t_ms, (abs(f.t_ms - e.t_ms), f.t_ms)) AS frame_ms,
+        min_by(now_pm / 1000.0::DOUBLE, (abs(f.t_ms - e.t_ms), f.t_ms)) AS p_now0
+        FROM tev e JOIN fr f ON f.run = e.run AND f.conv_index = e.conv_index WHERE NOT dropped_guard GROUP BY 1, 2, 3, 4, 5""",
+    ),
     "event_cues_cells": with_ctes(
         "cls",
         """SELECT run, conv_index, t_ms, holder, event_type, cue_label, cell,

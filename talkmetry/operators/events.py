@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmetry.constants import CELLS, CUE_LABELS, KEYS, ROLES, SCOPES, THRESHOLDS, Thresholds
+from talkmetry.operators.ordered import Scan, hot_keys, scan
 from talkmetry.operators.timing import onset_order
 
 # Frame probabilities by channel: 0 = tutor, 1 = student.
@@ -156,6 +157,28 @@ def read_frames(
     )
 
 
+def nearest_frames(events: DataFrame, frames: DataFrame, limit: int | None = None) -> DataFrame:
+    """The frame nearest to each event on any grid; the earlier one on a tie.
+
+    ``frames``: run, conv_index, t_ms and ``PROBS``. Two as-of look-ups over the frame
+    times find the last frame at or before and the first at or after the event; only the
+    chosen time is then joined back for its values, by (conversation, time).
+    """
+    asked = events.select(*KEYS, F.col("t_ms").alias("_t")).distinct()
+    times = frames.select(*KEYS, F.col("t_ms").alias("_t"))
+    both = asked.withColumn("_kind", F.lit(1)).unionByName(times.withColumn("_kind", F.lit(0)))
+    frame_t = F.when(F.col("_kind") == 0, F.col("_t"))
+    both = both.withColumns({"_ft": frame_t, "_back": -F.col("_t"), "_fback": -frame_t})
+    hot = hot_keys(times, KEYS, "_t", limit)
+    seen = scan(both, KEYS, ["_t", "_kind"], Scan(max_before={"_before": "_ft"}), hot=hot)
+    seen = scan(seen, KEYS, ["_back", "_kind"], Scan(max_before={"_after": "_fback"}), hot=hot)
+    before, after = F.col("_before"), -F.col("_after")
+    closer = F.when(before.isNull() | (after - F.col("_t") < F.col("_t") - before), after).otherwise(before)
+    chosen = seen.filter(F.col("_kind") == 1).select(*KEYS, F.col("_t").alias("t_ms"), closer.alias("frame_ms"))
+    values = frames.select(*KEYS, F.col("t_ms").alias("frame_ms"), *PROBS)
+    return events.join(chosen, [*KEYS, "t_ms"]).join(values, [*KEYS, "frame_ms"])
+
+
 def classify_events(scored: DataFrame, th: Thresholds = THRESHOLDS) -> DataFrame:
     """Cue label from the holder's channel and cell from the responder's.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmetry.constants import KEYS, OUTPUT_AFFECTING_ARGS
@@ -140,6 +140,12 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n).orderBy(key)
 
 
+def indexed_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """The sample with a stable ``row_idx`` in key order; the window sees ``n`` rows."""
+    place = F.row_number().over(Window.orderBy(key)) - 1
+    return seeded_sample(df, key, n, seed).withColumn("row_idx", place)
+
+
 def sort_rows(df: DataFrame, column: str, descending: bool = False, tie_break: Sequence[str] = KEYS) -> DataFrame:
     """Sort by a chosen column; missing values come last either way."""
     c = F.col(column)
