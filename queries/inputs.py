@@ -293,3 +293,21 @@ def with_ctes(names: str, body: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {lead},\n{body[5:]}"
     return f"WITH {lead}\n{body}"
+
+
+def expand(sql: str) -> str:
+    """``pyround(x, n)`` is round-half-even on the stored double, which DuckDB has as text
+    formatting."""
+    at = sql.find("pyround(")
+    while at >= 0:
+        depth, end, comma = 1, at + len("pyround("), -1
+        while depth:
+            c = sql[end]
+            depth += (c == "(") - (c == ")")
+            if c == "," and depth == 1:
+                comma = end
+            end += 1
+        value, digits = sql[at + len("pyround(") : comma], sql[comma + 1 : end - 1].strip()
+        sql = f"{sql[:at]}CAST(printf('%.{digits}f', CAST({value} AS DOUBLE)) AS DOUBLE){sql[end:]}"
+        at = sql.find("pyround(")
+    return sql

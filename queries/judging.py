@@ -66,12 +66,12 @@ QUERIES = {
 }
 
 _OK = """SELECT run, conv_index, judge_model, CAST(c % 6 AS INT) AS g, CAST((c // 6) % 6 AS INT) AS a, CAST((c // 36) % 6 AS INT) AS h,
-    round((c % 6 + (c // 6) % 6 + (c // 36) % 6) / 3, 3) AS mean_component_score, event_id % 17 <> 0 AS ok, raw FROM raw"""
+    pyround((c % 6 + (c // 6) % 6 + (c // 36) % 6) / 3, 3) AS mean_component_score, event_id % 17 <> 0 AS ok, raw FROM raw"""
 _LAB = """lab AS (SELECT r.run, r.conv_index, criterion, score,
     CASE WHEN r.conv_index % 7 = 0 THEN '?↑ / ?↓' ELSE concat(CASE r.run WHEN 'sys0' THEN 'GPT' WHEN 'sys1' THEN 'Gemini'
     WHEN 'sys2' THEN 'PersonaPlex' WHEN 'sys3' THEN 'MoshiVis' ELSE 'other-backend' END, '↑ / Gemini↓') END AS label FROM crit r)"""
 _AXIS = """CASE criterion WHEN 'coherence' THEN 'Dialogue quality' ELSE 'Pedagogical quality' END"""
-_MEAN = "round(avg(score) FILTER (WHERE criterion = '{k}'), 2) AS {k}"
+_MEAN = "pyround(avg(score) FILTER (WHERE criterion = '{k}'), 2) AS {k}"
 
 ORACLES = {
     "rubric_parse": with_ctes(
@@ -89,8 +89,8 @@ ORACLES = {
     "leaderboard": with_ctes(
         "crit",
         f"""WITH {_LAB}, b AS (SELECT label, min((run, conv_index)) AS seen, avg(score) FILTER (WHERE criterion = 'guidance_quality') AS k,
-        round(avg(score) FILTER (WHERE criterion <> 'coherence'), 2) AS pedagogical_quality,
-        round(avg(score) FILTER (WHERE criterion = 'coherence'), 2) AS dialogue_quality,
+        pyround(avg(score) FILTER (WHERE criterion <> 'coherence'), 2) AS pedagogical_quality,
+        pyround(avg(score) FILTER (WHERE criterion = 'coherence'), 2) AS dialogue_quality,
         {", ".join(_MEAN.format(k=k) for k in TAXONOMY_RUBRIC.keys)} FROM lab GROUP BY label)
         SELECT CAST(row_number() OVER (ORDER BY k DESC NULLS LAST, seen) AS INT) AS rank, label, seen[1] AS first_run, CAST(0 AS BIGINT) AS n,
         CAST(NULL AS DOUBLE) AS error_diagnosis, pedagogical_quality, dialogue_quality, {", ".join(TAXONOMY_RUBRIC.keys)} FROM b""",
@@ -98,7 +98,7 @@ ORACLES = {
     "score_distribution": with_ctes(
         "crit",
         f"""WITH {_LAB} SELECT label, criterion, {", ".join(f"count(*) FILTER (WHERE score = {i}) AS n{i}" for i in range(6))},
-        round(avg(score), 2) AS mean FROM lab GROUP BY label, criterion""",
+        pyround(avg(score), 2) AS mean FROM lab GROUP BY label, criterion""",
     ),
     "axis_summary": with_ctes(
         "crit",
@@ -108,15 +108,15 @@ ORACLES = {
     ),
     "judge_run_summary": with_ctes(
         "raw",
-        f"""SELECT run, judge_model, count(*) FILTER (WHERE ok) AS n_ok, round(avg(g) FILTER (WHERE ok), 3) AS guidance_quality,
-        round(avg(a) FILTER (WHERE ok), 3) AS actionability, round(avg(h) FILTER (WHERE ok), 3) AS coherence,
-        CAST(NULL AS DOUBLE) AS tutor_tone, round(avg(mean_component_score) FILTER (WHERE ok), 3) AS mean_component_score
+        f"""SELECT run, judge_model, count(*) FILTER (WHERE ok) AS n_ok, pyround(avg(g) FILTER (WHERE ok), 3) AS guidance_quality,
+        pyround(avg(a) FILTER (WHERE ok), 3) AS actionability, pyround(avg(h) FILTER (WHERE ok), 3) AS coherence,
+        CAST(NULL AS DOUBLE) AS tutor_tone, pyround(avg(mean_component_score) FILTER (WHERE ok), 3) AS mean_component_score
         FROM ({_OK}) GROUP BY run, judge_model""",
     ),
     "judge_matrix": with_ctes(
         "raw",
         f"""WITH v AS (SELECT run, judge_model, unnest(['guidance_quality', 'actionability', 'coherence', 'MEAN COMPONENT', 'n (ok convs)']) AS criterion,
-        unnest([round(avg(g), 2), round(avg(a), 2), round(avg(h), 2), round(avg(mean_component_score), 2), CAST(count(*) AS DOUBLE)]) AS value
+        unnest([pyround(avg(g), 2), pyround(avg(a), 2), pyround(avg(h), 2), pyround(avg(mean_component_score), 2), CAST(count(*) AS DOUBLE)]) AS value
         FROM ({_OK}) WHERE ok GROUP BY run, judge_model)
         SELECT run, criterion, {", ".join(f"max(value) FILTER (WHERE judge_model = '{m}') AS {m}" for m in MODELS)} FROM v GROUP BY run, criterion""",
     ),
@@ -134,9 +134,9 @@ ORACLES = {
         (count(*) FILTER (WHERE m > 0) + 0.5::DOUBLE * count(*) FILTER (WHERE m = 0)) / count(*) AS p,
         count(*) FILTER (WHERE m = 0) AS t, sum(m) AS sm FROM v GROUP BY 1, 2, 3, 4),
         z AS (SELECT *, 1.96::DOUBLE AS z FROM g)
-        SELECT split, n, judge_model, rubric, comparison_key, round(p, 4) AS accuracy,
-        round(greatest(0, ((p + z*z/(2*n)) - z * sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n)), 4) AS ci_low,
-        round(least(1, ((p + z*z/(2*n)) + z * sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n)), 4) AS ci_high,
-        round(t / n, 4) AS tie_rate, round(sm / n, 4) AS mean_margin FROM z""",
+        SELECT split, n, judge_model, rubric, comparison_key, pyround(p, 4) AS accuracy,
+        pyround(greatest(0, ((p + z*z/(2*n)) - z * sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n)), 4) AS ci_low,
+        pyround(least(1, ((p + z*z/(2*n)) + z * sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n)), 4) AS ci_high,
+        pyround(t / n, 4) AS tie_rate, pyround(sm / n, 4) AS mean_margin FROM z""",
     ),
 }

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+from queries.inputs import expand
+
 MODULES = ("transcript", "judging", "systems", "texts", "tables", "signals", "storage", "streams")
 
 QUERIES: dict = {}
@@ -14,4 +16,4 @@ for _name in MODULES:
     if _clash:
         raise ValueError(f"duplicate query names: {sorted(_clash)}")
     QUERIES |= _module.QUERIES
-    ORACLES |= _module.ORACLES
+    ORACLES |= {name: expand(sql) for name, sql in _module.ORACLES.items()}

@@ -173,8 +173,8 @@ ORACLES = {
     "judge_run_discovery": with_ctes("raw", "SELECT DISTINCT concat(run, '__judge-', judge_model) AS directory, run, judge_model FROM raw WHERE judge_model <> 'view'"),
     "csv_export": with_ctes(
         "seg",
-        """SELECT run, conv_index, round(max(end_ms) / 1000.0::DOUBLE, 3) AS duration_s, CAST(coalesce(sum(words) FILTER (WHERE role = 'tutor'), 0) AS BIGINT) AS tutor_words,
-        round(CAST(coalesce(sum(end_ms - start_ms) FILTER (WHERE role = 'tutor'), 0) AS BIGINT) / max(end_ms), 3) AS tutor_talk_ratio FROM seg GROUP BY 1, 2""",
+        """SELECT run, conv_index, pyround(max(end_ms) / 1000.0::DOUBLE, 3) AS duration_s, CAST(coalesce(sum(words) FILTER (WHERE role = 'tutor'), 0) AS BIGINT) AS tutor_words,
+        pyround(CAST(coalesce(sum(end_ms - start_ms) FILTER (WHERE role = 'tutor'), 0) AS BIGINT) / max(end_ms), 3) AS tutor_talk_ratio FROM seg GROUP BY 1, 2""",
     ),
     "write_per_group": with_ctes("pref", "SELECT judge_model, comparison_key, row_idx, CASE WHEN neg = 0 THEN 'pos' ELSE 'neg' END AS side, score FROM pref"),
     "rewrite_sorted": with_ctes("paired", "SELECT run, conv_index, CASE WHEN run IN ('view', 'click') THEN pq * 2 ELSE pq END AS pq FROM paired"),

@@ -226,7 +226,7 @@ _TODO = """todo AS (SELECT DISTINCT run, CASE WHEN conv_index % 2 = 0 THEN conv_
 _LEAF = """SELECT 'stats' AS evaluator, 'value' AS path, value AS v FROM events
     UNION ALL SELECT 'meta', 'props.k', CAST(json_extract(props, '$.k') AS DOUBLE) FROM events
     UNION ALL SELECT 'meta', 'user', CAST(user_id AS DOUBLE) FROM events WHERE event_id % 3 = 0"""
-_ROLL = f"SELECT evaluator, path, round(avg(v), 3) AS mean, round(min(v), 3) AS min, round(max(v), 3) AS max, count(*) AS n FROM ({_LEAF}) GROUP BY 1, 2"
+_ROLL = f"SELECT evaluator, path, pyround(avg(v), 3) AS mean, pyround(min(v), 3) AS min, pyround(max(v), 3) AS max, count(*) AS n FROM ({_LEAF}) GROUP BY 1, 2"
 _ST, _TT = transcript._STATS_SQL, transcript._TT
 _BOTH = with_ctes("seg", "SELECT 1").rsplit("SELECT 1", 1)[0] + _ST + _TT.replace("base AS", "base0 AS").replace("FROM base b", "FROM base0 b")
 _BACK = "CASE c_nationkey % 4 WHEN 0 THEN 'gpt-realtime' WHEN 1 THEN 'human' WHEN 2 THEN 'new/model.1' END"
@@ -276,8 +276,8 @@ ORACLES = {
         latency_p90_s, silence_ratio, CAST(s.conv_index % 6 AS DOUBLE) AS overall, CAST(NULL AS DOUBLE) AS answer_correctness, CAST(NULL AS DOUBLE) AS mean_component_score
         FROM stats s JOIN tt USING (run, conv_index)""",
     "detail_summary": _BOTH
-    + """SELECT s.run AS run_name, round(avg(num_segments), 3) AS num_segments, round(avg(tutor_talk_ratio), 3) AS tutor_talk_ratio,
-        round(avg(silence_ratio), 3) AS silence_ratio, round(avg(s.conv_index % 6), 3) AS overall, CAST(NULL AS DOUBLE) AS answer_correctness
+    + """SELECT s.run AS run_name, pyround(avg(num_segments), 3) AS num_segments, pyround(avg(tutor_talk_ratio), 3) AS tutor_talk_ratio,
+        pyround(avg(silence_ratio), 3) AS silence_ratio, pyround(avg(s.conv_index % 6), 3) AS overall, CAST(NULL AS DOUBLE) AS answer_correctness
         FROM stats s JOIN tt USING (run, conv_index) GROUP BY 1""",
     "wide_quality": with_ctes(
         "quality",
@@ -296,7 +296,7 @@ ORACLES = {
     "evaluate": _BOTH + "SELECT s.run, s.conv_index, num_segments, tutor_words, overlap_s, silence_ratio FROM stats s JOIN tt USING (run, conv_index)",
     "evaluator_plugin": with_ctes(
         "seg",
-        """SELECT run, conv_index, CASE WHEN conv_index % 10 <> 3 THEN max(end_ms - start_ms) END AS longest_ms, CASE WHEN conv_index % 10 <> 3 THEN round(avg(start_ms), 3) END AS mean_start,
+        """SELECT run, conv_index, CASE WHEN conv_index % 10 <> 3 THEN max(end_ms - start_ms) END AS longest_ms, CASE WHEN conv_index % 10 <> 3 THEN pyround(avg(start_ms), 3) END AS mean_start,
         CASE WHEN conv_index % 10 = 3 THEN 'error' ELSE 'ok' END AS status, CASE WHEN conv_index % 10 = 3 THEN 'no score' END AS error FROM seg GROUP BY 1, 2""",
     ),
     "judge_calls": f"""SELECT conv_index, CASE WHEN n % 7 = 0 THEN 'error' WHEN n % 11 = 0 THEN 'parse_error' ELSE 'ok' END AS status,

@@ -291,8 +291,8 @@ ORACLES = {
         UNION ALL SELECT conv_id, side, n, 'tutor', CASE side WHEN 'pos' THEN {_strip("concat('good ', problem)")} ELSE 'bad' END, n * 1000, (n + 1) * 1000 FROM n, s""",
     "segment_json": with_ctes(
         "seg",
-        """SELECT seg_id, concat('{"role":"', role, '","text":"', text, '","start_time":', CAST(round(start_ms / 1000.0::DOUBLE, 3) AS VARCHAR),
-        ',"end_time":', CAST(round(end_ms / 1000.0::DOUBLE, 3) AS VARCHAR), CASE WHEN seg_id % 3 = 0 THEN concat(',"audio_path":"a/', CAST(seg_id AS VARCHAR), '"') ELSE '' END, '}') AS json FROM seg""",
+        """SELECT seg_id, concat('{"role":"', role, '","text":"', text, '","start_time":', CAST(pyround(start_ms / 1000.0::DOUBLE, 3) AS VARCHAR),
+        ',"end_time":', CAST(pyround(end_ms / 1000.0::DOUBLE, 3) AS VARCHAR), CASE WHEN seg_id % 3 = 0 THEN concat(',"audio_path":"a/', CAST(seg_id AS VARCHAR), '"') ELSE '' END, '}') AS json FROM seg""",
     ),
     "conversation_reports": with_ctes(
         "seg convs raw",
@@ -308,7 +308,7 @@ ORACLES = {
         concat('  ', rtrim(repeat(concat('question ', CAST(b.u AS VARCHAR), ' '), 12))), '', 'Ground-truth answer: 42', '', 'TRANSCRIPT', repeat('-', 80), t.text, '',
         'LLM JUDGE (naive)', repeat('-', 80),
         CASE WHEN NOT j.ok THEN '  Status: parse_error' ELSE array_to_string([
-        printf('  Model: click   Mean component score: %s/5', CAST(round((g + a + h) / 3, 3) AS VARCHAR)), '', '  Error diagnosis',
+        printf('  Model: click   Mean component score: %s/5', CAST(pyround((g + a + h) / 3, 3) AS VARCHAR)), '', '  Error diagnosis',
         printf('    %-26s --  (missing)', 'Confusion ID'), printf('    %-26s --  (missing)', 'Conf.location'), '  Pedagogical quality',
         printf('    %-26s --  (missing)', 'Ans.withheld'), printf('    %-26s %d/5', 'Guidance', g), '      r', printf('    %-26s %d/5', 'Actionability', a), '      r',
         '  Dialogue quality', printf('    %-26s %d/5', 'Coherence', h), '      r', printf('    %-26s --  (missing)', 'Tutor tone'),

@@ -96,13 +96,13 @@ agg AS (SELECT run, conv_index, max(end_ms) AS dur, count(*) AS num_segments,
     CAST(coalesce(sum(words) FILTER (WHERE role = 'student'), 0) AS BIGINT) AS student_words,
     CAST(coalesce(sum(end_ms - start_ms) FILTER (WHERE role = 'student'), 0) AS BIGINT) AS student_ms
     FROM seg GROUP BY 1, 2),
-stats AS (SELECT agg.run, agg.conv_index, round(dur / 1000.0::DOUBLE, 3) AS duration_s, num_segments, role_switches,
-    tutor_segments, tutor_words, round(tutor_ms / 1000.0::DOUBLE, 3) AS tutor_speaking_time_s,
-    CASE WHEN tutor_ms > 0 THEN round(tutor_words * 60000.0::DOUBLE / tutor_ms, 1) ELSE 0.0::DOUBLE END AS tutor_words_per_min,
-    CASE WHEN dur > 0 THEN round(tutor_ms / dur, 3) ELSE 0.0::DOUBLE END AS tutor_talk_ratio,
-    student_segments, student_words, round(student_ms / 1000.0::DOUBLE, 3) AS student_speaking_time_s,
-    CASE WHEN student_ms > 0 THEN round(student_words * 60000.0::DOUBLE / student_ms, 1) ELSE 0.0::DOUBLE END AS student_words_per_min,
-    CASE WHEN dur > 0 THEN round(student_ms / dur, 3) ELSE 0.0::DOUBLE END AS student_talk_ratio
+stats AS (SELECT agg.run, agg.conv_index, pyround(dur / 1000.0::DOUBLE, 3) AS duration_s, num_segments, role_switches,
+    tutor_segments, tutor_words, pyround(tutor_ms / 1000.0::DOUBLE, 3) AS tutor_speaking_time_s,
+    CASE WHEN tutor_ms > 0 THEN pyround(tutor_words / (tutor_ms / 60000.0::DOUBLE), 1) ELSE 0.0::DOUBLE END AS tutor_words_per_min,
+    CASE WHEN dur > 0 THEN pyround(tutor_ms / dur, 3) ELSE 0.0::DOUBLE END AS tutor_talk_ratio,
+    student_segments, student_words, pyround(student_ms / 1000.0::DOUBLE, 3) AS student_speaking_time_s,
+    CASE WHEN student_ms > 0 THEN pyround(student_words / (student_ms / 60000.0::DOUBLE), 1) ELSE 0.0::DOUBLE END AS student_words_per_min,
+    CASE WHEN dur > 0 THEN pyround(student_ms / dur, 3) ELSE 0.0::DOUBLE END AS student_talk_ratio
     FROM agg JOIN sw ON agg.run = sw.run AND agg.conv_index = sw.conv_index)
 """
 
@@ -121,9 +121,9 @@ _TT = """
 , gaps AS (SELECT run, conv_index, start_ms - prev_end AS gap FROM (
     SELECT *, lag(end_ms) OVER w AS prev_end, lag(role) OVER w AS prev_role FROM seg
     WINDOW w AS (PARTITION BY run, conv_index ORDER BY start_ms, seg_id)) WHERE prev_role <> role AND start_ms >= prev_end),
-lat AS (SELECT run, conv_index, round(CAST(sum(gap) AS BIGINT) / count(*) / 1000.0::DOUBLE, 3) AS latency_mean_s,
-    round(median(gap) / 1000.0::DOUBLE, 3) AS latency_median_s,
-    round(quantile_cont(gap, 0.9) / 1000.0::DOUBLE, 3) AS latency_p90_s, count(*) AS latency_count FROM gaps GROUP BY 1, 2),
+lat AS (SELECT run, conv_index, pyround(CAST(sum(gap) AS BIGINT) / count(*) / 1000.0::DOUBLE, 3) AS latency_mean_s,
+    pyround(median(gap) / 1000.0::DOUBLE, 3) AS latency_median_s,
+    pyround(round(quantile_cont(gap, 0.9), 1) / 1000.0::DOUBLE, 3) AS latency_p90_s, count(*) AS latency_count FROM gaps GROUP BY 1, 2),
 ov AS (SELECT a.run, a.conv_index, CAST(sum(greatest(0, least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms))) AS BIGINT) AS overlap_ms
     FROM seg a JOIN seg b ON a.run = b.run AND a.conv_index = b.conv_index AND a.role = 'tutor' AND b.role = 'student'
     AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms GROUP BY 1, 2),
@@ -140,11 +140,11 @@ bcn AS (SELECT run, conv_index, count(*) AS n_back FROM bc GROUP BY 1, 2),
 base AS (SELECT run, conv_index, count(*) AS n, max(end_ms) AS dur FROM seg GROUP BY 1, 2),
 tt AS (SELECT b.run, b.conv_index, coalesce(latency_mean_s, 0) AS latency_mean_s, coalesce(latency_median_s, 0) AS latency_median_s,
     coalesce(latency_p90_s, 0) AS latency_p90_s, coalesce(latency_count, 0) AS latency_count,
-    round(coalesce(overlap_ms, 0) / 1000.0::DOUBLE, 3) AS overlap_s,
-    CASE WHEN dur > 0 THEN round(coalesce(overlap_ms, 0) / dur, 3) ELSE 0.0::DOUBLE END AS overlap_ratio,
-    round(greatest(0, dur - active_ms) / 1000.0::DOUBLE, 3) AS silence_s,
-    CASE WHEN dur > 0 THEN round(greatest(0, dur - active_ms) / dur, 3) ELSE 0.0::DOUBLE END AS silence_ratio,
-    coalesce(n_back, 0) AS backchannel_count, round(coalesce(n_back, 0) / n, 3) AS backchannel_ratio
+    pyround(coalesce(overlap_ms, 0) / 1000.0::DOUBLE, 3) AS overlap_s,
+    CASE WHEN dur > 0 THEN pyround(coalesce(overlap_ms, 0) / dur, 3) ELSE 0.0::DOUBLE END AS overlap_ratio,
+    pyround(greatest(0, dur - active_ms) / 1000.0::DOUBLE, 3) AS silence_s,
+    CASE WHEN dur > 0 THEN pyround(greatest(0, dur - active_ms) / dur, 3) ELSE 0.0::DOUBLE END AS silence_ratio,
+    coalesce(n_back, 0) AS backchannel_count, pyround(coalesce(n_back, 0) / n, 3) AS backchannel_ratio
     FROM base b LEFT JOIN lat USING (run, conv_index) LEFT JOIN ov USING (run, conv_index)
     LEFT JOIN cov USING (run, conv_index) LEFT JOIN bcn USING (run, conv_index))
 """
@@ -162,7 +162,7 @@ _CELLS = """CAST(count(*) FILTER (WHERE cell = 'appropriate_uptake') AS BIGINT)
 ORACLES = {
     "conversation_stats": _stats("SELECT * FROM stats"),
     "run_summary": _stats(
-        "SELECT run, " + ", ".join(f"round(avg({c}), 3) AS {c}" for c in _STAT_COLS) + " FROM stats GROUP BY run"
+        "SELECT run, " + ", ".join(f"pyround(avg({c}), 3) AS {c}" for c in _STAT_COLS) + " FROM stats GROUP BY run"
     ),
     "role_switches": _stats("SELECT * FROM sw"),
     "turn_word_stats": with_ctes(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkmetry.constants import RAW_KEEP_CHARS, Rubric
-from talkmetry.functions.text import SPACE, strip
+from talkmetry.functions.text import SPACE, round_exact, strip
 
 
 def strip_fences(raw: Column) -> Column:
@@ -51,7 +51,7 @@ def add_outcome(df: DataFrame, raw: str, rubric: Rubric) -> DataFrame:
     found = F.transform(F.filter(F.map_entries("_fields"), wanted), entry)
     parts = F.filter("_found", lambda e: ~e["key"].isin(*rubric.mean_excludes)) if rubric.mean_excludes else F.col("_found")
     total = F.aggregate("_parts", F.lit(0), lambda acc, e: acc + e["value"]["score"])
-    mean = F.when(F.size("_parts") > 0, F.round(total / F.size("_parts"), 3)).otherwise(F.lit(0.0))
+    mean = F.when(F.size("_parts") > 0, round_exact(total / F.size("_parts"), 3)).otherwise(F.lit(0.0))
     return (
         df.withColumn("_doc", doc)
         .withColumn("_fields", fields)

@@ -84,29 +84,30 @@ def render(template: str, **fields: Column) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
+def round_exact(x: Column, digits: int) -> Column:
+    """Round a double to ``digits`` decimals by its exact binary value, ties to even.
+
+    Spark's ``round`` works on the shortest decimal text of the double, so 2.0115 goes to
+    2.012 although the stored number lies below the tie. Here the scaled value and its
+    rounding error come from an exact product (Dekker's split), so the last digit agrees
+    with tools that round the stored number.
+    """
+    scale = float(10**digits)
+    value = x.cast("double")
+    head = F.lit(134217729.0) * value - (F.lit(134217729.0) * value - value)
+    scaled = value * scale
+    error = (head * scale - scaled) + (value - head) * scale
+    whole = F.floor(scaled)
+    past_tie = (scaled - whole - 0.5) + error
+    up = (past_tie > 0) | ((past_tie == 0) & (F.pmod(whole, F.lit(2)) == 1))
+    return (whole + up.cast("int")) / F.lit(scale)
+
+
 def seconds(ms: Column, digits: int = 3) -> Column:
     """Milliseconds to seconds, rounded once."""
-    return F.round(ms / F.lit(1000.0), digits)
+    return round_exact(ms / F.lit(1000.0), digits)
 
 
 def ratio(top: Column, bottom: Column, digits: int = 3) -> Column:
     """Rounded quotient, 0.0 when the divisor is not positive."""
-    return F.when(bottom > 0, F.round(top / bottom, digits)).otherwise(F.lit(0.0))
-
-
-def fixed_seconds(ms: Column, digits: int) -> Column:
-    """Seconds for display, rounded like C's ``%.2f`` of ``ms / 1000.0``.
-
-    A tie is decided by the double that stands for it, which is rarely exactly half. Its
-    distance from the true quotient comes from an exact product (Dekker's split), so the
-    last digit agrees with tools that format the binary value.
-    """
-    unit = 10 ** (3 - digits)
-    x = ms / F.lit(1000.0)
-    head = F.lit(134217729.0) * x - (F.lit(134217729.0) * x - x)
-    product = x * F.lit(1000.0)
-    excess = (product - ms) + ((head * 1000.0 - product) + (x - head) * 1000.0)
-    whole, rest = F.floor(ms / unit), F.pmod(ms, F.lit(unit))
-    tie_up = (excess > 0) | ((excess == 0) & (F.pmod(whole, F.lit(2)) == 1))
-    up = (rest * 2 > unit) | ((rest * 2 == unit) & tie_up)
-    return (whole + up.cast("int")) / F.lit(float(10**digits))
+    return F.when(bottom > 0, round_exact(top / bottom, digits)).otherwise(F.lit(0.0))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkmetry.constants import BACKCHANNEL_MAX_MS, BACKCHANNEL_MAX_WORDS, KEYS, ROLES
-from talkmetry.functions.text import ratio, seconds, word_count
+from talkmetry.functions.text import ratio, round_exact, seconds, word_count
 from talkmetry.operators.intervals import cross_overlap, reach_before
 from talkmetry.operators.ordered import Scan, hot_keys, scan
 
@@ -98,7 +98,7 @@ def conversation_stats(
             F.col(f"{role}_segments"),
             F.col(f"{role}_words"),
             seconds(ms).alias(f"{role}_speaking_time_s"),
-            F.when(ms > 0, F.round(F.col(f"{role}_words") * 60000.0 / ms, 1))
+            F.when(ms > 0, round_exact(F.col(f"{role}_words") / (ms / 60000.0), 1))
             .otherwise(F.lit(0.0))
             .alias(f"{role}_words_per_min"),
             ratio(ms, F.col("duration_ms")).alias(f"{role}_talk_ratio"),
@@ -139,7 +139,8 @@ def response_latency(segments: DataFrame, limit: int | None = None, hot: DataFra
         .agg(
             seconds(F.sum("gap_ms") / F.count(F.lit(1))).alias("latency_mean_s"),
             seconds(F.median("gap_ms")).alias("latency_median_s"),
-            seconds(F.percentile("gap_ms", F.lit(0.9))).alias("latency_p90_s"),
+            # Interpolation lands on tenths of a millisecond; drop the float noise first.
+            seconds(F.round(F.percentile("gap_ms", F.lit(0.9)), 1)).alias("latency_p90_s"),
             F.count(F.lit(1)).alias("latency_count"),
         )
     )
@@ -209,7 +210,7 @@ def turn_taking(
         seconds(silence).alias("silence_s"),
         ratio(silence, F.col("duration_ms")).alias("silence_ratio"),
         back.alias("backchannel_count"),
-        F.round(back / n, 3).alias("backchannel_ratio"),
+        round_exact(back / n, 3).alias("backchannel_ratio"),
     )
 
 
@@ -219,5 +220,5 @@ def run_summary(detail: DataFrame, metrics: list[str] | None = None, by: tuple[s
     if metrics is None:
         metrics = [c for c, t in detail.dtypes if t in numeric and c not in KEYS and c not in by]
     return detail.groupBy(*by).agg(
-        *[F.round(F.sum(c) / F.count(c), 3).alias(c) for c in metrics]
+        *[round_exact(F.try_divide(F.sum(c), F.count(c)), 3).alias(c) for c in metrics]
     )

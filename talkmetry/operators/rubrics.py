@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from talkmetry.constants import KEYS, Rubric
 from talkmetry.functions.rubric import add_outcome, kept_raw
 from talkmetry.functions.stats import wilson_95
-from talkmetry.functions.text import backend_label
+from talkmetry.functions.text import backend_label, round_exact
 
 
 def parse_responses(responses: DataFrame, rubric: Rubric, raw: str = "raw", error: str | None = None) -> DataFrame:
@@ -100,7 +100,7 @@ def leaderboard(labelled: DataFrame, rubric: Rubric, sort_by: str) -> DataFrame:
     def mean(keys: Sequence[str]) -> Column:
         total = sum((F.col(f"_s_{k}") for k in keys), F.lit(0))
         count = sum((F.col(f"_n_{k}") for k in keys), F.lit(0))
-        return F.round(F.try_divide(total, count), 2)
+        return round_exact(F.try_divide(total, count), 2)
 
     n = F.lit(0).cast("long")
     for keys in reversed(list(rubric.axes.values())):
@@ -122,7 +122,7 @@ def score_distribution(scored: DataFrame, by: Sequence[str] = ("label", "criteri
     """How many scores of 0 to 5, zero-filled, with the mean."""
     return scored.groupBy(*by).agg(
         *[F.count_if(F.col("score") == i).alias(f"n{i}") for i in range(6)],
-        F.round(F.sum("score") / F.count("score"), 2).alias("mean"),
+        round_exact(F.sum("score") / F.count("score"), 2).alias("mean"),
     )
 
 
@@ -147,7 +147,7 @@ def judge_run_summary(parsed: DataFrame, rubric: Rubric) -> DataFrame:
     ok = F.col("status") == "ok"
 
     def mean(value: Column) -> Column:
-        return F.round(F.try_divide(F.sum(F.when(ok, value)), F.count(F.when(ok, value))), 3)
+        return round_exact(F.try_divide(F.sum(F.when(ok, value)), F.count(F.when(ok, value))), 3)
 
     return parsed.groupBy("run", "judge_model").agg(
         F.count_if(ok).alias("n_ok"),
@@ -180,7 +180,7 @@ def judge_sums(parsed: DataFrame, rubric: Rubric) -> DataFrame:
     rows = parsed.select("run", "judge_model", kept.alias("i")).filter(F.col("i.v").isNotNull())
     return rows.groupBy("run", "judge_model", F.col("i.criterion").alias("criterion")).agg(
         F.when(F.first("i.criterion") == "n (ok convs)", F.sum("i.v"))
-        .otherwise(F.round(F.sum("i.v") / F.count("i.v"), 2))
+        .otherwise(round_exact(F.sum("i.v") / F.count("i.v"), 2))
         .alias("value")
     )
 
@@ -224,9 +224,9 @@ def agreement(verdicts: DataFrame) -> DataFrame:
         "judge_model",
         "rubric",
         "comparison_key",
-        F.round(k / n, 4).alias("accuracy"),
-        F.round(low, 4).alias("ci_low"),
-        F.round(high, 4).alias("ci_high"),
-        F.round(F.col("_t") / n, 4).alias("tie_rate"),
-        F.round(F.col("_m") / n, 4).alias("mean_margin"),
+        round_exact(k / n, 4).alias("accuracy"),
+        round_exact(low, 4).alias("ci_low"),
+        round_exact(high, 4).alias("ci_high"),
+        round_exact(F.col("_t") / n, 4).alias("tie_rate"),
+        round_exact(F.col("_m") / n, 4).alias("mean_margin"),
     )

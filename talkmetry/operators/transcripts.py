@@ -16,7 +16,7 @@ from talkmetry.constants import (
     ROLES,
     Rubric,
 )
-from talkmetry.functions.text import fixed_seconds, lettered_choices, lookup, render, strip
+from talkmetry.functions.text import lettered_choices, lookup, render, seconds, strip
 from talkmetry.operators.ordered import PIECES_PER_PART, Scan, scan
 
 def dataset_role(user: Column) -> Column:
@@ -52,7 +52,7 @@ def join_in_order(
 
 def transcript_line(style: str = "prompt") -> Column:
     """``[t=  1.23s] role: text`` for prompts, ``  [   1.23s] ROLE: text`` for reports."""
-    t = fixed_seconds(F.col("start_ms"), 2)
+    t = seconds(F.col("start_ms"), 2)
     role = F.coalesce(F.col("role"), F.lit("?"))
     text = strip(F.coalesce(F.col("text"), F.lit("")))
     if style == "prompt":
@@ -214,8 +214,8 @@ def segment_json() -> Column:
         F.struct(
             "role",
             "text",
-            F.round(F.col("start_ms") / 1000.0, 3).alias("start_time"),
-            F.round(F.col("end_ms") / 1000.0, 3).alias("end_time"),
+            seconds(F.col("start_ms")).alias("start_time"),
+            seconds(F.col("end_ms")).alias("end_time"),
             F.nullif(F.col("audio_path"), F.lit("")).alias("audio_path"),
         )
     )
@@ -279,7 +279,7 @@ def conversation_reports(convs: DataFrame, lines: DataFrame, judged: DataFrame,
             name["student_backend"],
             name["student_voice"],
         ),
-        F.when(F.col("duration_ms").isNotNull(), F.format_string("Duration  %.1fs", fixed_seconds(F.col("duration_ms"), 1))),
+        F.when(F.col("duration_ms").isNotNull(), F.format_string("Duration  %.1fs", seconds(F.col("duration_ms"), 1))),
         F.lit("\nQUESTION"),
         F.lit(rule),
         F.regexp_replace(strip(F.coalesce("question", F.lit(""))), "(?m)^", "  "),

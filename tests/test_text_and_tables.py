@@ -1,6 +1,7 @@
 """Parsing, prompts, caches, planning, sources, plug-ins."""
 
 import json
+import random
 
 import pytest
 from conftest import rows
@@ -38,10 +39,15 @@ def test_render_does_not_reread_values(spark):
     assert df.select(T.render("<{a}|{b}|{{}}>", a=F.col("a"), b=F.col("b")).alias("o")).first().o == "<{b}|x|{}>"
 
 
-def test_display_seconds_round_like_the_binary_value(spark):
-    df = spark.range(0, 20_000).select("id", F.format_string("%.2f", T.fixed_seconds(F.col("id"), 2)).alias("a"), F.format_string("%.1f", T.fixed_seconds(F.col("id"), 1)).alias("b"))
+def test_rounding_is_python_rounding(spark):
+    df = spark.range(0, 20_000).select("id", F.format_string("%.2f", T.seconds(F.col("id"), 2)).alias("a"), T.seconds(F.col("id") / 2).alias("b"))
     for r in df.collect():
-        assert r.a == f"{r.id / 1000.0:.2f}" and r.b == f"{r.id / 1000.0:.1f}"
+        assert r.a == f"{r.id / 1000.0:.2f}" and r.b == round(r.id / 2 / 1000.0, 3)
+    rnd = random.Random(2)
+    values = [rnd.uniform(-50, 50) for _ in range(3000)] + [k / 16 for k in range(-200, 200)] + [k / 2000 for k in range(-999, 999)]
+    for digits in (1, 2, 3, 4):
+        got = spark.createDataFrame([(v,) for v in values], "v double").select("v", T.round_exact(F.col("v"), digits).alias("o")).collect()
+        assert [r.o for r in got] == [round(r.v, digits) for r in got]
 
 
 RAW = {
