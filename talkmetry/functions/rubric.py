@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkmetry.constants import RAW_KEEP_CHARS, Rubric
-from talkmetry.functions.text import SPACE, round_exact, strip
+from talkmetry.functions.text import WHITESPACE, round_exact, strip
 
 
 def strip_fences(raw: Column) -> Column:
     """The response without surrounding code fences."""
-    text = F.regexp_replace(strip(raw), f"^```(?:json)?[{SPACE}]*", "")
-    return F.regexp_replace(text, f"[{SPACE}]*```$", "")
+    text = strip(raw)
+    opened = F.ltrim(F.regexp_replace(text, "^```(?:json)?", ""), F.lit(WHITESPACE))
+    body = F.when(F.startswith(text, F.lit("```")), opened).otherwise(text)
+    closed = F.rtrim(F.left(body, F.length(body) - 3), F.lit(WHITESPACE))
+    return F.when(F.endswith(body, F.lit("```")), closed).otherwise(body)
 
 
 def whole_score(score: Column) -> Column:

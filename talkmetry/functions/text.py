@@ -9,21 +9,24 @@ from pyspark.sql import functions as F
 
 from talkmetry.constants import BACKEND_SHORT, PROMPT_TAIL_CHARS
 
-# Whitespace as Unicode defines it (a plain \s is ASCII only).
-SPACE = (
-    r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# The characters Unicode counts as whitespace.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 
 
 def word_count(text: Column) -> Column:
-    """Words separated by any Unicode whitespace."""
-    return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
+    """Words separated by any Unicode whitespace. (Replacing characters and splitting on
+    one blank takes a fraction of the time a regular expression with that class does.)"""
+    blanks = F.translate(text, WHITESPACE, " " * len(WHITESPACE))
+    return F.coalesce(F.size(F.array_remove(F.split(blanks, " "), "")), F.lit(0)).cast("long")
 
 
 def strip(text: Column) -> Column:
     """Drop leading and trailing Unicode whitespace."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(text, F.lit(WHITESPACE))
 
 
 def lookup(value: Column, table: dict[str, str], default: Column | None = None) -> Column:
