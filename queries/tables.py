@@ -9,7 +9,7 @@ from queries import inputs as I
 from queries import texts, transcript
 from queries.inputs import with_ctes
 from talkmetry.constants import KEYS, NAIVE_RUBRIC
-from talkmetry.functions.text import backend_label, file_slug, run_part, slug, variant_key
+from talkmetry.functions.text import backend_label, file_slug, round_exact, run_part, slug, variant_key
 from talkmetry.operators import events as E
 from talkmetry.operators import leaves as L
 from talkmetry.operators import rubrics as R
@@ -127,7 +127,7 @@ def _plugin(spark, d):
     partial = StructType([StructField(c, LongType()) for c in ("longest_ms", "starts", "n")])
     schema = StructType([StructField("longest_ms", LongType()), StructField("mean_start", DoubleType())])
     ev = P.conversation_plugin("longest", _longest, partial, schema, _longest_of_all, chunk_rows=25)
-    return ev.run(P.Tables(I.segments(spark, d))).withColumn("mean_start", F.round("mean_start", 3))
+    return ev.run(P.Tables(I.segments(spark, d))).withColumn("mean_start", round_exact(F.col("mean_start"), 3))
 
 
 def _client(shift: int):
