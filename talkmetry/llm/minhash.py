@@ -11,7 +11,8 @@ Words are runs of bytes other than 0x20 and 0x09-0x0D after lower-casing A-Z; a
 * *Stars first.* Every member of a bucket is confirmed against the bucket's smallest id only; most groups are one
   component then. Buckets that still hold several components are cut into blocks of at most ``BLOCK`` members; blocks
   meet block by block in separate tasks, where signatures pick the pairs whose estimate is within five standard errors
-  of the threshold and whose components differ. No bucket is skipped or cut short.
+  of the threshold and whose components differ, and the full sets decide. Only links leave the task. No bucket is
+  skipped or cut short.
 
 Null and empty texts, and texts without words, have the empty set and are linked with nothing. Rows that repeat an id
 are one document. A null id takes part but never names a component unless nothing else does.
@@ -102,22 +103,29 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return arrow_map(both.select("a", "b", "sig_a", "sig_b"), rows, "a long, b long")
 
 
+def similar(left: np.ndarray, right: np.ndarray) -> bool:
+    if 100 * min(len(left), len(right)) < PERCENT * max(len(left), len(right)):
+        return False
+    shared = len(np.intersect1d(left, right, assume_unique=True))
+    return 100 * shared >= PERCENT * (len(left) + len(right) - shared)
+
+
+def _bodies(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents named, once each; the same sort-merge plan at every size."""
+    return store(docs.select("doc_id", "text").join(ids.distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bodies")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough. Texts travel, compressed, not the sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    body = docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    body = store(body, "ends")
-    both = pairs.join(body.toDF("a", "text_a"), "a").join(body.toDF("b", "text_b"), "b")
+    body = _bodies(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    both = pairs.join(body.toDF("a", "text_a").hint("merge"), "a").join(body.toDF("b", "text_b").hint("merge"), "b")
 
     def rows(batch: pa.RecordBatch) -> dict:
         hashes, known, keep = WordHashes(), {}, []
-        ids = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())
-        for (a, b), x, y in zip(ids, texts(batch.column("text_a")), texts(batch.column("text_b"))):
+        for b, x, y in zip(batch.column("b").to_pylist(), texts(batch.column("text_a")), texts(batch.column("text_b"))):
             if b not in known:  # pairs arrive by their right end
                 known = {b: shingles_of(y, hashes)}
-            left, right = shingles_of(x, hashes), known[b]
-            shared = len(np.intersect1d(left, right, assume_unique=True))
-            keep.append(100 * shared >= PERCENT * (len(left) + len(right) - shared))
+            keep.append(similar(shingles_of(x, hashes), known[b]))
         mask = pa.array(keep, type=pa.bool_())
         return {c: batch.column(c).filter(mask) for c in ("a", "b")}
 
@@ -126,36 +134,66 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def _rest(buckets: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidate pairs between different components of one bucket, found block against block."""
+def _rest(buckets: DataFrame, parts: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between different components of one bucket, found and confirmed block against block.
+
+    Signatures choose the pairs of two blocks, best first; a pair that earlier links of the same task have connected needs
+    no confirmation. Pairs stay inside the task: only links leave it.
+    """
     named = buckets.join(parts, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part"))
     open_ = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     members = named.join(open_.select("bucket", blocks.alias("blocks")), "bucket")
     # Buckets with the same members ask the same question: one of them is enough.
     same = members.groupBy("bucket").agg(F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who"), F.count(F.lit(1)).alias("n")).groupBy("who", "n").agg(F.min("bucket").alias("bucket"))
-    members = members.join(same.select("bucket"), "bucket", "left_semi").join(classes.select("doc_id", "signature"), "doc_id")
-    own = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    members = store(members.join(same.select("bucket"), "bucket", "left_semi"), "open")
+    body = _bodies(docs, members.select("doc_id"))
+    full = members.join(classes.select("doc_id", "signature"), "doc_id").join(body, "doc_id")
+    own = full.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = other.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "part", "signature")
+    dealt = other.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "part", "signature", "text")
 
-    def pairs(table: pa.Table) -> pa.Table:
+    def links(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        own_, ids, part = (table.column(c).to_numpy() for c in ("own", "doc_id", "part"))
+        own_, ids = table.column("own").to_numpy(), table.column("doc_id").to_numpy()
+        part = np.unique(table.column("part").to_numpy(), return_inverse=True)[1]
         sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
         left, right = np.flatnonzero(own_ == i), np.flatnonzero(own_ == j)
-        found_a, found_b = [], []
+        pairs = []
         for x in left:
-            agree = (sig[right] == sig[x]).mean(axis=1) >= LEAST_AGREEMENT
-            hit = right[agree & (part[right] != part[x])]
+            agree = (sig[right] == sig[x]).mean(axis=1)
+            hit = (agree >= LEAST_AGREEMENT) & (part[right] != part[x])
             if i == j:
-                hit = hit[hit > x]
-            found_a.append(np.minimum(ids[hit], ids[x]))
-            found_b.append(np.maximum(ids[hit], ids[x]))
-        none = np.zeros(0, dtype=np.int64)
-        return pa.table({"a": np.concatenate(found_b or [none]), "b": np.concatenate(found_a or [none])})
-
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
+                hit &= right > x
+            pairs.append(np.stack([np.full(int(hit.sum()), x), right[hit], -np.round(agree[hit] * COORDINATES)]).astype(np.int64))
+        tried = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), dtype=np.int64)
+        tried = tried[:, np.argsort(tried[2], kind="stable")]
+        top = list(range(int(part.max()) + 1))
+
+        def root(c: int) -> int:
+            while top[c] != c:
+                top[c] = top[top[c]]
+                c = top[c]
+            return c
+
+        hashes, sets, found = WordHashes(), {}, []
+        body_ = table.column("text")
+
+        def shingles(x: int) -> np.ndarray:
+            if x not in sets:
+                sets[x] = shingles_of(body_[x].as_py().encode(), hashes)
+            return sets[x]
+
+        for x, y, _ in tried.T.tolist():
+            a, b = root(int(part[x])), root(int(part[y]))
+            if a != b and similar(shingles(x), shingles(y)):
+                top[max(a, b)] = min(a, b)
+                found.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
+        return pa.table({"a": pa.array([int(f[0]) for f in found], type=pa.int64()), "b": pa.array([int(f[1]) for f in found], type=pa.int64())})
+
+    out = store(dealt.groupBy("bucket", "i", "j").applyInArrow(links, "a long, b long"), "links")
+    discard(body, members)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -171,8 +209,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = store(_agreeing(stars, classes), "stars")
     links = confirm(tried, docs)
     parts = components(links)
-    rest = _rest(buckets.select("bucket", "doc_id"), parts, classes).join(tried, ["a", "b"], "left_anti")
-    more = confirm(store(rest, "rest"), docs)
+    more = _rest(buckets.select("bucket", "doc_id"), parts, classes, docs)
     parts = components(links.union(more))
     named = sets.join(parts, F.col("first") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("component", "first").alias("part"))
     out = sketch.select("doc_id", "n_shingles", "set_a", "set_b").join(
