@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkmetry.llm import boilerplate, minhash, mixing, pieces, quality
+from talkmetry.llm import boilerplate, minhash, mixing, pieces, quality, rules, secrets
 from talkmetry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,10 +26,18 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.rule_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_report(table(spark, sf_dir, "documents"))
 
@@ -44,7 +52,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_near_duplicates, op3_line_dedup, op4_source_mix, op6_quality_score, op9_piece_ids, pipeline,
+    op2_near_duplicates, op3_line_dedup, op4_source_mix, op5_secret_spans, op6_quality_score, op8_quality_rules, op9_piece_ids, pipeline,
 )}
 
 ORACLES: dict[str, str] = {

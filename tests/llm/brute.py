@@ -38,3 +38,29 @@ def near(docs):
             x, y = sorted((root(a), root(b)))
             top[y] = x
     return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("(password|passwd|secret|token|api_?key)", "((?ai:password|passwd|secret|token|api_?key))"))
+ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
+
+
+def secret_spans(text):
+    text = text or ""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if len(m[0]) >= 24]
+    return [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found)]
+
+
+def rule_base(text):
+    text = text or ""
+    w = WORD.findall(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        dup += line in seen and bool(WORD.search(line))
+        seen.add(line)
+    windows = {}
+    for i in range(len(w) - 4):
+        windows.setdefault(tuple(w[i : i + 5]), []).append(i)
+    covered = {k for at in windows.values() if len(at) > 1 for i in at for k in range(i, i + 5)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
