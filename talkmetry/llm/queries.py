@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkmetry.llm import boilerplate, minhash, mixing, pieces, quality, rules, secrets
+from talkmetry.llm import boilerplate, knn, minhash, mixing, pieces, quality, rules, secrets, templates
 from talkmetry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op6_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rule_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +46,10 @@ def op9_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_report(table(spark, sf_dir, "documents"))
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if top not in sys.path:
@@ -52,9 +60,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_near_duplicates, op3_line_dedup, op4_source_mix, op5_secret_spans, op6_quality_score, op8_quality_rules, op9_piece_ids, pipeline,
+    op2_near_duplicates, op3_line_dedup, op4_source_mix, op5_secret_spans, op6_quality_score,
+    op7_main_text, op8_quality_rules, op9_piece_ids, op10_top_k, pipeline,
 )}
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": boilerplate.oracle(),
+    "op10_top_k": knn.oracle(),
 }
