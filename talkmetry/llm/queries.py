@@ -8,12 +8,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkmetry.llm import boilerplate, knn, minhash, mixing, pieces, quality, rules, secrets, templates
+from talkmetry.llm import boilerplate, knn, minhash, mixing, pieces, quality, rules, secrets, suffixes, templates
 from talkmetry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_report(table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_near_duplicates, op3_line_dedup, op4_source_mix, op5_secret_spans, op6_quality_score,
+    op1_repeated_bytes, op2_near_duplicates, op3_line_dedup, op4_source_mix, op5_secret_spans, op6_quality_score,
     op7_main_text, op8_quality_rules, op9_piece_ids, op10_top_k, pipeline,
 )}
 

@@ -64,3 +64,20 @@ def rule_base(text):
         windows.setdefault(tuple(w[i : i + 5]), []).append(i)
     covered = {k for at in windows.values() if len(at) > 1 for i in at for k in range(i, i + 5)}
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
+
+
+def repeats(docs, span=100):
+    """{doc_id: (n_bytes, n_removed, n_spans, kept bytes)}: every window looked up among all earlier ones."""
+    seen, out = set(), {}
+    for d, text in sorted(docs):
+        b = (text or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - span + 1):
+            w = b[i : i + span]
+            if w in seen:
+                gone[i : i + span] = b"\x01" * span
+            else:
+                seen.add(w)
+        spans = len([x for x in bytes(gone).split(b"\x00") if x])
+        out[d] = (len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone) if not g))
+    return out
