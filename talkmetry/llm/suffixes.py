@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from talkmetry.llm.common import MASK64, STEP, mix64, rows_and_bytes, store, texts
 
 SPAN, GRAM = 100, 32
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Bytes of text behind one range of minima, on average.
-RANGE = 32 << 20
+RANGE = 16 << 20
 HOT = 50_000
 #: Windows of a run, at most: longer runs (repeated words) are cut from their start.
 MOST = 138
@@ -447,22 +447,29 @@ def _rank_windows(strings: list[bytes], head: np.ndarray, doc: np.ndarray, offse
         yield k, covered[cut[k] : cut[k + 1]]
 
 
-def removed_bytes(c: Chunk, flags: np.ndarray, verdicts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def removed_bytes(c: Chunk, flags: np.ndarray, answers: list[list[bytes]]) -> np.ndarray:
+    """Mask of the chunk's bytes that go, from the verdicts of all ranges in order."""
     start, size, klass, strings, first, _ = c.strings(flags)
     change = np.zeros(len(c.data) + 1, dtype=np.int32)
-    if len(start):
-        state = np.concatenate([v[0] for v in verdicts])
-        leads = first[klass] == start
-        whole = ~leads | (state[klass] == 1)
-        np.add.at(change, start[whole], 1)
-        np.add.at(change, start[whole] + size[whole] + SPAN - 1, -1)
-        bits = np.concatenate([v[1] for v in verdicts])
-        part = np.flatnonzero(state == 2)
-        width = np.array([len(strings[i]) - 6 - SPAN + 1 for i in part], dtype=np.int64)
-        at = np.repeat(first[part], width) + np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
-        hit = at[bits[: len(at)]]
-        np.add.at(change, hit, 1)
-        np.add.at(change, hit + SPAN, -1)
+    if not len(start):
+        return change[:-1] > 0
+    width = np.array([len(s) - 6 - SPAN + 1 for s in strings], dtype=np.int64)
+    states, bits, done = [], [], 0
+    for state_, packed in answers:  # packed bits end on whole bytes: each range's bits are cut to its windows
+        state = np.frombuffer(state_, dtype=np.uint8)
+        n = int(width[done : done + len(state)][state == 2].sum())
+        states.append(state)
+        bits.append(np.unpackbits(np.frombuffer(packed, dtype=np.uint8), count=n).astype(bool))
+        done += len(state)
+    del strings
+    state, bit = np.concatenate(states), np.concatenate(bits)
+    whole = (first[klass] != start) | (state[klass] == 1)
+    np.add.at(change, start[whole], 1)
+    np.add.at(change, start[whole] + size[whole] + SPAN - 1, -1)
+    part = np.flatnonzero(state == 2)
+    at = np.repeat(first[part], width[part]) + np.arange(len(bit)) - np.repeat(np.cumsum(width[part]) - width[part], width[part])
+    np.add.at(change, at[bit], 1)
+    np.add.at(change, at[bit] + SPAN, -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -472,20 +479,9 @@ def _finish(chunk: pa.Table, answers: pa.Table) -> pa.Table:
     c = Chunk(chunk.column("blob")[0].as_py())
     kind = answers.column("kind").to_numpy() if answers.num_rows else np.zeros(0)
     back = answers.filter(pa.array(kind == 1))
-    order = np.argsort(back.column("range").to_numpy())
     data = back.column("data").to_pylist()
-    verdicts = []
-    for i in order:
-        state, bits = unpack(data[i])
-        verdicts.append([np.frombuffer(state, dtype=np.uint8), np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)])
-    flags = _flags(answers.filter(pa.array(kind == 0)), len(c.minima))
-    strings = c.strings(flags)[3]
-    done = 0
-    for v in verdicts:  # packed bits end on whole bytes: cut each range's bits to its windows
-        n = sum(len(strings[done + i]) - 6 - SPAN + 1 for i in np.flatnonzero(v[0] == 2).tolist())
-        v[1] = v[1][:n]
-        done += len(v[0])
-    gone = removed_bytes(c, flags, verdicts)
+    verdicts = [unpack(data[i]) for i in np.argsort(back.column("range").to_numpy())]
+    gone = removed_bytes(c, _flags(answers.filter(pa.array(kind == 0)), len(c.minima)), verdicts)
     rows = []
     for i, (end, length) in enumerate(zip(c.ends.tolist(), c.lengths.tolist())):
         mine = gone[end - length : end]
