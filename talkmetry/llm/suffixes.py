@@ -119,7 +119,7 @@ def _block_runs(data: np.ndarray, offset: int, ends: np.ndarray) -> tuple[np.nda
     sites = np.sort(rank * len(data) + spot)
     mine = np.searchsorted(values, least) * len(data) + start - offset
     twice = np.searchsorted(sites, mine + size + width - 1) - np.searchsorted(sites, mine) > 1
-    return start, size, least, twice
+    return start, size, mix64(least) >> np.uint64(16), twice  # minima are small numbers: spread them over all ranges
 
 
 class LoserTree:
