@@ -5,7 +5,7 @@ Base spans are leftmost, non-overlapping matches per kind. ``split`` gives what
 
 The method adds spans of kind ``markov``. Strings of ``LEAST`` or more characters of ``ALPHABET`` are candidates. Two first-order
 character models are counted over the whole corpus: one from the values that base patterns find (labelled random), one
-from the other candidates (labelled identifiers). A candidate outside all base spans is a secret if its log-likelihood ratio
+from the other candidates that consist of words (labelled identifiers). A candidate outside all base spans is a secret if its log-likelihood ratio
 reaches ``LEAST_RATIO``. The model is at most 67 x 67 numbers, whatever the corpus.
 
 Null text counts as empty and has no spans. With no random or no ordinary sample to learn from, nothing is added.
@@ -30,6 +30,9 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST = 20
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 SMOOTHING = 0.5
+BACKOFF = 20.0
+#: A candidate made of words (lower, upper or capitalised, joined by signs or camel case) is labelled an identifier.
+IDENTIFIER = r"^(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})(?:[_/=+-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}$))*$"
 #: Log-odds a string must reach: about one secret in 20 000 candidates is expected beforehand.
 LEAST_RATIO = 10.0
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint,value:string>>"
@@ -75,7 +78,7 @@ def train(spans: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
     n = len(ALPHABET)
     labelled = spans.select(F.explode(F.concat(
         F.transform("base", lambda s: F.struct(F.lit(1).alias("random"), s["value"].alias("value"))),
-        F.transform("candidates", lambda s: F.struct(F.lit(0).alias("random"), s["value"].alias("value"))),
+        F.transform(F.filter("candidates", lambda s: s["value"].rlike(IDENTIFIER)), lambda s: F.struct(F.lit(0).alias("random"), s["value"].alias("value"))),
     )).alias("x")).select("x.random", "x.value").where(F.length("value") >= 2)
     # Equal strings count once for each label, so that a much copied token does not become the model.
     coded = labelled.distinct().withColumn("code", _codes(F.col("value")))
@@ -84,11 +87,18 @@ def train(spans: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
     counts = pairs.groupBy("pair").agg(F.sum("random").alias("r"), F.sum(1 - F.col("random")).alias("i"))
     every = spans.sparkSession.range(n * n).withColumnRenamed("id", "pair")
     full = every.join(counts, "pair", "left").select((F.expr(f"pair div {n}")).alias("a"), (F.col("pair") % n).alias("b"), F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("i", F.lit(0)).alias("i"))
-    per = full.groupBy("a").agg(F.sum("r").alias("r_all"), F.sum("i").alias("i_all"))
-    chance = lambda k: (F.col(k) + smoothing) / (F.col(f"{k}_all") + smoothing * n)
-    both = full.agg(F.least(F.sum("r"), F.sum("i")).alias("least"))
-    return full.join(per, "a").select("a", "b", F.log(chance("r") / chance("i")).alias("ratio"), F.lit(1).alias("one")).join(both.withColumn("one", F.lit(1)), "one").select(
-        "a", "b", F.when(F.col("least") > 0, F.col("ratio")).otherwise(0.0).alias("ratio"))
+    # A pair backs off to its second character's own share, so that characters a class never shows speak against it.
+    first = full.groupBy("a").agg(F.sum("r").alias("r_a"), F.sum("i").alias("i_a"))
+    second = full.groupBy("b").agg(F.sum("r").alias("r_b"), F.sum("i").alias("i_b"))
+    total = full.agg(F.sum("r").alias("r_n"), F.sum("i").alias("i_n")).withColumn("one", F.lit(1))
+    every = full.join(first, "a").join(second, "b").withColumn("one", F.lit(1)).join(total, "one")  # n * n rows
+
+    def chance(k: str) -> Column:
+        share = (F.col(f"{k}_b") + smoothing) / (F.col(f"{k}_n") + smoothing * n)
+        return (F.col(k) + BACKOFF * share) / (F.col(f"{k}_a") + BACKOFF)
+
+    known = (F.col("r_n") > 0) & (F.col("i_n") > 0)
+    return every.select("a", "b", F.when(known, F.log(chance("r") / chance("i"))).otherwise(0.0).alias("ratio"))
 
 
 def ratio_of(value: Column, model: DataFrame) -> Column:

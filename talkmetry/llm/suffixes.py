@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -307,11 +308,13 @@ def chunks_of(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     """(chunk, blob): texts packed as they are read, without a shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int | None, bytes]] = []
-        size = 0
+        size = made = 0
 
         def flush() -> pa.RecordBatch:
+            nonlocal made
             blob = Chunk.make(rows)
-            name = int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "little", signed=True)
+            name = (TaskContext.get().partitionId() << 32) + made  # kept by the stored table
+            made += 1
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array([name], type=pa.int64()), pa.array([blob], type=pa.binary())], schema=_CHUNKS)
 
