@@ -31,8 +31,8 @@ LEAST = 20
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 SMOOTHING = 0.5
 BACKOFF = 20.0
-#: A candidate made of words (lower, upper or capitalised, joined by signs or camel case) is labelled an identifier.
-IDENTIFIER = r"^(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})(?:[_/=+-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}$))*$"
+#: A candidate without a letter behind a digit and without a lower-case letter on its own consists of words.
+NO_WORDS = r"[0-9][A-Za-z]|(?<![a-z])[a-z](?![a-z])"
 #: Log-odds a string must reach: about one secret in 20 000 candidates is expected beforehand.
 LEAST_RATIO = 10.0
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint,value:string>>"
@@ -78,7 +78,7 @@ def train(spans: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
     n = len(ALPHABET)
     labelled = spans.select(F.explode(F.concat(
         F.transform("base", lambda s: F.struct(F.lit(1).alias("random"), s["value"].alias("value"))),
-        F.transform(F.filter("candidates", lambda s: s["value"].rlike(IDENTIFIER)), lambda s: F.struct(F.lit(0).alias("random"), s["value"].alias("value"))),
+        F.transform(F.filter("candidates", lambda s: ~s["value"].rlike(NO_WORDS)), lambda s: F.struct(F.lit(0).alias("random"), s["value"].alias("value"))),
     )).alias("x")).select("x.random", "x.value").where(F.length("value") >= 2)
     # Equal strings count once for each label, so that a much copied token does not become the model.
     coded = labelled.distinct().withColumn("code", _codes(F.col("value")))
