@@ -108,15 +108,15 @@ ORACLES = {
     ),
     "judge_run_summary": with_ctes(
         "raw",
-        f"""SELECT run, judge_model, count(*) FILTER (WHERE ok) AS n_ok, pyround(avg(g) FILTER (WHERE ok), 3) AS guidance_quality,
-        pyround(avg(a) FILTER (WHERE ok), 3) AS actionability, pyround(avg(h) FILTER (WHERE ok), 3) AS coherence,
-        CAST(NULL AS DOUBLE) AS tutor_tone, pyround(avg(mean_component_score) FILTER (WHERE ok), 3) AS mean_component_score
+        f"""SELECT run, judge_model, count(*) FILTER (WHERE ok) AS n_ok, pyround(CAST(sum(CAST(g AS DECIMAL(38,9))) FILTER (WHERE ok) AS DOUBLE) / nullif(count(g) FILTER (WHERE ok), 0), 3) AS guidance_quality,
+        pyround(CAST(sum(CAST(a AS DECIMAL(38,9))) FILTER (WHERE ok) AS DOUBLE) / nullif(count(a) FILTER (WHERE ok), 0), 3) AS actionability, pyround(CAST(sum(CAST(h AS DECIMAL(38,9))) FILTER (WHERE ok) AS DOUBLE) / nullif(count(h) FILTER (WHERE ok), 0), 3) AS coherence,
+        CAST(NULL AS DOUBLE) AS tutor_tone, pyround(CAST(sum(CAST(mean_component_score AS DECIMAL(38,9))) FILTER (WHERE ok) AS DOUBLE) / nullif(count(mean_component_score) FILTER (WHERE ok), 0), 3) AS mean_component_score
         FROM ({_OK}) GROUP BY run, judge_model""",
     ),
     "judge_matrix": with_ctes(
         "raw",
         f"""WITH v AS (SELECT run, judge_model, unnest(['guidance_quality', 'actionability', 'coherence', 'MEAN COMPONENT', 'n (ok convs)']) AS criterion,
-        unnest([pyround(avg(g), 2), pyround(avg(a), 2), pyround(avg(h), 2), pyround(avg(mean_component_score), 2), CAST(count(*) AS DOUBLE)]) AS value
+        unnest([pyround(CAST(sum(CAST(g AS DECIMAL(38,9))) AS DOUBLE) / nullif(count(g), 0), 2), pyround(CAST(sum(CAST(a AS DECIMAL(38,9))) AS DOUBLE) / nullif(count(a), 0), 2), pyround(CAST(sum(CAST(h AS DECIMAL(38,9))) AS DOUBLE) / nullif(count(h), 0), 2), pyround(CAST(sum(CAST(mean_component_score AS DECIMAL(38,9))) AS DOUBLE) / nullif(count(mean_component_score), 0), 2), CAST(count(*) AS DOUBLE)]) AS value
         FROM ({_OK}) WHERE ok GROUP BY run, judge_model)
         SELECT run, criterion, {", ".join(f"max(value) FILTER (WHERE judge_model = '{m}') AS {m}" for m in MODELS)} FROM v GROUP BY run, criterion""",
     ),

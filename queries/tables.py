@@ -226,7 +226,7 @@ _TODO = """todo AS (SELECT DISTINCT run, CASE WHEN conv_index % 2 = 0 THEN conv_
 _LEAF = """SELECT 'stats' AS evaluator, 'value' AS path, value AS v FROM events
     UNION ALL SELECT 'meta', 'props.k', CAST(json_extract(props, '$.k') AS DOUBLE) FROM events
     UNION ALL SELECT 'meta', 'user', CAST(user_id AS DOUBLE) FROM events WHERE event_id % 3 = 0"""
-_ROLL = f"SELECT evaluator, path, pyround(avg(v), 3) AS mean, pyround(min(v), 3) AS min, pyround(max(v), 3) AS max, count(*) AS n FROM ({_LEAF}) GROUP BY 1, 2"
+_ROLL = f"SELECT evaluator, path, pyround(CAST(sum(CAST(v AS DECIMAL(38,9))) AS DOUBLE) / count(v), 3) AS mean, pyround(min(v), 3) AS min, pyround(max(v), 3) AS max, count(*) AS n FROM ({_LEAF}) GROUP BY 1, 2"
 _ST, _TT = transcript._STATS_SQL, transcript._TT
 _BOTH = with_ctes("seg", "SELECT 1").rsplit("SELECT 1", 1)[0] + _ST + _TT.replace("base AS", "base0 AS").replace("FROM base b", "FROM base0 b")
 _BACK = "CASE c_nationkey % 4 WHEN 0 THEN 'gpt-realtime' WHEN 1 THEN 'human' WHEN 2 THEN 'new/model.1' END"
@@ -263,6 +263,9 @@ ORACLES = {
     "manifest_drift": """SELECT c_custkey AS run, 'arg' AS kind, 'attempts' AS name, CAST(c_nationkey AS VARCHAR) AS saved, CAST(c_nationkey + 1 AS VARCHAR) AS current
         FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT c_custkey, 'prompt', 'tutor', c_mktsegment, NULL FROM customer WHERE c_custkey % 20 = 0""",
     "first_n": "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 25",
+    "seeded_sample": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(concat('7:', CAST(o_orderkey AS VARCHAR))), o_orderkey LIMIT 100",
+    "indexed_sample": """SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS row_idx FROM
+        (SELECT o_orderkey FROM orders ORDER BY md5(concat('7:', CAST(o_orderkey AS VARCHAR))), o_orderkey LIMIT 100)""",
     "sorted_scores": with_ctes("paired", "SELECT run, conv_index, CASE WHEN cu < 5 THEN ce END AS ce FROM paired"),
     "first_seen": "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id",
     "union_runs": with_ctes("paired", "SELECT run, conv_index, CASE WHEN run = 'view' THEN pq END AS pq, CASE WHEN run <> 'view' THEN ce END AS ce FROM paired"),
@@ -276,8 +279,8 @@ ORACLES = {
         latency_p90_s, silence_ratio, CAST(s.conv_index % 6 AS DOUBLE) AS overall, CAST(NULL AS DOUBLE) AS answer_correctness, CAST(NULL AS DOUBLE) AS mean_component_score
         FROM stats s JOIN tt USING (run, conv_index)""",
     "detail_summary": _BOTH
-    + """SELECT s.run AS run_name, pyround(avg(num_segments), 3) AS num_segments, pyround(avg(tutor_talk_ratio), 3) AS tutor_talk_ratio,
-        pyround(avg(silence_ratio), 3) AS silence_ratio, pyround(avg(s.conv_index % 6), 3) AS overall, CAST(NULL AS DOUBLE) AS answer_correctness
+    + """SELECT s.run AS run_name, pyround(CAST(sum(CAST(num_segments AS DECIMAL(38,9))) AS DOUBLE) / nullif(count(num_segments), 0), 3) AS num_segments, pyround(CAST(sum(CAST(tutor_talk_ratio AS DECIMAL(38,9))) AS DOUBLE) / nullif(count(tutor_talk_ratio), 0), 3) AS tutor_talk_ratio,
+        pyround(CAST(sum(CAST(silence_ratio AS DECIMAL(38,9))) AS DOUBLE) / nullif(count(silence_ratio), 0), 3) AS silence_ratio, pyround(CAST(sum(CAST(s.conv_index % 6 AS DECIMAL(38,9))) AS DOUBLE) / nullif(count(s.conv_index % 6), 0), 3) AS overall, CAST(NULL AS DOUBLE) AS answer_correctness
         FROM stats s JOIN tt USING (run, conv_index) GROUP BY 1""",
     "wide_quality": with_ctes(
         "quality",

@@ -162,7 +162,7 @@ _CELLS = """CAST(count(*) FILTER (WHERE cell = 'appropriate_uptake') AS BIGINT)
 ORACLES = {
     "conversation_stats": _stats("SELECT * FROM stats"),
     "run_summary": _stats(
-        "SELECT run, " + ", ".join(f"pyround(avg({c}), 3) AS {c}" for c in _STAT_COLS) + " FROM stats GROUP BY run"
+        "SELECT run, " + ", ".join(f"pyround(CAST(sum(CAST({c} AS DECIMAL(38,9))) AS DOUBLE) / nullif(count({c}), 0), 3) AS {c}" for c in _STAT_COLS) + " FROM stats GROUP BY run"
     ),
     "role_switches": _stats("SELECT * FROM sw"),
     "turn_word_stats": with_ctes(

@@ -217,3 +217,8 @@ T_975 = (
     2.2621571628540993,
 )
 Z_975 = 1.959963984540054
+
+# Failures of a judge worth another try, by status and by parts of the error's name.
+TRANSIENT_FIELDS = ("status_code", "code")
+TRANSIENT_STATUS = frozenset({408, 409, 429, 500, 502, 503, 504})
+TRANSIENT_NAMES = ("timeout", "connection", "servererror", "unavailable", "ratelimit", "overloaded")

@@ -87,6 +87,13 @@ def render(template: str, **fields: Column) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
+def exact_mean(x: Column, digits: int) -> Column:
+    """Rounded mean that does not depend on the order of the rows: the sum is a decimal (values count to nine
+    decimals) and is divided once. Null without values."""
+    total = F.sum(x.cast("decimal(38,9)")).cast("double")
+    return round_exact(F.try_divide(total, F.count(x)), digits)
+
+
 def round_exact(x: Column, digits: int) -> Column:
     """Round a double to ``digits`` decimals by its exact binary value, ties to even.
 

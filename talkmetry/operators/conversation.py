@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkmetry.constants import BACKCHANNEL_MAX_MS, BACKCHANNEL_MAX_WORDS, KEYS, ROLES
-from talkmetry.functions.text import ratio, round_exact, seconds, word_count
+from talkmetry.functions.text import exact_mean, ratio, round_exact, seconds, word_count
 from talkmetry.operators.intervals import cross_overlap, reach_before
 from talkmetry.operators.ordered import Scan, hot_keys, scan
 
@@ -220,5 +220,5 @@ def run_summary(detail: DataFrame, metrics: list[str] | None = None, by: tuple[s
     if metrics is None:
         metrics = [c for c, t in detail.dtypes if t in numeric and c not in KEYS and c not in by]
     return detail.groupBy(*by).agg(
-        *[round_exact(F.try_divide(F.sum(c), F.count(c)), 3).alias(c) for c in metrics]
+        *[exact_mean(F.col(c), 3).alias(c) for c in metrics]
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, NumericType, StringType, StructField, StructType
 
 from talkmetry.constants import AXES, CELLS, CHANNELS, NAIVE_RUBRIC, SCOPES
-from talkmetry.functions.text import round_exact
+from talkmetry.functions.text import exact_mean, round_exact
 
 
 def struct_leaves(schema: StructType, prefix: str, strings: bool = False) -> list[tuple[str, str]]:
@@ -91,7 +91,7 @@ def numeric_leaves_json(results: DataFrame, column: str, keys: Sequence[str]) ->
 def leaf_rollup(leaves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """mean, min, max and n of every leaf."""
     return leaves.groupBy(*by, "evaluator", "path").agg(
-        round_exact(F.avg("value"), 3).alias("mean"),
+        exact_mean(F.col("value"), 3).alias("mean"),
         round_exact(F.min("value"), 3).alias("min"),
         round_exact(F.max("value"), 3).alias("max"),
         F.count(F.lit(1)).alias("n"),

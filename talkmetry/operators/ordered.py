@@ -22,9 +22,6 @@ from pyspark.sql import functions as F
 from talkmetry.session import hot_rows as session_hot_rows
 
 BLOCK = "_block"
-MAX_HOT_KEYS = 100_000
-# A text or list cell holds at most this many pieces; longer results go on in a next row.
-PIECES_PER_PART = 10_000
 _SIDE = "_side"
 _COUNT = "_rows"
 
@@ -59,10 +56,9 @@ class Scan:
 def hot_keys(df: DataFrame, keys: Sequence[str], axis: str, limit: int | None = None) -> DataFrame:
     """Keys above ``limit`` rows with the origin and width of their blocks.
 
-    Only the ``MAX_HOT_KEYS`` largest are listed, so the table has a fixed bound and may
-    be broadcast. A key that does not make the list stays in one partition, which is then
-    harmless: it holds less than one row in ``MAX_HOT_KEYS``. Several scans over one table
-    can share the list (``hot=``); it is then computed once.
+    All of them are listed. There are at most rows / ``limit``, one short entry for two million
+    rows by default, which is why the list may be broadcast. Several scans over one table can share
+    the list (``hot=``); it is then computed once.
     """
     limit = limit or session_hot_rows(df.sparkSession)
     stats = df.groupBy(*keys).agg(
@@ -74,8 +70,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], axis: str, limit: int | None =
         width = F.when(share > 0, share).otherwise(F.lit(1.0))
     else:
         width = F.greatest(F.lit(1), F.ceil(share)).cast("long")
-    largest = stats.filter(F.col("_n") > limit).orderBy(F.desc("_n"), *keys).limit(MAX_HOT_KEYS)
-    return largest.select(*keys, F.col("_lo"), width.alias("_width"))
+    return stats.filter(F.col("_n") > limit).select(*keys, F.col("_lo"), width.alias("_width"))
 
 
 def key_columns(hot: DataFrame) -> list[str]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from talkmetry.constants import KEYS, Rubric
 from talkmetry.functions.rubric import add_outcome, kept_raw
 from talkmetry.functions.stats import wilson_95
-from talkmetry.functions.text import backend_label, round_exact
+from talkmetry.functions.text import backend_label, exact_mean, round_exact
 
 
 def parse_responses(responses: DataFrame, rubric: Rubric, raw: str = "raw", error: str | None = None) -> DataFrame:
@@ -147,7 +147,7 @@ def judge_run_summary(parsed: DataFrame, rubric: Rubric) -> DataFrame:
     ok = F.col("status") == "ok"
 
     def mean(value: Column) -> Column:
-        return round_exact(F.try_divide(F.sum(F.when(ok, value)), F.count(F.when(ok, value))), 3)
+        return exact_mean(F.when(ok, value), 3)
 
     return parsed.groupBy("run", "judge_model").agg(
         F.count_if(ok).alias("n_ok"),
@@ -180,7 +180,7 @@ def judge_sums(parsed: DataFrame, rubric: Rubric) -> DataFrame:
     rows = parsed.select("run", "judge_model", kept.alias("i")).filter(F.col("i.v").isNotNull())
     return rows.groupBy("run", "judge_model", F.col("i.criterion").alias("criterion")).agg(
         F.when(F.first("i.criterion") == "n (ok convs)", F.sum("i.v"))
-        .otherwise(round_exact(F.sum("i.v") / F.count("i.v"), 2))
+        .otherwise(exact_mean(F.col("i.v"), 2))
         .alias("value")
     )
 

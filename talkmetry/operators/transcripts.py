@@ -17,7 +17,7 @@ from talkmetry.constants import (
     Rubric,
 )
 from talkmetry.functions.text import lettered_choices, lookup, render, seconds, strip
-from talkmetry.operators.ordered import PIECES_PER_PART, Scan, scan
+from talkmetry.operators.ordered import Scan, scan
 
 def dataset_role(user: Column) -> Column:
     """Teacher -> tutor, Student -> student, anything else (or nothing) -> student."""
@@ -30,17 +30,18 @@ def join_in_order(
     order: Sequence[str],
     piece: str,
     sep: str,
-    per_part: int = PIECES_PER_PART,
+    per_part: int | None = None,
     limit: int | None = None,
 ) -> DataFrame:
     """Concatenate ``piece`` in order: keys, part, n_pieces, text.
 
-    Pieces are numbered first; a part takes the next ``per_part`` of them. An ordinary key
-    is one part (0); an enormous one becomes several bounded rows, and nothing is cut off.
+    A key is one row (part 0) whatever its length. Where the caller gives ``per_part``, a part takes the next so many
+    pieces; ``transcript_lines`` is the form for texts that no cell should hold.
     """
     numbered = scan(pieces.select(*keys, *order, F.col(piece).alias("_piece")), keys, order, Scan(index="_i"), limit)
+    part = F.floor(F.col("_i") / per_part).cast("int") if per_part else F.lit(0)
     return (
-        numbered.groupBy(*keys, F.floor(F.col("_i") / per_part).cast("int").alias("part"))
+        numbered.groupBy(*keys, part.alias("part"))
         .agg(
             F.count(F.lit(1)).alias("n_pieces"),
             F.array_sort(F.collect_list(F.struct("_i", "_piece"))).alias("_p"),

@@ -18,7 +18,7 @@ from talkmetry.constants import (
     SILENCE_LABELS,
 )
 from talkmetry.functions.text import strip
-from talkmetry.operators.ordered import PIECES_PER_PART, Scan, hot_keys, scan
+from talkmetry.operators.ordered import Scan, hot_keys, scan
 
 
 def to_ms(seconds: Column) -> Column:
@@ -102,19 +102,20 @@ def words_to_segments(
     joiner: str = " ",
     end: str = "max",
     limit: int | None = None,
-    per_part: int = PIECES_PER_PART,
+    per_part: int | None = None,
 ) -> DataFrame:
     """Segments with text, times and their words in order.
 
     ``end="max"`` takes the latest word end, ``end="last"`` the last word's. Blank
-    segments are dropped. Speech that goes on for more than ``per_part`` words without a
-    silence continues in further rows (``part`` 1, 2, ...), so no row is unbounded.
+    segments are dropped. A segment is one row (``part`` 0) whatever its length. Where the caller gives
+    ``per_part``, speech without a silence continues in further rows after so many words.
     """
     numbered = segment_numbers(words, gap_ms, keys, limit)
     item = F.struct("word_no", "word", "start_ms", "end_ms", *(["confidence"] if "confidence" in words.columns else []))
+    part = F.floor(F.col("seg_pos") / per_part).cast("int") if per_part else F.lit(0)
     last_end = F.max("end_ms") if end == "max" else F.max_by("end_ms", "word_no")
     return (
-        numbered.groupBy(*keys, "seg_no", F.floor(F.col("seg_pos") / per_part).cast("int").alias("part"))
+        numbered.groupBy(*keys, "seg_no", part.alias("part"))
         .agg(
             F.min_by("start_ms", "word_no").alias("start_ms"),
             last_end.alias("end_ms"),

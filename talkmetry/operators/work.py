@@ -137,7 +137,8 @@ def first_n(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """Exactly ``n`` rows chosen by a hash of seed and key: the same rows however the
     table is partitioned. Only the best ``n`` rows of each task leave it."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n).orderBy(key)
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    return df.orderBy(draw, key).limit(n).orderBy(key)
 
 
 def indexed_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

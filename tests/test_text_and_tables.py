@@ -240,11 +240,11 @@ def test_retry():
 
     sleep, ev.time.sleep = ev.time.sleep, waits.append
     try:
-        assert evaluators.call_with_retry(flaky) == "ok" and waits == [2.0, 4.0]
+        assert evaluators.patiently(flaky) == "ok" and waits == [2.0, 4.0]
         with pytest.raises(ValueError):
-            evaluators.call_with_retry(lambda: (_ for _ in ()).throw(ValueError("no")))
+            evaluators.patiently(lambda: (_ for _ in ()).throw(ValueError("no")))
         with pytest.raises(RateLimitError):
-            evaluators.call_with_retry(lambda: (_ for _ in ()).throw(RateLimitError()), attempts=2)
+            evaluators.patiently(lambda: (_ for _ in ()).throw(RateLimitError()), evaluators.doubling(attempts=2))
     finally:
         ev.time.sleep = sleep
 
