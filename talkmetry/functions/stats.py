@@ -58,4 +58,5 @@ def wilson_95(k: Column, n: Column) -> tuple[Column, Column]:
     spread = F.sqrt(total * total - 4 * (size + q) * k * k / size)
     roots = [(total + sign * spread) / (2 * (size + q)) for sign in (-1, 1)]
     low, high = (F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))) for x in roots)
-    return F.coalesce(low, F.lit(0.0)), F.coalesce(high, F.lit(1.0))
+    # At the ends one root is 0 or 1 exactly, which the square root need not hit.
+    return F.when(k > 0, F.coalesce(low, F.lit(0.0))).otherwise(0.0), F.when(k < n, F.coalesce(high, F.lit(1.0))).otherwise(1.0)

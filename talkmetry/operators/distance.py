@@ -229,26 +229,22 @@ def pair_matrix(distance: DataFrame, tutors: Sequence[str], metric: str = "fto_s
 def quartiles(scores: DataFrame, by: Sequence[str], value: str = "score", limit: int | None = None) -> DataFrame:
     """min, quartiles and max per group, exact for any number of distinct values.
 
-    Rows are numbered in value order by the block-wise scan; the quartiles are the rows
-    at the wanted positions, fetched by (group, position). No group's values are held in
-    one aggregation buffer, and no join key repeats.
+    Equal values are counted before anything moves, so a score that half of the rows share is one row. A running count
+    over the distinct values then tells which of them stands at a wanted position.
     """
     rows = scores.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("min"), F.max("v").alias("max"))
-    placed = scan(rows, by, ["v"], Scan(index="i"), limit)
-    targets = []
+    counts = rows.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = counts.groupBy(*by).agg(F.sum("_c").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"))
+    placed = scan(counts, by, ["v"], Scan(sum_before={"_before": "_c"}), limit)
+
+    def at(position: Column) -> Column:
+        return F.max(F.when((F.col("_before") <= position) & (position < F.col("_before") + F.col("_c")), F.col("v")))
+
+    picks = []
     for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
         low = F.floor((F.col("n") - 1) * F.lit(q)).cast("long")
-        for side, at in (("lo", low), ("hi", F.least(low + 1, F.col("n") - 1))):
-            targets.append(F.struct(F.lit(f"_{name}_{side}").alias("what"), at.alias("i")))
-    wanted = sizes.select(*by, F.explode(F.array(*targets)).alias("t")).select(*by, "t.what", "t.i")
-    found = placed.join(wanted, [*by, "i"]).groupBy(*by).agg(
-        *[
-            F.max(F.when(F.col("what") == f"_{name}_{side}", F.col("v"))).alias(f"_{name}_{side}")
-            for name in ("q1", "median", "q3")
-            for side in ("lo", "hi")
-        ]
-    )
+        picks += [at(low).alias(f"_{name}_lo"), at(F.least(low + 1, F.col("n") - 1)).alias(f"_{name}_hi")]
+    found = placed.join(sizes.select(*by, "n"), list(by)).groupBy(*by).agg(*picks)
 
     def value_at(name: str, q: float) -> Column:
         at = (F.col("n") - 1) * F.lit(q)

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from talkmetry.session import hot_rows as session_hot_rows
 
 BLOCK = "_block"
+BLOCKS = 256
+_CUTS = "_cuts"
 _SIDE = "_side"
 _COUNT = "_rows"
 
@@ -54,32 +56,27 @@ class Scan:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], axis: str, limit: int | None = None) -> DataFrame:
-    """Keys above ``limit`` rows with the origin and width of their blocks.
+    """Keys above ``limit`` rows with the cuts between their blocks.
 
-    All of them are listed. There are at most rows / ``limit``, one short entry for two million
-    rows by default, which is why the list may be broadcast. Several scans over one table can share
-    the list (``hot=``); it is then computed once.
+    Cuts are quantiles of the key's own rows along ``axis``, so blocks hold about equally many rows however
+    unevenly they lie, and a stray value moves nothing; only rows at one and the same value stay together. All hot keys
+    are listed. There are at most rows / ``limit``, one short entry for two million rows by default, which is why the
+    list may be broadcast. Several scans over one table can share the list (``hot=``); it is then computed once.
     """
     limit = limit or session_hot_rows(df.sparkSession)
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(axis).alias("_lo"), F.max(axis).alias("_hi")
-    )
-    # About four blocks per ``limit`` rows, so uneven density still splits.
-    share = (F.col("_hi") - F.col("_lo")) * F.lit(float(limit)) / (F.lit(4.0) * F.col("_n"))
-    if dict(df.dtypes)[axis] in ("float", "double"):
-        width = F.when(share > 0, share).otherwise(F.lit(1.0))
-    else:
-        width = F.greatest(F.lit(1), F.ceil(share)).cast("long")
-    return stats.filter(F.col("_n") > limit).select(*keys, F.col("_lo"), width.alias("_width"))
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys)
+    fractions = F.array(*[F.lit(i / BLOCKS) for i in range(1, BLOCKS)])
+    return df.join(F.broadcast(large), list(keys)).groupBy(*keys).agg(F.percentile_approx(axis, fractions, 20 * BLOCKS).alias(_CUTS))
 
 
 def key_columns(hot: DataFrame) -> list[str]:
-    return [c for c in hot.columns if c not in ("_lo", "_width")]
+    return [c for c in hot.columns if c != _CUTS]
 
 
 def with_blocks(df: DataFrame, hot: DataFrame, axis: str, how: str = "left") -> DataFrame:
     """Add the block of each row: null outside hot keys. ``inner`` keeps hot rows only."""
-    block = F.floor((F.col(axis) - F.col("_lo")) / F.col("_width")).cast("long")
+    passed = F.size(F.filter(_CUTS, lambda cut: cut < F.col(axis)))
+    block = F.when(F.col(_CUTS).isNotNull(), passed).cast("long")
     return df.join(F.broadcast(hot), key_columns(hot), how).withColumn(BLOCK, block).select(*df.columns, BLOCK)
 
 

@@ -1,4 +1,4 @@
-"""Incremental scoring: only conversations that are new or failed are computed."""
+"""Incremental scoring: only conversations with new rows are computed, each from all its rows."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmetry.operators.work import DONE, last_wins
+from talkmetry.operators.work import last_wins
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> None:
@@ -30,38 +30,25 @@ def score_stream(
     checkpoint: str,
     keys: Sequence[str] = ("run", "conv_index"),
 ) -> None:
-    """Score each arriving batch and append its results, tagged with the batch id.
+    """Score the keys of each arriving batch from all their rows so far, tagged with the batch id.
 
-    A batch that is replayed after a failure writes its own directory again instead of
-    adding rows twice, so the table holds every batch exactly once.
+    Arrived rows are kept beside the results, so a key whose rows come in several batches is scored
+    again as a whole; ``latest_results`` takes its last score. A batch that is replayed after a failure writes its
+    own directories again instead of adding rows twice, so the tables hold every batch exactly once.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = pending(batch, results_or_none(batch.sparkSession, path, batch_id), keys)
-        score(fresh).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        arrived = f"{path}-rows"
+        batch.write.mode("overwrite").parquet(f"{arrived}/batch={batch_id}")
+        known = batch.sparkSession.read.parquet(arrived).filter(F.col("batch") <= batch_id).drop("batch")
+        touched = batch.select(*keys).distinct()
+        score(known.join(touched, list(keys), "left_semi")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     convs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
         availableNow=True
     ).start().awaitTermination()
 
 
-def results_or_none(spark: SparkSession, path: str, before: int) -> DataFrame | None:
-    """Results of earlier batches, if any."""
-    if before == 0:
-        return None
-    return spark.read.parquet(path).filter(F.col("batch") < before)
-
-
-def pending(batch: DataFrame, results: DataFrame | None, keys: Sequence[str]) -> DataFrame:
-    """Rows of the batch without a finished result. A missing status is finished."""
-    if results is None:
-        return batch
-    done = last_wins(results.select(*keys, "batch", "status"), keys, "batch").filter(
-        F.col("status").isNull() | F.col("status").isin(*DONE)
-    )
-    return batch.join(done.select(*keys), list(keys), "left_anti")
-
-
 def latest_results(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """The last result of each key over all batches."""
     return last_wins(spark.read.parquet(path), keys, "batch").drop("batch")

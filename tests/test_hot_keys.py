@@ -10,7 +10,7 @@ from queries import inputs as I
 from talkmetry.constants import KEYS
 from talkmetry.operators import compare, conversation, distance, transcripts, words
 from talkmetry.operators.intervals import merge_intervals, reach_before
-from talkmetry.operators.ordered import Scan, hot_keys, scan
+from talkmetry.operators.ordered import Scan, hot_keys, scan, with_blocks
 
 NEVER, ALWAYS = 10**9, 7
 
@@ -112,3 +112,18 @@ def test_transcripts_split_into_parts(segments):
 def test_results_do_not_depend_on_partitioning(spark, segments):
     want = rows(conversation.turn_taking(segments))
     assert rows(conversation.turn_taking(segments.repartition(11, "seg_id"))) == want
+
+
+def test_a_stray_value_and_crowded_values_leave_even_blocks(spark):
+    crowd = [("r", 0, i, i % 997) for i in range(20_000)] + [("r", 0, 20_000, 10**12)]
+    df = spark.createDataFrame(crowd, "run string, conv_index long, seg_id long, start_ms long")
+    sizes = [r["count"] for r in with_blocks(df, hot_keys(df, KEYS, "start_ms", 1000), "start_ms").groupBy("_block").count().collect()]
+    assert len(sizes) > 100 and max(sizes) < 600
+
+
+def test_quartiles_of_few_values(spark):
+    data = [("a", float(i % 3)) for i in range(3001)] + [("b", 1.5)]
+    s = spark.createDataFrame(data, "run string, score double")
+    for limit in (NEVER, 1):
+        got = rows(distance.quartiles(s, ["run"], limit=limit), "run", "n", "q1", "median", "q3")
+        assert got == [("a", 3001, 0.0, 1.0, 2.0), ("b", 1, 1.5, 1.5, 1.5)]

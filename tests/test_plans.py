@@ -48,3 +48,21 @@ def test_bucketed_table_joins_without_a_shuffle(spark, sf):
     joined = a.hint("merge").join(b, ["run", "conv_index"])
     assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
     assert joined.count() == stats.count()
+
+
+def test_a_key_over_several_batches_is_scored_as_a_whole(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from talkmetry.streaming import incremental
+
+    for n, ids in enumerate((range(0, 40), range(40, 70), range(70, 75))):
+        part = spark.createDataFrame([(i % 7, i) for i in ids], "k long, v long").coalesce(1)
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k long, v long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def score(batch):
+        return batch.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s")).withColumn("status", F.lit("ok"))
+
+    incremental.score_stream(stream, score, str(tmp_path / "out"), str(tmp_path / "state"), ["k"])
+    got = {r["k"]: (r["n"], r["s"]) for r in incremental.latest_results(spark, str(tmp_path / "out"), ["k"]).collect()}
+    assert got == {k: (len(range(k, 75, 7)), sum(range(k, 75, 7))) for k in range(7)}
