@@ -8,8 +8,8 @@ vectors, cut queries and data into Voronoi cells.
   r to p, and at most ``<q, p> + |q| R`` for the radius R. The (k + 1) best of the lower bounds are certain, so a cell whose upper
   bound lies below the last of them holds nothing for the query (one more than k, as a query does not count itself).
 * *Replication.* Queries go to the cells that can matter to them; data go to their own cell only.
-* *Local solve.* A cell is cut into blocks of about ``BLOCK`` vectors by a hash of the id, however many lie on one spot; each block
-  gives every query its k best, and a window over those picks the final ones.
+* *Local solve.* A cell is cut into blocks of about ``BLOCK`` vectors by a hash of the id, however many lie on one spot, and its
+  queries into blocks of about as many; each pair of blocks gives every query its k best, and a window over those picks the final ones.
 
 The summary has one row per pivot and the pivots are at most ``MAX_PIVOTS``, so both may be broadcast. Vectors that are null, or hold null
 or non-finite components, take no part; so do vectors of another length than most. Rows that repeat an id are separate candidates
@@ -122,8 +122,17 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 20) -> DataFrame:
 
     queries = store(data.where(F.col("vec_id") % every == 0).mapInArrow(to_queries, sent_schema), "queries")
     sizes = spark.createDataFrame([(int(c), max(1, -(-int(n) // BLOCK))) for c, n in zip(cells, summary.column("rows").to_pylist())], "cell int, blocks int")
-    blocks = placed.join(F.broadcast(sizes), "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v")
-    asked = queries.join(F.broadcast(sizes), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "q")
+    turns = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("turns"))
+    sizes = sizes.join(turns, "cell")  # one row per cell that is asked
+
+    def every_one(of: str):
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+    def dealt(column: str, of: str):
+        return F.pmod(F.xxhash64(column), F.col(of)).cast("int")
+
+    blocks = placed.join(F.broadcast(sizes), "cell").select("cell", dealt("vec_id", "blocks").alias("block"), every_one("turns").alias("turn"), "vec_id", "v")
+    asked = queries.join(F.broadcast(sizes), "cell").select("cell", every_one("blocks").alias("block"), dealt("query_id", "turns").alias("turn"), "query_id", "q")
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         none = {"query_id": np.zeros(0, dtype=np.int64), "vec_id": np.zeros(0, dtype=np.int64), "score": np.zeros(0, dtype=np.int64)}
@@ -146,7 +155,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 20) -> DataFrame:
                 found.append((np.full(len(best), mine[i]), ids[best], score[i, best].astype(np.int64)))
         return pa.table({n: np.concatenate([f[j] for f in found]) for j, n in enumerate(none)})
 
-    local = blocks.groupBy("cell", "block").cogroup(asked.groupBy("cell", "block")).applyInArrow(solve, "query_id long, vec_id long, score long")
+    local = blocks.groupBy("cell", "block", "turn").cogroup(asked.groupBy("cell", "block", "turn")).applyInArrow(solve, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
