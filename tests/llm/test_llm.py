@@ -270,6 +270,12 @@ def test_main_text(spark):
     assert templates.extract_pages(docs.limit(0)).count() == 0
 
 
+def test_deep_pages_cost_no_more_per_piece():
+    page = "<main>" + "<div>" * 30_000 + "deep text" + "</div>" * 30_000 + "</main><footer>out"
+    assert templates.extract(page, frozenset()) == "deep text"
+    assert len(templates.page_tokens(page)) == 60_003
+
+
 def test_main_text_is_the_article(spark, sf):
     import html
     import re
@@ -304,8 +310,10 @@ def test_unigram_model_is_rebuilt():
     assert pieces.build(got).encode("ab  c").tokens == ["▁ab", "▁", "c"]
 
 
-@pytest.mark.parametrize("case", ["table", "ties", "hot"])
-def test_top_k(spark, sf, case):
+@pytest.mark.parametrize("case", ["table", "ties", "hot", "blocks"])
+def test_top_k(spark, sf, case, monkeypatch):
+    if case == "blocks":  # cells cut into many blocks on both sides
+        monkeypatch.setattr(knn, "BLOCK", 7)
     if case == "table":
         vectors = common.table(spark, sf, "embeddings")
     else:
