@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from queries import inputs as I
 from queries.inputs import with_ctes
-from talkmetry.constants import KEYS
+from talkmetry.constants import KEYS, THRESHOLDS
 from talkmetry.functions.text import word_count
 from talkmetry.operators import conversation as C
 from talkmetry.operators import events as E
@@ -39,11 +39,11 @@ def _event_frames(spark, d):
     )
 
 
-def _irregular(spark, d):
+def _irregular(spark, d, smooth=1):
     """Two thirds of the frames, unevenly spaced."""
     frames = I.frames(spark, d).filter((F.col("frame") * 7 + F.col("conv_index")) % 3 != 0)
-    return E.nearest_frames(E.kept_events(_events(spark, d)), frames).select(
-        *KEYS, "t_ms", "holder", "event_type", "frame_ms", "p_now0"
+    return E.nearest_frames(E.kept_events(_events(spark, d)), frames, smooth=smooth).select(
+        *KEYS, "t_ms", "holder", "event_type", "frame_ms", F.round("p_now0", 6).alias("p_now0")
     )
 
 
@@ -67,16 +67,20 @@ QUERIES = {
     "support_filter": lambda s, d: timing.clip_to_support(timing.timing_samples(_runs(s, d))),
     "first_onset": lambda s, d: I.segments(s, d).groupBy(*KEYS).agg(F.min("start_ms").alias("onset_ms")),
     "turn_events": lambda s, d: _events(s, d),
-    "guarded_events": lambda s, d: E.event_counts(_events(s, d)),
+    "guarded_events": lambda s, d: E.event_counts(_events(s, d), I.conversations_of(s, d)),
     "uptake_asof": lambda s, d: E.kept_events(_events(s, d)).select(
         *KEYS, "t_ms", "holder", "event_type", "took_floor", "latency_ms"
     ),
     "frame_asof": _event_frames,
     "frame_asof_irregular": _irregular,
+    "frame_asof_irregular_mean": lambda s, d: _irregular(s, d, 3),
+    "thresholds_embedded": lambda s, d: _events(s, d).select(*KEYS, "t_ms", "holder", "event_type", timing.thresholds_column()).select(
+        *KEYS, "t_ms", "holder", "event_type", "thresholds.*"
+    ),
     "event_cues_cells": lambda s, d: classified(s, d).select(
         *KEYS, "t_ms", "holder", "event_type", "cue_label", "cell", "vap_pred", "responder_action"
     ),
-    "cue_counts": lambda s, d: E.cue_counts(classified(s, d)),
+    "cue_counts": lambda s, d: E.cue_counts(classified(s, d), I.conversations_of(s, d)),
     "conversation_cells": lambda s, d: E.conversation_cells(classified(s, d), I.conversations_of(s, d)).withColumn(
         "fi_rate", F.round("fi_rate", 6)
     ),
@@ -196,10 +200,10 @@ ORACLES = {
         latency_ms IS NOT NULL AS took_floor, latency_ms FROM tev""",
     ),
     "guarded_events": with_ctes(
-        "tev",
-        """SELECT run, conv_index, count(*) FILTER (WHERE NOT dropped_guard AND event_type = 'turn_end') AS turn_end,
+        "tev convs",
+        """SELECT c.run, c.conv_index, count(*) FILTER (WHERE NOT dropped_guard AND event_type = 'turn_end') AS turn_end,
         count(*) FILTER (WHERE NOT dropped_guard AND event_type = 'intra_pause') AS intra_pause,
-        count(*) FILTER (WHERE dropped_guard) AS dropped_guard FROM tev GROUP BY 1, 2""",
+        count(*) FILTER (WHERE dropped_guard) AS dropped_guard FROM convs c LEFT JOIN tev t ON t.run = c.run AND t.conv_index = c.conv_index GROUP BY 1, 2""",
     ),
     "uptake_asof": with_ctes(
         "tev",
@@ -222,6 +226,20 @@ ORACLES = {
         min_by(now_pm / 1000.0::DOUBLE, (abs(f.t_ms - e.t_ms), f.t_ms)) AS p_now0
         FROM tev e JOIN fr f ON f.run = e.run AND f.conv_index = e.conv_index WHERE NOT dropped_guard GROUP BY 1, 2, 3, 4, 5""",
     ),
+    "thresholds_embedded": with_ctes(
+        "tev",
+        "SELECT run, conv_index, t_ms, holder, event_type, "
+        + ", ".join(f"{v!r}{'::DOUBLE' if isinstance(v, float) else ''} AS {k}" for k, v in THRESHOLDS.as_dict().items())
+        + " FROM tev",
+    ),
+    "frame_asof_irregular_mean": with_ctes(
+        "tev frames",
+        """WITH fr AS (SELECT *, row_number() OVER (PARTITION BY run, conv_index ORDER BY t_ms) AS no FROM frames WHERE (frame * 7 + conv_index) % 3 <> 0),
+        n AS (SELECT e.run, e.conv_index, e.t_ms, holder, event_type, min_by(f.t_ms, (abs(f.t_ms - e.t_ms), f.t_ms)) AS frame_ms,
+        min_by(no, (abs(f.t_ms - e.t_ms), f.t_ms)) AS at FROM tev e JOIN fr f ON f.run = e.run AND f.conv_index = e.conv_index WHERE NOT dropped_guard GROUP BY 1, 2, 3, 4, 5)
+        SELECT n.run, n.conv_index, n.t_ms, holder, event_type, frame_ms, round(sum(now_pm) / count(*) / 1000.0::DOUBLE, 6) AS p_now0
+        FROM n JOIN fr f ON f.run = n.run AND f.conv_index = n.conv_index AND f.no BETWEEN n.at - 2 AND n.at GROUP BY 1, 2, 3, 4, 5, 6""",
+    ),
     "event_cues_cells": with_ctes(
         "cls",
         """SELECT run, conv_index, t_ms, holder, event_type, cue_label, cell,
@@ -230,12 +248,13 @@ ORACLES = {
     ),
     "cue_counts": with_ctes(
         "cls",
-        "SELECT run, conv_index, holder AS role, "
+        "SELECT c.run, c.conv_index, r.role, "
         + ", ".join(
             f"count(*) FILTER (WHERE cue_label = '{c}') AS {c.replace('-', '_').lower()}"
             for c in ("Early-Yield", "Late-Yield", "Yield-NotCued", "Strong-Hold", "Weak-Hold", "Hold-Misread")
         )
-        + " FROM cls GROUP BY 1, 2, 3",
+        + " FROM convs c CROSS JOIN (SELECT unnest(['tutor', 'student']) AS role) r"
+        + " LEFT JOIN cls e ON e.run = c.run AND e.conv_index = c.conv_index AND e.holder = r.role GROUP BY 1, 2, 3",
     ),
     "conversation_cells": with_ctes(
         "cls",

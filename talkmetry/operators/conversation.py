@@ -146,11 +146,11 @@ def response_latency(segments: DataFrame, limit: int | None = None, hot: DataFra
     )
 
 
-def speech_overlap(segments: DataFrame) -> DataFrame:
+def speech_overlap(segments: DataFrame, limit: int | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Milliseconds in which tutor and student intervals overlap, pair by pair, and
     milliseconds in which anyone speaks."""
     side = F.when(F.col("role") == "tutor", 0).when(F.col("role") == "student", 1)
-    return cross_overlap(segments.select(*KEYS, "role", "start_ms", "end_ms"), side)
+    return cross_overlap(segments.select(*KEYS, "role", "start_ms", "end_ms"), side, KEYS, limit, hot)
 
 
 def backchannels(segments: DataFrame, limit: int | None = None, hot: DataFrame | None = None) -> DataFrame:
@@ -189,7 +189,7 @@ def turn_taking(
     hot = hot_conversations(segments, limit)
     joined = (
         base.join(response_latency(segments, hot=hot), list(KEYS), "left")
-        .join(speech_overlap(segments), list(KEYS), "left")
+        .join(speech_overlap(segments, hot=hot), list(KEYS), "left")
         .join(
             backchannels(segments, hot=hot).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_back")),
             list(KEYS),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from talkmetry.constants import BOOTSTRAP_REPLICATES, JS_BINS, TIMING_SUPPORT_MS
 from talkmetry.functions.text import run_part
 from talkmetry.operators.ordered import Scan, scan
+from talkmetry.operators.ranks import quartiles_of_counts
 from talkmetry.operators.timing import in_support
 
 GROUP = ("system", "metric")
@@ -229,28 +230,7 @@ def pair_matrix(distance: DataFrame, tutors: Sequence[str], metric: str = "fto_s
 def quartiles(scores: DataFrame, by: Sequence[str], value: str = "score", limit: int | None = None) -> DataFrame:
     """min, quartiles and max per group, exact for any number of distinct values.
 
-    Equal values are counted before anything moves, so a score that half of the rows share is one row. A running count
-    over the distinct values then tells which of them stands at a wanted position.
+    Equal values are counted before anything moves, so a score that half of the rows share is one row.
     """
     rows = scores.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
-    counts = rows.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("_c"))
-    sizes = counts.groupBy(*by).agg(F.sum("_c").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"))
-    placed = scan(counts, by, ["v"], Scan(sum_before={"_before": "_c"}), limit)
-
-    def at(position: Column) -> Column:
-        return F.max(F.when((F.col("_before") <= position) & (position < F.col("_before") + F.col("_c")), F.col("v")))
-
-    picks = []
-    for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
-        low = F.floor((F.col("n") - 1) * F.lit(q)).cast("long")
-        picks += [at(low).alias(f"_{name}_lo"), at(F.least(low + 1, F.col("n") - 1)).alias(f"_{name}_hi")]
-    found = placed.join(sizes.select(*by, "n"), list(by)).groupBy(*by).agg(*picks)
-
-    def value_at(name: str, q: float) -> Column:
-        at = (F.col("n") - 1) * F.lit(q)
-        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        return F.round(low + (high - low) * (at - F.floor(at)), 6).alias(name)
-
-    return sizes.join(found, list(by)).select(
-        *by, "n", "min", value_at("q1", 0.25), value_at("median", 0.5), value_at("q3", 0.75), "max"
-    )
+    return quartiles_of_counts(rows.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c")), by, limit).drop("total")

@@ -2,41 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkmetry.constants import CELLS, CUE_LABELS, KEYS, ROLES, SCOPES, THRESHOLDS, Thresholds
-from talkmetry.operators.ordered import Scan, hot_keys, scan
-from talkmetry.operators.timing import onset_order
+from talkmetry.operators.ordered import Scan, hot_keys, mirrored, scan, scan_given
+from talkmetry.operators.timing import adjacent_runs
 
 # Frame probabilities by channel: 0 = tutor, 1 = student.
 PROBS = ("p_now0", "p_now1", "p_future0", "p_future1")
-# The same window in SQL, where IGNORE NULLS can be written.
-_BY_TIME = f"OVER (PARTITION BY {', '.join(KEYS)}, who ORDER BY t, is_event DESC)"
 
 
 def turn_events(
-    runs: DataFrame, frame_range: DataFrame | None = None, th: Thresholds = THRESHOLDS
+    runs: DataFrame,
+    frame_range: DataFrame | None = None,
+    th: Thresholds = THRESHOLDS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Candidate events with their guard and uptake facts.
 
     ``runs`` are speech runs. ``frame_range`` (run, conv_index, t_lo, t_hi) drops events
     outside the frames. Each event also carries, for the responder (the role that does
     not hold the floor): ``reach_ms`` = latest end among its runs that began before the
-    event, and ``onset_ms`` = its first onset strictly after the event. One window over
-    runs and events replaces two range joins; a conversation's runs are bounded by its
-    length (see ``adjacent_runs``).
+    event, and ``onset_ms`` = its first onset strictly after the event. A scan forwards and
+    one backwards over runs and events replace two range joins. ``hot`` as in ``adjacent_runs``.
     """
-    w = Window.partitionBy(*KEYS).orderBy(*onset_order())
-    steps = runs.select(
-        *KEYS,
-        "role",
-        "start_ms",
-        "end_ms",
-        F.lead("start_ms").over(w).alias("next_start"),
-        F.lead("role").over(w).alias("next_role"),
-    )
-    gap = F.col("next_start") - F.col("end_ms")
+    steps = adjacent_runs(runs.select(*KEYS, "role", "start_ms", "end_ms"), hot=hot)
+    gap = F.col("next_start_ms") - F.col("end_ms")
     same = F.col("role") == F.col("next_role")
     kind = F.when(same & gap.between(th.pause_min_ms, th.pause_max_ms), F.lit("intra_pause")).when(
         ~same & gap.between(0, th.max_gap_ms), F.lit("turn_end")
@@ -63,32 +55,23 @@ def turn_events(
     )
     both = F.array(tell, F.when(kind.isNotNull(), ask))
     stream = steps.select(*KEYS, F.explode(both).alias("r")).filter(F.col("r").isNotNull()).select(*KEYS, "r.*")
-    # An event sorts before a run that starts at the same instant, so "earlier rows" means
-    # strictly before. Strictly after is the next onset, or the one behind it where the
-    # next is at the event itself (a role's runs never start together).
-    by_time = Window.partitionBy(*KEYS, "who").orderBy("t", F.desc("is_event"))
-    onset = F.when(F.col("is_event") == 0, F.col("t"))
-    events = (
-        stream.withColumn("_onset", onset)
-        .withColumns(
-            {
-                "reach_ms": F.max("run_end").over(by_time.rowsBetween(Window.unboundedPreceding, -1)),
-                "_next": F.expr(f"lead(_onset, 1) IGNORE NULLS {_BY_TIME}"),
-                "_after": F.expr(f"lead(_onset, 2) IGNORE NULLS {_BY_TIME}"),
-            }
-        )
-        .withColumn("onset_ms", F.when(F.col("_next") > F.col("t"), F.col("_next")).otherwise(F.col("_after")))
-        .filter(F.col("is_event") == 1)
-        .select(
-            *KEYS,
-            F.col("t").alias("t_ms"),
-            "holder",
-            F.col("who").alias("responder"),
-            "event_type",
-            "gap_ms",
-            "reach_ms",
-            "onset_ms",
-        )
+    # An event sorts before a run that starts at the same instant, in both directions, so
+    # "earlier rows" means strictly before and, backwards, strictly after.
+    starts = F.when(F.col("is_event") == 0, -F.col("t"))
+    stream = stream.withColumns({"_kind": 1 - F.col("is_event"), "_back": -F.col("t"), "_onset": starts})
+    by = [*KEYS, "who"]
+    back = None if hot is None else mirrored(hot)
+    stream = scan_given(stream, by, ["t", "_kind"], Scan(max_before={"reach_ms": "run_end"}), hot)
+    stream = scan_given(stream, by, ["_back", "_kind"], Scan(max_before={"_next": "_onset"}), back)
+    events = stream.filter(F.col("is_event") == 1).select(
+        *KEYS,
+        F.col("t").alias("t_ms"),
+        "holder",
+        F.col("who").alias("responder"),
+        "event_type",
+        "gap_ms",
+        "reach_ms",
+        (-F.col("_next")).alias("onset_ms"),
     )
     if frame_range is not None:
         events = events.join(frame_range, list(KEYS)).filter(
@@ -157,12 +140,14 @@ def read_frames(
     )
 
 
-def nearest_frames(events: DataFrame, frames: DataFrame, limit: int | None = None) -> DataFrame:
+def nearest_frames(events: DataFrame, frames: DataFrame, limit: int | None = None, smooth: int = 1) -> DataFrame:
     """The frame nearest to each event on any grid; the earlier one on a tie.
 
     ``frames``: run, conv_index, t_ms and ``PROBS``. Two as-of look-ups over the frame
     times find the last frame at or before and the first at or after the event; only the
-    chosen time is then joined back for its values, by (conversation, time).
+    chosen time is then joined back for its values, by (conversation, time). With ``smooth`` above 1
+    the values are the causal mean of so many frames ending there: frames are numbered in
+    order, and the numbers wanted meet them in an equi-join, whatever frames are missing.
     """
     asked = events.select(*KEYS, F.col("t_ms").alias("_t")).distinct()
     times = frames.select(*KEYS, F.col("t_ms").alias("_t"))
@@ -171,12 +156,23 @@ def nearest_frames(events: DataFrame, frames: DataFrame, limit: int | None = Non
     both = both.withColumns({"_ft": frame_t, "_back": -F.col("_t"), "_fback": -frame_t})
     hot = hot_keys(times, KEYS, "_t", limit)
     seen = scan(both, KEYS, ["_t", "_kind"], Scan(max_before={"_before": "_ft"}), hot=hot)
-    seen = scan(seen, KEYS, ["_back", "_kind"], Scan(max_before={"_after": "_fback"}), hot=hot)
+    seen = scan(seen, KEYS, ["_back", "_kind"], Scan(max_before={"_after": "_fback"}), hot=mirrored(hot))
     before, after = F.col("_before"), -F.col("_after")
     closer = F.when(before.isNull() | (after - F.col("_t") < F.col("_t") - before), after).otherwise(before)
     chosen = seen.filter(F.col("_kind") == 1).select(*KEYS, F.col("_t").alias("t_ms"), closer.alias("frame_ms"))
-    values = frames.select(*KEYS, F.col("t_ms").alias("frame_ms"), *PROBS)
-    return events.join(chosen, [*KEYS, "t_ms"]).join(values, [*KEYS, "frame_ms"])
+    found = events.join(chosen, [*KEYS, "t_ms"])
+    if smooth == 1:
+        values = frames.select(*KEYS, F.col("t_ms").alias("frame_ms"), *PROBS)
+        return found.join(values, [*KEYS, "frame_ms"])
+    numbered = scan(frames.select(*KEYS, F.col("t_ms").alias("frame_ms"), *PROBS), KEYS, ["frame_ms"], Scan(index="_no"), hot=hot)
+    numbered = numbered.select(*KEYS, "frame_ms", F.col("_no").cast("long").alias("_no"), *PROBS)
+    placed = found.join(numbered.select(*KEYS, "frame_ms", "_no"), [*KEYS, "frame_ms"])
+    wanted = placed.withColumn("_no", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("_no") - (smooth - 1)), F.col("_no"))))
+    return (
+        wanted.join(numbered.drop("frame_ms"), [*KEYS, "_no"])
+        .groupBy(*events.columns, "frame_ms")
+        .agg(*[F.avg(p).alias(p) for p in PROBS])
+    )
 
 
 def classify_events(scored: DataFrame, th: Thresholds = THRESHOLDS) -> DataFrame:
@@ -213,21 +209,32 @@ def classify_events(scored: DataFrame, th: Thresholds = THRESHOLDS) -> DataFrame
     )
 
 
-def event_counts(events: DataFrame) -> DataFrame:
-    """turn_end, intra_pause and dropped_guard per conversation."""
+def event_counts(events: DataFrame, convs: DataFrame | None = None) -> DataFrame:
+    """turn_end, intra_pause and dropped_guard per conversation.
+
+    ``convs`` (run, conv_index) adds the scored conversations that have no event, with zeros.
+    """
     kept = ~F.col("dropped_guard")
-    return events.groupBy(*KEYS).agg(
+    counts = events.groupBy(*KEYS).agg(
         F.count_if(kept & (F.col("event_type") == "turn_end")).alias("turn_end"),
         F.count_if(kept & (F.col("event_type") == "intra_pause")).alias("intra_pause"),
         F.count_if(F.col("dropped_guard")).alias("dropped_guard"),
     )
+    return counts if convs is None else convs.select(*KEYS).join(counts, list(KEYS), "left").fillna(0)
 
 
-def cue_counts(classified: DataFrame) -> DataFrame:
-    """Cue labels per conversation and holder, one column per label."""
-    return classified.groupBy(*KEYS, F.col("holder").alias("role")).agg(
+def cue_counts(classified: DataFrame, convs: DataFrame | None = None) -> DataFrame:
+    """Cue labels per conversation and holder, one column per label.
+
+    ``convs`` (run, conv_index) adds zeros for the roles that hold no event's floor.
+    """
+    counts = classified.groupBy(*KEYS, F.col("holder").alias("role")).agg(
         *[F.count_if(F.col("cue_label") == c).alias(c.replace("-", "_").lower()) for c in CUE_LABELS]
     )
+    if convs is None:
+        return counts
+    grid = convs.select(*KEYS, F.explode(F.array(*map(F.lit, ROLES))).alias("role"))
+    return grid.join(counts, [*KEYS, "role"], "left").fillna(0)
 
 
 def _scoped(classified: DataFrame) -> DataFrame:

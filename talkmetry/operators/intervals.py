@@ -60,14 +60,18 @@ def covered_ms(df: DataFrame, keys: Sequence[str] = KEYS, limit: int | None = No
 
 
 def cross_overlap(
-    df: DataFrame, side: Column, keys: Sequence[str] = KEYS
+    df: DataFrame,
+    side: Column,
+    keys: Sequence[str] = KEYS,
+    limit: int | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Overlap of every interval of side 0 with every interval of side 1, summed,
     and the time in which either side is active.
 
     Instead of pairing rows: the sum over pairs of overlap lengths equals the integral
     of (active on side 0) x (active on side 1). Starts and ends are first added up per
-    distinct millisecond (a map-side aggregate), so the window sees at most one row per
+    distinct millisecond (a map-side aggregate), so the scan sees at most one row per
     millisecond of a conversation however many rows that conversation has.
     """
     spans = df.withColumn("_side", side).filter(
@@ -87,13 +91,12 @@ def cross_overlap(
         F.sum(F.when(F.col("_side") == 0, F.col("e.d")).otherwise(0)).alias("d0"),
         F.sum(F.when(F.col("_side") == 1, F.col("e.d")).otherwise(0)).alias("d1"),
     )
-    w = Window.partitionBy(*keys).orderBy("t")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    levels = instants.select(
+    ordered = scan(instants, keys, ["t"], Scan(sum_before={"_b0": "d0", "_b1": "d1"}, next={"_next": "t"}), limit, hot)
+    levels = ordered.select(
         *keys,
-        F.sum("d0").over(upto).alias("n0"),
-        F.sum("d1").over(upto).alias("n1"),
-        (F.lead("t").over(w) - F.col("t")).alias("dt"),
+        (F.col("_b0") + F.col("d0")).alias("n0"),
+        (F.col("_b1") + F.col("d1")).alias("n1"),
+        (F.col("_next") - F.col("t")).alias("dt"),
     )
     return levels.groupBy(*keys).agg(
         F.coalesce(F.sum(F.col("n0") * F.col("n1") * F.col("dt")), F.lit(0)).alias("overlap_ms"),

@@ -73,6 +73,11 @@ def key_columns(hot: DataFrame) -> list[str]:
     return [c for c in hot.columns if c != _CUTS]
 
 
+def mirrored(hot: DataFrame) -> DataFrame:
+    """The same cuts for a scan that runs backwards, along the negated axis."""
+    return hot.withColumn(_CUTS, F.transform(_CUTS, lambda cut: -cut))
+
+
 def with_blocks(df: DataFrame, hot: DataFrame, axis: str, how: str = "left") -> DataFrame:
     """Add the block of each row: null outside hot keys. ``inner`` keeps hot rows only."""
     passed = F.size(F.filter(_CUTS, lambda cut: cut < F.col(axis)))
@@ -104,6 +109,17 @@ def scan(
     return out.filter(F.col(_SIDE) == 0).drop(_SIDE, _COUNT, BLOCK)
 
 
+def scan_given(df: DataFrame, keys: Sequence[str], order: Sequence[str], spec: Scan, hot: DataFrame | None) -> DataFrame:
+    """``scan`` cut at the hot keys the caller found, or plain windows where it names none.
+
+    For input that is costly to make and bounded per key: finding hot keys reads it twice more, so the caller
+    who has stored it decides.
+    """
+    if hot is None:
+        return spec.apply(df, keys, [F.col(c) for c in order])
+    return scan(df, keys, order, spec, hot=hot)
+
+
 def _edge_rows(hot_rows: DataFrame, keys: Sequence[str], order: Sequence[str], spec: Scan) -> DataFrame:
     """One row before (and after) each block that stands for the blocks around it."""
     part = [*keys, BLOCK]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkmetry.constants import KEYS, THRESHOLDS, TIMING_SUPPORT_MS, Thresholds
 from talkmetry.operators.conversation import known_roles
 from talkmetry.operators.intervals import merge_intervals
+from talkmetry.operators.ordered import Scan, hot_keys, scan_given
+from talkmetry.operators.ranks import quartiles_of_counts
+from talkmetry.session import materialize
 
 
 def speech_runs(
@@ -17,28 +20,23 @@ def speech_runs(
     return merge_intervals(known_roles(intervals), gap_ms, [*KEYS, "role"], limit)
 
 
-def onset_order():
-    """Order of a conversation's runs: by onset, tutor first on a tie."""
-    return [F.col("start_ms"), F.when(F.col("role") == "tutor", 0).otherwise(1)]
+def hot_runs(runs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Conversations with too many runs for one task, for the scans along time to share."""
+    return hot_keys(runs, KEYS, "start_ms", limit)
 
 
-def adjacent_runs(runs: DataFrame) -> DataFrame:
-    """Each run with the next one of the conversation.
+def adjacent_runs(runs: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Each run with the next one of the conversation: by onset, tutor first on a tie.
 
-    Runs of a role lie more than the merge gap apart, so a conversation has at most
-    2 x duration / gap of them and a plain window is bounded by its length in time,
-    not by how many rows it came from.
+    Runs of a role lie more than the merge gap apart, so a conversation has at most eleven a second however
+    many rows they came from. Where that is still too much for one task, store the runs and pass ``hot_runs`` of them.
     """
-    w = Window.partitionBy(*KEYS).orderBy(*onset_order())
-    return runs.withColumns(
-        {
-            "next_start_ms": F.lead("start_ms").over(w),
-            "next_role": F.lead("role").over(w),
-        }
-    )
+    rows = runs.withColumn("_place", F.when(F.col("role") == "tutor", 0).otherwise(1))
+    spec = Scan(next={"next_start_ms": "start_ms", "next_role": "role"})
+    return scan_given(rows, KEYS, ["start_ms", "_place"], spec, hot).drop("_place")
 
 
-def timing_samples(runs: DataFrame) -> DataFrame:
+def timing_samples(runs: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Long table (run, conv_index, metric, value_ms) of the five timing distributions.
 
     A floor transfer of exactly 0 is a gap. A same-role step of 0 or less is nothing.
@@ -57,19 +55,23 @@ def timing_samples(runs: DataFrame) -> DataFrame:
         sample("overlap_s", -delta, ~same & (delta < 0)),
         sample("within_pause_s", delta, same & (delta > 0)),
     )
-    rows = adjacent_runs(runs).select(*KEYS, F.explode(samples).alias("s")).filter(F.col("s").isNotNull())
+    rows = adjacent_runs(runs, hot).select(*KEYS, F.explode(samples).alias("s")).filter(F.col("s").isNotNull())
     return rows.select(*KEYS, "s.metric", "s.value_ms")
 
 
-def timing_summary(samples: DataFrame) -> DataFrame:
-    """Count, mean and quartiles per run and metric (whole milliseconds, exact)."""
-    return samples.groupBy("run", "metric").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.sum("value_ms") / F.count(F.lit(1)) / 1000.0, 6).alias("mean_s"),
-        *[
-            F.round(F.percentile("value_ms", F.lit(q)) / 1000.0, 6).alias(name)
-            for name, q in (("q1_s", 0.25), ("median_s", 0.5), ("q3_s", 0.75))
-        ],
+def timing_summary(samples: DataFrame, limit: int | None = None) -> DataFrame:
+    """Count, mean and quartiles per run and metric (whole milliseconds, exact).
+
+    Samples are counted per distinct value first; nothing holds a group's values in one buffer.
+    """
+    by = ["run", "metric"]
+    counts = samples.groupBy(*by, F.col("value_ms").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    found = quartiles_of_counts(materialize(counts, "timing-values"), by, limit)
+    return found.select(
+        *by,
+        "n",
+        F.round(F.col("total") / F.col("n") / 1000.0, 6).alias("mean_s"),
+        *[F.round(F.col(q) / 1000.0, 6).alias(f"{q}_s") for q in ("q1", "median", "q3")],
     )
 
 

@@ -26,17 +26,18 @@ def score_turn_taking(
     runs = materialize(timing.speech_runs(intervals, th.merge_gap_ms), "speech-runs")
     spans = frames.groupBy(*KEYS).agg(F.min("t_ms").alias("t_lo"), F.max("t_ms").alias("t_hi"))
     spans = materialize(spans, "frame-spans")
-    found = materialize(events.turn_events(runs, spans, th), "turn-events")
+    hot = materialize(timing.hot_runs(runs), "hot-runs")
+    found = materialize(events.turn_events(runs, spans, th, hot), "turn-events")
     start = spans.select(*KEYS, "t_lo")
     kept = events.kept_events(found).join(start, list(KEYS))
     scored = events.read_frames(kept, frames, step_ms, th.read_smooth_frames).drop("t_lo")
     classified = materialize(events.classify_events(scored, th), "classified-events")
     return {
         "events": classified.withColumn("thresholds", timing.thresholds_column(th)),
-        "event_counts": events.event_counts(found),
-        "cue_counts": events.cue_counts(classified),
+        "event_counts": events.event_counts(found, spans),
+        "cue_counts": events.cue_counts(classified, spans),
         "cells": events.conversation_cells(classified, spans),
-        "timing_samples": timing.timing_samples(runs),
+        "timing_samples": timing.timing_samples(runs, hot),
     }
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from queries import inputs as I
 from talkmetry.constants import KEYS
-from talkmetry.operators import compare, conversation, distance, transcripts, words
-from talkmetry.operators.intervals import merge_intervals, reach_before
-from talkmetry.operators.ordered import Scan, hot_keys, scan, with_blocks
+from talkmetry.operators import compare, conversation, distance, events, timing, transcripts, words
+from talkmetry.operators.intervals import cross_overlap, merge_intervals, reach_before
+from talkmetry.operators.ordered import Scan, hot_keys, mirrored, scan, with_blocks
 
 NEVER, ALWAYS = 10**9, 7
 
@@ -69,6 +69,31 @@ def test_conversation_metrics(segments, name):
     assert a == b
 
 
+def test_overlap_events_and_timing(segments, spark, sf):
+    side = F.when(F.col("role") == "tutor", 0).otherwise(1)
+    a, b = both(lambda limit: cross_overlap(segments, side, limit=limit))
+    assert a == b
+    runs = timing.speech_runs(segments).cache()
+    hot = timing.hot_runs(runs, ALWAYS).cache()
+    assert hot.count() > 0
+    assert rows(timing.timing_samples(runs, hot)) == rows(timing.timing_samples(runs))
+    samples = timing.timing_samples(runs).cache()
+    a, b = both(lambda limit: timing.timing_summary(samples, limit))
+    assert a == b
+    asked = events.turn_events(runs).cache()
+    assert rows(events.turn_events(runs, hot=hot)) == rows(asked) and asked.count() > 20
+    frames = I.frames(spark, sf).cache()
+    a, b = both(lambda limit: events.nearest_frames(asked, frames, limit, 3))
+    assert a == b and len(a) > 20
+
+
+def test_backward_scans_are_cut_too(segments):
+    hot = hot_keys(segments, KEYS, "start_ms", ALWAYS)
+    back = segments.withColumn("_back", -F.col("start_ms"))
+    sizes = [r["count"] for r in with_blocks(back, mirrored(hot), "_back").groupBy(*KEYS, "_block").count().collect()]
+    assert max(sizes) < 20
+
+
 def test_reach_before_is_strict(spark):
     q = spark.createDataFrame([("r", 0, t) for t in (0, 5, 10, 11, 30)], "run string, conv_index long, at long")
     iv = spark.createDataFrame([("r", 0, 5, 9), ("r", 0, 10, 40), ("r", 0, 11, 12)], "run string, conv_index long, start_ms long, end_ms long")
