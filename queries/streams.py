@@ -2,8 +2,8 @@
 into the shared folder and read back.
 
 The streams take events in file order. In append mode a window or session is emitted once
-the watermark (latest time seen minus the delay) passes its end; the check SQL states the
-same rule.
+the watermark (latest time seen minus the delay) passes its end; an end marker then closes
+what is open, so the results are those of the batch.
 """
 
 from __future__ import annotations
@@ -37,9 +37,11 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _finish(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
-    path = shared_dir(spark, name)
-    incremental.run_available(out, path, shared_dir(spark, f"{name}-state"))
+def _finish(spark: SparkSession, build, source: DataFrame, name: str) -> DataFrame:
+    """Run ``build`` over the source to the end of its input and read the result back."""
+    path, marker = shared_dir(spark, name), shared_dir(spark, f"{name}-end")
+    out = build(live.with_end_marker(source, marker))
+    incremental.run_to_end(out, path, shared_dir(spark, f"{name}-state"), marker)
     return spark.read.schema(out.schema).parquet(path)
 
 
@@ -48,20 +50,17 @@ def _millis(column: str):
 
 
 def _segments(spark, d):
-    out = live.token_segments(tokens(spark, d), DELAY)
-    return _finish(spark, out, "stream-segments").select(*KEYS, "role", _millis("start_ts"), _millis("end_ts"), "text")
+    return _finish(spark, lambda t: live.token_segments(t, DELAY), tokens(spark, d), "stream-segments").select(*KEYS, "role", _millis("start_ts"), _millis("end_ts"), "text")
 
 
 def _windows(spark, d):
     labels = F.array(*[F.lit(x) for x in I.LABEL_NAMES])
     stream = tokens(spark, d).withColumn("label", labels[(F.col("seq") % 5).cast("int")])
-    out = live.label_windows(stream, DELAY)
-    return _finish(spark, out, "stream-windows").select(*KEYS, _millis("window_start"), "n_frames", *I.LABEL_NAMES)
+    return _finish(spark, lambda t: live.label_windows(t, DELAY), stream, "stream-windows").select(*KEYS, _millis("window_start"), "n_frames", *I.LABEL_NAMES)
 
 
 def _sliding(spark, d):
-    out = live.sliding_means(tokens(spark, d), "seq", DELAY)
-    return _finish(spark, out, "stream-sliding").select(*KEYS, _millis("chunk_start"), "n_frames", "n_fresh", "fresh_sum", "chunk_sum")
+    return _finish(spark, lambda t: live.sliding_means(t, "seq", DELAY), tokens(spark, d), "stream-sliding").select(*KEYS, _millis("chunk_start"), "n_frames", "n_fresh", "fresh_sum", "chunk_sum")
 
 
 def _dedup(spark, d):
@@ -71,14 +70,14 @@ def _dedup(spark, d):
         F.floor((F.unix_millis("ts") - 1704067200000) / 60000).cast("int").alias("attempt_index"),
         "ts",
     )
-    out = live.first_attempts(stream, "1 hour")
-    return _finish(spark, out, "stream-dedup").select("pid", "attempt_index")
+    out, path = live.first_attempts(stream, "1 hour"), shared_dir(spark, "stream-dedup")
+    incremental.run_available(out, path, shared_dir(spark, "stream-dedup-state"))
+    return spark.read.schema(out.schema).parquet(path).select("pid", "attempt_index")
 
 
 def _ends(spark, d):
     spark.conf.set(STATE_STORE_KEY, ROCKSDB_PROVIDER)
-    out = live.conversation_ends(tokens(spark, d), DELAY)
-    return _finish(spark, out, "stream-ends").select(*KEYS, "reason", _millis("started"), _millis("ended"), "n_tokens")
+    return _finish(spark, lambda t: live.conversation_ends(t, DELAY), tokens(spark, d), "stream-ends").select(*KEYS, "reason", _millis("started"), _millis("ended"), "n_tokens")
 
 
 def _incremental(spark, d):
@@ -105,40 +104,38 @@ QUERIES = {
     "stream_incremental": _incremental,
 }
 
-_TOK = """tok AS (SELECT run, conv_index, role, seg_id AS seq, start_ms AS ms, concat('w', CAST(seg_id % 10 AS VARCHAR), CASE WHEN seg_id % 97 = 0 THEN '[END]' ELSE '' END) AS text FROM seg),
-    wm AS (SELECT max(ms) - 10000 AS wm FROM tok)"""
+_TOK = """tok AS (SELECT run, conv_index, role, seg_id AS seq, start_ms AS ms, concat('w', CAST(seg_id % 10 AS VARCHAR), CASE WHEN seg_id % 97 = 0 THEN '[END]' ELSE '' END) AS text FROM seg)"""
 
 ORACLES = {
     "stream_segments": with_ctes(
         "seg",
         f"""WITH {_TOK}, f AS (SELECT *, CAST(coalesce(ms - lag(ms) OVER w > 1000, FALSE) AS INT) AS o FROM tok WINDOW w AS (PARTITION BY run, conv_index, role ORDER BY ms, seq)),
         g AS (SELECT *, sum(o) OVER (PARTITION BY run, conv_index, role ORDER BY ms, seq) AS no FROM f)
-        SELECT run, conv_index, role, min(ms) AS start_ts, max(ms) AS end_ts, string_agg(text, '' ORDER BY ms, seq) AS text FROM g, wm
-        GROUP BY run, conv_index, role, no, wm HAVING max(ms) + 1000 <= wm""",
+        SELECT run, conv_index, role, min(ms) AS start_ts, max(ms) AS end_ts, string_agg(text, '' ORDER BY ms, seq) AS text FROM g
+        GROUP BY run, conv_index, role, no""",
     ),
     "stream_windows": with_ctes(
         "seg",
         f"""WITH {_TOK} SELECT run, conv_index, ms // 30000 * 30000 AS window_start, count(*) AS n_frames,
-        {", ".join(f"count(*) FILTER (WHERE seq % 5 = {i}) AS {x}" for i, x in enumerate(I.LABEL_NAMES))} FROM tok, wm
-        GROUP BY 1, 2, 3, wm HAVING ms // 30000 * 30000 + 30000 <= wm""",
+        {", ".join(f"count(*) FILTER (WHERE seq % 5 = {i}) AS {x}" for i, x in enumerate(I.LABEL_NAMES))} FROM tok
+        GROUP BY 1, 2, 3""",
     ),
     "stream_sliding": with_ctes(
         "seg",
         f"""WITH {_TOK}, c AS (SELECT run, conv_index, (ms // 5000 - k) * 5000 AS chunk_start, ms, seq FROM tok, range(5) r(k))
         SELECT run, conv_index, chunk_start, count(*) AS n_frames, count(*) FILTER (WHERE ms >= chunk_start + 20000) AS n_fresh,
-        CAST(sum(seq) FILTER (WHERE ms >= chunk_start + 20000) AS BIGINT) AS fresh_sum, CAST(sum(seq) AS BIGINT) AS chunk_sum FROM c, wm
-        GROUP BY 1, 2, 3, wm HAVING chunk_start + 25000 <= wm""",
+        CAST(sum(seq) FILTER (WHERE ms >= chunk_start + 20000) AS BIGINT) AS fresh_sum, CAST(sum(seq) AS BIGINT) AS chunk_sum FROM c
+        GROUP BY 1, 2, 3""",
     ),
     "stream_dedup": with_ctes("seg", "SELECT DISTINCT concat(run, '-', CAST(conv_index AS VARCHAR)) AS pid, CAST(start_ms // 60000 AS INT) AS attempt_index FROM seg"),
     # The end is the first of: end token, a silence of 10 s, 300 s of length; a
-    # conversation still open when the stream stops ends once the watermark passes.
+    # conversation still open when the input ends falls silent.
     "stream_ends": with_ctes(
         "seg",
         f"""WITH {_TOK}, n AS (SELECT *, lead(ms) OVER (PARTITION BY run, conv_index ORDER BY ms, seq) AS nxt, row_number() OVER (PARTITION BY run, conv_index ORDER BY ms, seq) AS pos,
         min(ms) OVER (PARTITION BY run, conv_index) AS started FROM tok),
         e AS (SELECT *, CASE WHEN text LIKE '%[END]%' THEN 'end_token' WHEN nxt IS NULL OR nxt - ms >= 10000 THEN 'silence' END AS reason FROM n)
-        SELECT run, conv_index, reason, started, CASE reason WHEN 'silence' THEN ms + 10000 ELSE ms END AS ended, pos AS n_tokens FROM e, wm WHERE reason IS NOT NULL
-        AND (nxt IS NOT NULL OR reason = 'end_token' OR ms + 10000 <= wm) QUALIFY row_number() OVER (PARTITION BY run, conv_index ORDER BY pos) = 1""",
+        SELECT run, conv_index, reason, started, CASE reason WHEN 'silence' THEN ms + 10000 ELSE ms END AS ended, pos AS n_tokens FROM e WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run, conv_index ORDER BY pos) = 1""",
     ),
     "stream_incremental": "SELECT user_id, count(*) AS n, max(event_id) AS last_event, CASE WHEN user_id % 9 = 0 THEN 'error' ELSE 'ok' END AS status FROM events GROUP BY user_id",
 }

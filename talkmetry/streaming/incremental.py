@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmetry.operators.work import last_wins
+from talkmetry.streaming.live import mark_end
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> None:
@@ -23,6 +24,16 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, fmt: str = "par
     query.awaitTermination()
 
 
+def run_to_end(stream: DataFrame, path: str, checkpoint: str, marker: str) -> None:
+    """Process a finished input: all there is, then the end marker, which closes what is open.
+
+    ``stream`` reads its input through ``live.with_end_marker(..., marker)``.
+    """
+    run_available(stream, path, checkpoint)
+    mark_end(stream.sparkSession, marker)
+    run_available(stream, path, checkpoint)
+
+
 def score_stream(
     convs: DataFrame,
     score: Callable[[DataFrame], DataFrame],

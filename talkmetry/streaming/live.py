@@ -1,7 +1,9 @@
 """Live conversations as Structured Streaming jobs.
 
 The batch rules apply unchanged; a watermark (which the batch form does not need)
-bounds the state and decides when a result is final.
+bounds the state and decides when a result is final. What is still open when the input
+ends is closed by an end marker: one row far in the future that moves the watermark past
+everything and takes no part in any result (``with_end_marker``, ``mark_end``).
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BooleanType,
@@ -33,6 +35,31 @@ from talkmetry.constants import (
 from talkmetry.functions.text import strip
 
 CONV = ("run", "conv_index")
+END_OF_INPUT = "2200-01-01 00:00:00"
+FORGET_MS = 86_400_000
+
+
+def with_end_marker(stream: DataFrame, folder: str) -> DataFrame:
+    """``stream`` (with its time in ``ts``) followed by whatever ``mark_end`` puts into ``folder``."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], "ts timestamp").write.mode("append").parquet(folder)
+    marker = spark.readStream.schema("ts timestamp").parquet(folder)
+    return stream.unionByName(marker, allowMissingColumns=True)
+
+
+def mark_end(spark: SparkSession, folder: str) -> None:
+    """The input is complete: the next run of the query emits what is still open."""
+    spark.range(1).select(F.lit(END_OF_INPUT).cast("timestamp").alias("ts")).write.mode("append").parquet(folder)
+
+
+def _watched(stream: DataFrame, delay: str) -> DataFrame:
+    """Watermark over all rows; the end marker goes no further. The condition names the time
+    column, so it is applied behind the watermark."""
+    return stream.withWatermark("ts", delay).filter(_before_end())
+
+
+def _before_end() -> Column:
+    return F.col("ts") < F.lit(END_OF_INPUT).cast("timestamp")
 
 
 def token_segments(tokens: DataFrame, delay: str = "10 seconds", gap_ms: int = SEGMENT_SILENCE_MS) -> DataFrame:
@@ -44,7 +71,7 @@ def token_segments(tokens: DataFrame, delay: str = "10 seconds", gap_ms: int = S
     """
     session = F.session_window("ts", f"{gap_ms} milliseconds")
     return (
-        tokens.withWatermark("ts", delay)
+        _watched(tokens, delay)
         .groupBy(*CONV, "role", session.alias("w"))
         .agg(
             F.min("ts").alias("start_ts"),
@@ -61,7 +88,7 @@ def label_windows(labels: DataFrame, delay: str = "10 seconds", window_ms: int =
     """Counts per label in non-overlapping event-time windows."""
     w = F.window("ts", f"{window_ms} milliseconds")
     return (
-        labels.withWatermark("ts", delay)
+        _watched(labels, delay)
         .groupBy(*CONV, w.alias("w"))
         .agg(F.count(F.lit(1)).alias("n_frames"), *[F.count_if(F.col("label") == x).alias(x) for x in FRAME_LABELS])
         .select(*CONV, F.col("w.start").alias("window_start"), "n_frames", *FRAME_LABELS)
@@ -74,7 +101,7 @@ def sliding_means(frames: DataFrame, value: str, delay: str = "30 seconds") -> D
     w = F.window("ts", f"{size} milliseconds", f"{CHUNK_STEP_MS} milliseconds")
     fresh = F.col("ts") >= F.col("w.end") - F.expr(f"INTERVAL {CHUNK_STEP_MS / 1000} SECONDS")
     return (
-        frames.withWatermark("ts", delay)
+        _watched(frames, delay)
         .withColumn("w", w)
         .groupBy(*CONV, "w")
         .agg(
@@ -117,11 +144,13 @@ def conversation_ends(
     delay: str = "10 seconds",
     max_duration_ms: int = MAX_DURATION_MS,
     silence_ms: int = SILENCE_TIMEOUT_MS,
+    forget_ms: int = FORGET_MS,
 ) -> DataFrame:
     """One row when a conversation ends: end token, maximum length, or silence.
 
     State is four numbers per conversation. Tokens are taken in time order within a
-    micro-batch; those after the end are ignored. An event-time timer at ``last +
+    micro-batch; those after the end are ignored until the conversation is forgotten, ``forget_ms`` after it ended,
+    which keeps the state from growing for ever. An event-time timer at ``last +
     silence`` fires when the watermark passes it. One conversation's share of a batch is
     held in memory, so bound the batch at the source (``maxBytesPerTrigger``). Needs the
     RocksDB state store (``session.STATE_STORE_KEY``).
@@ -133,8 +162,14 @@ def conversation_ends(
             self.handle = handle
             self.state = handle.getValueState("conversation", _STATE)
 
+        def _wake_at(self, us: int) -> None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(-(-us // 1000))
+
         def _finish(self, key, reason, first, end, n) -> pd.DataFrame:
             self.state.update((first, end, n, True))
+            self._wake_at(end + forget_ms * 1000)
             stamp = lambda us: pd.Timestamp(us, unit="us")
             return pd.DataFrame(
                 [[key[0], key[1], reason, stamp(first), stamp(end), n]], columns=[f.name for f in ENDED.fields]
@@ -161,14 +196,14 @@ def conversation_ends(
                     yield self._finish(key, "end_token", first, us, n)
                     return
             self.state.update((first, last, n, False))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            due = min(last + silence_ms * 1000, first + max_duration_ms * 1000)
-            self.handle.registerTimer(-(-due // 1000))
+            self._wake_at(min(last + silence_ms * 1000, first + max_duration_ms * 1000))
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            if not self.state.exists():
+                return
             first, last, n, done = self.state.get()
             if done:
+                self.state.clear()
                 return
             quiet, longest = last + silence_ms * 1000, first + max_duration_ms * 1000
             if quiet <= longest:
@@ -180,7 +215,7 @@ def conversation_ends(
             pass
 
     return (
-        tokens.withWatermark("ts", delay)
+        _watched(tokens, delay)
         .groupBy(*CONV)
         .transformWithStateInPandas(
             statefulProcessor=Ends(), outputStructType=ENDED, outputMode="Append", timeMode="EventTime"
