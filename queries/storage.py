@@ -3,6 +3,7 @@ and sinks under test read and write it in the shared folder."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -62,6 +63,24 @@ def _strict(spark, d):
     return lines.read_strict(spark, path + "/*", TURN).select("conv_index", "turn", "role", "text")
 
 
+def _auto_scan(spark, d):
+    """The turns once as JSON lines and once as whole files that hold an array of some conversations each."""
+    path = shared_dir(spark, "lines")
+    _lines(spark, d, path, False)
+    as_lines = lines.read_json(spark, path + "/*", TURN, multi_line=False)
+    record = F.to_json(F.struct(F.when(F.col("turn") < 2, F.col("conv_id")).alias("conv_index"), "turn", "role", "text"))
+    turns = I.table(spark, d, "conversations").select(F.expr("conv_id div 20").alias("file"), "conv_id", "turn", record.alias("value"))
+    number = F.row_number().over(Window.partitionBy("file").orderBy("conv_id", "turn"))  # a file is twenty conversations
+    body = turns.withColumn("n", number).select("file", "n", F.concat(F.when(F.col("n") == 1, F.lit("[")).otherwise(F.lit(",")), "value").alias("value"))
+    close = turns.select("file").distinct().select("file", F.lit(2**31 - 1).alias("n"), F.lit("]").alias("value"))
+    arrays = shared_dir(spark, "arrays")
+    files = body.unionByName(close).repartition("file").sortWithinPartitions("file", "n")
+    files.select("file", "value").write.partitionBy("file").text(arrays)
+    whole = lines.read_json(spark, arrays + "/*", TURN, multi_line=True)
+    columns = ["conv_index", "turn", "role", "text"]
+    return as_lines.select(F.lit("lines").alias("form"), *columns).union(whole.select(F.lit("array").alias("form"), *columns))
+
+
 def _aligned(spark, d):
     path = shared_dir(spark, "lines")
     _lines(spark, d, path, True)
@@ -146,6 +165,7 @@ QUERIES = {
     "jsonl_tolerant": lambda s, d: _tolerant(s, d, 0),
     "jsonl_quarantine": lambda s, d: _tolerant(s, d, 1),
     "jsonl_strict": _strict,
+    "json_auto_scan": _auto_scan,
     "dense_index": _dense,
     "aligned_last_wins": _aligned,
     "run_discovery": _run_dirs,
@@ -165,6 +185,7 @@ ORACLES = {
     "jsonl_quarantine": """SELECT turn, length(to_json({'conv_index': conv_index, 'turn': turn, 'role': role, 'text': text}))
         - CASE WHEN conv_index IS NULL THEN length('"conv_index":null,') ELSE 0 END - 1 AS chars FROM (SELECT CASE WHEN turn < 2 THEN conv_id END AS conv_index, * FROM conversations) WHERE conv_id % 9 = 0""",
     "jsonl_strict": f"SELECT conv_index, turn, role, text FROM ({_STORED})",
+    "json_auto_scan": f"SELECT form, conv_index, turn, role, text FROM ({_STORED}) CROSS JOIN (SELECT unnest(['lines', 'array']) AS form)",
     "dense_index": f"""WITH s AS (SELECT *, conv_id % 5 AS run, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id, turn) - 1 AS position FROM ({_STORED}) WHERE conv_id % 9 <> 0)
         SELECT run, turn, role, coalesce(conv_index, position) AS conv_index, position FROM s""",
     "aligned_last_wins": f"""SELECT conv_index, turn, role, text FROM ({_STORED}) WHERE conv_id % 9 <> 0 AND conv_index IS NOT NULL

@@ -75,6 +75,11 @@ def _emd_matrix(spark, d):
     return D.pair_matrix(D.distances(counts, REFERENCE), ["x", "y"])
 
 
+def _blocks(spark, d):
+    """Scores in blocks of 25 conversations, few enough for the exact distribution."""
+    return I.paired(spark, d).select("run", "conv_index", F.expr("conv_index div 25").alias("block"), F.col("pq").alias("score"))
+
+
 QUERIES = {
     "system_means_ci": lambda s, d: C.means_ci(I.scores(s, d), ["run", "channel", "axis"]),
     "fi_summary": _fi_summary,
@@ -91,6 +96,7 @@ QUERIES = {
         "channel", "axis", "system_a", "system_b", "n_pairs", "n_nonzero", "w_plus", "w_minus"
     ),
     "paired_wilcoxon": lambda s, d: C.paired_wilcoxon(I.scores(s, d), method="approx"),
+    "paired_wilcoxon_exact": lambda s, d: C.paired_wilcoxon(materialize(_blocks(s, d), "score-blocks"), ["block"]),
     "pairwise_matrix": lambda s, d: C.symmetric_matrix(C.paired_wilcoxon(I.scores(s, d), method="approx"), RUNS),
     "ks_emd_js": lambda s, d: D.distances(counts(s, d), REFERENCE),
     "ecdf": lambda s, d: D.ecdf(D.value_counts(samples(s, d))),
@@ -123,8 +129,8 @@ def _p(z: str) -> str:
     return f"{poly} * exp(-{x} * {x})"
 
 
-def _wilcoxon(source: str, family: str, out: str) -> str:
-    """Average ranks by rank() and group size, then Holm as a maximum over smaller p."""
+def _wilcoxon(source: str, family: str, out: str, exact: str = "") -> str:
+    """Average ranks by rank() and group size, then Holm as a maximum over smaller p; ``exact`` is a case before the approximation."""
     join = " AND ".join(f"a.{c.strip()} = b.{c.strip()}" for c in family.split(","))
     fa = ", ".join(f"a.{c.strip()}" for c in family.split(","))
     pair = f"{family}, system_a, system_b"
@@ -139,7 +145,7 @@ def _wilcoxon(source: str, family: str, out: str) -> str:
         JOIN (SELECT DISTINCT {family}, run FROM {source}) b ON {join} AND a.run < b.run),
     pr AS (SELECT {", ".join("grid." + c.strip() for c in pair.split(","))}, coalesce(n_pairs, 0) AS n_pairs,
         CASE WHEN n_pairs >= 2 THEN least(w_plus, w_minus) END AS W,
-        CASE WHEN n_pairs >= 2 AND n IS NULL THEN 1.0::DOUBLE WHEN n_pairs >= 2 THEN {_p("((least(w_plus, w_minus) - n * (n + 1.0::DOUBLE) / 4) / sqrt((n * (n + 1.0::DOUBLE) * (2 * n + 1) - 0.5::DOUBLE * tie) / 24))")} END AS p_raw
+        CASE WHEN n_pairs >= 2 AND n IS NULL THEN 1.0::DOUBLE {exact} WHEN n_pairs >= 2 THEN {_p("((least(w_plus, w_minus) - n * (n + 1.0::DOUBLE) / 4) / sqrt((n * (n + 1.0::DOUBLE) * (2 * n + 1) - 0.5::DOUBLE * tie) / 24))")} END AS p_raw
         FROM grid LEFT JOIN np USING ({pair}) LEFT JOIN ws USING ({pair})),
     hs AS (SELECT *, count(*) OVER (PARTITION BY {family}) - row_number() OVER w + 1 AS mult,
         row_number() OVER w AS pos FROM pr WINDOW w AS (PARTITION BY {family} ORDER BY coalesce(p_raw, 1.0), system_a, system_b)),
@@ -147,6 +153,12 @@ def _wilcoxon(source: str, family: str, out: str) -> str:
     {out} AS (SELECT {pair}, n_pairs, W, round(p_raw, 6) AS p_raw, round(adj, 6) AS p_holm, coalesce(adj <= 0.05, FALSE) AS significant_at_05 FROM hm)"""
 
 
+#: ways.l[s + 1] is the number of subsets of 1 to n with sum s.
+_WAYS = """ways AS (SELECT 0 AS n, list_transform(range(326), lambda s: CASE WHEN s = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS l
+    UNION ALL SELECT n + 1, list_transform(range(326), lambda s: l[s + 1] + CASE WHEN s > n THEN l[s - n] ELSE 0.0::DOUBLE END) FROM ways WHERE n < 25)"""
+_EXACT = """WHEN n_pairs >= 2 AND tie = 0 AND n = n_pairs THEN (SELECT least(1.0::DOUBLE, 2 * list_sum(l[1:CAST(least(w_plus, w_minus) AS BIGINT) + 1]) / pow(2.0::DOUBLE, n_pairs)) FROM ways WHERE ways.n = n_pairs)"""
+
+
 def _after(ctes: str, more: str, body: str) -> str:
     return with_ctes(ctes, f"WITH {more}\n{body}")
 
@@ -227,6 +239,9 @@ ORACLES = {
         _wilcoxon("scores", "channel, axis", "res"),
         "SELECT channel, axis, system_a, system_b, n_pairs, n AS n_nonzero, w_plus, w_minus FROM np LEFT JOIN ws USING (channel, axis, system_a, system_b)",
     ),
+    "paired_wilcoxon_exact": _after(
+        "paired", f"{_WAYS},\nblk AS (SELECT run, conv_index, conv_index // 25 AS block, pq AS score FROM paired),\n" + _wilcoxon("blk", "block", "res", _EXACT), "SELECT * FROM res"
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "paired_wilcoxon": _after("scores", _wilcoxon("scores", "channel, axis", "res"), "SELECT * FROM res"),
     "pairwise_matrix": _after(
         "scores",

@@ -204,6 +204,7 @@ QUERIES = {
     "conversations_per_run": lambda s, d: W.conversations_per_run(I.segments(s, d)),
     "numeric_leaf_rollup": lambda s, d: L.leaf_rollup(L.numeric_leaves(_nested(s, d), "r", ["event_id"])),
     "numeric_leaf_json": lambda s, d: L.leaf_rollup(L.numeric_leaves_json(_nested(s, d).withColumn("r", F.to_json("r")), "r", ["event_id"])),
+    "text_leaf_rows": lambda s, d: L.text_leaves(_nested(s, d).withColumn("r", F.struct(F.struct("r.stats.kind", F.format_string("%.2f", "r.stats.value").alias("value")).alias("stats"), "r.meta")), "r", ["event_id"]),
     "detail_rows": lambda s, d: L.detail_rows(records(s, d)).select(*_DETAIL),
     "detail_summary": lambda s, d: run_summary(L.detail_rows(records(s, d)), ["num_segments", "tutor_talk_ratio", "silence_ratio", "overall", "answer_correctness"], by=("run_name",)),
     "wide_quality": lambda s, d: L.wide_quality(I.quality(s, d)).select("run", "conv_index", "ab_tutor_PQ", "ab_student_PQ", "ab_tutor_CE", "ab_mixed_PQ"),
@@ -274,6 +275,10 @@ ORACLES = {
     "conversations_per_run": with_ctes("seg", "SELECT run, count(DISTINCT conv_index) AS n_conversations FROM seg GROUP BY run"),
     "numeric_leaf_rollup": _ROLL,
     "numeric_leaf_json": _ROLL,
+    "text_leaf_rows": """SELECT * FROM (SELECT event_id, 'stats.kind' AS path, event_type AS text FROM events
+        UNION ALL SELECT event_id, 'stats.value', printf('%.2f', value) FROM events
+        UNION ALL SELECT event_id, 'meta.props.k', json_extract_string(props, '$.k') FROM events
+        UNION ALL SELECT event_id, 'meta.user', CAST(user_id AS VARCHAR) FROM events WHERE event_id % 3 = 0) WHERE text IS NOT NULL""",
     "detail_rows": _BOTH
     + """SELECT s.run AS run_name, s.conv_index, CAST(s.conv_index AS VARCHAR) AS pid, duration_s, CAST(num_segments AS DOUBLE) AS num_segments, tutor_talk_ratio,
         latency_p90_s, silence_ratio, CAST(s.conv_index % 6 AS DOUBLE) AS overall, CAST(NULL AS DOUBLE) AS answer_correctness, CAST(NULL AS DOUBLE) AS mean_component_score

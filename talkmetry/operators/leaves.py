@@ -48,6 +48,14 @@ def numeric_leaves(results: DataFrame, column: str, keys: Sequence[str]) -> Data
     )
 
 
+def text_leaves(results: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
+    """All leaves with their text: (keys, path, text), numbers in Spark's own spelling. Null leaves are left out."""
+    leaves = struct_leaves(results.schema[column].dataType, "", strings=True)
+    items = [F.struct(F.lit(path).alias("path"), F.col(f"{column}.{source}").cast("string").alias("text")) for path, source in leaves]
+    rows = results.select(*keys, F.explode(F.array(*items)).alias("l")).select(*keys, "l.*")
+    return rows.filter(F.col("text").isNotNull())
+
+
 _LEAF = ArrayType(
     StructType(
         [

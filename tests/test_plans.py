@@ -66,3 +66,26 @@ def test_a_key_over_several_batches_is_scored_as_a_whole(spark, tmp_path):
     incremental.score_stream(stream, score, str(tmp_path / "out"), str(tmp_path / "state"), ["k"])
     got = {r["k"]: (r["n"], r["s"]) for r in incremental.latest_results(spark, str(tmp_path / "out"), ["k"]).collect()}
     assert got == {k: (len(range(k, 75, 7)), sum(range(k, 75, 7))) for k in range(7)}
+
+
+def test_streams_over_several_files_end_like_the_batch(spark, tmp_path):
+    """One file per batch; the last segment and conversation are closed by the end marker only."""
+    from talkmetry.streaming import incremental, live
+
+    base = 1_704_067_200_000
+    said = [("r", 1, t, i) for i, t in enumerate((0, 400, 1400, 2500, 3000, 30_000, 30_500))] + [("r", 2, 29_000 + 900 * i, 10 + i) for i in range(4)]
+    for lo, hi in ((0, 1000), (1000, 29_500), (29_500, 40_000)):
+        part = spark.createDataFrame([(r, c, t, s) for r, c, t, s in said if lo <= t < hi], "run string, conv_index long, t long, seq long").coalesce(1)
+        part.selectExpr("run", "conv_index", "'tutor' AS role", "concat('w', seq) AS text", "seq", f"timestamp_millis({base} + t) AS ts").write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run(build, name):
+        schema = "run string, conv_index long, role string, text string, seq long, ts timestamp"
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        out = build(live.with_end_marker(source, str(tmp_path / f"{name}-end")))
+        incremental.run_to_end(out, str(tmp_path / name), str(tmp_path / f"{name}-state"), str(tmp_path / f"{name}-end"))
+        return spark.read.schema(out.schema).parquet(str(tmp_path / name))
+
+    segments = run(live.token_segments, "segments")
+    assert rows(segments, "conv_index", "text") == [(1, "w0w1w2"), (1, "w3w4"), (1, "w5w6"), (2, "w10w11w12w13")]
+    ends = run(live.conversation_ends, "ends")
+    assert rows(ends, "conv_index", "reason", "n_tokens") == [(1, "silence", 5), (2, "silence", 4)]
