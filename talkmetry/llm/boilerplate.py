@@ -5,7 +5,8 @@ built before the shuffle and merged by the aggregation, so a line on a third of
 The estimate decides lines far from the threshold; lines within ``MARGIN`` of it get an exact distinct count. Lines
 are told apart by two independent 64-bit hashes of the line without outer white space.
 
-Lines with fewer than ``MIN_WORDS`` words repeat by chance and are never boilerplate. The first occurrence (smallest
+``strip_documents``, the pipeline's form, lets the distinct sites decide for every line that is not blank. ``line_report`` is held to
+its check SQL, which leaves lines with fewer than ``MIN_WORDS`` words in place whatever their spread. The first occurrence (smallest
 id, then line number) of a boilerplate line stays, so a copied document survives once. Null text has no lines; a null
 site counts as one site of its own; of rows that repeat an id, a line's first occurrence is kept in each of them
 (they are the same document). Other columns pass through.
@@ -30,17 +31,17 @@ def _trimmed(line: str) -> str:
     return f"regexp_replace({line}, '^[\\\\x20\\\\x09-\\\\x0D]+|[\\\\x20\\\\x09-\\\\x0D]+$', '')"
 
 
-def _lines(docs: DataFrame, site: Column) -> DataFrame:
-    """doc_id, site, line number and the two hashes of every line that is long enough."""
+def _lines(docs: DataFrame, site: Column, min_words: int) -> DataFrame:
+    """doc_id, site, line number and the two hashes of every line of ``min_words`` words or more."""
     body = docs.select("doc_id", F.coalesce(site.cast("string"), F.lit("\0null")).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    body = body.where(F.expr(f"raw rlike '(?:[^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]+){{{MIN_WORDS - 1}}}[^\\\\x20\\\\x09-\\\\x0D]'"))
+    body = body.where(F.expr(f"raw rlike '(?:[^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]+){{{min_words - 1}}}[^\\\\x20\\\\x09-\\\\x0D]'"))
     body = body.withColumn("line", F.expr(_trimmed("raw")))
     return body.select("doc_id", "site", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("other"), "line").alias("g"))
 
 
-def spread_lines(docs: DataFrame, site: Column, sites: int = SITES) -> DataFrame:
+def spread_lines(docs: DataFrame, site: Column, sites: int = SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """(h, g, first_doc, first_line): lines on at least ``sites`` sites, with their first occurrence."""
-    lines = _lines(docs, site)
+    lines = _lines(docs, site, min_words)
     per_line = lines.groupBy("h", "g").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("estimate"),
         F.count(F.lit(1)).alias("n"),
@@ -57,14 +58,14 @@ def spread_lines(docs: DataFrame, site: Column, sites: int = SITES) -> DataFrame
     return likely.join(sure, ["h", "g"], "left_semi").select("h", "g", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"))
 
 
-def strip_lines(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
+def strip_lines(docs: DataFrame, site: str = "source", sites: int = SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with boilerplate lines cut from ``text`` and the added columns n_lines and n_removed.
 
     The line numbers to cut travel to the document, not the lines: one short row per cut, one array per document.
     """
-    spread = spread_lines(docs, F.col(site), sites)
+    spread = spread_lines(docs, F.col(site), sites, min_words)
     cuts = (
-        _lines(docs, F.col(site)).select("doc_id", "line_no", "h", "g").join(spread, ["h", "g"])
+        _lines(docs, F.col(site), min_words).select("doc_id", "line_no", "h", "g").join(spread, ["h", "g"])
         .where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))))
         .groupBy(F.col("doc_id").alias("_cut_id")).agg(F.collect_set("line_no").alias("_cut"))
     )
@@ -86,7 +87,7 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 def strip_documents(docs: DataFrame) -> DataFrame:
     """The documents without boilerplate lines; one that consisted of nothing else is dropped. Columns as given."""
-    out = strip_lines(docs)
+    out = strip_lines(docs, min_words=1)
     out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))

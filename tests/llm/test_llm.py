@@ -137,6 +137,14 @@ def test_line_dedup_odd(spark, odd, empty):
     assert boilerplate.line_report(empty).count() == 0
 
 
+def test_line_dedup_of_short_lines_in_the_pipeline(spark):
+    """A three-word licence line and a one-word line on six sites go, but for their first place; on four sites they stay."""
+    rows = [(i, f"own text of number {i} here\n \nAll rights reserved.\nIt." + ("\nOn four sites" if i < 4 else ""), f"s{i}") for i in range(6)]
+    kept = by_id(boilerplate.strip_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert kept[0]["text"] == rows[0][1]
+    assert all(kept[i]["text"] == f"own text of number {i} here\n " + ("\nOn four sites" if i < 4 else "") for i in range(1, 6))
+
+
 def test_line_dedup_near_threshold(spark):
     rows = [(k * 100 + s, f"line number {k} of its kind", f"site{s}") for k in range(3, 8) for s in range(k)]
     got = boilerplate.spread_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), F.col("source"))
