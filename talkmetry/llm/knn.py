@@ -3,7 +3,8 @@
 Components become ``floor(64 * x)``, so scores are integers and ties are real. Pivots, a sample of distinct
 vectors, cut queries and data into Voronoi cells.
 
-* *Summary.* Per data cell: its rows, its radius, and the distances of its k + 1 nearest members to the pivot.
+* *Summary.* Per data cell: its rows, its radius, and the distances of its k + 1 nearest members to the pivot. A repeated id is a member
+  once in all cells, with its nearest row, so that of any k + 1 members at most one is the query's own.
 * *Bound.* For a query at pivot q0 and distance d of it, any vector x of cell p scores at least ``<q, p> - |q| r`` for its distance
   r to p, and at most ``<q, p> + |q| R`` for the radius R. The (k + 1) best of the lower bounds are certain, so a cell whose upper
   bound lies below the last of them holds nothing for the query (one more than k, as a query does not count itself).
@@ -85,18 +86,19 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 20) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(cell, type=pa.int32()), pa.array(far), batch.column("v").cast(arrow.field("v").type)], schema=arrow)
 
     placed = store(data.mapInArrow(to_cells, with_vectors), "cells")
-    # Nearest k + 1 members of every cell: the window's limit is applied before the shuffle as well.
+    # One row of every id; then the nearest k + 1 members of every cell: the window's limit is applied before the shuffle as well.
     by_cell = Window.partitionBy("cell").orderBy("far", "vec_id")
-    close = placed.select("cell", "far", "vec_id").withColumn("n", F.row_number().over(by_cell)).where(F.col("n") <= k + 1)
+    members = placed.groupBy("vec_id").agg(F.min(F.struct("far", "cell")).alias("at")).select("at.cell", "at.far", "vec_id")
+    close = members.withColumn("n", F.row_number().over(by_cell)).where(F.col("n") <= k + 1)
     summary = (
         placed.groupBy("cell").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("rows"))
-        .join(close.groupBy("cell").agg(F.array_sort(F.collect_list("far")).alias("near")), "cell").orderBy("cell").toArrow()
+        .join(close.groupBy("cell").agg(F.array_sort(F.collect_list("far")).alias("near")), "cell", "left").orderBy("cell").toArrow()
     )  # at most MAX_PIVOTS rows of k + 3 numbers
     cells = summary.column("cell").to_numpy()
     radius = summary.column("radius").to_numpy()
     near = np.full((len(cells), k + 1), np.inf)
     for i, d in enumerate(summary.column("near").to_pylist()):
-        near[i, : len(d)] = d
+        near[i, : len(d or ())] = d or ()
     shared = spark.sparkContext.broadcast((cells, radius, near))
 
     sent_schema = StructType.fromDDL("cell int, query_id long, q array<bigint>")

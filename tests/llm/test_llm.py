@@ -339,6 +339,19 @@ def test_top_k(spark, sf, case, monkeypatch):
     assert knn.top_k(vectors.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark):
+    """Ids stored more than k times, in one cell and over several: their own rows do not count as certain answers."""
+    r = np.random.default_rng(8)
+    spots = [[3.0, 3.0, 3.0, 3.0], [3.0, 3.0, 3.0, -3.0], *r.integers(-1, 2, (12, 4)).astype(float).tolist()]
+    rows = [(0, spots[0])] * 30 + [(20, spots[1])] * 25 + [(20, spots[2])] * 2 + [(40, spots[1])] * 2 + [(i, spots[2 + i % 12]) for i in range(100, 400)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = []
+    for q in sorted({i for i, _ in rows if i % 20 == 0}):
+        best = sorted((-int(64 * 64 * np.dot(v, w)), j) for i, v in rows if i == q for j, w in rows if j != q)[:20]
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert sorted(tuple(x) for x in knn.top_k(vectors).collect()) == want
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
