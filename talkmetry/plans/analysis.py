@@ -21,7 +21,8 @@ def score_turn_taking(
     """Events, cues, cells and timing samples of every conversation with frames.
 
     ``intervals``: run, conv_index, role, start_ms, end_ms (words, or segments without
-    timed words). ``frames``: run, conv_index, frame, t_ms and the four probabilities.
+    timed words). ``frames``: run, conv_index, frame, t_ms and the four probabilities, on any
+    grid: an event whose frame is missing reads the nearest one, so ``step_ms`` decides nothing here.
     """
     runs = materialize(timing.speech_runs(intervals, th.merge_gap_ms), "speech-runs")
     spans = frames.groupBy(*KEYS).agg(F.min("t_ms").alias("t_lo"), F.max("t_ms").alias("t_hi"))
@@ -30,7 +31,7 @@ def score_turn_taking(
     found = materialize(events.turn_events(runs, spans, th, hot), "turn-events")
     start = spans.select(*KEYS, "t_lo")
     kept = events.kept_events(found).join(start, list(KEYS))
-    scored = events.read_frames(kept, frames, step_ms, th.read_smooth_frames).drop("t_lo")
+    scored = events.nearest_frames(kept, frames, smooth=th.read_smooth_frames).drop("t_lo", "frame_ms")
     classified = materialize(events.classify_events(scored, th), "classified-events")
     return {
         "events": classified.withColumn("thresholds", timing.thresholds_column(th)),

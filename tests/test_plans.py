@@ -27,6 +27,17 @@ def test_score_and_compare(spark, sf):
     assert spark.read.parquet(path).count() == scored["cells"].count()
 
 
+def test_no_event_is_lost_where_frames_are_missing(spark, sf):
+    frames = I.frames(spark, sf).filter("frame % 10 <> 3")
+    scored = analysis.score_turn_taking(I.segments(spark, sf), frames, I.FRAME_STEP_MS)
+    spans = E.frame_ranges(frames).drop("n_frames")
+    kept = E.kept_events(E.turn_events(transcript._runs(spark, sf), spans))
+    by_grid = E.read_frames(kept.join(spans.drop("t_hi"), ["run", "conv_index"]), frames, I.FRAME_STEP_MS)
+    n = scored["events"].count()
+    assert n == kept.count() > by_grid.count()
+    assert rows(scored["events"], "run", "conv_index", "t_ms", "holder", "p_now0") == rows(E.nearest_frames(kept, frames), "run", "conv_index", "t_ms", "holder", "p_now0")
+
+
 def test_missing_components_are_left_out(spark, sf):
     assert set(analysis.compare_systems(samples=systems.samples(spark, sf))) == set()
 
