@@ -13,13 +13,14 @@ vectors, cut queries and data into Voronoi cells.
   queries into blocks of about as many; each pair of blocks gives every query its k best, and a window over those picks the final ones.
 
 The summary has one row per pivot and the pivots are at most ``MAX_PIVOTS``, so both may be broadcast. Vectors that are null, or hold null
-or non-finite components, take no part; so do vectors of another length than most. Rows that repeat an id are separate candidates
+or non-finite components, take no part. Vectors of different lengths are never paired: the join runs once per length. Rows that repeat an id are separate candidates
 but never their own query's answer. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +39,11 @@ _SLACK = 1e-6
 
 
 def scaled(vectors: DataFrame) -> DataFrame:
-    """vec_id and v, the packed integer components, of the rows that take part."""
+    """vec_id, v, the packed integer components, and their number dim, of the rows that take part."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
     rows = vectors.where(F.col("embedding").isNotNull() & F.coalesce(finite, F.lit(False)) & F.col("vec_id").isNotNull() & (F.size("embedding") > 0))
-    rows = rows.select("vec_id", whole.alias("v"), F.size("embedding").alias("dim"))
-    usual = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).select("dim")
-    return rows.join(F.broadcast(usual), "dim").select("vec_id", "v")
+    return rows.select("vec_id", whole.alias("v"), F.size("embedding").alias("dim"))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -69,12 +68,19 @@ def nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def top_k(vectors: DataFrame, k: int = K, every: int = 20) -> DataFrame:
     """query_id, rank, vec_id and score: the k best candidates of every query (ids divisible by ``every``)."""
-    spark = vectors.sparkSession
     data = store(scaled(vectors), "vectors")
-    rows = data.count()
-    result = "query_id long, rank int, vec_id long, score long"
-    if not rows:
-        return spark.createDataFrame([], result)
+    lengths = sorted((r["dim"], r["count"]) for r in data.groupBy("dim").count().collect())  # one row per length
+    if not lengths:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    local = reduce(DataFrame.union, [best_of_blocks(data.where(F.col("dim") == dim).select("vec_id", "v"), rows, k, every) for dim, rows in lengths])
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def best_of_blocks(data: DataFrame, rows: int, k: int, every: int) -> DataFrame:
+    """query_id, vec_id and score: the k best of every query in every block that can matter, of ``rows`` vectors of one length."""
+    spark = data.sparkSession
     pivots = spark.sparkContext.broadcast(pick_pivots(data, rows))
     with_vectors = StructType.fromDDL("vec_id long, cell int, far double, v array<bigint>")
     arrow = to_arrow_schema(with_vectors)
@@ -157,10 +163,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 20) -> DataFrame:
                 found.append((np.full(len(best), mine[i]), ids[best], score[i, best].astype(np.int64)))
         return pa.table({n: np.concatenate([f[j] for f in found]) for j, n in enumerate(none)})
 
-    local = blocks.groupBy("cell", "block", "turn").cogroup(asked.groupBy("cell", "block", "turn")).applyInArrow(solve, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return blocks.groupBy("cell", "block", "turn").cogroup(asked.groupBy("cell", "block", "turn")).applyInArrow(solve, "query_id long, vec_id long, score long")
 
 
 def oracle(table: str = "embeddings", k: int = K, every: int = 20) -> str:

@@ -352,6 +352,17 @@ def test_top_k_of_repeated_ids(spark):
     assert sorted(tuple(x) for x in knn.top_k(vectors).collect()) == want
 
 
+def test_top_k_of_two_lengths(spark):
+    """The rarer length has answers of its own; an id with vectors of both lengths is ranked once."""
+    r = np.random.default_rng(9)
+    rows = [(i, r.integers(-2, 3, 4 if i % 4 else 3).astype(float).tolist()) for i in range(150)] + [(20, [1.0, 2.0, 0.0, 1.0])]
+    want = []
+    for q in sorted({i for i, _ in rows if i % 20 == 0}):
+        best = sorted((-int(64 * 64 * np.dot(v, w)), j) for i, v in rows if i == q for j, w in rows if j != q and len(v) == len(w))[:20]
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert sorted(tuple(x) for x in knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()) == want
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
