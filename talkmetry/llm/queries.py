@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkmetry.llm import boilerplate, knn, minhash, mixing, pieces, quality, rules, secrets, suffixes, templates
+from talkmetry.llm import boilerplate, codes, knn, minhash, mixing, pieces, quality, rules, secrets, suffixes, templates
 from talkmetry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if top not in sys.path:
@@ -65,10 +69,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_repeated_bytes, op2_near_duplicates, op3_line_dedup, op4_source_mix, op5_secret_spans, op6_quality_score,
-    op7_main_text, op8_quality_rules, op9_piece_ids, op10_top_k, pipeline,
+    op7_main_text, op8_quality_rules, op9_piece_ids, op10_top_k, op11_vector_codes, pipeline,
 )}
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": boilerplate.oracle(),
     "op10_top_k": knn.oracle(),
+    "op11_vector_codes": codes.oracle(),
 }

@@ -1,6 +1,9 @@
 """Plain single-machine versions of the operators, for small inputs."""
 
+import hashlib
+import math
 import re
+from fractions import Fraction
 from itertools import combinations
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -81,3 +84,33 @@ def repeats(docs, span=100):
         spans = len([x for x in bytes(gone).split(b"\x00") if x])
         out[d] = (len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone) if not g))
     return out
+
+
+def vector_codes(rows):
+    """(vec_id, code, error, label_error, digest) of (vec_id, vector, label) rows of one length, with Python's integers."""
+    kept = [(i, [math.floor(Fraction(x) * 4096) for x in v], la) for i, v, la in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    size = len(kept[0][1]) // 8
+    first = dict(sorted((i, v) for i, v, _ in kept))
+    books = [[first[i][p * size : p * size + size] for i in sorted(first)[:16]] for p in range(8)]
+
+    def at(v):
+        out = []
+        for p in range(8):
+            far = [sum((a - b) ** 2 for a, b in zip(v[p * size : p * size + size], c)) for c in books[p]]
+            out.append((far.index(min(far)), min(far)))
+        return out
+
+    for _ in range(6):
+        found = [at(v) for _, v, _ in kept]
+        for p in range(8):
+            for e in range(len(books[p])):
+                mine = [v[p * size : p * size + size] for f, (_, v, _) in zip(found, kept) if f[p][0] == e]
+                if mine:
+                    books[p][e] = [sum(c) // len(mine) for c in zip(*mine)]
+    digest = hashlib.sha256(",".join(str(x) for b in books for c in b for x in c).encode()).hexdigest()
+    fits = lambda x: x if x is not None and x < 2**63 else None
+    coded = [(i, "".join(f"{e:02x}" for e, _ in at(v)), fits(sum(d for _, d in at(v))), la) for i, v, la in kept]
+    sums = {}
+    for _, _, e, la in coded:
+        sums[la] = None if e is None or sums.get(la, 0) is None else sums.get(la, 0) + e
+    return [(i, c, e, fits(sums[la]), digest) for i, c, e, la in coded]

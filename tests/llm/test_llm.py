@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
 import __spark_entry__ as entry_module  # noqa: E402
-from talkmetry.llm import boilerplate, common, knn, minhash, mixing, pieces, quality, queries, rules, secrets, suffixes, templates  # noqa: E402
+from talkmetry.llm import boilerplate, codes, common, knn, minhash, mixing, pieces, quality, queries, rules, secrets, suffixes, templates  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, text_a string, n int, part string"
 
@@ -363,6 +363,54 @@ def test_top_k_of_two_lengths(spark):
     assert sorted(tuple(x) for x in knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()) == want
 
 
+def test_limb_products_are_exact():
+    r = random.Random(6)
+    for size, wide in ((12, False), (30, False), (59, False), (100, True)):
+        x, y = ([[r.randrange(-(1 << size), 1 << size) for _ in range(9)] for _ in range(n)] for n in (40, 7))
+        kind = object if size > 62 else np.int64
+        got = codes.dot(np.array(x, dtype=kind), np.array(y, dtype=kind), wide)
+        want = [[sum(a * b for a, b in zip(u, v)) for v in y] for u in x]
+        assert got.tolist() == want if wide else (got.view(np.uint64) == np.array([[w % 2**64 for w in row] for row in want], dtype=np.uint64)).all()
+
+
+def same_codes(df, rows):
+    got = sorted(((r["vec_id"], r["code"], r["error"], r["label_error"], r["codebooks_sha256"]) for r in df.collect()), key=repr)
+    assert got == sorted(brute.vector_codes(rows), key=repr)
+
+
+@pytest.mark.parametrize("case", ["table", "few", "large", "ties", "salted"])
+def test_vector_codes(spark, sf, case, monkeypatch):
+    if case == "salted":
+        monkeypatch.setattr(codes, "FEW_LABELS", 0)
+    r = np.random.default_rng(12)
+    if case in ("table", "salted"):
+        vectors = common.table(spark, sf, "embeddings")
+        rows = [tuple(x) for x in vectors.select("vec_id", "embedding", "label").collect()]
+    else:
+        scale = {"few": 1.0, "large": 3e12, "ties": 1.0}[case]
+        n = 9 if case == "few" else 120
+        rows = [(i, [float(x) * scale for x in (r.integers(-2, 3, 16) if case == "ties" else r.standard_normal(16))], None if i % 3 else i % 2) for i in range(n)]
+        rows += [(-1, None, 1), (-2, [1.0] * 15 + [None], 1), (-3, [float("nan")] * 16, 0), (-4, [float("-inf")] + [0.0] * 15, None), (rows[2][0], rows[2][1], 5)]
+        vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"code": F.lit("x"), "error": F.lit(1), "dim": F.lit(2), "_of": F.lit(3)})
+    same_codes(codes.code_report(vectors), rows)
+
+
+def test_vector_codes_of_odd_lengths(spark):
+    r = np.random.default_rng(13)
+    rows = [(i, r.integers(-3, 4, 3 if i % 5 == 0 else 8).astype(float).tolist(), "ab"[i % 2]) for i in range(60)]
+    got = codes.code_report(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()
+    for dim in (3, 8):
+        mine = [(i, v + [0.0] * (-dim % 8), la) for i, v, la in rows if len(v) == dim]
+        want = {w[0]: w for w in brute.vector_codes(mine)}
+        assert all((g["code"], g["error"], g["codebooks_sha256"]) == (want[g["vec_id"]][1], want[g["vec_id"]][2], want[g["vec_id"]][4]) for g in got if g["vec_id"] in want)
+    assert len(got) == 60 and len({g["label_error"] for g in got}) == 2
+    only = codes.code_report(spark.createDataFrame([(None, [], None), (None, [], 1)], "vec_id long, embedding array<float>, label int")).collect()
+    assert [(g["code"], g["error"], g["label_error"]) for g in only] == [("00" * 8, 0, 0)] * 2
+    assert codes.code_report(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+    huge = codes.code_report(spark.createDataFrame([(i, [1e30 * i] * 8, 1) for i in range(18)], "vec_id long, embedding array<double>, label int")).collect()
+    assert {g["label_error"] for g in huge} == {None} and 0 in {g["error"] for g in huge}
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
@@ -395,5 +443,5 @@ def test_pipeline_odd(spark, sf, odd, empty):
 
 def test_registered(spark):
     names = {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")}
-    assert names == set(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert names == set(range(1, 12)) and "pipeline" in queries.QUERIES
     assert set(queries.QUERIES) <= set(entry_module.queries()) and set(queries.ORACLES) <= set(queries.QUERIES)
