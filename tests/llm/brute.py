@@ -6,6 +6,8 @@ import re
 from fractions import Fraction
 from itertools import combinations
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -114,3 +116,33 @@ def vector_codes(rows):
     for _, _, e, la in coded:
         sums[la] = None if e is None or sums.get(la, 0) is None else sums.get(la, 0) + e
     return [(i, c, e, fits(sums[la]), digest) for i, c, e, la in coded]
+
+
+def simhash_of(text):
+    w = WORD.findall(lower(text or ""))
+    hashes = [xxhash.xxh64(" ".join(w[i : i + 3]).encode(), seed=42).intdigest() for i in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def simhash_groups(rows):
+    """(id, fingerprint, smallest id reachable) of (id, fingerprint) rows by comparing all pairs."""
+    fps = sorted({f for _, f in rows})
+    top = {f: f for f in fps}
+
+    def root(f):
+        while top[f] != f:
+            f = top[f]
+        return f
+
+    for a, b in combinations(fps, 2):
+        if (a ^ b).bit_count() <= 3:
+            top[root(a)] = root(b)
+    least = {}
+    for i, f in rows:
+        if i is not None:
+            least[root(f)] = min(i, least.get(root(f), i))
+    return [(i, f"{f:016x}", least.get(root(f))) for i, f in rows]
+
+
+def simhash(docs):
+    return set(simhash_groups([(d, simhash_of(t)) for d, t in docs]))

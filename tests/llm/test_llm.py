@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
 import __spark_entry__ as entry_module  # noqa: E402
-from talkmetry.llm import boilerplate, codes, common, knn, minhash, mixing, pieces, quality, queries, rules, secrets, suffixes, templates  # noqa: E402
+from talkmetry.llm import boilerplate, codes, common, knn, minhash, mixing, pieces, quality, queries, rules, secrets, simhash, suffixes, templates  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, text_a string, n int, part string"
 
@@ -411,6 +411,51 @@ def test_vector_codes_of_odd_lengths(spark):
     assert {g["label_error"] for g in huge} == {None} and 0 in {g["error"] for g in huge}
 
 
+def test_ring_keys_meet_for_every_pair_within_the_distance():
+    r = random.Random(3)
+    for _ in range(400):
+        a = r.getrandbits(64)
+        b = a
+        for bit in r.sample(range(64), r.randrange(4)):
+            b ^= 1 << bit
+        fps = np.array([a, b], dtype=np.uint64)
+        row, key, own = simhash.ring_keys(fps)
+        found = False
+        for k in set(key.tolist()):
+            at = np.flatnonzero(key == k)
+            found |= len(at) == 2 and bool(simhash.bucket_links(k, fps[row[at]], own[at], np.zeros(2, dtype=int), True))
+        assert found
+    far = np.array([0, 0b1111], dtype=np.uint64)
+    assert not any(simhash.candidates_pass(far[:1], far[1:], s)[0] for s in range(4))
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_simhash(spark, sf, odd, empty, block):
+    for docs, rows in ((odd, list(enumerate(odd_texts()))), (common.table(spark, sf, "documents"), list(texts_of(spark, sf).items()))):
+        got = simhash.near_fingerprints(docs, block).collect()
+        assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in got} == brute.simhash(rows) and len(got) == len(rows)
+    assert simhash.near_fingerprints(empty).count() == 0
+
+
+def test_simhash_chains_of_links_ties_and_null_ids(spark, monkeypatch):
+    """Fingerprints given directly: a dense group, chains of three bits a step, a null id that links two others."""
+    r = random.Random(11)
+    base = r.getrandbits(64)
+    chain = [base]
+    for k in range(12):
+        chain.append(chain[-1] ^ (0b111 << (3 * k)))
+    dense = [r.getrandbits(64)]
+    dense += [dense[0] ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for _ in range(300)]
+    fps = chain + dense + [r.getrandbits(64) for _ in range(200)] + [dense[0]] * 20
+    bridge = r.getrandbits(64)
+    rows = [(i + 5, f) for i, f in enumerate(fps)] + [(2000, bridge), (None, bridge ^ 0b111 << 40), (2001, bridge ^ 0b111111 << 40), (None, r.getrandbits(64))]
+    given = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in rows], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: given)
+    for block in (1024, 10):
+        got = simhash.near_fingerprints(given, block).collect()
+        assert sorted(((g["doc_id"], g["fingerprint"], g["component_id"]) for g in got), key=repr) == sorted(brute.simhash_groups(rows), key=repr)
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
@@ -443,5 +488,5 @@ def test_pipeline_odd(spark, sf, odd, empty):
 
 def test_registered(spark):
     names = {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")}
-    assert names == set(range(1, 12)) and "pipeline" in queries.QUERIES
+    assert names == set(range(1, 13)) and "pipeline" in queries.QUERIES
     assert set(queries.QUERIES) <= set(entry_module.queries()) and set(queries.ORACLES) <= set(queries.QUERIES)
