@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkmetry.llm import boilerplate, codes, knn, minhash, mixing, pieces, quality, rules, secrets, simhash, suffixes, templates
+from talkmetry.llm import boilerplate, codes, collocations, knn, minhash, mixing, pieces, quality, rules, secrets, simhash, suffixes, templates
 from talkmetry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op12_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if top not in sys.path:
@@ -73,11 +77,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_repeated_bytes, op2_near_duplicates, op3_line_dedup, op4_source_mix, op5_secret_spans, op6_quality_score,
-    op7_main_text, op8_quality_rules, op9_piece_ids, op10_top_k, op11_vector_codes, op12_simhash_groups, pipeline,
+    op7_main_text, op8_quality_rules, op9_piece_ids, op10_top_k, op11_vector_codes, op12_simhash_groups, op13_collocations, pipeline,
 )}
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": boilerplate.oracle(),
     "op10_top_k": knn.oracle(),
     "op11_vector_codes": codes.oracle(),
+    "op13_collocations": collocations.oracle(),
 }

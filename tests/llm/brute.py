@@ -146,3 +146,27 @@ def simhash_groups(rows):
 
 def simhash(docs):
     return set(simhash_groups([(d, simhash_of(t)) for d, t in docs]))
+
+
+def phrases(rows, top):
+    """(lang, rank, phrase, a, l, r, n, score) of (lang, text) rows: every phrase of up to four words counted."""
+    count, n = {}, {}
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", lower(text or "")):
+            w = re.findall("[^\x20\x09]+", piece)
+            n[lang] = n.get(lang, 0) + len(w)
+            for k in range(1, 5):
+                for i in range(len(w) - k + 1):
+                    key = lang, tuple(w[i : i + k])
+                    count[key] = count.get(key, 0) + 1
+    found = {key: a for key, a in count.items() if len(key[1]) > 1 and a >= 30}
+    inside = set()
+    for (lang, p), a in found.items():
+        inside |= {(lang, p[i:j]) for i in range(len(p)) for j in range(i + 2, len(p) + 1) if j - i < len(p) and 100 * a >= 80 * count[lang, p[i:j]]}
+    best = {}
+    for (lang, p), a in found.items():
+        if (lang, p) not in inside:
+            score, _, left, right = min((2_000_000 * a // (count[lang, p[:k]] + count[lang, p[k:]]), k, count[lang, p[:k]], count[lang, p[k:]]) for k in range(1, len(p)))
+            best.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), left, right))
+    return sorted((lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for lang, got in best.items() for i, (s, a, p, left, right) in enumerate(sorted(got)[:top]))

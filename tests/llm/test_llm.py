@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
 import __spark_entry__ as entry_module  # noqa: E402
-from talkmetry.llm import boilerplate, codes, common, knn, minhash, mixing, pieces, quality, queries, rules, secrets, simhash, suffixes, templates  # noqa: E402
+from talkmetry.llm import boilerplate, codes, collocations, common, knn, minhash, mixing, pieces, quality, queries, rules, secrets, simhash, suffixes, templates  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, text_a string, n int, part string"
 
@@ -456,6 +456,34 @@ def test_simhash_chains_of_links_ties_and_null_ids(spark, monkeypatch):
         assert sorted(((g["doc_id"], g["fingerprint"], g["component_id"]) for g in got), key=repr) == sorted(brute.simhash_groups(rows), key=repr)
 
 
+def same_phrases(docs, rows, top=2000):
+    got = collocations.collocations(docs, top)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert sorted(map(tuple, got.collect())) == brute.phrases(rows, top)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"FLUSH_WORDS": 500, "STRIPE": 3, "SLICE": 64}, {"FLUSH_BYTES": 200, "LEAST_BITS": 16, "MOST_BITS": 16}])
+def test_collocations_odd(spark, odd, empty, sizes, monkeypatch):
+    """Nulls, blanks, one endless word, overlaps, ties, subsumed phrases, other white space and non-ASCII upper case inside words."""
+    for k, v in sizes.items():
+        monkeypatch.setattr(collocations, k, v)
+    r = random.Random(7)
+    texts = odd_texts() + ["aa aa aa aa aa\taa. " * 40, "New York City Hall, " * 50 + "new york. " * 5, "É\u00a0x y! É\u00a0x y " * 30, "one\ntwo\x0bthree\x0cfour\rfive six;seven eight:" * 31,
+                           " ".join(r.choice("ab cd ef gh".split()) + r.choice(["", "", ",", "?"]) for _ in range(3000)), "z" * 200_000, "tie one. tie two. " * 30]
+    rows = [("en" if i % 3 else None, t) for i, t in enumerate(texts)] + [("und", "tie one. " * 3), ("fr", "un deux. " * 29), ("", "x y " * 30)]
+    docs = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, lang string, text string").withColumns({c: F.lit(1) for c in ("n", "prefix", "segment", "next", "phrase")})
+    same_phrases(docs.repartition(3), rows)
+    same_phrases(docs, rows, top=5)
+    if not sizes:
+        same_phrases(docs.union(docs), rows * 2)
+        assert collocations.collocations(empty).count() == 0
+
+
+def test_collocations_of_the_table(spark, sf):
+    docs = common.table(spark, sf, "documents")
+    same_phrases(docs, [(r["lang"], r["text"]) for r in docs.collect()])
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
@@ -488,5 +516,5 @@ def test_pipeline_odd(spark, sf, odd, empty):
 
 def test_registered(spark):
     names = {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")}
-    assert names == set(range(1, 13)) and "pipeline" in queries.QUERIES
+    assert names == set(range(1, 14)) and "pipeline" in queries.QUERIES
     assert set(queries.QUERIES) <= set(entry_module.queries()) and set(queries.ORACLES) <= set(queries.QUERIES)
