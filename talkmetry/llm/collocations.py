@@ -8,12 +8,13 @@ Texts, with A-Z lower-cased, are cut at ``[.,;:!?\\x0A-\\x0D]`` into pieces and
   word": the piece ends, or the extension cannot be frequent. Tasks count into stripes and send those; the elementwise sum of a
   prefix's stripes holds three things at once: its entries are the counts of its extensions, its total is the prefix's own count (for the empty
   prefix n), and its largest frequent entry is what the prefix must be compared with to be dropped as part of a longer phrase.
-* *Hot prefixes.* A stripe is cut into segments by a hash of the next word, more of them for shorter prefixes, and into rows of at most
-  ``STRIPE`` entries, so no row, and no task behind the exchange, holds a frequent prefix whole. Segments are
-  summed by a hash aggregate that spills, in the stage that receives them.
+* *Hot prefixes.* A prefix that is one in ``HOT_SHARE`` of all words or more has its stripe cut into segments by a hash of the next word, and so has
+  the empty one; there are at most ``HOT_SHARE`` others, which every task is told. Rows hold at most ``STRIPE`` entries. So no row,
+  and no task behind the exchange, holds a frequent prefix whole. Segments are summed by a hash aggregate that spills, in
+  the stage that receives them.
 * *Levels.* A phrase is no more frequent than its parts. Stripes of k words are kept only for frequent prefixes, and their entries only
   where the last k words are frequent too. Which are is told by a bit array over hashes of the frequent phrases: it only lets some
-  infrequent ones pass, never stops a frequent one, and has 16 to 32 bits a phrase up to ``MOST_BITS`` bits (32 MB). Beyond
+  infrequent ones pass, never stops a frequent one, tests ``PROBES`` bits, and has 16 to 32 bits a phrase up to ``MOST_BITS`` bits (32 MB). Beyond
   some 16 million frequent phrases of one length it lets more pass, which costs traffic and changes no result.
 
 Null and empty texts and texts without words count nothing. A language whose phrases all stay below ``LEAST`` has no rows. Rows that repeat an id, or have
@@ -35,23 +36,24 @@ from talkmetry.llm.common import MIX_A, STEP, mix64, store
 
 LEAST, WORDS = 30, 4
 SCALE, SHARE, TOP = 2_000_000, 80, 2000
-#: Segments of a stripe by the number of words of its prefix.
-SEGMENTS = (1024, 64, 16, 16)
-STRIPE = 256
+#: Segments of the empty prefix's stripe and of those of hot prefixes; which are hot.
+SEGMENTS, HOT_SEGMENTS, HOT_SHARE = 1024, 64, 10_000
+STRIPE = 512
 #: Words, and bytes of distinct words, a task counts before it sends its stripes; and the text it reads at a time.
 FLUSH_WORDS, FLUSH_BYTES, SLICE = 2_000_000, 1 << 24, 1 << 20
-LEAST_BITS, MOST_BITS = 16, 28
+LEAST_BITS, MOST_BITS, PROBES = 16, 28, 4
 SALTS = 64
-_CLEAN = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
-END = 0
-STRIPES = "lang string, prefix string, segment int, next array<string>, n array<long>"
+#: The end of a piece: a byte that UTF-8 has not inside a piece, and in stripes a word that no text has.
+_STOP, END, NO_WORD = b"\xff", 0, "\n"
+_CLEAN = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _STOP * 10)
+STRIPES = "lang string, prefix string, segment int, next string, n array<int>"
 
 
 class Vocabulary(dict):
     """Numbers of words, in the order they come. Number 0 is the end of a piece."""
 
     def __init__(self):
-        super().__init__({b"\n": END})
+        super().__init__({_STOP: END})
         self.bytes = 0
 
     def __missing__(self, word: bytes) -> int:
@@ -65,7 +67,7 @@ def slices(text: bytes) -> Iterator[bytes]:
     text = text.lower().translate(_CLEAN)
     at = 0
     while at < len(text):
-        end = text.find(b"\n", at + SLICE)
+        end = text.find(_STOP, at + SLICE)
         end = len(text) if end < 0 else end
         yield text[at:end]
         at = end
@@ -73,20 +75,30 @@ def slices(text: bytes) -> Iterator[bytes]:
 
 def numbered(text: bytes, vocabulary: Vocabulary) -> np.ndarray:
     """The slice's words as numbers, with ``END`` behind each piece."""
-    tokens = [w for w in text.replace(b"\n", b" \n ").split(b" ") if w]
-    tokens.append(b"\n")
+    tokens = text.replace(_STOP, b" \xff ").split()  # of what this splits at, only blanks and tabs are left
+    tokens.append(_STOP)
     return np.fromiter(map(vocabulary.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
 
 class Filter:
-    """Frequent phrases by the bits of their hashes."""
+    """Frequent phrases by bits that their hashes name; the hashes of the hot ones themselves."""
 
-    def __init__(self, bits: int, data: bytes):
-        self.bits, self.data = bits, np.frombuffer(data, dtype=np.uint8)
+    def __init__(self, bits: int, data: bytes, hot: np.ndarray):
+        self.bits, self.data, self.hot = bits, np.frombuffer(data, dtype=np.uint8), hot
 
     def passes(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes >> np.uint64(64 - self.bits)
-        return (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        ok = np.ones(len(hashes), dtype=bool)
+        for probe in range(PROBES):
+            left = np.flatnonzero(ok)
+            at = place(hashes[left], self.bits, probe)
+            ok[left] = self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1
+        return ok
+
+
+def place(hashes: np.ndarray, bits: int, probe: int) -> np.ndarray:
+    """The bit that one of ``PROBES`` tests."""
+    h = hashes if not probe else mix64(hashes + STEP * np.uint64(probe))
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def phrase_hashes(words: list[np.ndarray], lang: str) -> np.ndarray:
@@ -104,48 +116,54 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 def stripe_rows(lang: str, vocabulary: Vocabulary, ids: np.ndarray, level: int, frequent: Filter | None) -> pa.RecordBatch | None:
     """The stripes of all prefixes of ``level`` words in ``ids``, cut into segments and rows."""
     names = list(vocabulary)
-    hashes = word_hashes(names)
+    size, hashes = len(names), word_hashes(names)
+    count = len(ids)
     ids = np.concatenate([ids, np.full(level, END)])
-    count = len(ids) - level
     places = [ids[k : k + count] for k in range(level + 1)]
-    whole = np.ones(count, dtype=bool)
-    for p in places[:level] or places[:1]:
-        whole &= p != END
-    at = np.flatnonzero(whole)
+
+    def hashed(at: np.ndarray, first: int) -> np.ndarray:
+        return phrase_hashes([hashes[places[first + k][at]] for k in range(level)], lang)
+
+    at = np.flatnonzero(places[0] != END)
+    for p in places[1:level]:
+        at = at[p[at] != END]
     if level:
-        at = at[frequent.passes(phrase_hashes([hashes[p[at]] for p in places[:level]], lang))]
+        at = at[frequent.passes(hashed(at, 0))]
     if not len(at):
         return None
-    code, kinds = np.zeros(len(at), dtype=np.int64), [at[:1]]
-    for p in places[:level]:  # the prefix as one number, word by word
-        both, first, code = np.unique(code * len(names) + p[at], return_index=True, return_inverse=True)
-        kinds = [at[first]]
-    following = places[level][at].copy()
+    following, code = places[level][at], places[0][at] if level else np.zeros(len(at), dtype=np.int64)
     if level:
-        inner = following != END
-        inner[inner] = frequent.passes(phrase_hashes([hashes[p[at[inner]]] for p in places[1:]], lang))
-        following[~inner] = END
-    pairs, n = np.unique(code * len(names) + following, return_counts=True)
-    code, following = pairs // len(names), pairs % len(names)
-    segment = np.where(following == END, 0, (hashes[following] % np.uint64(SEGMENTS[level])).astype(np.int64))
-    order = np.lexsort((following, segment, code))
+        inner = np.flatnonzero(following != END)
+        following[inner[~frequent.passes(hashed(at[inner], 1))]] = END
+    for p in places[1:level]:  # the prefix as one number, word by word
+        code = np.unique(code * size + p[at], return_inverse=True)[1]
+    seen = np.zeros(int(code.max()) + 1, dtype=np.int64)
+    seen[code] = at  # one place where each prefix stands
+    pairs, n = np.unique(code * size + following, return_counts=True)
+    code, following = np.divmod(pairs, size)
+    heads = np.concatenate([[0], np.flatnonzero(np.diff(code)) + 1])
+    at = seen[code[heads]]
+    share = np.where(np.isin(hashed(at, 0), frequent.hot), HOT_SEGMENTS, 1) if level else np.array([SEGMENTS])
+    share = np.repeat(share, np.diff(np.append(heads, len(code))))
+    segment = np.where(following == END, 0, (hashes[following] % share.astype(np.uint64)).astype(np.int64))
+    order = np.lexsort((segment, code))
     code, following, segment, n = code[order], following[order], segment[order], n[order]
-    change = np.flatnonzero((code[1:] != code[:-1]) | (segment[1:] != segment[:-1])) + 1
-    starts = np.concatenate([[0], change])
-    ends = np.append(change, len(code))
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(code) | np.diff(segment)) + 1])
+    ends = np.append(starts[1:], len(code))
     cuts = np.concatenate([np.arange(a, b, STRIPE) for a, b in zip(starts.tolist(), ends.tolist())]) if (ends - starts).max() > STRIPE else starts
-    prefixes = [b" ".join(names[ids[i + k]] for k in range(level)).decode() for i in kinds[0].tolist()]
-    words = pa.array([None, *(w.decode() for w in names[1:])], type=pa.string())
-    offsets = pa.array(np.append(cuts, len(code)), type=pa.int32())
+    texts = [NO_WORD, *(w.decode() for w in names[1:])]
+    prefix = {c: " ".join([texts[ids[i + k]] for k in range(level)]) for c, i in zip(code[np.sort(heads)].tolist(), at.tolist())}
+    limits = np.append(cuts, len(code))
+    words = [texts[i] for i in following.tolist()]
     return pa.RecordBatch.from_arrays([
-        pa.array([lang] * len(cuts), type=pa.string()), pa.array(prefixes, type=pa.string()).take(pa.array(code[cuts])), pa.array(segment[cuts], type=pa.int32()),
-        pa.ListArray.from_arrays(offsets, words.take(pa.array(following))), pa.ListArray.from_arrays(offsets, pa.array(n, type=pa.int64()))],
-        names=["lang", "prefix", "segment", "next", "n"])
+        pa.array([lang] * len(cuts), type=pa.string()), pa.array([prefix[c] for c in code[cuts].tolist()], type=pa.string()), pa.array(segment[cuts], type=pa.int32()),
+        pa.array([" ".join(words[a:b]) for a, b in zip(limits[:-1].tolist(), limits[1:].tolist())], type=pa.string()),
+        pa.ListArray.from_arrays(pa.array(limits, type=pa.int32()), pa.array(n, type=pa.int32()))], names=["lang", "prefix", "segment", "next", "n"])
 
 
 def stripes(docs: DataFrame, level: int, frequent: Filter | None = None) -> DataFrame:
-    """The stripes of every task: lang, prefix, segment, next words (null: none) and their counts."""
-    given = docs.sparkSession.sparkContext.broadcast((frequent.bits, frequent.data.tobytes())) if frequent else None
+    """The stripes of every task: lang, prefix, segment, the next words joined by blanks (``NO_WORD``: none) and their counts."""
+    given = docs.sparkSession.sparkContext.broadcast((frequent.bits, frequent.data.tobytes(), frequent.hot)) if frequent else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = Filter(*given.value) if given else None
@@ -177,8 +195,10 @@ def stripes(docs: DataFrame, level: int, frequent: Filter | None = None) -> Data
 
 def merged(sent: DataFrame) -> DataFrame:
     """lang, prefix, next and n: the elementwise sums of all stripes of a prefix, summed where their segment arrives."""
-    entries = sent.repartition("lang", "prefix", "segment").select("lang", "prefix", "segment", F.explode(F.arrays_zip("next", "n")).alias("e"))
-    return entries.groupBy("lang", "prefix", "segment", F.col("e.next").alias("next")).agg(F.sum("e.n").alias("n")).drop("segment")
+    pairs = F.arrays_zip(F.split("next", " ").alias("next"), F.col("n"))
+    entries = sent.repartition("lang", "prefix", "segment").select("lang", "prefix", "segment", F.explode(pairs).alias("e"))
+    summed = entries.groupBy("lang", "prefix", "segment", F.col("e.next").alias("next")).agg(F.sum("e.n").alias("n"))
+    return summed.select("lang", "prefix", F.nullif("next", F.lit(NO_WORD)).alias("next"), "n")
 
 
 def totals(entries: DataFrame) -> DataFrame:
@@ -187,19 +207,27 @@ def totals(entries: DataFrame) -> DataFrame:
     return entries.groupBy("lang", "prefix").agg(F.sum("n").alias("total"), F.max(longer).alias("longer"))
 
 
-def frequent_filter(phrases: DataFrame, level: int, most_bits: int = MOST_BITS) -> Filter:
-    """The bit array of ``phrases`` (lang, phrase). Each slice of it is made in one place; it passes the driver once, at most 2**most_bits bits."""
+def frequent_filter(phrases: DataFrame, level: int, words: int) -> Filter:
+    """The bit array of ``phrases`` (lang, phrase, a), of ``words`` words in all.
+
+    Each slice of it is made in one place; it passes the driver once, at most 2**MOST_BITS bits. So do the hot phrases,
+    at most ``HOT_SHARE``, as no more phrases of one length than words begin in the texts.
+    """
     n = phrases.count()
-    bits = min(most_bits, max(LEAST_BITS, n.bit_length() + 4))
+    bits = min(MOST_BITS, max(LEAST_BITS, n.bit_length() + 4))
+
+    def hashed(langs: list[str], phrases: list[str]) -> np.ndarray:
+        which, split = np.array(langs, dtype=object), [p.encode().split(b" ") for p in phrases]
+        out = np.zeros(len(split), dtype=np.uint64)
+        for lang in set(langs):
+            mine = np.flatnonzero(which == lang)
+            out[mine] = phrase_hashes([word_hashes([split[i][k] for i in mine]) for k in range(level)], lang)
+        return out
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, split = np.array(batch.column("lang").to_pylist(), dtype=object), [p.encode().split(b" ") for p in batch.column("phrase").to_pylist()]
-            at = np.zeros(len(split), dtype=np.uint64)
-            for lang in set(langs.tolist()):
-                mine = np.flatnonzero(langs == lang)
-                at[mine] = phrase_hashes([word_hashes([split[i][k] for i in mine]) for k in range(level)], lang) >> np.uint64(64 - bits)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], names=["at"])
+            h = hashed(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([place(h, bits, probe) for probe in range(PROBES)]))], names=["at"])
 
     width = LEAST_BITS  # a slice has 2**16 bits, that is 8 kB
 
@@ -213,7 +241,8 @@ def frequent_filter(phrases: DataFrame, level: int, most_bits: int = MOST_BITS)
     data = bytearray(1 << (bits - 3))
     for r in spots.groupBy("slice").applyInArrow(packed, "slice long, bits binary").toLocalIterator():
         data[r["slice"] << (width - 3) : (r["slice"] + 1) << (width - 3)] = r["bits"]
-    return Filter(bits, bytes(data))
+    hot = phrases.where(F.col("a") >= F.lit(words / HOT_SHARE)).select("lang", "phrase").collect()
+    return Filter(bits, bytes(data), hashed([r["lang"] for r in hot], [r["phrase"] for r in hot]) if hot else np.zeros(0, dtype=np.uint64))
 
 
 def joined_words(*columns: str) -> Column:
@@ -223,14 +252,16 @@ def joined_words(*columns: str) -> Column:
 def phrase_counts(docs: DataFrame, words: int = WORDS) -> list[tuple[DataFrame, DataFrame]]:
     """Per level k = 0, 1, ...: the frequent phrases of k + 1 words (lang, prefix, next, phrase, a) and the totals of the prefixes of k words."""
     out: list[tuple[DataFrame, DataFrame]] = []
-    told = None
+    told, size = None, 0
     for level in range(words):
         entries = store(merged(stripes(docs, level, told)), f"stripes-{level}")
         known = entries.where((F.col("n") >= LEAST) & F.col("next").isNotNull())
         frequent = known.select("lang", "prefix", "next", joined_words("prefix", "next").alias("phrase"), F.col("n").alias("a"))
         out.append((frequent, totals(entries)))
+        if not level:
+            size = out[0][1].agg(F.sum("total")).first()[0] or 0
         if level + 1 < words:
-            told = frequent_filter(frequent, level + 1)
+            told = frequent_filter(frequent, level + 1, size)
     return out
 
 
