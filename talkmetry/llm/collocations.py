@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,29 +40,16 @@ SCALE, SHARE, TOP = 2_000_000, 80, 2000
 #: Segments of the empty prefix's stripe and of those of hot prefixes; which are hot.
 SEGMENTS, HOT_SEGMENTS, HOT_SHARE = 1024, 64, 10_000
 STRIPE = 512
-#: Words, and bytes of distinct words, a task counts before it sends its stripes; and the text it reads at a time.
-FLUSH_WORDS, FLUSH_BYTES, SLICE = 2_000_000, 1 << 24, 1 << 20
+#: Bytes of text a task counts before it sends its stripes, and the text it takes up at a time.
+FLUSH, SLICE = 1 << 24, 1 << 20
 LEAST_BITS, MOST_BITS, PROBES = 16, 28, 4
 SALTS = 64
 #: The end of a piece: a byte that UTF-8 has not inside a piece, and in stripes a word that no text has.
 _STOP, END, NO_WORD = b"\xff", 0, "\n"
-_CLEAN = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _STOP * 10)
+_CLEAN = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", _STOP * 10 + b" ")
 STRIPES = "lang string, prefix string, segment int, next string, n array<int>"
 
 
-class Vocabulary(dict):
-    """Numbers of words, in the order they come. Number 0 is the end of a piece."""
-
-    def __init__(self):
-        super().__init__({_STOP: END})
-        self.bytes = 0
-
-    def __missing__(self, word: bytes) -> int:
-        got = self[word] = len(self)
-        self.bytes += len(word)
-        return got
-
-
 def slices(text: bytes) -> Iterator[bytes]:
     """The cleaned text in slices that end where a piece ends."""
     text = text.lower().translate(_CLEAN)
@@ -73,11 +61,13 @@ def slices(text: bytes) -> Iterator[bytes]:
         at = end
 
 
-def numbered(text: bytes, vocabulary: Vocabulary) -> np.ndarray:
-    """The slice's words as numbers, with ``END`` behind each piece."""
-    tokens = text.replace(_STOP, b" \xff ").split()  # of what this splits at, only blanks and tabs are left
-    tokens.append(_STOP)
-    return np.fromiter(map(vocabulary.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+def numbered(parts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words of the slices, ``_STOP`` first, and all words as their numbers, with ``END`` behind each piece."""
+    text = _STOP.join([b"", *parts, b""]).replace(_STOP, b" \xff ")
+    found = pc.split_pattern(pa.array([text], type=pa.large_binary()), pattern=b" ").flatten().dictionary_encode()
+    ids, words = found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+    # The text starts with a blank and a stop: number 0 is the empty word, 1 the stop.
+    return words[1:], ids[ids > 0] - 1
 
 
 class Filter:
@@ -97,7 +87,7 @@ class Filter:
 
 def place(hashes: np.ndarray, bits: int, probe: int) -> np.ndarray:
     """The bit that one of ``PROBES`` tests."""
-    h = hashes if not probe else mix64(hashes + STEP * np.uint64(probe))
+    h = hashes if not probe else mix64(hashes ^ np.uint64(probe))
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
@@ -113,9 +103,8 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
 
 
-def stripe_rows(lang: str, vocabulary: Vocabulary, ids: np.ndarray, level: int, frequent: Filter | None) -> pa.RecordBatch | None:
+def stripe_rows(lang: str, names: list[bytes], ids: np.ndarray, level: int, frequent: Filter | None) -> pa.RecordBatch | None:
     """The stripes of all prefixes of ``level`` words in ``ids``, cut into segments and rows."""
-    names = list(vocabulary)
     size, hashes = len(names), word_hashes(names)
     count = len(ids)
     ids = np.concatenate([ids, np.full(level, END)])
@@ -146,11 +135,12 @@ def stripe_rows(lang: str, vocabulary: Vocabulary, ids: np.ndarray, level: int,
     share = np.where(np.isin(hashed(at, 0), frequent.hot), HOT_SEGMENTS, 1) if level else np.array([SEGMENTS])
     share = np.repeat(share, np.diff(np.append(heads, len(code))))
     segment = np.where(following == END, 0, (hashes[following] % share.astype(np.uint64)).astype(np.int64))
-    order = np.lexsort((segment, code))
-    code, following, segment, n = code[order], following[order], segment[order], n[order]
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(code) | np.diff(segment)) + 1])
-    ends = np.append(starts[1:], len(code))
-    cuts = np.concatenate([np.arange(a, b, STRIPE) for a, b in zip(starts.tolist(), ends.tolist())]) if (ends - starts).max() > STRIPE else starts
+    if segment.any():
+        order = np.lexsort((segment, code))
+        code, following, segment, n = code[order], following[order], segment[order], n[order]
+    starts = np.concatenate([[0], np.flatnonzero((np.diff(code) != 0) | (np.diff(segment) != 0)) + 1])
+    inside = np.arange(len(code)) - np.repeat(starts, np.diff(np.append(starts, len(code))))
+    cuts = np.flatnonzero(inside % STRIPE == 0)
     texts = [NO_WORD, *(w.decode() for w in names[1:])]
     prefix = {c: " ".join([texts[ids[i + k]] for k in range(level)]) for c, i in zip(code[np.sort(heads)].tolist(), at.tolist())}
     limits = np.append(cuts, len(code))
@@ -167,25 +157,21 @@ def stripes(docs: DataFrame, level: int, frequent: Filter | None = None) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = Filter(*given.value) if given else None
-        held: dict[str, tuple[Vocabulary, list[np.ndarray]]] = {}
+        held: dict[str, list[bytes]] = {}
         size: dict[str, int] = {}
 
         def send(lang: str) -> Iterator[pa.RecordBatch]:
-            vocabulary, ids = held.pop(lang)
             size.pop(lang)
-            got = stripe_rows(lang, vocabulary, np.concatenate(ids), level, told)
+            got = stripe_rows(lang, *numbered(held.pop(lang)), level, told)
             for at in range(0, got.num_rows if got else 0, 10_000):
                 yield got.slice(at, 10_000)
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.large_binary())):
                 for part in slices(text.as_py() or b""):
-                    vocabulary, ids = held.setdefault(lang, (Vocabulary(), []))
-                    ids.append(numbered(part, vocabulary))
-                    size[lang] = size.get(lang, 0) + len(ids[-1])
-                    if vocabulary.bytes > FLUSH_BYTES:
-                        yield from send(lang)
-                    elif sum(size.values()) > FLUSH_WORDS:
+                    held.setdefault(lang, []).append(part)
+                    size[lang] = size.get(lang, 0) + len(part)
+                    if sum(size.values()) > FLUSH:
                         yield from send(max(size, key=size.get))
         for lang in list(held):
             yield from send(lang)
@@ -194,16 +180,20 @@ def stripes(docs: DataFrame, level: int, frequent: Filter | None = None) -> Data
 
 
 def merged(sent: DataFrame) -> DataFrame:
-    """lang, prefix, next and n: the elementwise sums of all stripes of a prefix, summed where their segment arrives."""
+    """lang, prefix, next and n: the elementwise sums of all stripes of a prefix, summed where their segment arrives.
+
+    Entries below ``LEAST`` are then of no use but for the total: they join the entry without a word (null).
+    """
     pairs = F.arrays_zip(F.split("next", " ").alias("next"), F.col("n"))
     entries = sent.repartition("lang", "prefix", "segment").select("lang", "prefix", "segment", F.explode(pairs).alias("e"))
     summed = entries.groupBy("lang", "prefix", "segment", F.col("e.next").alias("next")).agg(F.sum("e.n").alias("n"))
-    return summed.select("lang", "prefix", F.nullif("next", F.lit(NO_WORD)).alias("next"), "n")
+    frequent = F.when((F.col("n") >= LEAST) & (F.col("next") != NO_WORD), F.col("next"))
+    return summed.groupBy("lang", "prefix", "segment", frequent.alias("next")).agg(F.sum("n").alias("n")).drop("segment")
 
 
 def totals(entries: DataFrame) -> DataFrame:
     """Per prefix its own count and its most frequent extension that is a candidate (null where none is)."""
-    longer = F.when(F.col("next").isNotNull() & (F.col("n") >= LEAST), F.col("n"))
+    longer = F.when(F.col("next").isNotNull(), F.col("n"))
     return entries.groupBy("lang", "prefix").agg(F.sum("n").alias("total"), F.max(longer).alias("longer"))
 
 
@@ -255,7 +245,7 @@ def phrase_counts(docs: DataFrame, words: int = WORDS) -> list[tuple[DataFrame,
     told, size = None, 0
     for level in range(words):
         entries = store(merged(stripes(docs, level, told)), f"stripes-{level}")
-        known = entries.where((F.col("n") >= LEAST) & F.col("next").isNotNull())
+        known = entries.where(F.col("next").isNotNull())
         frequent = known.select("lang", "prefix", "next", joined_words("prefix", "next").alias("phrase"), F.col("n").alias("a"))
         out.append((frequent, totals(entries)))
         if not level:

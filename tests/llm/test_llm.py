@@ -462,7 +462,7 @@ def same_phrases(docs, rows, top=2000):
     assert sorted(map(tuple, got.collect())) == brute.phrases(rows, top)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"FLUSH_WORDS": 500, "STRIPE": 3, "SLICE": 64}, {"FLUSH_BYTES": 200, "LEAST_BITS": 16, "MOST_BITS": 16, "HOT_SHARE": 20}])
+@pytest.mark.parametrize("sizes", [{}, {"FLUSH": 3000, "STRIPE": 3, "SLICE": 64}, {"FLUSH": 200, "LEAST_BITS": 16, "MOST_BITS": 16, "HOT_SHARE": 20}])
 def test_collocations_odd(spark, odd, empty, sizes, monkeypatch):
     """Nulls, blanks, one endless word, overlaps, ties, subsumed phrases, other white space and non-ASCII upper case inside words."""
     for k, v in sizes.items():
