@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkmetry.constants import RAW_KEEP_CHARS, Rubric
 from talkmetry.functions.text import WHITESPACE, round_exact, strip
+from talkmetry.session import last_key_wins
 
 
 def strip_fences(raw: Column) -> Column:
@@ -31,9 +32,9 @@ def add_outcome(df: DataFrame, raw: str, rubric: Rubric) -> DataFrame:
     """Add ``_scores`` (criterion -> score, rationale; null on a parse error) and
     ``_mean``.
 
-    Known criteria whose value is an object with a score are kept. Text that is no JSON
-    object, or a score that is no whole number in text form, is a parse error. The steps
-    are separate columns so that each is computed once.
+    Known criteria whose value is an object with a score are kept; of a repeated key the last value counts. A missing
+    or null rationale is an empty text. Text that is no JSON object, or a score that is no whole number in text form, is
+    a parse error. The steps are separate columns so that each is computed once.
     """
     # Wrapped in an array, text after the object is an error too, or a second element.
     doc = F.try_parse_json(F.concat(F.lit("["), strip_fences(F.col(raw)), F.lit("]")))
@@ -55,9 +56,10 @@ def add_outcome(df: DataFrame, raw: str, rubric: Rubric) -> DataFrame:
     parts = F.filter("_found", lambda e: ~e["key"].isin(*rubric.mean_excludes)) if rubric.mean_excludes else F.col("_found")
     total = F.aggregate("_parts", F.lit(0), lambda acc, e: acc + e["value"]["score"])
     mean = F.when(F.size("_parts") > 0, round_exact(total / F.size("_parts"), 3)).otherwise(F.lit(0.0))
+    with last_key_wins(df.sparkSession):
+        parsed = df.withColumn("_doc", doc)
     return (
-        df.withColumn("_doc", doc)
-        .withColumn("_fields", fields)
+        parsed.withColumn("_fields", fields)
         .withColumn("_found", found)
         .withColumn("_found", F.when(~F.exists("_found", lambda e: e["value"]["score"].isNull()), F.col("_found")))
         .withColumn("_parts", parts)

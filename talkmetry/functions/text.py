@@ -88,10 +88,18 @@ def render(template: str, **fields: Column) -> Column:
 
 
 def exact_mean(x: Column, digits: int) -> Column:
-    """Rounded mean that does not depend on the order of the rows: the sum is a decimal (values count to nine
-    decimals) and is divided once. Null without values."""
-    total = F.sum(x.cast("decimal(38,9)")).cast("double")
-    return round_exact(F.try_divide(total, F.count(x)), digits)
+    """Rounded mean that does not depend on the order of the rows. Null without values, NaN with a NaN among them.
+
+    Whole parts and billionths are summed as integers and put together once. Where a value lies beyond 2**31 (or is
+    infinite or NaN), or a sum passes 64 bits, the mean is that of the doubles.
+    """
+    value = x.cast("double")
+    fits = F.abs(value) < 2.0**31
+    whole = F.when(fits, F.floor(value))
+    part = F.when(fits, F.rint((value - F.floor(value)) * 1e9).cast("bigint"))
+    total = F.try_sum(whole).cast("decimal(28,0)") + F.try_sum(part).cast("decimal(28,0)") * F.lit("0.000000001").cast("decimal(9,9)")
+    exact = F.when(F.count(whole) == F.count(value), total.cast("double"))
+    return round_exact(F.try_divide(F.coalesce(exact, F.sum(value)), F.count(value)), digits)
 
 
 def round_exact(x: Column, digits: int) -> Column:
@@ -100,7 +108,7 @@ def round_exact(x: Column, digits: int) -> Column:
     Spark's ``round`` works on the shortest decimal text of the double, so 2.0115 goes to
     2.012 although the stored number lies below the tie. Here the scaled value and its
     rounding error come from an exact product (Dekker's split), so the last digit agrees
-    with tools that round the stored number.
+    with tools that round the stored number. NaN, infinities, and numbers so large that they have no such decimals stay as they are.
     """
     scale = float(10**digits)
     value = x.cast("double")
@@ -110,7 +118,7 @@ def round_exact(x: Column, digits: int) -> Column:
     whole = F.floor(scaled)
     past_tie = (scaled - whole - 0.5) + error
     up = (past_tie > 0) | ((past_tie == 0) & (F.pmod(whole, F.lit(2)) == 1))
-    return (whole + up.cast("int")) / F.lit(scale)
+    return F.when(F.abs(scaled) < 2.0**52, (whole + up.cast("int")) / F.lit(scale)).otherwise(value)
 
 
 def seconds(ms: Column, digits: int = 3) -> Column:

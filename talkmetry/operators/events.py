@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmetry.constants import CELLS, CUE_LABELS, KEYS, ROLES, SCOPES, THRESHOLDS, Thresholds
-from talkmetry.operators.ordered import Scan, hot_keys, mirrored, scan, scan_given
+from talkmetry.operators.ordered import BLOCK, BLOCKS, Scan, hot_keys, mirrored, scan_given, with_blocks
 from talkmetry.operators.timing import adjacent_runs
 
 # Frame probabilities by channel: 0 = tutor, 1 = student.
@@ -140,39 +142,73 @@ def read_frames(
     )
 
 
-def nearest_frames(events: DataFrame, frames: DataFrame, limit: int | None = None, smooth: int = 1) -> DataFrame:
-    """The frame nearest to each event on any grid; the earlier one on a tie.
+def nearest_frames(
+    events: DataFrame,
+    frames: DataFrame,
+    limit: int | None = None,
+    smooth: int = 1,
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """The frame nearest to each event on any grid, with or without holes; the earlier one on a tie.
+
+    ``frames``: run, conv_index, t_ms and ``PROBS``. With ``smooth`` above 1 the values are the causal mean of so many frames
+    ending at the nearest one (of fewer at the start). Adds ``frame_ms`` and the values; events of conversations without frames go.
 
-    ``frames``: run, conv_index, t_ms and ``PROBS``. Two as-of look-ups over the frame
-    times find the last frame at or before and the first at or after the event; only the
-    chosen time is then joined back for its values, by (conversation, time). With ``smooth`` above 1
-    the values are the causal mean of so many frames ending there: frames are numbered in
-    order, and the numbers wanted meet them in an equi-join, whatever frames are missing.
+    Events and frames are merged into one stream by time and sorted once. An event looks back at the last ``smooth`` frames
+    and ahead at the next one, skipping other events; nothing is joined back. A hot conversation is cut into blocks, which take the
+    frames an event may need from beyond their edges with them. ``hot`` as in ``ordered.scan``, found along ``t_ms``.
     """
-    asked = events.select(*KEYS, F.col("t_ms").alias("_t")).distinct()
-    times = frames.select(*KEYS, F.col("t_ms").alias("_t"))
-    both = asked.withColumn("_kind", F.lit(1)).unionByName(times.withColumn("_kind", F.lit(0)))
-    frame_t = F.when(F.col("_kind") == 0, F.col("_t"))
-    both = both.withColumns({"_ft": frame_t, "_back": -F.col("_t"), "_fback": -frame_t})
-    hot = hot_keys(times, KEYS, "_t", limit)
-    seen = scan(both, KEYS, ["_t", "_kind"], Scan(max_before={"_before": "_ft"}), hot=hot)
-    seen = scan(seen, KEYS, ["_back", "_kind"], Scan(max_before={"_after": "_fback"}), hot=mirrored(hot))
-    before, after = F.col("_before"), -F.col("_after")
-    closer = F.when(before.isNull() | (after - F.col("_t") < F.col("_t") - before), after).otherwise(before)
-    chosen = seen.filter(F.col("_kind") == 1).select(*KEYS, F.col("_t").alias("t_ms"), closer.alias("frame_ms"))
-    found = events.join(chosen, [*KEYS, "t_ms"])
-    if smooth == 1:
-        values = frames.select(*KEYS, F.col("t_ms").alias("frame_ms"), *PROBS)
-        return found.join(values, [*KEYS, "frame_ms"])
-    numbered = scan(frames.select(*KEYS, F.col("t_ms").alias("frame_ms"), *PROBS), KEYS, ["frame_ms"], Scan(index="_no"), hot=hot)
-    numbered = numbered.select(*KEYS, "frame_ms", F.col("_no").cast("long").alias("_no"), *PROBS)
-    placed = found.join(numbered.select(*KEYS, "frame_ms", "_no"), [*KEYS, "frame_ms"])
-    wanted = placed.withColumn("_no", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("_no") - (smooth - 1)), F.col("_no"))))
-    return (
-        wanted.join(numbered.drop("frame_ms"), [*KEYS, "_no"])
-        .groupBy(*events.columns, "frame_ms")
-        .agg(*[F.avg(p).alias(p) for p in PROBS])
-    )
+    given = [c for c in events.columns if c not in KEYS]
+    frame = F.struct(F.col("t_ms").alias("ms"), *PROBS)
+    seen = frames.select(*KEYS, F.col("t_ms").alias("_t"), F.lit(0).alias("_kind"), frame.alias("_f"))
+    asked = events.select(*KEYS, F.col("t_ms").alias("_t"), F.lit(1).alias("_kind"), F.struct(*given).alias("_event"))
+    if hot is None:
+        hot = hot_keys(seen, KEYS, "_t", limit)
+    stream = with_blocks(seen.unionByName(asked, allowMissingColumns=True), hot, "_t")
+    stream = stream.unionByName(_edge_frames(with_blocks(seen, hot, "_t", "inner"), hot, smooth), allowMissingColumns=True)
+    order = f"OVER (PARTITION BY {', '.join(KEYS)}, {BLOCK} ORDER BY _t, _kind)"
+    looks = {f"_b{i}": F.expr(f"lag(_f, {i}) IGNORE NULLS {order}") for i in range(1, smooth + 1)}
+    looks["_next"] = F.expr(f"lead(_f, 1) IGNORE NULLS {order}")
+    found = stream.withColumns(looks).filter(F.col("_kind") == 1)
+    before, after, t = F.col("_b1.ms"), F.col("_next.ms"), F.col("_t")
+    ahead = before.isNull() | F.coalesce(after - t < t - before, F.lit(False))
+    behind = [F.col(f"_b{i}") for i in range(smooth, 0, -1)]
+    used = F.when(ahead, F.array(*behind[1:], F.col("_next"))).otherwise(F.array(*behind))
+    used = F.filter(used, lambda f: f.isNotNull())
+    found = found.select(*KEYS, "_event", used.alias("_used")).filter(F.size("_used") > 0)
+
+    def mean(p: str) -> Column:
+        values = F.filter(F.transform("_used", lambda f: f[p]), lambda x: x.isNotNull())
+        total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x.cast("double"))
+        return F.try_divide(total, F.size(values)).alias(p)
+
+    values = [F.element_at("_used", 1)[p].alias(p) if smooth == 1 else mean(p) for p in PROBS]
+    return found.select(*KEYS, "_event.*", F.element_at("_used", -1)["ms"].alias("frame_ms"), *values)
+
+
+def _edge_frames(blocks: DataFrame, hot: DataFrame, smooth: int) -> DataFrame:
+    """For every block of a hot conversation: the last ``smooth`` frames before it and the first one behind it.
+
+    ``blocks``: the frames of hot conversations with their block. A block gives its own last and first frames; one row per block,
+    whether it has frames or not, then looks over the others.
+    """
+    at = Window.partitionBy(*KEYS, BLOCK).orderBy(F.desc("_t"))
+    last = blocks.withColumn("_n", F.row_number().over(at)).filter(F.col("_n") <= smooth)
+    last = last.groupBy(*KEYS, BLOCK).agg(F.array_sort(F.collect_list("_f")).alias("_lasts"))
+    first = blocks.groupBy(*KEYS, BLOCK).agg(F.min_by("_f", "_t").alias("_first"))
+    all_blocks = hot.select(*KEYS, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))).alias(BLOCK))
+    summary = all_blocks
+    for own in (last, first):
+        own = own.withColumnsRenamed({k: f"_own_{k}" for k in (*KEYS, BLOCK)})
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_own_{k}")) for k in (*KEYS, BLOCK)])
+        summary = summary.join(own, same, "left").drop(*[f"_own_{k}" for k in (*KEYS, BLOCK)])
+    along = Window.partitionBy(*KEYS).orderBy(BLOCK)
+    before = F.flatten(F.collect_list("_lasts").over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    after = F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
+    near = F.slice("_before", F.greatest(F.lit(1), F.size("_before") - (smooth - 1)), F.lit(smooth))
+    edges = F.filter(F.concat(near, F.array("_after")), lambda f: f.isNotNull())
+    out = summary.select(*KEYS, BLOCK, before.alias("_before"), after.alias("_after")).select(*KEYS, BLOCK, F.explode(edges).alias("_f"))
+    return out.select(*KEYS, F.col("_f.ms").alias("_t"), F.lit(0).alias("_kind"), "_f", BLOCK)
 
 
 def classify_events(scored: DataFrame, th: Thresholds = THRESHOLDS) -> DataFrame:

@@ -18,6 +18,7 @@ from talkmetry.constants import (
     PREROLL_MS,
     ROLES,
 )
+from talkmetry.operators.ordered import Scan, hot_keys, scan
 
 
 def decode_frames(text: Column) -> Column:
@@ -64,32 +65,42 @@ def downsample(frames: DataFrame, max_points: int = PLOT_MAX_POINTS) -> DataFram
     return frames.join(n, list(KEYS)).filter(F.col("frame") % stride == 0).drop("_n")
 
 
-def active_frames(intervals: DataFrame, step_ms: int, t0_ms: int = 0) -> DataFrame:
-    """(run, conv_index, role, frame) with ``start <= t < end`` for some interval.
+def activity_steps(intervals: DataFrame, step_ms: int, t0_ms: int = 0) -> DataFrame:
+    """run, conv_index, frame and one column per role: by how many its covering intervals (``start <= t < end``) change there.
 
-    On a regular grid the covered frames of an interval are a sequence of numbers, so
-    activity becomes an equi-key instead of a range join.
+    An interval gives two rows however long it is, so a corrupt end costs one row.
     """
 
     def first_at_or_after(t: Column) -> Column:
         return F.ceil((t - t0_ms) / step_ms).cast("long")
 
     first = F.greatest(F.lit(0).cast("long"), first_at_or_after(F.col("start_ms")))
-    last = first_at_or_after(F.col("end_ms")) - 1
-    return (
-        intervals.withColumns({"_a": first, "_b": last})
-        .filter(F.col("_b") >= F.col("_a"))
-        .select(*KEYS, "role", F.explode(F.sequence("_a", "_b")).alias("frame"))
-        .distinct()
-    )
+    behind = first_at_or_after(F.col("end_ms"))
+    ends = F.array(F.struct(F.col("_a").alias("frame"), F.lit(1).alias("d")), F.struct(F.col("_b").alias("frame"), F.lit(-1).alias("d")))
+    steps = intervals.withColumns({"_a": first, "_b": behind}).filter(F.col("_b") > F.col("_a")).select(*KEYS, "role", F.explode(ends).alias("_e"))
+    change = {r: F.sum(F.when(F.col("role") == r, F.col("_e.d")).otherwise(0)) for r in ROLES}
+    return steps.groupBy(*KEYS, F.col("_e.frame").alias("frame")).agg(*[c.alias(f"_d_{r}") for r, c in change.items()])
 
 
-def frame_activity(frames: DataFrame, intervals: DataFrame, step_ms: int, t0_ms: int = 0) -> DataFrame:
-    """Frames with one 0/1 column per role."""
-    active = active_frames(intervals, step_ms, t0_ms).groupBy(*KEYS, "frame").agg(
-        *[F.count_if(F.col("role") == r).cast("int").alias(f"{r}_active") for r in ROLES]
-    )
-    return frames.join(active, [*KEYS, "frame"], "left").fillna(0, [f"{r}_active" for r in ROLES])
+def frame_activity(
+    frames: DataFrame,
+    intervals: DataFrame,
+    step_ms: int,
+    t0_ms: int = 0,
+    limit: int | None = None,
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """Frames with one 0/1 column per role: is the running sum of the steps up to the frame above zero?
+
+    ``hot`` as in ``ordered.scan``, found along ``frame``.
+    """
+    steps = activity_steps(intervals, step_ms, t0_ms).withColumn("_kind", F.lit(0))
+    both = frames.withColumn("_kind", F.lit(1)).unionByName(steps, allowMissingColumns=True)
+    if hot is None:
+        hot = hot_keys(frames, KEYS, "frame", limit)
+    summed = scan(both, KEYS, ["frame", "_kind"], Scan(sum_before={f"_on_{r}": f"_d_{r}" for r in ROLES}), hot=hot)
+    active = [(F.col(f"_on_{r}") > 0).cast("int").alias(f"{r}_active") for r in ROLES]
+    return summed.filter(F.col("_kind") == 1).select(*frames.columns, *active)
 
 
 def detect_channels(activity: DataFrame, energy: tuple[str, str] = ("energy0", "energy1")) -> DataFrame:

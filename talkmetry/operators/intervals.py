@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from talkmetry.constants import KEYS
-from talkmetry.operators.ordered import BLOCK, Scan, hot_keys, key_columns, scan, with_blocks
+from talkmetry.operators.ordered import BLOCK, Scan, hot_keys, scan, with_blocks, without_keys
 
 
 def merge_intervals(
@@ -20,34 +20,64 @@ def merge_intervals(
 ) -> DataFrame:
     """Merge intervals that touch: a new run starts when ``start - max_end > gap``.
 
-    Merging is associative, so a key with too many rows is merged inside time blocks
-    first and the (few) block results are merged again; other keys merge once.
+    A key with too many rows is merged as a segmented prefix scan (``_merge_blocks``): each of its time blocks is
+    one task, and no task sees the results of all blocks. Other keys are one window.
     """
     rows = df.select(*keys, "start_ms", "end_ms", F.lit(1).cast("long").alias("n_merged"))
     if hot is None:
         hot = hot_keys(rows, keys, "start_ms", limit)
-    pre_merged = _merge_once(with_blocks(rows, hot, "start_ms", "inner"), gap_ms, [*keys, BLOCK])
-    on = key_columns(hot)
-    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").select(rows.columns)
-    return _merge_once(cold.unionByName(pre_merged.select(rows.columns)), gap_ms, keys)
+    blocks = with_blocks(rows, hot, "start_ms", "inner")
+    cold = without_keys(rows, hot)
+    return _merge_once(cold, gap_ms, keys).unionByName(_merge_blocks(blocks, gap_ms, keys))
 
 
-def _merge_once(rows: DataFrame, gap_ms: int, part: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*part).orderBy("start_ms", "end_ms")
+def _opened(rows: DataFrame, gap_ms: int, part: Sequence[str], order: Sequence[str]) -> tuple[Column, WindowSpec]:
+    """1 where a row opens a run, and the window that tells it."""
+    w = Window.partitionBy(*part).orderBy(*order)
     reach = F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = F.when(reach.isNull() | (F.col("start_ms") - reach > gap_ms), 1).otherwise(0)
+    return F.when(reach.isNull() | (F.col("start_ms") - reach > gap_ms), 1).otherwise(0), w
+
+
+def _run(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*by).agg(
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum("n_merged").alias("n_merged")
+    )
+
+
+def _merge_once(rows: DataFrame, gap_ms: int, part: Sequence[str]) -> DataFrame:
+    opened, w = _opened(rows, gap_ms, part, ["start_ms", "end_ms"])
     run_no = F.sum("_opened").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        rows.withColumn("_opened", opened)
-        .withColumn("_run_no", run_no)
-        .groupBy(*part, "_run_no")
-        .agg(
-            F.min("start_ms").alias("start_ms"),
-            F.max("end_ms").alias("end_ms"),
-            F.sum("n_merged").alias("n_merged"),
-        )
-        .drop("_run_no")
+    return _run(rows.withColumn("_opened", opened).withColumn("_run_no", run_no), [*part, "_run_no"]).drop("_run_no")
+
+
+def _merge_blocks(rows: DataFrame, gap_ms: int, keys: Sequence[str]) -> DataFrame:
+    """Runs of the blocks of hot keys, joined where they go on across blocks.
+
+    The latest end of all earlier blocks, a running maximum over one summary row per block, enters each
+    block as its first row. So a row knows in its block's only sort whether it opens a run, and counting those
+    numbers the runs; number 0 goes on from an earlier block. Only that piece and the block's last run can belong to a
+    run of several blocks: these two rows per block are numbered once more, along the key's blocks. All other runs are
+    complete and are spread over the tasks by their own number.
+    """
+    part = [*keys, BLOCK]
+    along = Window.partitionBy(*keys).orderBy(BLOCK)
+    ends = rows.groupBy(*part).agg(F.max("end_ms").alias("_end"))
+    carry = F.max("_end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    edges = ends.select(*part, F.lit(None).cast("long").alias("start_ms"), carry.alias("end_ms"), F.lit(0).cast("long").alias("n_merged"))
+    stream = rows.withColumn("_row", F.lit(1)).unionByName(edges.filter(F.col("end_ms").isNotNull()).withColumn("_row", F.lit(0)))
+    opened, w = _opened(stream, gap_ms, part, ["_row", "start_ms", "end_ms"])
+    numbered = stream.withColumn("_opened", F.col("_row") * opened).withColumns(
+        {
+            "_run_no": F.sum("_opened").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            "_last": F.sum("_opened").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        }
     )
+    pieces = _run(numbered.filter(F.col("_row") == 1), [*part, "_run_no", "_last"])
+    inner = (F.col("_run_no") > 0) & (F.col("_run_no") < F.col("_last"))
+    own = {"_own_block": F.when(inner, F.col(BLOCK)), "_own_run": F.when(inner, F.col("_run_no"))}
+    chain = Window.partitionBy(*keys, *own).orderBy(BLOCK, "_run_no")
+    joined = F.sum(F.when(F.col("_run_no") > 0, 1).otherwise(0)).over(chain.rowsBetween(Window.unboundedPreceding, 0))
+    return _run(pieces.withColumns(own).withColumn("_no", joined), [*keys, *own, "_no"]).drop(*own, "_no")
 
 
 def covered_ms(df: DataFrame, keys: Sequence[str] = KEYS, limit: int | None = None) -> DataFrame:

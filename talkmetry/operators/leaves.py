@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, NumericType, StringType, StructField, StructType
+from pyspark.sql.types import NumericType, StringType, StructType
 
 from talkmetry.constants import AXES, CELLS, CHANNELS, NAIVE_RUBRIC, SCOPES
 from talkmetry.functions.text import exact_mean, round_exact
+from talkmetry.session import last_key_wins, materialize
 
 
 def struct_leaves(schema: StructType, prefix: str, strings: bool = False) -> list[tuple[str, str]]:
@@ -56,52 +55,72 @@ def text_leaves(results: DataFrame, column: str, keys: Sequence[str]) -> DataFra
     return rows.filter(F.col("text").isNotNull())
 
 
-_LEAF = ArrayType(
-    StructType(
-        [
-            StructField("evaluator", StringType()),
-            StructField("path", StringType()),
-            StructField("value", DoubleType()),
-        ]
-    )
-)
+#: Levels of nesting opened in one pass over the rows.
+PASS_LEVELS = 6
 
 
-def _walk(node, path: tuple[str, ...], out: list) -> None:
-    if isinstance(node, dict):
-        for key, child in node.items():
-            _walk(child, (*path, key), out)
-    elif isinstance(node, (int, float)) and not isinstance(node, bool) and path:
-        out.append((path[0], ".".join(path[1:]), float(node)))
+def numeric_leaves_json(results: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
+    """As ``numeric_leaves`` for JSON text of unknown shape and any depth the parser reads; use the typed form where the
+    shape is known.
+
+    The text becomes a variant, whose objects are opened level by level: ``PASS_LEVELS`` levels in one projection, and what
+    is still an object then, stored with its path, in the next pass. So the passes follow the deepest document and each
+    reads only what is left. A repeated key counts with its last value. Lists, text, booleans and nulls are no leaves. An
+    integer beyond the range of doubles is infinite. Text that is no JSON object has no leaves, nor has one nested deeper
+    than Spark's parser reads (1000 levels) or with a number of more than 1000 digits.
+    """
+    keep = [F.col(k) for k in keys]
+    with last_key_wins(results.sparkSession):
+        rows = results.select(*keep, F.array().cast("array<string>").alias("_path"), F.try_parse_json(F.col(column)).alias("_value"))
+    out = None
+    while True:
+        rows = rows.select(*keep, F.explode(_opened(F.col("_path"), F.col("_value"))).alias("_e")).select(*keep, "_e.*")
+        kind = F.schema_of_variant("_value")
+        number = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get("_value", "$", "double"))
+        still = F.when(F.startswith(kind, F.lit("OBJECT")), F.col("_value"))
+        rows = rows.select(*keep, "_path", number.alias("value"), still.alias("_value"))
+        rows = materialize(rows.filter((F.col("value").isNotNull() & (F.size("_path") > 0)) | F.col("_value").isNotNull()), "leaves")
+        found = rows.filter(F.col("value").isNotNull()).select(
+            *keep,
+            F.element_at("_path", 1).alias("evaluator"),
+            F.array_join(F.slice("_path", 2, F.greatest(F.size("_path"), F.lit(1))), ".").alias("path"),
+            "value",
+        )
+        out = found if out is None else out.unionByName(found)
+        rows = rows.filter(F.col("_value").isNotNull())
+        if rows.isEmpty():
+            return out
 
 
-@F.pandas_udf(_LEAF)
-def json_leaf_array(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        rows = []
-        for text in batch:
-            out: list = []
-            try:
-                _walk(json.loads(text) if text else {}, (), out)
-            except ValueError:
-                out = []
-            rows.append([{"evaluator": e, "path": p, "value": v} for e, p, v in out])
-        yield pd.Series(rows)
+def _opened(path: Column, value: Column) -> Column:
+    """array<struct<_path, _value>> of a variant's members, ``PASS_LEVELS`` levels down or to where they are no objects."""
+    items = F.array(F.struct(path.alias("_path"), value.alias("_value")))
+    for _ in range(PASS_LEVELS):
+        items = F.flatten(F.transform(items, _members))
+    return items
 
 
-def numeric_leaves_json(results: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
-    """As ``numeric_leaves`` for JSON text of unknown shape and any depth. Arrow batches;
-    use the typed form where the shape is known."""
-    rows = results.select(*keys, F.explode_outer(json_leaf_array(F.col(column))).alias("l"))
-    return rows.filter(F.col("l").isNotNull()).select(*keys, "l.*")
+def _members(item: Column) -> Column:
+    fields = F.try_variant_get(item["_value"], "$", "map<string,variant>")
+    inner = F.transform(
+        F.map_entries(fields),
+        lambda e: F.struct(F.concat(item["_path"], F.array(e["key"])).alias("_path"), e["value"].alias("_value")),
+    )
+    return F.when(fields.isNull(), F.array(item)).otherwise(inner)
 
 
 def leaf_rollup(leaves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """mean, min, max and n of every leaf."""
+    """mean, min, max and n of every leaf. A leaf with a value that is no number (NaN) has NaN for all three; infinite
+    values count as they are."""
+    unknown = F.max(F.isnan("value"))
+
+    def bound(x: Column) -> Column:
+        return F.when(unknown, F.lit(float("nan"))).otherwise(round_exact(x, 3))
+
     return leaves.groupBy(*by, "evaluator", "path").agg(
         exact_mean(F.col("value"), 3).alias("mean"),
-        round_exact(F.min("value"), 3).alias("min"),
-        round_exact(F.max("value"), 3).alias("max"),
+        bound(F.min("value")).alias("min"),
+        bound(F.max("value")).alias("max"),
         F.count(F.lit(1)).alias("n"),
     )
 

@@ -6,24 +6,27 @@ window partition. What a block needs from its neighbours (last row before it, fi
 row after it, how many rows precede it, running maximum or sum so far) comes from a
 summary with one row per block and enters the window as an edge row.
 
-Ordinary keys have a null block, so they stay one partition. When no key is hot, the
-adaptive planner sees the hot table come out empty and drops the block join and the
-edge branch before they read anything.
+Ordinary keys have a null block, so they stay one partition. Whether any key is hot is
+counted when the scan is built; where none is, the hot table is an empty relation and the
+optimizer drops the block join and the edge branch, which leaves the plain window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmetry.session import hot_rows as session_hot_rows
+from talkmetry.session import materialize
 
 BLOCK = "_block"
 BLOCKS = 256
 _CUTS = "_cuts"
+_AXIS = "_axis"
 _SIDE = "_side"
 _COUNT = "_rows"
 
@@ -60,13 +63,24 @@ def hot_keys(df: DataFrame, keys: Sequence[str], axis: str, limit: int | None =
 
     Cuts are quantiles of the key's own rows along ``axis``, so blocks hold about equally many rows however
     unevenly they lie, and a stray value moves nothing; only rows at one and the same value stay together. All hot keys
-    are listed. There are at most rows / ``limit``, one short entry for two million rows by default, which is why the
-    list may be broadcast. Several scans over one table can share the list (``hot=``); it is then computed once.
+    are listed, at most rows / ``limit``. The count runs here; the list is stored where it is not empty, so that Spark knows
+    its size and broadcasts it or joins it otherwise. Several scans over one table can share the list (``hot=``).
     """
     limit = limit or session_hot_rows(df.sparkSession)
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys)
+    rows = df.select(*keys, F.col(axis).alias(_AXIS))
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys)
     fractions = F.array(*[F.lit(i / BLOCKS) for i in range(1, BLOCKS)])
-    return df.join(F.broadcast(large), list(keys)).groupBy(*keys).agg(F.percentile_approx(axis, fractions, 20 * BLOCKS).alias(_CUTS))
+    if large.isEmpty():
+        return df.sparkSession.createDataFrame([], rows.withColumn(_CUTS, F.array(_AXIS)).drop(_AXIS).schema)
+    cuts = _of_keys(rows, materialize(large, "hot-keys"), "left_semi").groupBy(*keys).agg(F.percentile_approx(_AXIS, fractions, 20 * BLOCKS).alias(_CUTS))
+    return materialize(cuts, "hot-cuts")
+
+
+def _of_keys(df: DataFrame, hot: DataFrame, how: str) -> DataFrame:
+    """``df`` joined with ``hot`` on the latter's keys; null is a key like others."""
+    on = key_columns(hot)
+    named = hot.withColumnsRenamed({k: f"_hot_{k}" for k in on})
+    return df.join(named, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in on]), how)
 
 
 def key_columns(hot: DataFrame) -> list[str]:
@@ -75,14 +89,28 @@ def key_columns(hot: DataFrame) -> list[str]:
 
 def mirrored(hot: DataFrame) -> DataFrame:
     """The same cuts for a scan that runs backwards, along the negated axis."""
-    return hot.withColumn(_CUTS, F.transform(_CUTS, lambda cut: -cut))
+    return hot.withColumn(_CUTS, F.reverse(F.transform(_CUTS, lambda cut: -cut)))
 
 
 def with_blocks(df: DataFrame, hot: DataFrame, axis: str, how: str = "left") -> DataFrame:
     """Add the block of each row: null outside hot keys. ``inner`` keeps hot rows only."""
-    passed = F.size(F.filter(_CUTS, lambda cut: cut < F.col(axis)))
-    block = F.when(F.col(_CUTS).isNotNull(), passed).cast("long")
-    return df.join(F.broadcast(hot), key_columns(hot), how).withColumn(BLOCK, block).select(*df.columns, BLOCK)
+    block = F.when(F.col(_CUTS).isNotNull(), cuts_below(F.col(axis))).cast("long")
+    return _of_keys(df, hot, how).withColumn(BLOCK, block).select(*df.columns, BLOCK)
+
+
+def cuts_below(value: Column) -> Column:
+    """How many of the rising cuts lie below ``value``, by bisection."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((BLOCKS - 1).bit_length()))])
+
+    def halve(at: Column, step: Column) -> Column:
+        return F.when(F.get(F.col(_CUTS), at + step - 1) < value, at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), halve)
+
+
+def without_keys(df: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows of ordinary keys."""
+    return _of_keys(df, hot, "left_anti")
 
 
 def scan(

@@ -10,24 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmetry.constants import EVENT_LABELS, FRAME_STEP_MS, KEYS, THRESHOLDS, Thresholds
+from talkmetry.constants import EVENT_LABELS, KEYS, THRESHOLDS, Thresholds
 from talkmetry.operators import compare, distance, events, timing
 from talkmetry.session import materialize
 
 
-def score_turn_taking(
-    intervals: DataFrame, frames: DataFrame, step_ms: int = FRAME_STEP_MS, th: Thresholds = THRESHOLDS
-) -> dict[str, DataFrame]:
+def score_turn_taking(intervals: DataFrame, frames: DataFrame, th: Thresholds = THRESHOLDS) -> dict[str, DataFrame]:
     """Events, cues, cells and timing samples of every conversation with frames.
 
     ``intervals``: run, conv_index, role, start_ms, end_ms (words, or segments without
     timed words). ``frames``: run, conv_index, frame, t_ms and the four probabilities, on any
-    grid: an event whose frame is missing reads the nearest one, so ``step_ms`` decides nothing here.
+    grid: an event whose frame is missing reads the nearest one.
     """
     runs = materialize(timing.speech_runs(intervals, th.merge_gap_ms), "speech-runs")
     spans = frames.groupBy(*KEYS).agg(F.min("t_ms").alias("t_lo"), F.max("t_ms").alias("t_hi"))
     spans = materialize(spans, "frame-spans")
-    hot = materialize(timing.hot_runs(runs), "hot-runs")
+    hot = timing.hot_runs(runs)
     found = materialize(events.turn_events(runs, spans, th, hot), "turn-events")
     start = spans.select(*KEYS, "t_lo")
     kept = events.kept_events(found).join(start, list(KEYS))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 STATE_STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
 HOT_ROWS_KEY = "spark.talkmetry.hotRows"
 DEFAULT_HOT_ROWS = 2_000_000
 
@@ -30,6 +33,20 @@ def build_session(app: str = "talkmetry", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+@contextmanager
+def last_key_wins(spark: SparkSession) -> Iterator[None]:
+    """JSON parsed into variants by expressions made inside keeps the last of repeated keys instead of failing."""
+    before = spark.conf.get(DUPLICATE_KEYS, None)
+    spark.conf.set(DUPLICATE_KEYS, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(DUPLICATE_KEYS)
+        else:
+            spark.conf.set(DUPLICATE_KEYS, before)
+
+
 def hot_rows(spark: SparkSession) -> int:
     """Rows above which one key is cut into blocks instead of staying in one task."""
     return int(spark.conf.get(HOT_ROWS_KEY, str(DEFAULT_HOT_ROWS)))

@@ -30,13 +30,18 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
 
 
 def write_per_group(df: DataFrame, path: str, keys: Sequence[str], fmt: str = "json") -> None:
-    """One directory per group."""
-    df.write.mode("overwrite").partitionBy(*keys).format(fmt).save(path)
+    """One directory per group, with one file, or more where the group is large.
+
+    Rows of a group are brought together before they are written, and the adaptive planner splits a group above its
+    advisory partition size over several tasks; a small group that shares a partition with it has at most as many files. Without
+    that, every task writes a file for each group it meets.
+    """
+    df.hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys).format(fmt).save(path)
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
     """Report texts, one directory per run."""
-    reports.select("run", F.col("report").alias("value")).write.mode("overwrite").partitionBy("run").text(path)
+    write_per_group(reports.select("run", F.col("report").alias("value")), path, ["run"], "text")
 
 
 def bucketed_table(df: DataFrame, name: str, buckets: int, keys: Sequence[str] = KEYS, sort: Sequence[str] = ()) -> None:

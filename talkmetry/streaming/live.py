@@ -8,6 +8,8 @@ everything and takes no part in any result (``with_end_marker``, ``mark_end``).
 
 from __future__ import annotations
 
+import bisect
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BooleanType,
+    DoubleType,
     LongType,
     StringType,
     StructField,
@@ -27,12 +30,14 @@ from talkmetry.constants import (
     CHUNK_STEP_MS,
     END_TOKEN,
     FRAME_LABELS,
+    LABEL_FRAME_MS,
+    LABEL_MIN_TAIL_MS,
     LABEL_WINDOW_MS,
     MAX_DURATION_MS,
     SEGMENT_SILENCE_MS,
     SILENCE_TIMEOUT_MS,
 )
-from talkmetry.functions.text import strip
+from talkmetry.functions.text import WHITESPACE, strip
 
 CONV = ("run", "conv_index")
 END_OF_INPUT = "2200-01-01 00:00:00"
@@ -95,6 +100,221 @@ def label_windows(labels: DataFrame, delay: str = "10 seconds", window_ms: int =
     )
 
 
+LABELLED = StructType(
+    [
+        StructField("run", StringType()),
+        StructField("conv_index", LongType()),
+        StructField("window_index", LongType()),
+        StructField("window_start_s", DoubleType()),
+        StructField("window_end_s", DoubleType()),
+        StructField("n_frames", LongType()),
+        *[StructField(label, LongType()) for label in FRAME_LABELS],
+    ]
+)
+#: Latest frame on the conversation's clock, its time stamp, and the open windows as JSON: {index: [frames, one count per label]}.
+_WINDOWS = StructType([StructField("last_ms", LongType()), StructField("last_us", LongType()), StructField("open", StringType())])
+
+
+def conversation_windows(
+    labels: DataFrame,
+    delay: str = "10 seconds",
+    window_ms: int = LABEL_WINDOW_MS,
+    max_windows: int | None = None,
+    min_tail_ms: int = LABEL_MIN_TAIL_MS,
+    frame_ms: int = LABEL_FRAME_MS,
+    close_ms: int = FORGET_MS,
+) -> DataFrame:
+    """Label counts per non-overlapping window of a conversation, by the rules of ``frames.label_windows``.
+
+    ``labels``: run, conv_index, t_ms (on the conversation's clock), label, ts. A conversation is as long as its last frame's
+    end. A last window shorter than ``min_tail_ms`` is left out, and so are windows from number ``max_windows`` on. A
+    window goes out when a frame behind it has come and the watermark has passed its end; the last one, whose length is not known
+    before, when the conversation has been quiet for ``close_ms`` or the end marker comes. State: one number per label and
+    open window, of which there are as many as fit into the delay, and the last. A batch is counted piece by piece, so a
+    conversation's share of it is never held as a whole. Needs the RocksDB state store (``session.STATE_STORE_KEY``).
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    names = [f.name for f in LABELLED.fields]
+    width = len(FRAME_LABELS) + 1
+
+    class Windows(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("windows", _WINDOWS)
+
+        def _rows(self, key, counts: dict[str, list[int]], total_ms: int) -> pd.DataFrame:
+            out = []
+            for index in sorted(map(int, counts)):
+                start, end = index * window_ms, min((index + 1) * window_ms, total_ms)
+                if end - start >= min_tail_ms:
+                    out.append([key[0], key[1], index, start / 1000.0, end / 1000.0, *counts[str(index)]])
+            return pd.DataFrame(out, columns=names)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            last_ms, last_us, text = self.state.get() if self.state.exists() else (-1, 0, "{}")
+            counts = json.loads(text)
+            for part in rows:
+                # Not a filter on the stream: that would go below the watermark and take the end marker with it.
+                part = part.dropna(subset=["t_ms"])
+                if part.empty:
+                    continue
+                t, us = part["t_ms"].astype("int64"), part["ts"].astype("datetime64[us]").astype("int64")
+                last_ms, last_us = max(last_ms, int(t.max())), max(last_us, int(us.max()))
+                index = t // window_ms
+                if max_windows is not None:
+                    part, index = part[index < max_windows], index[index < max_windows]
+                for (i, label), n in part.groupby([index.rename("i"), part["label"].fillna("")]).size().items():
+                    own = counts.setdefault(str(i), [0] * width)
+                    own[0] += int(n)
+                    if label in FRAME_LABELS:
+                        own[1 + FRAME_LABELS.index(label)] += int(n)
+            if last_ms < 0:
+                return
+            # The stamp of a window's end on the clock of the time stamps; frames before it are late once the watermark is there.
+            passed_ms = last_ms + (timerValues.getCurrentWatermarkInMs() - last_us // 1000)
+            done = {i: c for i, c in counts.items() if (int(i) + 1) * window_ms <= min(passed_ms, last_ms)}
+            self.state.update((last_ms, last_us, json.dumps({i: c for i, c in counts.items() if i not in done})))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(-(-last_us // 1000) + close_ms)
+            if done:
+                yield self._rows(key, done, last_ms + frame_ms)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            if self.state.exists():
+                last_ms, _, text = self.state.get()
+                self.state.clear()
+                yield self._rows(key, json.loads(text), last_ms + frame_ms)
+
+        def close(self) -> None:
+            pass
+
+    return (
+        _watched(labels, delay)
+        .select(*CONV, "t_ms", "label", "ts")
+        .groupBy(*CONV)
+        .transformWithStateInPandas(statefulProcessor=Windows(), outputStructType=LABELLED, outputMode="Append", timeMode="EventTime")
+    )
+
+
+PIECES = StructType(
+    [
+        StructField("run", StringType()),
+        StructField("conv_index", LongType()),
+        StructField("role", StringType()),
+        StructField("start_ts", TimestampType()),
+        StructField("part", LongType()),
+        StructField("end_ts", TimestampType()),
+        StructField("text", StringType()),
+        StructField("closed", BooleanType()),
+    ]
+)
+_TOKEN = StructType([StructField("us", LongType()), StructField("seq", LongType()), StructField("text", StringType())])
+_SEGMENT = StructType(
+    [
+        StructField("start_us", LongType()),
+        StructField("last_us", LongType()),
+        StructField("n", LongType()),
+        StructField("part", LongType()),
+        StructField("text", StringType()),
+        StructField("said", BooleanType()),
+    ]
+)
+
+
+def segment_pieces(
+    tokens: DataFrame, delay: str = "10 seconds", gap_ms: int = SEGMENT_SILENCE_MS, max_tokens: int = 4096
+) -> DataFrame:
+    """The segments of ``token_segments`` in pieces of at most ``max_tokens`` tokens, for roles that may never pause.
+
+    A piece goes out as soon as it is full; the last one of a segment has ``closed`` set and the segment's end. Joined in the order
+    of ``part`` (``join_pieces``), they are the segment. Tokens wait in list state until the watermark has passed them, so that late
+    ones take their place; of the open segment only the current piece is kept. White space at a segment's edges is dropped: at the
+    start as it comes, behind the last word by handing it on to the next piece. Blank segments give nothing. Needs
+    the RocksDB state store.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    names = [f.name for f in PIECES.fields]
+
+    class Segments(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.segment = handle.getValueState("segment", _SEGMENT)
+            self.waiting = handle.getListState("waiting", _TOKEN)
+
+        def _advance(self, key, until_us: int, fresh: list[tuple[int, int, str]]) -> pd.DataFrame:
+            """Take the waiting tokens before ``until_us`` in order, close what has been silent, set the next timer."""
+            held = sorted([*(tuple(t) for t in self.waiting.get()), *fresh])
+            ready = bisect.bisect_left(held, (until_us,))
+            open_ = self.segment.get() if self.segment.exists() else None
+            out: list[list] = []
+
+            def send(closed: bool) -> None:
+                nonlocal open_
+                start, last, n, part, text, said = open_
+                rest = text[len(text.rstrip(WHITESPACE)) :]
+                if said:
+                    stamp = [pd.Timestamp(us, unit="us") for us in (start, last)]
+                    out.append([*key, stamp[0], part, stamp[1], text.rstrip(WHITESPACE), closed])
+                open_ = None if closed else (start, last, 0, part + said, rest, said)
+
+            for us, _, text in held[:ready]:
+                if open_ and us - open_[1] > gap_ms * 1000:
+                    send(True)
+                if open_ and open_[2] == max_tokens:
+                    send(False)
+                start, _, n, part, before, said = open_ or (us, us, 0, 0, "", False)
+                text = before + (text or "")
+                if not said:
+                    text = text.lstrip(WHITESPACE)
+                open_ = (start, us, n + 1, part, text, said or bool(text))
+            if open_ and until_us - open_[1] > gap_ms * 1000:
+                send(True)
+            if open_:
+                self.segment.update(open_)
+            elif self.segment.exists():
+                self.segment.clear()
+            if held[ready:]:
+                self.waiting.put(held[ready:])
+            elif ready:
+                self.waiting.clear()
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            due = [t[0] for t in held[ready : ready + 1]] + ([open_[1] + gap_ms * 1000] if open_ else [])
+            if due:
+                self.handle.registerTimer(min(due) // 1000 + 1)
+            return pd.DataFrame(out, columns=names)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            for part in rows:
+                us = part["ts"].astype("datetime64[us]").astype("int64")
+                fresh = list(zip(us.tolist(), part["seq"].tolist(), part["text"].tolist()))
+                self.waiting.appendList(fresh)
+            yield self._advance(key, timerValues.getCurrentWatermarkInMs() * 1000, [])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            yield self._advance(key, timerValues.getCurrentWatermarkInMs() * 1000, [])
+
+        def close(self) -> None:
+            pass
+
+    return (
+        _watched(tokens, delay)
+        .select(*CONV, "role", "ts", "seq", "text")
+        .groupBy(*CONV, "role")
+        .transformWithStateInPandas(statefulProcessor=Segments(), outputStructType=PIECES, outputMode="Append", timeMode="EventTime")
+    )
+
+
+def join_pieces(pieces: DataFrame) -> DataFrame:
+    """Segments of stored pieces, for those that fit into one row: run, conv_index, role, start_ts, end_ts, text."""
+    parts = F.array_sort(F.collect_list(F.struct("part", "text")))
+    text = F.array_join(F.transform(parts, lambda p: p["text"]), "")
+    return pieces.groupBy(*CONV, "role", "start_ts").agg(F.max("end_ts").alias("end_ts"), text.alias("text"))
+
+
 def sliding_means(frames: DataFrame, value: str, delay: str = "30 seconds") -> DataFrame:
     """Per 25 s chunk (sliding by 5 s): mean over its last 5 s and over the whole chunk."""
     size = CHUNK_CONTEXT_MS + CHUNK_STEP_MS

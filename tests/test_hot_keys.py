@@ -58,6 +58,51 @@ def test_merge_in_blocks(segments, gap):
     assert a == b
 
 
+@pytest.mark.parametrize("shape", ["never", "always", "long", "mixed"])
+def test_merge_of_one_key_in_blocks(spark, shape):
+    """Intervals that never merge, always merge, lie under one long one, or do all of it by turns."""
+    r = random.Random(5)
+    at = {
+        "never": [(10 * i, 10 * i + 3) for i in range(2000)],
+        "always": [(10 * i, 10 * i + 30) for i in range(2000)],
+        "long": [(0, 100_000), *[(10 * i, 10 * i + 3) for i in range(2000)]],
+        "mixed": [(s, s + r.choice([1, 5, 40, 900])) for s in (r.randrange(60_000) for _ in range(2000))],
+    }[shape]
+    df = spark.createDataFrame([("a", s, e) for s, e in at] + [("b", 1, 2), (None, 3, 4)], "k string, start_ms long, end_ms long").repartition(5)
+    want = []
+    for s, e in sorted(at):
+        if want and s - want[-1][2] <= 4:
+            want[-1] = ("a", want[-1][1], max(want[-1][2], e), want[-1][3] + 1)
+        else:
+            want.append(("a", s, e, 1))
+    for limit in (NEVER, ALWAYS, 500):
+        got = merge_intervals(df, 4, ["k"], limit)
+        assert rows(got, "k", "start_ms", "end_ms", "n_merged") == sorted([*want, ("b", 1, 2, 1), (None, 3, 4, 1)], key=repr)
+
+
+def test_no_task_holds_the_block_results_of_a_hot_key(spark):
+    """Of intervals that never merge, only two pieces a block share a partition of the last window."""
+    from talkmetry.operators import intervals
+
+    df = spark.range(20_000).selectExpr("'a' AS k", "id * 10 AS start_ms", "id * 10 + 3 AS end_ms")
+    hot = hot_keys(df, ["k"], "start_ms", 100)
+    blocks = with_blocks(df.withColumn("n_merged", F.lit(1).cast("long")), hot, "start_ms", "inner")
+    seen = []
+    run = intervals._run
+
+    def spy(frame, by):
+        if "_own_run" in list(by):
+            seen.append(frame.groupBy("k", "_own_block", "_own_run").count().agg(F.max("count")).first()[0])
+        return run(frame, by)
+
+    intervals._run = spy
+    try:
+        assert intervals._merge_blocks(blocks, 0, ["k"]).count() == 20_000
+    finally:
+        intervals._run = run
+    assert seen and seen[0] <= 2 * 256
+
+
 def test_merge_with_shared_hot_table(segments):
     hot = hot_keys(segments, KEYS, "start_ms", ALWAYS)
     assert rows(merge_intervals(segments, 180, [*KEYS, "role"], hot=hot)) == rows(merge_intervals(segments, 180, [*KEYS, "role"], NEVER))
@@ -152,3 +197,45 @@ def test_quartiles_of_few_values(spark):
     for limit in (NEVER, 1):
         got = rows(distance.quartiles(s, ["run"], limit=limit), "run", "n", "q1", "median", "q3")
         assert got == [("a", 3001, 0.0, 1.0, 2.0), ("b", 1, 1.5, 1.5, 1.5)]
+
+
+@pytest.mark.parametrize("smooth", [1, 3])
+def test_nearest_frames_by_brute_force(spark, smooth):
+    """Irregular frames with holes wider than a block, several events at one time, events far outside, and one conversation without frames."""
+    r = random.Random(smooth)
+    times = sorted(r.sample(range(0, 4000), 300) + r.sample(range(50_000, 54_000), 300))
+    frames = [("r", c, t, *[r.random() for _ in range(4)]) for c in (1, 2) for t in (times if c == 1 else times[:5])]
+    asked = [("r", c, r.choice([r.randrange(-100, 60_000), times[r.randrange(600)]]), i) for i, c in enumerate(r.choice([1, 1, 1, 2, 3]) for _ in range(500))]
+    asked += [("r", 1, times[0], 1000), ("r", 1, times[0], 1001), ("r", 1, 27_000, 1002)]
+    f = spark.createDataFrame(frames, "run string, conv_index long, t_ms long, " + ", ".join(f"{p} double" for p in events.PROBS)).repartition(4)
+    e = spark.createDataFrame(asked, "run string, conv_index long, t_ms long, tag long").repartition(3)
+    want = []
+    for run, conv, t, tag in asked:
+        mine = [x for x in frames if x[1] == conv]
+        if mine:
+            at = min(range(len(mine)), key=lambda i: (abs(mine[i][2] - t), mine[i][2]))
+            used = mine[max(0, at - smooth + 1) : at + 1]
+            want.append((tag, conv, t, mine[at][2], *[round(sum(x[k] for x in used) / len(used), 9) for k in range(3, 7)]))
+    for limit in (NEVER, ALWAYS, 100):
+        got = events.nearest_frames(e, f, limit, smooth).collect()
+        assert sorted((x["tag"], x["conv_index"], x["t_ms"], x["frame_ms"], *[round(x[p], 9) for p in events.PROBS]) for x in got) == sorted(want)
+
+
+def test_frame_activity_by_brute_force(spark):
+    """Long, empty and corrupt intervals: two rows each, whatever their length."""
+    from talkmetry.operators import frames as N
+
+    r = random.Random(2)
+    spans = [("r", 1, r.choice(["tutor", "student", "system"]), s, s + r.choice([-5, 0, 1, 39, 40, 41, 900])) for s in (r.randrange(-200, 20_000) for _ in range(150))]
+    spans += [("r", 1, "tutor", 19_500, 9 * 10**15), ("r", 2, "student", -(10**15), 10**15), ("r", 1, "tutor", None, 10), ("r", 1, "student", 10, None)]
+    table = spark.createDataFrame(spans, "run string, conv_index long, role string, start_ms long, end_ms long")
+    given = spark.createDataFrame([("r", c, i, float(i)) for c in (1, 2, 3) for i in range(500)], "run string, conv_index long, frame long, energy double").repartition(3)
+    assert N.activity_steps(table, 40).count() <= 2 * len(spans)
+    want = []
+    for c in (1, 2, 3):
+        for i in range(500):
+            on = [int(any(s[1] == c and s[2] == role and s[4] is not None and (s[3] or 0) <= 40 * i < s[4] for s in spans)) for role in ("tutor", "student")]
+            want.append((c, i, *on))
+    for limit in (NEVER, ALWAYS):
+        got = N.frame_activity(given, table, 40, limit=limit)
+        assert rows(got, "conv_index", "frame", "tutor_active", "student_active") == sorted(want, key=repr)

@@ -257,3 +257,76 @@ def test_unknown_evaluator():
 def test_thresholds_travel_with_rows(spark):
     r = spark.range(1).select(timing.thresholds_column()).first().thresholds
     assert r.asDict() == THRESHOLDS.as_dict()
+
+
+def test_rubric_takes_the_last_of_repeated_keys(spark):
+    from talkmetry.constants import NAIVE_RUBRIC
+    from talkmetry.functions.rubric import add_outcome
+
+    key, other = NAIVE_RUBRIC.keys[:2]
+    texts = [
+        f'{{"{key}": {{"score": 1}}, "{key}": {{"score": 2, "score": 4, "rationale": null}}}}',
+        f'{{"{key}": {{"score": 1}}, "{other}": {{"score": 3, "rationale": "r"}}, "{key}": 7}}',
+    ]
+    before = spark.conf.get("spark.sql.variant.allowDuplicateKeys", None)
+    got = [r["_scores"] for r in add_outcome(spark.createDataFrame([(t,) for t in texts], "raw string"), "raw", NAIVE_RUBRIC).collect()]
+    assert {k: tuple(v) for k, v in got[0].items()} == {key: (4, "")}
+    assert {k: tuple(v) for k, v in got[1].items()} == {other: (3, "r")}
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys", None) == before
+
+
+def test_json_leaves_of_any_depth(spark):
+    from talkmetry.operators import leaves
+
+    deep = lambda n: '{"a":' * n + "1" + "}" * n
+    docs = [
+        '{"e": {"x": 1, "y": {"z": 2.5, "t": true, "s": "7", "l": [1, 2], "n": null}}, "top": 3, "f": {"": 4}}',
+        '{"e": {"x": 1, "x": 9}}', '{"big": ' + "1" * 400 + ', "wide": 12345678901234567890123, "huge": 1e30}',
+        deep(20), deep(3000), "[1]", "5", "no json", None, "{}", '{"e": {}}',
+    ]
+    df = spark.createDataFrame(list(enumerate(docs)), "id long, r string").withColumns({"value": F.lit("x"), "path": F.lit("y")})
+    got = {}
+    for r in leaves.numeric_leaves_json(df, "r", ["id"]).collect():
+        got.setdefault(r["id"], []).append((r["evaluator"], r["path"], r["value"]))
+    assert sorted(got.pop(0)) == [("e", "x", 1.0), ("e", "y.z", 2.5), ("f", "", 4.0), ("top", "", 3.0)]
+    assert got.pop(1) == [("e", "x", 9.0)]
+    assert sorted(got.pop(2)) == [("big", "", float("inf")), ("huge", "", 1e30), ("wide", "", 12345678901234567890123.0)]
+    assert got.pop(3) == [("a", ".".join("a" * 19), 1.0)]
+    assert not got
+
+
+def test_means_of_odd_numbers(spark):
+    from talkmetry.functions.text import exact_mean, round_exact
+    from talkmetry.operators import leaves
+
+    inf, nan = float("inf"), float("nan")
+    values = {"plain": [0.1, 0.2, 0.3], "nan": [nan, 1.0], "huge": [1e30, 1e30], "inf": [inf, 2.0], "none": [None], "mixed": [2.0**40, 0.5], "neg": [-0.0015, -0.0025, None], "long": [5e9] * 4}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double")
+    got = {r["k"]: r["m"] for r in df.groupBy("k").agg(exact_mean(F.col("v"), 3).alias("m")).collect()}
+    assert got.pop("nan") != got.get("nan") and got.pop("none") is None
+    assert got == {"plain": 0.2, "huge": 1e30, "inf": inf, "mixed": round((2.0**40 + 0.5) / 2, 3), "neg": -0.002, "long": 5e9}
+    rolled = leaves.leaf_rollup(df.filter("k IN ('nan', 'huge')").selectExpr("'e' AS evaluator", "k AS path", "v AS value")).collect()
+    rolled = {r["path"]: (str(r["mean"]), str(r["min"]), str(r["max"]), r["n"]) for r in rolled}
+    assert rolled == {"nan": ("nan", "nan", "nan", 2), "huge": ("1e+30", "1e+30", "1e+30", 2)}
+    numbers = [2.0115, 1e18, -1e300, 0.0005, 0.0015, 2.5, 4503599627370.4955, inf]
+    back = spark.createDataFrame([(x,) for x in numbers], "v double").select("v", round_exact(F.col("v"), 3).alias("r")).collect()
+    assert all(r["r"] == round(r["v"], 3) for r in back)
+
+
+def test_groups_are_written_to_few_files(spark, tmp_path):
+    import os
+
+    from talkmetry.sinks import write
+
+    df = spark.range(0, 20_000, 1, 200).selectExpr("id % 10 AS k", "id AS v", "uuid() AS text")
+    write.write_per_group(df, str(tmp_path / "small"), ["k"], "parquet")
+    files = {d: len([f for f in os.listdir(tmp_path / "small" / d) if f.startswith("part")]) for d in os.listdir(tmp_path / "small") if d.startswith("k=")}
+    assert len(files) == 10 and max(files.values()) <= 2 and spark.read.parquet(str(tmp_path / "small")).count() == 20_000
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    try:  # a group of half the rows is split
+        write.write_per_group(df.withColumn("k", F.when(F.col("v") % 2 == 0, -1).otherwise(F.col("k"))), str(tmp_path / "large"), ["k"], "parquet")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    parts = {d: len([f for f in os.listdir(tmp_path / "large" / d) if f.startswith("part")]) for d in os.listdir(tmp_path / "large") if d.startswith("k=")}
+    assert 3 <= parts["k=-1"] <= 20 and max(parts.values()) == parts["k=-1"]
