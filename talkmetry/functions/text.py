@@ -90,16 +90,12 @@ def render(template: str, **fields: Column) -> Column:
 def exact_mean(x: Column, digits: int) -> Column:
     """Rounded mean that does not depend on the order of the rows. Null without values, NaN with a NaN among them.
 
-    Whole parts and billionths are summed as integers and put together once. Where a value lies beyond 2**31 (or is
-    infinite or NaN), or a sum passes 64 bits, the mean is that of the doubles.
+    The sum is one of decimals (values count to nine places) and is divided once. Where a value has more than 19 digits before
+    the point, or is infinite or NaN, the mean is that of the doubles.
     """
-    value = x.cast("double")
-    fits = F.abs(value) < 2.0**31
-    whole = F.when(fits, F.floor(value))
-    part = F.when(fits, F.rint((value - F.floor(value)) * 1e9).cast("bigint"))
-    total = F.try_sum(whole).cast("decimal(28,0)") + F.try_sum(part).cast("decimal(28,0)") * F.lit("0.000000001").cast("decimal(9,9)")
-    exact = F.when(F.count(whole) == F.count(value), total.cast("double"))
-    return round_exact(F.try_divide(F.coalesce(exact, F.sum(value)), F.count(value)), digits)
+    exact = x.try_cast("decimal(28,9)")
+    total = F.when(F.count(exact) == F.count(x), F.sum(exact).cast("double"))
+    return round_exact(F.try_divide(F.coalesce(total, F.sum(x.cast("double"))), F.count(x)), digits)
 
 
 def round_exact(x: Column, digits: int) -> Column:
