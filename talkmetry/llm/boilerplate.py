@@ -17,11 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmetry.llm.common import store
+from talkmetry.llm.common import store, under_plain_names
 
 #: Distinct sites from which a line counts as boilerplate.
 SITES = 5
-MIN_WORDS = 4
+#: Every line with a word counts; a caller may leave shorter ones alone.
+MIN_WORDS = 1
 LG_K = 8
 #: Five relative standard errors of the sketch, 5 * 1.04 / sqrt(2 ** LG_K): outside, the estimate decides alone.
 MARGIN = 0.33
@@ -86,8 +87,12 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 
 def strip_documents(docs: DataFrame) -> DataFrame:
-    """The documents without boilerplate lines; one that consisted of nothing else is dropped. Columns as given."""
-    out = strip_lines(docs, min_words=1)
+    """The documents without boilerplate lines; one that consisted of nothing else is dropped. Columns as given, whatever their names."""
+    return under_plain_names(docs, ("doc_id", "source", "text", "n_chars"), _strip_documents)
+
+
+def _strip_documents(docs: DataFrame) -> DataFrame:
+    out = strip_lines(docs)
     out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,15 @@ def discard(*frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def under_plain_names(docs: DataFrame, used: Sequence[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage`` of ``docs``, which gets the columns it does not use under names that clash with none of its own.
+
+    ``stage`` returns the columns it was given; they come back under their names and in their order.
+    """
+    plain = [c if c in used else f"_given_{i}" for i, c in enumerate(docs.columns)]
+    return stage(docs.toDF(*plain)).select(*plain).toDF(*docs.columns)
+
+
 def rows_and_bytes(df: DataFrame, column: str) -> tuple[int, int]:
     got = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(column)).alias("b")).first()
     return int(got["n"]), int(got["b"] or 0)

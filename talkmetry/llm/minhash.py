@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmetry.llm.common import WordHashes, arrow_map, components, discard, shingle_set, store, texts, words
+from talkmetry.llm.common import WordHashes, arrow_map, components, discard, shingle_set, store, texts, under_plain_names, words
 
 WIDTH = 5
 PERCENT = 85
@@ -225,7 +225,11 @@ def near_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates, with the columns of ``docs``; a repeated id stays once."""
+    """One document of each group of near-duplicates, with the columns of ``docs``, whatever their names; a repeated id stays once."""
+    return under_plain_names(docs, ("doc_id", "text"), _keep_one)
+
+
+def _keep_one(docs: DataFrame) -> DataFrame:
     found = near_report(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     once = docs.dropDuplicates(["doc_id"])
     return once.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")

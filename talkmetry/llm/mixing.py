@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkmetry.llm.common import store
+from talkmetry.llm.common import store, under_plain_names
 
 SHARE = 1.5
 LIMIT = 2.0
@@ -167,7 +167,12 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """The mix itself: the columns of ``docs``, a document as often as the mix takes it. Rows of a repeated id share one decision."""
+    """The mix itself: the columns of ``docs``, whatever their names, a document as often as the mix takes it. Rows of a repeated id
+    share one decision."""
+    return under_plain_names(docs, ("doc_id", "source", "text"), _mixture)
+
+
+def _mixture(docs: DataFrame) -> DataFrame:
     taken = mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.expr("taken div size")).cast("int").alias("_copies"))
     joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from talkmetry.llm.common import arrow_map, texts, words
+from talkmetry.llm.common import arrow_map, texts, under_plain_names, words
 
 FEATURE_BITS = 18
 #: Labelled rows the model is fitted on, at most: those smallest by a hash of their id. The fit, one sequential
@@ -240,5 +240,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents the classifier accepts, with the columns of ``docs``."""
-    return score(docs, train(docs, labels)).where("quality_ok = 1").select(*docs.columns)
+    """The documents the classifier accepts, with the columns of ``docs``, whatever their names."""
+    return under_plain_names(docs, ("doc_id", "text"), lambda d: score(d, train(d, labels)).where("quality_ok = 1"))

@@ -130,7 +130,7 @@ def test_line_dedup_odd(spark, odd, empty):
     rows = [(i, f"{line}\nown text of number {i} here\nIt.", f"s{i}") for i in range(6)] + [(9, line, "s1"), (10, None, None), (11, "", "s2"), (12, f"  {line}\t", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("site", F.lit(1)).withColumn("h", F.lit(2))
     got = by_id(boilerplate.strip_lines(docs))
-    assert got[0]["text"] == rows[0][1] and got[1]["text"] == "own text of number 1 here\nIt."
+    assert got[0]["text"] == rows[0][1] and got[1]["text"] == "own text of number 1 here"
     assert (got[9]["text"], got[9]["n_removed"], got[12]["text"], got[10]["text"], got[11]["text"]) == ("", 1, "", None, "")
     kept = by_id(boilerplate.strip_documents(docs))
     assert set(kept) == {0, 1, 2, 3, 4, 5, 10, 11} and boilerplate.line_report(odd).count() == 20
@@ -504,6 +504,22 @@ def test_pipeline_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, sf):
+    """Columns named like the stages' own come back unchanged from every stage that returns documents."""
+    import corpus_pipeline
+
+    names = ["_id", "_copy", "_copies", "_cut", "_cut_id", "quality_ok", "quality_score", "n_lines", "n_removed", "size", "taken", "component_id", "kept", "_given_1"]
+    docs = common.table(spark, sf, "documents")
+    given = common.store(docs.withColumns({c: F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")) for c in names}), "named")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        after = common.store(stage(spark, given, sf), "named")
+        assert after.columns == given.columns, name
+        bad = F.lit(False)
+        for c in names:
+            bad = bad | ~F.col(c).eqNullSafe(F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")))
+        assert after.count() > 0 and after.where(bad).count() == 0, name
+
+
 def test_pipeline_odd(spark, sf, odd, empty):
     import corpus_pipeline
 
