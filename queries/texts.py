@@ -177,7 +177,24 @@ def _reports(spark, d):
     return X.conversation_reports(convs, lines, judged, TAXONOMY_RUBRIC)
 
 
+def _call_json(spark, d):
+    segments = I.segments(spark, d).withColumn("audio_path", F.when(F.col("seg_id") % 3 == 0, F.concat(F.lit("a/"), F.col("seg_id").cast("string"))))
+    convs = segments.groupBy(*KEYS).agg(F.max("end_ms").alias("duration_ms")).withColumns(
+        {"pid": F.concat_ws("-", *[F.col(k).cast("string") for k in KEYS]), "question": F.lit('Say "why"?'), "tutor_uses_image": F.col("conv_index") % 2 == 0,
+         "image_path": F.when(F.col("conv_index") % 3 == 0, F.lit("i.png")).otherwise(F.lit(""))})
+    return X.call_json(convs, segments)
+
+
+def _conversation_json(spark, d):
+    turns = I.table(spark, d, "conversations").select(F.col("conv_id").alias("pid"), "role", F.col("text").alias("content"), "turn")
+    turns = turns.withColumn("audio_path", F.when(F.col("turn") % 4 == 0, F.concat(F.lit("t"), F.col("turn").cast("string"))))
+    convs = turns.groupBy("pid").agg(F.min_by("content", "turn").alias("question")).withColumn("tutor_model", F.lit("bench"))
+    return X.conversation_json(convs, turns)
+
+
 QUERIES = {
+    "call_json": _call_json,
+    "conversation_json": _conversation_json,
     "synthetic_timeline": lambda s, d: chat_segments(s, d).select("conv_index", "seg_id", "role", "start_ms", "end_ms"),
     "transcript_lines": lambda s, d: X.transcript_lines(chat_segments(s, d)),
     "transcripts": lambda s, d: X.transcripts(chat_segments(s, d)),
@@ -294,6 +311,18 @@ ORACLES = {
         """SELECT seg_id, concat('{"role":"', role, '","text":"', text, '","start_time":', CAST(pyround(start_ms / 1000.0::DOUBLE, 3) AS VARCHAR),
         ',"end_time":', CAST(pyround(end_ms / 1000.0::DOUBLE, 3) AS VARCHAR), CASE WHEN seg_id % 3 = 0 THEN concat(',"audio_path":"a/', CAST(seg_id AS VARCHAR), '"') ELSE '' END, '}') AS json FROM seg""",
     ),
+    "call_json": with_ctes(
+        "seg",
+        """SELECT run, conv_index, concat('{"pid":"', run, '-', CAST(conv_index AS VARCHAR), '","attempt_index":0,"question":"Say \\"why\\"?","answer":"","tutor_voice":"","student_voice":"","tutor_backend":"","student_backend":"",',
+        '"tutor_uses_image":', CASE WHEN conv_index % 2 = 0 THEN 'true' ELSE 'false' END, ',"student_uses_image":false,"duration":', CAST(pyround(max(end_ms) / 1000.0::DOUBLE, 3) AS VARCHAR), ',"segments":[',
+        string_agg(concat('{"role":"', role, '","text":"', text, '","start_time":', CAST(pyround(start_ms / 1000.0::DOUBLE, 3) AS VARCHAR),
+        ',"end_time":', CAST(pyround(end_ms / 1000.0::DOUBLE, 3) AS VARCHAR), CASE WHEN seg_id % 3 = 0 THEN concat(',"audio_path":"a/', CAST(seg_id AS VARCHAR), '"') ELSE '' END, '}'), ',' ORDER BY start_ms, seg_id),
+        '],"metadata":{}', CASE WHEN conv_index % 3 = 0 THEN ',"image_path":"i.png"' ELSE '' END, '}') AS json FROM seg GROUP BY run, conv_index""",
+    ),
+    "conversation_json": """WITH u AS (SELECT conv_id, turn, text, concat('{"role":', CAST(to_json(role) AS VARCHAR), ',"content":', CAST(to_json(text) AS VARCHAR), ',"turn":', CAST(turn AS VARCHAR),
+        CASE WHEN turn % 4 = 0 THEN concat(',"audio_path":"t', CAST(turn AS VARCHAR), '"') ELSE '' END, '}') AS j FROM conversations)
+        SELECT conv_id AS pid, concat('{"pid":"', CAST(conv_id AS VARCHAR), '","question":', CAST(to_json(coalesce(arg_min(text, turn), '')) AS VARCHAR), ',"answer":"","tutor_model":"bench","student_model":"","utterances":[',
+        string_agg(j, ',' ORDER BY turn), '],"num_turns":', CAST(count(*) AS VARCHAR), ',"metadata":{}}') AS json FROM u GROUP BY conv_id""",
     "conversation_reports": with_ctes(
         "seg convs raw",
         """WITH t AS (SELECT run, conv_index, string_agg(printf('  [%7.2fs] %s: %s', start_ms / 1000.0::DOUBLE, upper(role), text), chr(10)

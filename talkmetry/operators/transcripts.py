@@ -208,18 +208,87 @@ def reject_empty(convs: DataFrame, segments: DataFrame) -> DataFrame:
     )
 
 
+def segment_record() -> Column:
+    """A segment for interchange: seconds with three decimals, empty optional fields left out."""
+    return F.struct(
+        "role",
+        "text",
+        seconds(F.col("start_ms")).alias("start_time"),
+        seconds(F.col("end_ms")).alias("end_time"),
+        F.nullif(F.col("audio_path"), F.lit("")).alias("audio_path"),
+    )
+
+
 def segment_json() -> Column:
-    """A segment as the interchange JSON: seconds with three decimals, empty optional
-    fields left out."""
-    return F.to_json(
-        F.struct(
-            "role",
-            "text",
-            seconds(F.col("start_ms")).alias("start_time"),
-            seconds(F.col("end_ms")).alias("end_time"),
-            F.nullif(F.col("audio_path"), F.lit("")).alias("audio_path"),
-        )
+    return F.to_json(segment_record())
+
+
+def utterance_record() -> Column:
+    """A turn of a text conversation for interchange; ``audio_path`` left out where empty."""
+    return F.struct("role", "content", "turn", F.nullif(F.col("audio_path"), F.lit("")).alias("audio_path"))
+
+
+def utterance_json() -> Column:
+    return F.to_json(utterance_record())
+
+
+def _with_list(convs: DataFrame, parts: DataFrame, keys: Sequence[str], order: Sequence[str], record: Column, name: str) -> DataFrame:
+    """``convs`` with their parts as one ordered list, empty where they have none."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, record.alias("_record"))))
+    listed = parts.groupBy(*keys).agg(F.transform(rows, lambda r: r["_record"]).alias(name))
+    joined = convs.join(listed, list(keys), "left")
+    return joined.withColumn(name, F.coalesce(name, F.array().cast(listed.schema[name].dataType)))
+
+
+def _field(df: DataFrame, name: str, default) -> Column:
+    """A column, or the default where it is null or not there."""
+    value = F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default)
+    return value.alias(name)
+
+
+def _metadata(df: DataFrame) -> Column:
+    none = F.create_map().cast("map<string,string>")
+    return (F.coalesce("metadata", none) if "metadata" in df.columns else none).alias("metadata")
+
+
+def _image(df: DataFrame) -> Column:
+    return F.nullif(_field(df, "image_path", ""), F.lit("")).alias("image_path")
+
+
+def call_json(convs: DataFrame, segments: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """keys and ``json``: a spoken conversation with its segments in time order.
+
+    ``convs``: keys, pid, duration_ms and whatever it has of the other fields; ``segments``: keys, seg_id and the columns of
+    ``segment_record``. One row a conversation, whatever its length.
+    """
+    df = _with_list(convs, segments, keys, ["start_ms", "seg_id"], segment_record(), "segments")
+    texts = ("question", "answer", "tutor_voice", "student_voice", "tutor_backend", "student_backend")
+    record = F.struct(
+        F.col("pid").cast("string").alias("pid"),
+        _field(df, "attempt_index", 0),
+        *[_field(df, c, "") for c in texts],
+        *[_field(df, c, False) for c in ("tutor_uses_image", "student_uses_image")],
+        seconds(F.col("duration_ms")).alias("duration"),
+        "segments",
+        _metadata(df),
+        _image(df),
+    )
+    return df.select(*keys, F.to_json(record).alias("json"))
+
+
+def conversation_json(convs: DataFrame, utterances: DataFrame, keys: Sequence[str] = ("pid",)) -> DataFrame:
+    """keys and ``json``: a text conversation with its utterances by turn. ``convs``: keys, pid and whatever it has of the
+    other fields; ``utterances``: keys and the columns of ``utterance_record``."""
+    df = _with_list(convs, utterances, keys, ["turn"], utterance_record(), "utterances")
+    record = F.struct(
+        F.col("pid").cast("string").alias("pid"),
+        *[_field(df, c, "") for c in ("question", "answer", "tutor_model", "student_model")],
+        "utterances",
+        F.size("utterances").alias("num_turns"),
+        _metadata(df),
+        _image(df),
     )
+    return df.select(*keys, F.to_json(record).alias("json"))
 
 
 def rubric_lines(scores: Column, rubric: Rubric) -> Column:

@@ -330,3 +330,39 @@ def test_groups_are_written_to_few_files(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
     parts = {d: len([f for f in os.listdir(tmp_path / "large" / d) if f.startswith("part")]) for d in os.listdir(tmp_path / "large") if d.startswith("k=")}
     assert 3 <= parts["k=-1"] <= 20 and max(parts.values()) == parts["k=-1"]
+
+
+def test_conversations_without_parts_and_with_defaults(spark):
+    convs = spark.createDataFrame([("p", 1234, {"k": "v"}), ("q", 0, None)], "pid string, duration_ms long, metadata map<string,string>")
+    none = spark.createDataFrame([], "pid string, seg_id long, role string, text string, start_ms long, end_ms long, audio_path string")
+    got = {r["pid"]: json.loads(r["json"]) for r in transcripts.call_json(convs, none, ["pid"]).collect()}
+    assert got["p"]["segments"] == [] and got["p"]["duration"] == 1.234 and got["p"]["metadata"] == {"k": "v"} and got["q"]["metadata"] == {}
+    assert got["p"]["attempt_index"] == 0 and got["p"]["question"] == "" and "image_path" not in got["p"]
+    said = spark.createDataFrame([("p", "tutor", 'two "x"\n', 2, ""), ("p", "student", "one", 1, "a.wav")], "pid string, role string, content string, turn int, audio_path string")
+    got = {r["pid"]: json.loads(r["json"]) for r in transcripts.conversation_json(convs, said).collect()}
+    assert got["q"]["utterances"] == [] and got["p"]["num_turns"] == 2
+    assert got["p"]["utterances"] == [{"role": "student", "content": "one", "turn": 1, "audio_path": "a.wav"}, {"role": "tutor", "content": 'two "x"\n', "turn": 2}]
+
+
+def test_a_status_of_the_class_is_seen():
+    class Busy(Exception):
+        code = 503
+
+    class Asked(Exception):
+        @property
+        def status_code(self):
+            return 429
+
+    class Wrong(Exception):
+        code = 400
+
+    for error, tries in ((Busy(), 3), (Asked(), 3), (Wrong(), 1)):
+        seen = []
+
+        def call(error=error, seen=seen):
+            seen.append(1)
+            raise error
+
+        with pytest.raises(type(error)):
+            evaluators.patiently(call, (0, 0))
+        assert len(seen) == tries
