@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from queries import inputs as I
 from queries.inputs import with_ctes
-from talkmetry.constants import KEYS
+from talkmetry.constants import ASR_SPLIT_GAP_MS, CORPUS_SPLIT_GAP_MS, KEYS
 from talkmetry.operators import frames as N
 from talkmetry.operators import words as W
 from talkmetry.sources.imports import frame_rows
@@ -94,7 +94,8 @@ QUERIES = {
     "sliding_stitch": _sliding,
     "frame_arrays": lambda s, d: frame_rows(I.table(s, d, "embeddings").select("vec_id", "embedding"), ("vec_id",)).withColumn("embedding", F.round(F.col("embedding").cast("double"), 6)),
     "words_to_segments": lambda s, d: _flat(W.words_to_segments(words(s, d))),
-    "words_split_last": lambda s, d: _flat(W.words_to_segments(words(s, d), gap_ms=1500, joiner="", end="last")),
+    "words_split_last": lambda s, d: _flat(W.words_to_segments(words(s, d), gap_ms=ASR_SPLIT_GAP_MS, joiner="", end="last")),
+    "words_corpus_split": lambda s, d: _flat(W.words_to_segments(words(s, d), gap_ms=CORPUS_SPLIT_GAP_MS, end="last")),
     "extend_segments": lambda s, d: W.extend_segments(I.segments(s, d), _audio(s, d)),
     "clamp_to_audio": lambda s, d: W.clamp_to_audio(I.segments(s, d), _audio(s, d)).select(*KEYS, "seg_id", "start_ms", "end_ms"),
     "drop_silence": _drop_silence,
@@ -146,6 +147,7 @@ ORACLES = {
     "frame_arrays": """SELECT vec_id, CAST(i AS BIGINT) AS frame, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS embedding
         FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings)""",
     "words_to_segments": with_ctes("seg", "WITH " + _SPLIT.format(gap=1000, end="max(end_ms)", sep=" ")),
+    "words_corpus_split": with_ctes("seg", "WITH " + _SPLIT.format(gap=500, end="arg_max(end_ms, seg_id)", sep=" ")),
     "words_split_last": with_ctes("seg", "WITH " + _SPLIT.format(gap=1500, end="arg_max(end_ms, seg_id)", sep="")),
     "extend_segments": with_ctes(
         "seg convs",

@@ -36,7 +36,6 @@ SEGMENT_SILENCE_MS = 1000
 ASR_SPLIT_GAP_MS = 1500
 CORPUS_SPLIT_GAP_MS = 500
 ALIGN_MIN_MS = 100
-CTC_MIN_MS = 500
 SILENCE_LABELS = ("", "sil", "sp", "spn")
 LOW_CONFIDENCE = -2.0
 
@@ -114,7 +113,6 @@ SILENCE_TIMEOUT_MS = 10_000
 # --- quality scores -----------------------------------------------------------
 CHANNELS = ("tutor", "student", "mixed")
 AXES = ("PQ", "PC", "CE", "CU")
-HEADLINE_AXES = ("PQ", "CE", "CU")
 
 # --- rubrics (scores 0 to 5) ---------------------------------------------------
 
@@ -184,7 +182,6 @@ TAXONOMY_RUBRIC = Rubric(
     },
     compare=("guidance_quality", "actionability", "mean_component_score"),
 )
-RUBRICS = {r.name: r for r in (NAIVE_RUBRIC, TAXONOMY_RUBRIC)}
 JUDGE_DIR_MARKER = "__judge-"
 
 # --- manifests ------------------------------------------------------------------
