@@ -281,7 +281,72 @@ def test_main_text(spark):
 def test_deep_pages_cost_no_more_per_piece():
     page = "<main>" + "<div>" * 30_000 + "deep text" + "</div>" * 30_000 + "</main><footer>out"
     assert templates.extract(page, frozenset()) == "deep text"
-    assert len(templates.page_tokens(page)) == 60_003
+    assert len(templates.page_tokens(page)) == 60_006
+    assert templates.breaks(page, []) == set()
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<div class="layout with-sidebar"><article><p>kept</p></article><div class="sidebar-left">out</div></div>', "kept"),
+    ('<div class="sidebar"><article><p>kept</p><div class="comments">out</div></article></div>', "kept"),
+    ('<article><h1 class="article-header">Head</h1><p>text</p></article>', "Head text"),
+    ('<article><header><h1>Head</h1></header><p>text</p><footer>out</footer></article>', "Head text"),
+    ('<article><p class="share-price">12</p><p class="share">out<p>text</article>', "12 text"),
+    ('<article><p>text</p></article><article id="comment-1">reader</article>', "text"),
+    ('<main><p>text</p><section id="comments"><article>reader</article></section></main>', "text"),
+    ('<div><div><a href="/">Home</a></div><div><a href="/n">News</a></div><div><a>Shop</a></div></div><div>text <a>link</a></div>', "text link"),
+    ('<form><article><p>text</p><form>out</form></article></form>', "text"),
+    ('<body><div data-id="ad" title="menu">text</div><div class="site-footer">out</div></body>', "text"),
+])
+def test_tag_rules_of_main_text(page, want):
+    assert templates.extract(page, frozenset()) == want
+
+
+def plain_page(i: int, body: str, extra: str = "") -> str:
+    """A page without any marked section: a slogan, a text in unmarked tags, a remark behind it."""
+    return f"<html><body><div>Daily of Somewhere</div><div>{body}</div><section>{extra}Read more of what we write</section></body></html>"
+
+
+def test_template_of_unmarked_blocks(spark):
+    own = [plain_page(i, f"<h2>Title {i}</h2><p>Story {i} is long<p>and ends {i}") for i in range(20)]
+    inside = [f"<body><article><h1>A{i}</h1><div>Support our paper</div><p>Body {i}</p><div>All rights reserved</div></article></body>" for i in range(20)]
+    few = [plain_page(i, f"<p>Few {i}") for i in range(2)]
+    rows = [(i, "http://own.example", p) for i, p in enumerate(own)] + [(100 + i, "http://in.example", p) for i, p in enumerate(inside)]
+    rows += [(200 + i, "http://few.example", p) for i, p in enumerate(few)]
+    # An article copied within its host, under menus of its own, is no template, however many copies there are.
+    copy = "<article><h1>Same head</h1><p>The same long story</p><p>with the same long end</p></article>"
+    rows += [(300 + i, "http://copy.example", f"<body><nav>N{i}</nav>{copy}</body>") for i in range(10)]
+    rows += [(400 + i, "http://copy.example", f"<body><nav>N{i}</nav><article><p>Other story {i} of this host</p></article></body>") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in templates.extract_pages(pages).collect()}
+    assert all(got[i] == f"Title {i} Story {i} is long and ends {i}" for i in range(20))
+    assert all(got[100 + i] == f"A{i} Body {i}" for i in range(20))
+    assert all(got[200 + i] == f"Daily of Somewhere Few {i} Read more of what we write" for i in range(2))
+    assert all(got[300 + i] == "Same head The same long story with the same long end" for i in range(10))
+    assert all(got[400 + i] == f"Other story {i} of this host" for i in range(5))
+    # Without the template the blocks stay: it is what decides here.
+    assert all(templates.extract(p, frozenset()) != got[i] for i, p in enumerate(own))
+    assert all(templates.extract(p, frozenset()) != got[100 + i] for i, p in enumerate(inside))
+
+
+def test_classes_must_be_ordered_and_nested():
+    tag = {label: templates.token(f"t{label}", 0) for label in "ABCDEF"}
+    classes = [{"id": 1, "tokens": [tag["A"], tag["B"], tag["C"]]}, {"id": 2, "tokens": [tag["D"], tag["E"]]}]
+    page = lambda *labels: "<p>".join(labels)
+    assert templates.breaks(page("A", "x", "D", "E", "D", "E", "B", "C"), classes) == set()
+    assert templates.breaks(page("A", "C", "B"), classes) == {1}
+    assert templates.breaks(page("A", "D", "B", "E", "C"), classes) == {2}
+    assert templates.breaks(page("B", "A", "C"), classes) == {1}
+    assert templates.breaks(page("D", "D", "E"), classes) == {2}
+    assert templates.breaks(page("A", "B"), classes) == {1}
+    assert templates.breaks(None, classes) == set()
+
+
+def test_broken_class_leaves_its_text(spark):
+    """Two blocks in turning order are no template of two tokens."""
+    turn = lambda i: "<p>one one</p><p>two two</p>" if i % 2 else "<p>two two</p><p>one one</p>"
+    rows = [(i, "http://h.example", f"<article><p>Story {i} goes on</p><p>More {i} of it</p>{turn(i)}</article>") for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert all("one one" in r["text"] and "two two" in r["text"] for r in templates.extract_pages(pages).collect())
 
 
 def test_main_text_is_the_article(spark, sf):
