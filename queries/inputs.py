@@ -35,6 +35,10 @@ def _run() -> Column:
     return F.concat(F.lit("sys"), (F.col("user_id") % 5).cast("string"))
 
 
+def run_of_user() -> Column:
+    return _run().alias("run")
+
+
 def _conv() -> Column:
     return F.expr("user_id div 5")
 
@@ -99,14 +103,8 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rubric_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One judge response per (user, event type): the first event's, fenced JSON."""
-    first = (
-        table(spark, sf_dir, "events")
-        .select("user_id", "event_type", "event_id", _cents().alias("c"))
-        .groupBy("user_id", "event_type")
-        .agg(F.min_by(F.struct("event_id", "c"), "event_id").alias("f"))
-        .select("user_id", "event_type", F.col("f.event_id").alias("event_id"), F.col("f.c").alias("c"))
-    )
+    """One judge response per event, fenced JSON: every event stands for a conversation that one model judged."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", _cents().alias("c"))
     raw = F.concat(
         F.lit('```json\n{"guidance_quality": {"score": '),
         (F.col("c") % 6).cast("string"),
@@ -118,8 +116,8 @@ def rubric_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 17 == 0, F.lit("")).otherwise(F.lit("}")),
         F.lit("\n```"),
     )
-    return first.select(
-        _run().alias("run"), _conv().alias("conv_index"), F.col("event_type").alias("judge_model"), "event_id", raw.alias("raw")
+    return rows.select(
+        _run().alias("run"), F.col("event_id").alias("conv_index"), F.col("event_type").alias("judge_model"), "event_id", raw.alias("raw")
     )
 
 
@@ -147,14 +145,25 @@ def conversations_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cents_of_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run, conv_index, the user and the sum of the cents of all its events."""
+    sums = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(_cents()).alias("c"))
+    return sums.select(F.col("user_id").alias("u"), _run().alias("run"), _conv().alias("conv_index"), "c")
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """541 frames per conversation at 2 Hz; probabilities from integers per mille."""
+    """541 frames per conversation at 2 Hz; probabilities from integers per mille. Each event moves the frame of its half second."""
     i = F.col("frame")
-    grid = conversations_of(spark, sf_dir).withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FRAMES - 1).cast("long"))))
-    now = (i * 37 + F.col("conv_index") * 101 + F.col("u") * 13) % 1000
-    future = (i * 53 + F.col("conv_index") * 29 + F.col("u") * 7) % 1000
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FRAMES - 1).cast("long")))
+    grid = conversations_of(spark, sf_dir).select("u", steps.alias("frame"), F.lit(0).cast("long").alias("c"))
+    timed = table(spark, sf_dir, "events").select(F.col("user_id").alias("u"), micros().alias("us"), _cents().alias("c"))
+    moved = timed.select("u", F.expr(f"us div 500000 % {FRAMES}").alias("frame"), "c")
+    sums = grid.unionByName(moved).groupBy("u", "frame").agg(F.sum("c").alias("c"))
+    keyed = sums.select("u", "frame", "c", F.concat(F.lit("sys"), (F.col("u") % 5).cast("string")).alias("run"), F.expr("u div 5").alias("conv_index"))
+    now = (i * 37 + F.col("conv_index") * 101 + F.col("u") * 13 + F.col("c")) % 1000
+    future = (i * 53 + F.col("conv_index") * 29 + F.col("u") * 7 + F.col("c")) % 1000
     labels = F.array(*[F.lit(x) for x in LABEL_NAMES])
-    return grid.select(
+    return keyed.select(
         "run",
         "conv_index",
         "frame",
@@ -163,7 +172,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((1000 - now) / 1000.0).alias("p_now1"),
         (future / 1000.0).alias("p_future0"),
         ((1000 - future) / 1000.0).alias("p_future1"),
-        labels[((i * 7 + F.col("conv_index")) % 5).cast("int")].alias("label"),
+        labels[((i * 7 + F.col("conv_index") + F.col("c")) % 5).cast("int")].alias("label"),
     )
 
 
@@ -195,14 +204,12 @@ CTES = {
         FROM ev GROUP BY 1, 2, 3)
         SELECT run, conv_index, channel, 'PQ' AS axis, hi AS score FROM q
         UNION ALL SELECT run, conv_index, channel, 'CE', lo FROM q)""",
-    "raw": """raw AS (SELECT concat('sys', CAST(user_id % 5 AS VARCHAR)) AS run, user_id // 5 AS conv_index,
+    "raw": """raw AS (SELECT concat('sys', CAST(user_id % 5 AS VARCHAR)) AS run, event_id AS conv_index,
         event_type AS judge_model, event_id, c,
         concat('```json', chr(10), '{"guidance_quality": {"score": ', CAST(c % 6 AS VARCHAR),
         ', "rationale": "r"}, "actionability": {"score": ', CAST((c // 6) % 6 AS VARCHAR),
         ', "rationale": "r"}, "coherence": {"score": ', CAST((c // 36) % 6 AS VARCHAR), ', "rationale": "r"}',
-        CASE WHEN event_id % 17 = 0 THEN '' ELSE '}' END, chr(10), '```') AS raw
-        FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM ev)
-        WHERE rn = 1)""",
+        CASE WHEN event_id % 17 = 0 THEN '' ELSE '}' END, chr(10), '```') AS raw FROM ev)""",
     "crit": """crit AS (SELECT run, conv_index, judge_model, unnest(['guidance_quality', 'actionability', 'coherence']) AS criterion,
         CAST(unnest([c % 6, (c // 6) % 6, (c // 36) % 6]) AS INT) AS score FROM raw WHERE event_id % 17 <> 0)""",
     "pref": """pref AS (SELECT event_id // 2 AS row_idx, event_id % 2 AS neg, 'even' AS split, 'llm_judge_bea' AS rubric,
@@ -212,10 +219,11 @@ CTES = {
     "convs": """convs AS (SELECT DISTINCT user_id AS u, concat('sys', CAST(user_id % 5 AS VARCHAR)) AS run,
         user_id // 5 AS conv_index FROM events)""",
     "frames": """frames AS (SELECT c.run, c.conv_index, f.i AS frame, f.i * 500 AS t_ms,
-        (f.i * 37 + c.conv_index * 101 + c.u * 13) % 1000 AS now_pm,
-        (f.i * 53 + c.conv_index * 29 + c.u * 7) % 1000 AS future_pm,
-        (['C', 'NA', 'I', 'BC', 'T'])[1 + (f.i * 7 + c.conv_index) % 5] AS label
-        FROM convs c CROSS JOIN (SELECT i FROM range(541) t(i)) f)""",
+        (f.i * 37 + c.conv_index * 101 + c.u * 13 + coalesce(m.c, 0)) % 1000 AS now_pm,
+        (f.i * 53 + c.conv_index * 29 + c.u * 7 + coalesce(m.c, 0)) % 1000 AS future_pm,
+        (['C', 'NA', 'I', 'BC', 'T'])[1 + (f.i * 7 + c.conv_index + coalesce(m.c, 0)) % 5] AS label
+        FROM convs c CROSS JOIN (SELECT i FROM range(541) t(i)) f
+        LEFT JOIN (SELECT user_id, us // 500000 % 541 AS i, CAST(sum(c) AS BIGINT) AS c FROM ev GROUP BY 1, 2) m ON m.user_id = c.u AND m.i = f.i)""",
     "turns": """turns AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'student' WHEN 'assistant' THEN 'tutor'
         ELSE role END AS role, text FROM conversations)""",
     # Speech runs: a run starts where no earlier interval of the role reaches within the gap.
@@ -265,7 +273,7 @@ _NEEDS = {
     "raw": ("ev",),
     "crit": ("raw",),
     "pref": ("ev",),
-    "frames": ("convs",),
+    "frames": ("ev", "convs"),
     "runs": ("seg",),
     "steps": ("runs",),
     "samples": ("steps",),

@@ -18,22 +18,20 @@ def parsed(spark: SparkSession, d: str) -> DataFrame:
     return R.parse_responses(I.rubric_raw(spark, d), TAXONOMY_RUBRIC)
 
 
-def backends(spark: SparkSession, d: str) -> DataFrame:
-    """Backends by system; every seventh conversation has no record."""
+def backends_of(convs: DataFrame) -> DataFrame:
+    """Backends by system; those of every seventh conversation are not known."""
     names = F.array(*[F.lit(b) for b in BACKENDS])
-    return (
-        I.conversations_of(spark, d)
-        .filter(F.col("conv_index") % 7 != 0)
-        .select(
-            *KEYS,
-            names[(F.col("u") % 5).cast("int")].alias("tutor_backend"),
-            F.lit("gemini-live").alias("student_backend"),
-        )
+    known = F.col("conv_index") % 7 != 0
+    return convs.select(
+        *KEYS,
+        F.when(known, names[(F.col("u") % 5).cast("int")]).alias("tutor_backend"),
+        F.when(known, F.lit("gemini-live")).alias("student_backend"),
     )
 
 
 def labelled(spark, d):
-    return R.label_scores(R.criterion_scores(parsed(spark, d)), backends(spark, d))
+    scored = R.criterion_scores(parsed(spark, d))
+    return R.label_scores(scored, backends_of(I.table(spark, d, "events").select(F.col("user_id").alias("u"), I.run_of_user(), F.col("event_id").alias("conv_index"))))
 
 
 def _parse_rows(spark, d):

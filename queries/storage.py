@@ -94,7 +94,7 @@ def _run_dirs(spark, d):
         F.concat("run", F.when(F.col("judge_model") == "view", F.lit("")).otherwise(F.concat(F.lit("__judge-"), "judge_model"))).alias("dir"),
         F.to_json(F.struct("conv_index", "raw")).alias("value"),
     )
-    rows.repartition("dir").write.partitionBy("dir").text(path)
+    write.write_per_group(rows, path, ["dir"], "text")
     return runs.discover_runs(spark, path, "*.txt").select(F.regexp_replace("run", "^dir=", "").alias("run"), F.col("n_records").cast("long").alias("n_records"))
 
 

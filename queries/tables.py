@@ -228,7 +228,7 @@ _LEAF = """SELECT 'stats' AS evaluator, 'value' AS path, value AS v FROM events
     UNION ALL SELECT 'meta', 'props.k', CAST(json_extract(props, '$.k') AS DOUBLE) FROM events
     UNION ALL SELECT 'meta', 'user', CAST(user_id AS DOUBLE) FROM events WHERE event_id % 3 = 0"""
 _ROLL = f"SELECT evaluator, path, pyround(CAST(sum(CAST(v AS DECIMAL(38,9))) AS DOUBLE) / count(v), 3) AS mean, pyround(min(v), 3) AS min, pyround(max(v), 3) AS max, count(*) AS n FROM ({_LEAF}) GROUP BY 1, 2"
-_ST, _TT = transcript._STATS_SQL, transcript._TT
+_ST, _TT = transcript.STATS_SQL, transcript.TT_SQL
 _BOTH = with_ctes("seg", "SELECT 1").rsplit("SELECT 1", 1)[0] + _ST + _TT.replace("base AS", "base0 AS").replace("FROM base b", "FROM base0 b")
 _BACK = "CASE c_nationkey % 4 WHEN 0 THEN 'gpt-realtime' WHEN 1 THEN 'human' WHEN 2 THEN 'new/model.1' END"
 _NLEN = texts.ORACLES["judge_prompts"]

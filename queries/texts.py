@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from queries import inputs as I
 from queries.inputs import with_ctes
-from queries.judging import backends, parsed
-from talkmetry.constants import KEYS, TAXONOMY_RUBRIC
+from queries.judging import backends_of
+from queries.transcript import STATS_SQL, STAT_COLS, TT_SQL
+from talkmetry.constants import KEYS, NAIVE_RUBRIC, TAXONOMY_RUBRIC
 from talkmetry.functions.text import keep_tail, strip
 from talkmetry.operators import transcripts as X
+from talkmetry.operators.conversation import conversation_stats, turn_taking
+from talkmetry.operators.rubrics import parse_responses
 from talkmetry.sources.imports import dialog_conversations, dialog_segments, preference_segments, question_table
 
 CHAT = ("conv_id",)
@@ -95,8 +98,9 @@ FILES = {"view": "tutor_full.wav", "click": "student_full.opus", "signup": "comb
 
 
 def _inventory(spark, d):
-    names = F.col("event_type")
-    return I.table(spark, d, "events").filter(F.col("event_id") % 10 == 0).select(
+    """A file per event: audio where its value is small, else notes."""
+    names = F.when(F.col("value") < 1, F.col("event_type"))
+    return I.table(spark, d, "events").select(
         F.concat(F.lit("sys"), (F.col("user_id") % 5).cast("string")).alias("run"),
         F.expr("user_id div 5").alias("conv_index"),
         F.when(names == "view", F.lit(FILES["view"])).when(names == "click", F.lit(FILES["click"])).when(names == "signup", F.lit(FILES["signup"])).otherwise(F.lit("notes.txt")).alias("file_name"),
@@ -156,10 +160,23 @@ def _preference_import(spark, d):
     return preference_segments(rows)
 
 
+def _judged(spark, d, rubric):
+    """A response per conversation, its scores from all its events; the calls of every thirteenth user to the plain rubric failed."""
+    sums = I.cents_of_conversations(spark, d)
+    keys = ("scaffolding_quality", "overall") if rubric is NAIVE_RUBRIC else ("guidance_quality", "actionability", "coherence")
+    why = "" if rubric is NAIVE_RUBRIC else "r"
+    entry = [F.concat(F.lit(f'"{k}": {{"score": '), F.expr(f"c div {6 ** i} % 6").cast("string"), F.lit(f', "rationale": "{why}"}}')) for i, k in enumerate(keys)]
+    end = F.lit("}") if rubric is NAIVE_RUBRIC else F.when(F.col("c") % 17 == 0, F.lit("")).otherwise(F.lit("}"))
+    error = F.when(F.col("u") % 13 == 0, F.lit("timed out")) if rubric is NAIVE_RUBRIC else F.lit(None).cast("string")
+    raw = sums.select(*KEYS, F.lit("judge-1").alias("judge_model"), error.alias("error"), F.concat(F.lit("{"), F.concat_ws(", ", *entry), end).alias("raw"))
+    return parse_responses(raw, rubric, error="error")
+
+
 def _reports(spark, d):
+    segments = I.segments(spark, d)
     convs = (
         _convs(spark, d)
-        .join(backends(spark, d), list(KEYS), "left")
+        .join(backends_of(I.conversations_of(spark, d)), list(KEYS), "left")
         .withColumns(
             {
                 "attempt_index": (F.col("conv_index") % 3).cast("int"),
@@ -170,11 +187,10 @@ def _reports(spark, d):
             }
         )
     )
-    lines = X.transcripts(I.segments(spark, d), "report").drop("n_pieces")
-    judged = parsed(spark, d).filter(F.col("judge_model") == "click").select(*KEYS, "status", "judge_model", "scores", "mean_component_score", F.col("conv_index").alias("_c"))
-    judged = judged.join(I.conversations_of(spark, d).select(*KEYS), list(KEYS)).drop("_c")
-    # One response per conversation: the view holds one per user and event type.
-    return X.conversation_reports(convs, lines, judged, TAXONOMY_RUBRIC)
+    lines = X.transcripts(segments, "report").drop("n_pieces")
+    return X.conversation_reports(
+        convs, lines, _judged(spark, d, NAIVE_RUBRIC), more_judged=[(_judged(spark, d, TAXONOMY_RUBRIC), TAXONOMY_RUBRIC)],
+        stats=conversation_stats(segments), timing=turn_taking(segments))
 
 
 def _call_json(spark, d):
@@ -231,8 +247,9 @@ def _strip(column: str) -> str:
 _LINE = f"printf('[t=%6.2fs] %s: %s', CAST(turn_no AS DOUBLE), role, {_strip('text')})"
 _TIMED = "timed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_no FROM turns)"
 _FILES = """inv AS (SELECT concat('sys', CAST(user_id % 5 AS VARCHAR)) AS run, user_id // 5 AS conv_index,
-    bool_or(event_type = 'view') AS has_tutor_audio, bool_or(event_type = 'click') AS has_student_audio,
-    bool_or(event_type = 'signup') AS has_combined_audio FROM events WHERE event_id % 10 = 0 GROUP BY 1, 2)"""
+    bool_or(event_type = 'view' AND value < 1) AS has_tutor_audio, bool_or(event_type = 'click' AND value < 1) AS has_student_audio,
+    bool_or(event_type = 'signup' AND value < 1) AS has_combined_audio FROM events GROUP BY 1, 2)"""
+_RULE = "repeat('-', 72)"
 _USER = "CASE role WHEN 'assistant' THEN 'tutor' ELSE 'student' END"
 
 ORACLES = {
@@ -323,25 +340,35 @@ ORACLES = {
         CASE WHEN turn % 4 = 0 THEN concat(',"audio_path":"t', CAST(turn AS VARCHAR), '"') ELSE '' END, '}') AS j FROM conversations)
         SELECT conv_id AS pid, concat('{"pid":"', CAST(conv_id AS VARCHAR), '","question":', CAST(to_json(coalesce(arg_min(text, turn), '')) AS VARCHAR), ',"answer":"","tutor_model":"bench","student_model":"","utterances":[',
         string_agg(j, ',' ORDER BY turn), '],"num_turns":', CAST(count(*) AS VARCHAR), ',"metadata":{}}') AS json FROM u GROUP BY conv_id""",
-    "conversation_reports": with_ctes(
-        "seg convs raw",
-        """WITH t AS (SELECT run, conv_index, string_agg(printf('  [%7.2fs] %s: %s', start_ms / 1000.0::DOUBLE, upper(role), text), chr(10)
+    "conversation_reports": with_ctes("seg convs", "SELECT 1").rsplit("SELECT 1", 1)[0] + STATS_SQL + TT_SQL + f"""
+        , t AS (SELECT run, conv_index, string_agg(printf('  [%7.2fs] %s: %s', start_ms / 1000.0::DOUBLE, upper(role), text), chr(10)
         ORDER BY start_ms, seg_id) AS text FROM seg GROUP BY 1, 2),
-        j AS (SELECT *, event_id % 17 <> 0 AS ok, c % 6 AS g, (c // 6) % 6 AS a, (c // 36) % 6 AS h FROM raw WHERE judge_model = 'click'),
+        j AS (SELECT user_id AS u, CAST(sum(c) AS BIGINT) AS c FROM ev GROUP BY 1),
+        k AS (SELECT *, c % 6 AS s0, c // 6 % 6 AS s1, c // 36 % 6 AS s2 FROM j),
         b AS (SELECT * FROM convs)
-        SELECT b.run, b.conv_index, CAST(0 AS INT) AS part, array_to_string([repeat('=', 80),
-        printf('Conversation %03d   pid=%d   attempt=%d', b.conv_index, b.u, b.conv_index % 3), repeat('=', 80),
+        SELECT b.run, b.conv_index, CAST(0 AS INT) AS part, array_to_string([repeat('=', 72),
+        printf('Conversation %03d   pid=%d   attempt=%d', b.conv_index, b.u, b.conv_index % 3), repeat('=', 72),
         printf('Backends  tutor=%s (v1)   student=%s (?)', CASE WHEN b.conv_index % 7 = 0 THEN '?' ELSE (['gpt-realtime', 'gemini-live', 'personaplex',
             'moshivis', 'other-backend'])[1 + b.u % 5] END, CASE WHEN b.conv_index % 7 = 0 THEN '?' ELSE 'gemini-live' END),
-        printf('Duration  %.1fs', b.conv_index * 500 / 1000.0::DOUBLE), '', 'QUESTION', repeat('-', 80),
-        concat('  ', rtrim(repeat(concat('question ', CAST(b.u AS VARCHAR), ' '), 12))), '', 'Ground-truth answer: 42', '', 'TRANSCRIPT', repeat('-', 80), t.text, '',
-        'LLM JUDGE (naive)', repeat('-', 80),
-        CASE WHEN NOT j.ok THEN '  Status: parse_error' ELSE array_to_string([
-        printf('  Model: click   Mean component score: %s/5', CAST(pyround((g + a + h) / 3, 3) AS VARCHAR)), '', '  Error diagnosis',
-        printf('    %-26s --  (missing)', 'Confusion ID'), printf('    %-26s --  (missing)', 'Conf.location'), '  Pedagogical quality',
-        printf('    %-26s --  (missing)', 'Ans.withheld'), printf('    %-26s %d/5', 'Guidance', g), '      r', printf('    %-26s %d/5', 'Actionability', a), '      r',
-        '  Dialogue quality', printf('    %-26s %d/5', 'Coherence', h), '      r', printf('    %-26s --  (missing)', 'Tutor tone'),
-        printf('    %-26s --  (missing)', 'Human-like')], chr(10)) END, ''], chr(10)) AS report
-        FROM b JOIN t USING (run, conv_index) JOIN j USING (run, conv_index)""",
-    ),
+        printf('Duration  %.1fs', b.conv_index * 500 / 1000.0::DOUBLE), '', 'QUESTION', {_RULE},
+        concat('  ', rtrim(repeat(concat('question ', CAST(b.u AS VARCHAR), ' '), 12))), '', 'Ground-truth answer: 42', '', 'TRANSCRIPT', {_RULE}, t.text, '',
+        'LLM JUDGE (naive)', {_RULE},
+        CASE WHEN b.u % 13 = 0 THEN concat('  Status: error', chr(10), '  Error: timed out') ELSE array_to_string([
+        printf('  Model: judge-1   Mean component score: %s/5', CAST(s0::DOUBLE AS VARCHAR)), '', '  Naturalness',
+        printf('    %-26s --  (missing)', 'Phrasing naturalness'), printf('    %-26s --  (missing)', 'Student realism'), '  Tutoring effectiveness',
+        printf('    %-26s --  (missing)', 'Answer correctness'), printf('    %-26s %d/5', 'Scaffolding quality', s0), '  Engagement / holistic',
+        printf('    %-26s %d/5', 'Overall', s1)], chr(10)) END, '',
+        'LLM JUDGE (BEA 2025 — Maurya et al., NAACL 2025)', {_RULE},
+        CASE WHEN c % 17 = 0 THEN '  Status: parse_error' ELSE array_to_string([
+        printf('  Model: judge-1   Mean component score: %s/5', CAST(pyround((s0 + s1 + s2) / 3, 3) AS VARCHAR)), '', '  Error diagnosis',
+        printf('    %-26s --  (missing)', 'Confusion ID'), printf('    %-26s --  (missing)', 'Confusion location'), '  Pedagogical quality',
+        printf('    %-26s --  (missing)', 'Answer withheld'), printf('    %-26s %d/5', 'Guidance quality', s0), '      r', printf('    %-26s %d/5', 'Actionability', s1), '      r',
+        '  Dialogue quality', printf('    %-26s %d/5', 'Coherence', s2), '      r', printf('    %-26s --  (missing)', 'Tutor tone'),
+        printf('    %-26s --  (missing)', 'Human-likeness')], chr(10)) END, '',
+        'STATS', {_RULE}, {", ".join(f"concat('  {c}: ', CAST({c} AS VARCHAR))" for c in STAT_COLS)}, '',
+        'TURN-TAKING', {_RULE}, concat('  response_latency_s: {{''mean'': ', CAST(latency_mean_s::DOUBLE AS VARCHAR), ', ''median'': ', CAST(latency_median_s::DOUBLE AS VARCHAR),
+        ', ''p90'': ', CAST(latency_p90_s::DOUBLE AS VARCHAR), ', ''count'': ', CAST(latency_count AS VARCHAR), '}}'),
+        {", ".join(f"printf('  {c}: %.3f', {c}::DOUBLE)" for c in ("overlap_s", "overlap_ratio", "silence_s", "silence_ratio"))},
+        concat('  backchannel_count: ', CAST(backchannel_count AS VARCHAR)), printf('  backchannel_ratio: %.3f', backchannel_ratio::DOUBLE), ''], chr(10)) AS report
+        FROM b JOIN t USING (run, conv_index) JOIN k USING (u) JOIN stats USING (run, conv_index) JOIN tt USING (run, conv_index)""",
 }

@@ -89,7 +89,7 @@ QUERIES = {
     "uptake_latencies": lambda s, d: E.uptake_latencies(classified(s, d)),
 }
 
-_STATS_SQL = """
+STATS_SQL = """
 , sw AS (SELECT run, conv_index, count(*) FILTER (WHERE role <> prev) AS role_switches FROM (
     SELECT *, lag(role) OVER (PARTITION BY run, conv_index ORDER BY seg_id) AS prev FROM seg) GROUP BY 1, 2),
 agg AS (SELECT run, conv_index, max(end_ms) AS dur, count(*) AS num_segments,
@@ -112,16 +112,16 @@ stats AS (SELECT agg.run, agg.conv_index, pyround(dur / 1000.0::DOUBLE, 3) AS du
 
 
 def _stats(body: str) -> str:
-    return with_ctes("seg", "SELECT 1").rsplit("SELECT 1", 1)[0] + _STATS_SQL + body
+    return with_ctes("seg", "SELECT 1").rsplit("SELECT 1", 1)[0] + STATS_SQL + body
 
 
-_STAT_COLS = [
+STAT_COLS = [
     "duration_s", "num_segments", "role_switches", "tutor_segments", "tutor_words", "tutor_speaking_time_s",
     "tutor_words_per_min", "tutor_talk_ratio", "student_segments", "student_words", "student_speaking_time_s",
     "student_words_per_min", "student_talk_ratio",
 ]
 
-_TT = """
+TT_SQL = """
 , gaps AS (SELECT run, conv_index, start_ms - prev_end AS gap FROM (
     SELECT *, lag(end_ms) OVER w AS prev_end, lag(role) OVER w AS prev_role FROM seg
     WINDOW w AS (PARTITION BY run, conv_index ORDER BY start_ms, seg_id)) WHERE prev_role <> role AND start_ms >= prev_end),
@@ -155,7 +155,7 @@ tt AS (SELECT b.run, b.conv_index, coalesce(latency_mean_s, 0) AS latency_mean_s
 
 
 def _tt(body: str) -> str:
-    return with_ctes("seg", "SELECT 1").rsplit("SELECT 1", 1)[0] + _TT + body
+    return with_ctes("seg", "SELECT 1").rsplit("SELECT 1", 1)[0] + TT_SQL + body
 
 
 _CELLS = """CAST(count(*) FILTER (WHERE cell = 'appropriate_uptake') AS BIGINT) AS appropriate_uptake,
@@ -166,7 +166,7 @@ _CELLS = """CAST(count(*) FILTER (WHERE cell = 'appropriate_uptake') AS BIGINT)
 ORACLES = {
     "conversation_stats": _stats("SELECT * FROM stats"),
     "run_summary": _stats(
-        "SELECT run, " + ", ".join(f"pyround(CAST(sum(CAST({c} AS DECIMAL(38,9))) AS DOUBLE) / nullif(count({c}), 0), 3) AS {c}" for c in _STAT_COLS) + " FROM stats GROUP BY run"
+        "SELECT run, " + ", ".join(f"pyround(CAST(sum(CAST({c} AS DECIMAL(38,9))) AS DOUBLE) / nullif(count({c}), 0), 3) AS {c}" for c in STAT_COLS) + " FROM stats GROUP BY run"
     ),
     "role_switches": _stats("SELECT * FROM sw"),
     "turn_word_stats": with_ctes(

@@ -5,7 +5,7 @@ They are data, not logic: changing one changes the numbers a query returns.
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 KEYS = ("run", "conv_index")
 
@@ -127,6 +127,9 @@ class Rubric:
     labels: dict[str, str]
     compare: tuple[str, ...]
     mean_excludes: tuple[str, ...] = ()
+    heading: str = ""
+    report_axes: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    report_labels: dict[str, str] = field(default_factory=dict)
 
 
 NAIVE_RUBRIC = Rubric(
@@ -152,6 +155,20 @@ NAIVE_RUBRIC = Rubric(
     },
     compare=("scaffolding_quality", "overall", "mean_component_score"),
     mean_excludes=("overall",),
+    # Fixed values of the report text.
+    heading="LLM JUDGE (naive)",
+    report_axes={
+        "Naturalness": ("phrasing_naturalness", "student_realism"),
+        "Tutoring effectiveness": ("answer_correctness", "scaffolding_quality"),
+        "Engagement / holistic": ("overall",),
+    },
+    report_labels={
+        "answer_correctness": "Answer correctness",
+        "scaffolding_quality": "Scaffolding quality",
+        "student_realism": "Student realism",
+        "phrasing_naturalness": "Phrasing naturalness",
+        "overall": "Overall",
+    },
 )
 TAXONOMY_RUBRIC = Rubric(
     name="llm_judge_bea",
@@ -181,6 +198,18 @@ TAXONOMY_RUBRIC = Rubric(
         "human_likeness": "Human-like",
     },
     compare=("guidance_quality", "actionability", "mean_component_score"),
+    # Fixed values of the report text.
+    heading="LLM JUDGE (BEA 2025 — Maurya et al., NAACL 2025)",
+    report_labels={
+        "confusion_identification": "Confusion ID",
+        "confusion_location": "Confusion location",
+        "answer_withheld": "Answer withheld",
+        "guidance_quality": "Guidance quality",
+        "actionability": "Actionability",
+        "coherence": "Coherence",
+        "tutor_tone": "Tutor tone",
+        "human_likeness": "Human-likeness",
+    },
 )
 JUDGE_DIR_MARKER = "__judge-"
 

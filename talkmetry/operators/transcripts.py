@@ -294,11 +294,11 @@ def conversation_json(convs: DataFrame, utterances: DataFrame, keys: Sequence[st
 def rubric_lines(scores: Column, rubric: Rubric) -> Column:
     """A rubric by axis: axis title, then each criterion with score and rationale."""
     lines = []
-    for axis, keys in rubric.axes.items():
+    for axis, keys in (rubric.report_axes or rubric.axes).items():
         lines.append(F.lit(f"  {axis}"))
         for key in keys:
             entry = F.try_element_at(scores, F.lit(key))
-            label = f"    {rubric.labels.get(key, key):<26} "
+            label = f"    {rubric.report_labels.get(key, key):<26} "
             why = strip(F.coalesce(entry["rationale"], F.lit("")))
             lines.append(
                 F.when(entry.isNull(), F.lit(f"{label}--  (missing)")).otherwise(
@@ -309,39 +309,91 @@ def rubric_lines(scores: Column, rubric: Rubric) -> Column:
     return F.concat_ws("\n", *lines)
 
 
-def conversation_reports(convs: DataFrame, lines: DataFrame, judged: DataFrame, rubric: Rubric = NAIVE_RUBRIC) -> DataFrame:
-    """One report text per conversation (and transcript part).
+RULE, BAR = "-" * 72, "=" * 72
+LATENCIES = {"mean": "latency_mean_s", "median": "latency_median_s", "p90": "latency_p90_s", "count": "latency_count"}
+
+
+def _plain(value: Column) -> Column:
+    """A number of at most three decimals without exponent or trailing zeros, but with one decimal."""
+    return F.regexp_replace(value.cast("decimal(38,3)").cast("string"), r"(\.\d+?)0+$", "$1")
+
+
+def judge_section(status: Column, model: Column, mean: Column, scores: Column, error: Column, rubric: Rubric) -> Column:
+    """Heading and outcome of one judge: its scores, or the status and error of a call that gave none."""
+    failed = F.concat_ws("\n", F.concat(F.lit("  Status: "), status), F.concat(F.lit("  Error: "), error))
+    scored = F.concat_ws(
+        "\n",
+        F.format_string("  Model: %s   Mean component score: %s/5", F.coalesce(model, F.lit("?")), F.coalesce(mean.cast("string"), F.lit("--"))),
+        F.lit(""),
+        rubric_lines(scores, rubric),
+    )
+    return F.concat_ws("\n", F.lit(f"\n{rubric.heading}\n{RULE}"), F.when(~status.isin("ok", "missing"), failed).otherwise(scored))
+
+
+def judge_sections(judged: DataFrame, rubric: Rubric) -> DataFrame:
+    """keys and ``section``: the sections of all of a conversation's judges, by model."""
+    error = F.col("error") if "error" in judged.columns else F.lit(None).cast("string")
+    section = judge_section(F.col("status"), F.col("judge_model"), F.col("mean_component_score"), F.col("scores"), error, rubric)
+    rows = judged.select(*KEYS, F.struct("judge_model", section.alias("section")).alias("s"))
+    return rows.groupBy(*KEYS).agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list("s")), lambda x: x["section"])).alias("section"))
+
+
+def stats_section(stats: DataFrame) -> DataFrame:
+    """keys and ``section``: each column of ``conversation_stats`` in a line."""
+    lines = [
+        F.concat(F.lit(f"  {c}: "), _plain(F.col(c)) if t == "double" else F.col(c).cast("string"))
+        for c, t in stats.dtypes
+        if c not in KEYS
+    ]
+    return stats.select(*KEYS, F.concat_ws("\n", F.lit(f"\nSTATS\n{RULE}"), *lines).alias("section"))
+
+
+def timing_section(timing: DataFrame) -> DataFrame:
+    """keys and ``section``: each column of ``turn_taking`` in a line, the four of latency in one."""
+    latency = [F.concat(F.lit(f"'{n}': "), F.col(c).cast("string") if n == "count" else _plain(F.col(c))) for n, c in LATENCIES.items()]
+    lines = [F.concat(F.lit("  response_latency_s: {"), F.concat_ws(", ", *latency), F.lit("}"))]
+    for c, t in timing.dtypes:
+        if c not in KEYS and c not in LATENCIES.values():
+            lines.append(F.format_string(f"  {c}: " + ("%.3f" if t == "double" else "%d"), F.col(c)))
+    return timing.select(*KEYS, F.concat_ws("\n", F.lit(f"\nTURN-TAKING\n{RULE}"), *lines).alias("section"))
+
+
+def conversation_reports(
+    convs: DataFrame,
+    lines: DataFrame,
+    judged: DataFrame,
+    rubric: Rubric = NAIVE_RUBRIC,
+    more_judged: Sequence[tuple[DataFrame, Rubric]] = (),
+    stats: DataFrame | None = None,
+    timing: DataFrame | None = None,
+) -> DataFrame:
+    """One report text per conversation (and transcript part), however many models judged it.
 
     ``convs``: keys, pid, attempt_index, question, answer, backends, voices, duration_ms.
     ``lines``: ``transcripts(style="report")``. ``judged``: keys, status, judge_model,
-    scores, mean_component_score.
+    scores, mean_component_score and, if calls can fail, error. A conversation that ``judged`` lacks gets a section
+    without scores; the further rubrics of ``more_judged``, ``stats`` (``conversation_stats``) and ``timing``
+    (``turn_taking``) have a section only where they have a row.
     """
-    rule, bar = "-" * 80, "=" * 80
     name = {c: F.coalesce(F.col(c), F.lit("?")) for c in ("tutor_backend", "student_backend", "tutor_voice", "student_voice")}
-    joined = convs.join(lines, list(KEYS), "left").join(judged, list(KEYS), "left")
-    status = F.coalesce("status", F.lit("missing"))
-    judge = F.when(~status.isin("ok", "missing"), F.concat(F.lit("  Status: "), status)).otherwise(
-        F.concat_ws(
-            "\n",
-            F.format_string(
-                "  Model: %s   Mean component score: %s/5",
-                F.coalesce("judge_model", F.lit("?")),
-                F.coalesce(F.col("mean_component_score").cast("string"), F.lit("--")),
-            ),
-            F.lit(""),
-            rubric_lines(F.col("scores"), rubric),
-        )
-    )
+    joined = convs.join(lines, list(KEYS), "left")
+    parts = [judge_sections(judged, rubric)] + [judge_sections(d, r) for d, r in more_judged]
+    parts += [section(df) for section, df in ((stats_section, stats), (timing_section, timing)) if df is not None]
+    for i, part in enumerate(parts):
+        joined = joined.join(part.withColumnRenamed("section", f"_section_{i}"), list(KEYS), "left")
+    none = F.lit(None)
+    unjudged = judge_section(F.lit("missing"), none, none, F.create_map().cast("map<string,struct<score:int,rationale:string>>"), none.cast("string"), rubric)
+    question = strip(F.coalesce("question", F.lit("")))
     report = F.concat_ws(
         "\n",
-        F.lit(bar),
+        F.lit(BAR),
         F.format_string(
             "Conversation %03d   pid=%s   attempt=%d",
             "conv_index",
             F.coalesce("pid", F.lit("?")),
             F.coalesce("attempt_index", F.lit(0)),
         ),
-        F.lit(bar),
+        F.lit(BAR),
         F.format_string(
             "Backends  tutor=%s (%s)   student=%s (%s)",
             name["tutor_backend"],
@@ -351,15 +403,14 @@ def conversation_reports(convs: DataFrame, lines: DataFrame, judged: DataFrame,
         ),
         F.when(F.col("duration_ms").isNotNull(), F.format_string("Duration  %.1fs", seconds(F.col("duration_ms"), 1))),
         F.lit("\nQUESTION"),
-        F.lit(rule),
-        F.regexp_replace(strip(F.coalesce("question", F.lit(""))), "(?m)^", "  "),
+        F.lit(RULE),
+        F.when(question != "", F.regexp_replace(question, "(?m)^", "  ")),
         F.concat(F.lit("\nGround-truth answer: "), strip(F.coalesce("answer", F.lit("")))),
         F.lit("\nTRANSCRIPT"),
-        F.lit(rule),
+        F.lit(RULE),
         F.coalesce("text", F.lit("  (no segments)")),
-        F.lit("\nLLM JUDGE (naive)"),
-        F.lit(rule),
-        judge,
+        F.coalesce(F.col("_section_0"), unjudged),
+        *[F.col(f"_section_{i}") for i in range(1, len(parts))],
         F.lit(""),
     )
     return joined.select(*KEYS, F.coalesce("part", F.lit(0)).alias("part"), report.alias("report"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from talkmetry.constants import NAIVE_RUBRIC, TAXONOMY_RUBRIC, THRESHOLDS
 from talkmetry.functions import text as T
 from talkmetry.operators import frames, leaves, rubrics, timing, transcripts, words, work
+from talkmetry.operators.conversation import conversation_stats, turn_taking
 from talkmetry.plans import evaluators
 from talkmetry.schemas import ALIGNED, CONVERSATION, TUTORING_EXAMPLE
 from talkmetry.sources import flatten, imports, lines, runs
@@ -366,3 +367,32 @@ def test_a_status_of_the_class_is_seen():
         with pytest.raises(type(error)):
             evaluators.patiently(call, (0, 0))
         assert len(seen) == tries
+
+
+def test_report_sections(spark):
+    """One report a conversation: several models of one rubric, a failed call, a second rubric and metrics where there are any."""
+    scores = {"overall": (4, " fine "), "scaffolding_quality": (2, None)}
+    kind = "run string, conv_index long, status string, judge_model string, error string, scores map<string,struct<score:int,rationale:string>>, mean_component_score double"
+    naive = spark.createDataFrame([("r", 0, "ok", "b", None, scores, 2.0), ("r", 0, "error", "a", "no answer", None, None)], kind)
+    taxonomy = spark.createDataFrame([("r", 1, "ok", "t", None, {"tutor_tone": (5, "kind")}, 5.0)], kind)
+    convs = spark.createDataFrame(
+        [("r", i, f"p{i}", 0, q, "42", None, None, "v", None, 1500) for i, q in enumerate(["one\ntwo", None])],
+        "run string, conv_index long, pid string, attempt_index int, question string, answer string, tutor_backend string, student_backend string, "
+        "tutor_voice string, student_voice string, duration_ms long")
+    lines = spark.createDataFrame([("r", 0, 0, "  [   0.00s] TUTOR: hi")], "run string, conv_index long, part int, text string")
+    segments = spark.createDataFrame(
+        [("r", 0, 0, "tutor", 0, 1000, "a b"), ("r", 0, 1, "student", 1250, 2000, "c")],
+        "run string, conv_index long, seg_id long, role string, start_ms long, end_ms long, text string")
+    got = transcripts.conversation_reports(
+        convs, lines, naive, more_judged=[(taxonomy, TAXONOMY_RUBRIC)], stats=conversation_stats(segments), timing=turn_taking(segments)).collect()
+    text = {r["conv_index"]: r["report"] for r in got}
+    assert len(got) == 2
+    rule = "-" * 72
+    assert f"QUESTION\n{rule}\n  one\n  two\n\nGround" in text[0] and f"QUESTION\n{rule}\n\nGround" in text[1]
+    assert f"\n\nLLM JUDGE (naive)\n{rule}\n  Status: error\n  Error: no answer\n\nLLM JUDGE (naive)\n{rule}\n  Model: b   Mean component score: 2.0/5\n\n  Naturalness\n" in text[0]
+    assert "    Overall                    4/5\n      fine\n" in text[0] and "BEA" not in text[0]
+    assert f"\n\nSTATS\n{rule}\n  duration_s: 2.0\n  num_segments: 2\n  role_switches: 1\n  tutor_segments: 1\n" in text[0]
+    assert f"\n\nTURN-TAKING\n{rule}\n  response_latency_s: {{'mean': 0.25, 'median': 0.25, 'p90': 0.25, 'count': 1}}\n  overlap_s: 0.000\n" in text[0]
+    assert text[0].endswith("backchannel_ratio: 0.000\n")
+    assert "  Model: ?   Mean component score: --/5\n" in text[1] and "STATS" not in text[1] and "TURN-TAKING" not in text[1]
+    assert "NAACL 2025)" in text[1] and "    Tutor tone                 5/5\n      kind\n" in text[1]
