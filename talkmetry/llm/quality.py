@@ -33,7 +33,8 @@ COST = 1.0
 EPOCHS = 30
 THRESHOLD = 0.3
 _SHARES = np.array([0.0, 0.01, 0.03, 0.08, 0.15, 0.3, 0.5, 0.7, 0.9, 1.01])
-_MEMO = 200_000
+#: Remembered word shapes: so many words of so many bytes at most, some 40 MB.
+_MEMO, _MEMO_BYTES = 200_000, 64
 
 
 def _shape(word: bytes) -> int:
@@ -45,11 +46,11 @@ def _shape(word: bytes) -> int:
         if kind != last:
             out.append(kind)
             last = kind
-    return xxhash.xxh3_64_intdigest("".join(out[:12]))
+    return xxhash.xxh3_64_intdigest("".join(out))
 
 
 class Indicators:
-    """Columns of a text, ascending; remembers word shapes up to a fixed number of words."""
+    """Columns of a text, ascending; remembers the shapes of a fixed number of words of bounded length."""
 
     def __init__(self, bits: int = FEATURE_BITS):
         self._mask = np.uint64((1 << bits) - 1)
@@ -66,7 +67,9 @@ class Indicators:
         for w in tokens:
             h = known.get(w)
             if h is None:
-                h = known[w] = _shape(w)
+                h = _shape(w)
+                if len(w) <= _MEMO_BYTES:
+                    known[w] = h
             form.append(h)
         shape = np.array(form, dtype=np.uint64)
         again = sum(map(bytes.__eq__, tokens, tokens[1:]))

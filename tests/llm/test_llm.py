@@ -234,6 +234,29 @@ def test_quality_on_held_out_documents(spark, labels):
     assert np.mean([r["kept"] == (r["quality"] == 1) for r in rows]) > 0.95
 
 
+def test_dual_descent_finds_the_minimum():
+    """Against the same objective solved in its primal by Newton steps over the rows inside the margin."""
+    rng = np.random.default_rng(11)
+    x = np.where(rng.random((80, 25)) < 0.3, rng.standard_normal((80, 25)), 0.0)
+    y = np.where(x[:, 0] + x[:, 1] + 0.8 * rng.standard_normal(80) > 0.4, 1, -1)
+    cols = [np.flatnonzero(r) for r in x]
+    weight, bias = quality.dual_descent(cols, [r[c] for r, c in zip(x, cols)], y, 25, epochs=3000)
+    cost = np.where(y > 0, 80 / (2 * (y > 0).sum()), 80 / (2 * (y < 0).sum()))
+    design, best = np.c_[x, np.ones(80)], np.zeros(26)
+    for _ in range(50):
+        near = y * (design @ best) < 1
+        scaled = design[near] * (2 * cost[near])[:, None]
+        best = np.linalg.solve(np.eye(26) + scaled.T @ design[near], scaled.T @ y[near])
+    assert np.allclose(np.r_[weight, bias], best, atol=2e-3)
+
+
+def test_word_shapes_are_whole():
+    long = b"aA" * 40
+    assert quality._shape(long + b"1") != quality._shape(long + b"!") and quality._shape(b"abc1") == quality._shape(b"x9")
+    features = quality.Indicators()
+    assert features(b"x" * 100_000 + b" short") is not None and list(features._known) == [b"short"]
+
+
 def test_quality_odd(spark, sf, odd, empty, labels):
     model = quality.train(common.table(spark, sf, "documents"), labels)
     got = quality.score(odd, model)
