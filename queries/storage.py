@@ -70,11 +70,12 @@ def _auto_scan(spark, d):
     as_lines = lines.read_json(spark, path + "/*", TURN, multi_line=False)
     record = F.to_json(F.struct(F.when(F.col("turn") < 2, F.col("conv_id")).alias("conv_index"), "turn", "role", "text"))
     turns = I.table(spark, d, "conversations").select(F.expr("conv_id div 20").alias("file"), "conv_id", "turn", record.alias("value"))
-    number = F.row_number().over(Window.partitionBy("file").orderBy("conv_id", "turn"))  # a file is twenty conversations
-    body = turns.withColumn("n", number).select("file", "n", F.concat(F.when(F.col("n") == 1, F.lit("[")).otherwise(F.lit(",")), "value").alias("value"))
-    close = turns.select("file").distinct().select("file", F.lit(2**31 - 1).alias("n"), F.lit("]").alias("value"))
+    by_turn = Window.partitionBy("file").orderBy("conv_id", "turn")  # a file is twenty conversations
+    turns = turns.withColumns({"n": F.row_number().over(by_turn), "last": F.lead(F.lit(1)).over(by_turn).isNull()})
+    # The brackets stand in the rows: a union with rows for them would count as dealt by file, and be coalesced side by side.
+    value = F.concat(F.when(F.col("n") == 1, "[").otherwise(","), "value", F.when(F.col("last"), "]").otherwise(""))
     arrays = shared_dir(spark, "arrays")
-    files = body.unionByName(close).repartition("file").sortWithinPartitions("file", "n")
+    files = turns.select("file", "n", value.alias("value")).repartition("file").sortWithinPartitions("file", "n")
     files.select("file", "value").write.partitionBy("file").text(arrays)
     whole = lines.read_json(spark, arrays + "/*", TURN, multi_line=True)
     columns = ["conv_index", "turn", "role", "text"]
