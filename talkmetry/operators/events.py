@@ -122,21 +122,22 @@ def read_frames(
     a regular grid that starts at the conversation's ``t_lo`` (or at 0). The frame number
     is arithmetic, so the big table meets the events in an equi-join on
     (conversation, frame): no range predicate, and one long conversation spreads over
-    all tasks.
+    all tasks. Frames made in the plan look small to Spark, so the join is told not to broadcast them.
     """
+    frames = frames.select(*KEYS, "frame", *PROBS).hint("merge")
     t0 = F.col("t_lo") if "t_lo" in events.columns else F.lit(0)
     index = nearest_grid_index(F.col("t_ms"), t0, step_ms)
     first = F.greatest(F.lit(0).cast("long"), index - (smooth - 1))
     if smooth == 1:
         return (
             events.withColumn("frame", index)
-            .join(frames.select(*KEYS, "frame", *PROBS), [*KEYS, "frame"])
+            .join(frames, [*KEYS, "frame"])
             .drop("frame")
         )
     names = events.columns
     wanted = events.withColumn("frame", F.explode(F.sequence(first, index)))
     return (
-        wanted.join(frames.select(*KEYS, "frame", *PROBS), [*KEYS, "frame"])
+        wanted.join(frames, [*KEYS, "frame"])
         .groupBy(*names)
         .agg(*[F.avg(p).alias(p) for p in PROBS])
     )
@@ -321,27 +322,19 @@ def cell_totals(classified: DataFrame) -> DataFrame:
 
 def cue_shares(classified: DataFrame) -> DataFrame:
     """Share (%) of each cue label per run and holder role; labels never seen count 0."""
-    counts = classified.groupBy("run", F.col("holder").alias("role")).agg(
-        *[F.count_if(F.col("cue_label") == c).alias(f"c{i}") for i, c in enumerate(CUE_LABELS)]
-    )
-    # Roles never holding the floor still appear, with no share.
-    runs = counts.select("run").distinct().withColumn("role", F.explode(F.array(*map(F.lit, ROLES))))
-    counts = runs.join(counts, ["run", "role"], "left").fillna(0)
-    total = sum((F.col(f"c{i}") for i in range(len(CUE_LABELS))), F.lit(0))
+    # One count for every role and label, so that roles never holding the floor appear, with no share.
+    pairs = [(r, c) for r in ROLES for c in CUE_LABELS]
+    held = [F.count_if((F.col("holder") == r) & (F.col("cue_label") == c)).alias(f"c{i}") for i, (r, c) in enumerate(pairs)]
+    counts = classified.groupBy("run").agg(*held)
+
+    def total(role: str) -> Column:
+        return sum((F.col(f"c{i}") for i, (r, _) in enumerate(pairs) if r == role), F.lit(0))
+
     items = F.array(
-        *[F.struct(F.lit(c).alias("label"), F.col(f"c{i}").alias("count")) for i, c in enumerate(CUE_LABELS)]
-    )
-    return (
-        counts.withColumn("total", total)
-        .select("run", "role", "total", F.explode(items).alias("i"))
-        .select(
-            "run",
-            "role",
-            "i.label",
-            "i.count",
-            F.round(F.try_divide(100.0 * F.col("i.count"), F.col("total")), 6).alias("pct"),
-        )
+        *[F.struct(F.lit(r).alias("role"), F.lit(c).alias("label"), F.col(f"c{i}").alias("count"), total(r).alias("total")) for i, (r, c) in enumerate(pairs)]
     )
+    share = F.round(F.try_divide(100.0 * F.col("i.count"), F.col("i.total")), 6).alias("pct")
+    return counts.select("run", F.explode(items).alias("i")).select("run", "i.role", "i.label", "i.count", share)
 
 
 def uptake_latencies(classified: DataFrame, scope: str = "pooled") -> DataFrame:

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
+from queries import inputs
+from talkmetry.operators import events, frames
 
 QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
 
@@ -45,3 +47,31 @@ def test_arrays_in_one_file_each(spark, sf, conf, tmp_path):
     conf({"spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b", "spark.sql.shuffle.partitions": "16"})
     ok, note = check.compare(spark, check.connect(d), d, "json_auto_scan", QUERIES["json_auto_scan"], SQL["json_auto_scan"])
     assert ok, note
+
+
+def planned(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_frames_are_not_broadcast(spark):
+    """However small frames and chunk slots look to the planner, they are dealt by key."""
+    seen = spark.sql("SELECT string(id) AS run, id AS conv_index, id AS frame, 0.1D AS p_now0, 0.9D AS p_now1, 0.2D AS p_future0, 0.8D AS p_future1 FROM range(9)")
+    asked = spark.sql("SELECT string(id) AS run, id AS conv_index, id * 40 AS t_ms FROM range(9)")
+    for smooth in (1, 3):
+        assert "Broadcast" not in planned(events.read_frames(asked, seen, 500, smooth))
+    onsets = spark.sql("SELECT string(id) AS run, id AS conv_index, 900L AS onset_ms FROM range(9)")
+    assert "Broadcast" not in planned(frames.frame_clock(seen, onsets))
+
+
+def test_slots_are_not_broadcast(spark):
+    lengths = spark.sql("SELECT string(id) AS run, id AS conv_index, 90000L AS duration_ms FROM range(9)")
+    times = spark.sql("SELECT string(id) AS run, id AS conv_index, id * 40 AS t_ms FROM range(9)")
+    assert "Broadcast" not in planned(frames.chunk_frames(times, frames.chunk_plan(lengths)))
+
+
+def test_cue_shares_read_their_input_once(spark):
+    seen = spark.createDataFrame([("r", "tutor", "Early-Yield"), ("r", "tutor", "Weak-Hold")], "run string, holder string, cue_label string")
+    got = events.cue_shares(seen)
+    assert planned(got).count("Scan") == 1
+    assert {(r["role"], r["label"]): (r["count"], r["pct"]) for r in got.collect() if r["count"]} == {("tutor", "Early-Yield"): (1, 50.0), ("tutor", "Weak-Hold"): (1, 50.0)}
+    assert [r["pct"] for r in got.filter("role = 'student'").collect()] == [None] * 6
