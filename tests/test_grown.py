@@ -75,3 +75,18 @@ def test_cue_shares_read_their_input_once(spark):
     assert planned(got).count("Scan") == 1
     assert {(r["role"], r["label"]): (r["count"], r["pct"]) for r in got.collect() if r["count"]} == {("tutor", "Early-Yield"): (1, 50.0), ("tutor", "Weak-Hold"): (1, 50.0)}
     assert [r["pct"] for r in got.filter("role = 'student'").collect()] == [None] * 6
+
+
+def test_frames_are_dealt_before_they_are_made(spark, sf):
+    """As many tasks as the session names make the frames, not the few that their conversations fit into."""
+    made = inputs.frames(spark, sf)
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_frames_of_odd_events(spark, tmp_path):
+    """Events without a time, or before the clock starts, move no frame."""
+    rows = "SELECT * FROM VALUES (0, CAST(NULL AS TIMESTAMP), 7, 2.0D), (1, TIMESTAMP '2023-12-31 23:59:57', 7, 1.0D), (2, TIMESTAMP '2024-01-01 00:00:01', 7, 0.5D) t(event_id, ts, user_id, value)"
+    spark.sql(rows).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["frame"]: r["p_now0"] for r in inputs.frames(spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(541))
+    assert got[2] == (2 * 37 + 101 + 7 * 13 + 50) % 1000 / 1000 and got[3] == (3 * 37 + 101 + 7 * 13) % 1000 / 1000
