@@ -4,17 +4,22 @@ The batch rules apply unchanged; a watermark (which the batch form does not need
 bounds the state and decides when a result is final. What is still open when the input
 ends is closed by an end marker: one row far in the future that moves the watermark past
 everything and takes no part in any result (``with_end_marker``, ``mark_end``).
+
+State that Spark's aggregates do not have comes to Python with a key's rows and goes back with its results: a call
+to the state store for each key and value costs more than the work on an ordinary conversation.
 """
 
 from __future__ import annotations
 
 import bisect
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import (
     BooleanType,
     DoubleType,
@@ -67,6 +72,11 @@ def _before_end() -> Column:
     return F.col("ts") < F.lit(END_OF_INPUT).cast("timestamp")
 
 
+def _wake_at(state: GroupState, ms: int) -> None:
+    """The key's timer; one that is due goes off with the next watermark."""
+    state.setTimeoutTimestamp(max(ms, state.getCurrentWatermarkMs() + 1))
+
+
 def token_segments(tokens: DataFrame, delay: str = "10 seconds", gap_ms: int = SEGMENT_SILENCE_MS) -> DataFrame:
     """Close a role's segment after more than one second of silence.
 
@@ -131,70 +141,56 @@ def conversation_windows(
     window goes out when a frame behind it has come and the watermark has passed its end; the last one, whose length is not known
     before, when the conversation has been quiet for ``close_ms`` or the end marker comes. State: one number per label and
     open window, of which there are as many as fit into the delay, and the last. A batch is counted piece by piece, so a
-    conversation's share of it is never held as a whole. Needs the RocksDB state store (``session.STATE_STORE_KEY``).
+    conversation's share of it is never held as a whole.
     """
-    from pyspark.sql.streaming import StatefulProcessor
-
     names = [f.name for f in LABELLED.fields]
     width = len(FRAME_LABELS) + 1
 
-    class Windows(StatefulProcessor):
-        def init(self, handle) -> None:
-            self.handle = handle
-            self.state = handle.getValueState("windows", _WINDOWS)
-
-        def _rows(self, key, counts: dict[str, list[int]], total_ms: int) -> pd.DataFrame:
-            out = []
-            for index in sorted(map(int, counts)):
-                start, end = index * window_ms, min((index + 1) * window_ms, total_ms)
-                if end - start >= min_tail_ms:
-                    out.append([key[0], key[1], index, start / 1000.0, end / 1000.0, *counts[str(index)]])
-            return pd.DataFrame(out, columns=names)
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            last_ms, last_us, text = self.state.get() if self.state.exists() else (-1, 0, "{}")
-            counts = json.loads(text)
-            for part in rows:
-                # Not a filter on the stream: that would go below the watermark and take the end marker with it.
-                part = part.dropna(subset=["t_ms"])
-                if part.empty:
-                    continue
-                t, us = part["t_ms"].astype("int64"), part["ts"].astype("datetime64[us]").astype("int64")
-                last_ms, last_us = max(last_ms, int(t.max())), max(last_us, int(us.max()))
-                index = t // window_ms
-                if max_windows is not None:
-                    part, index = part[index < max_windows], index[index < max_windows]
-                for (i, label), n in part.groupby([index.rename("i"), part["label"].fillna("")]).size().items():
-                    own = counts.setdefault(str(i), [0] * width)
-                    own[0] += int(n)
-                    if label in FRAME_LABELS:
-                        own[1 + FRAME_LABELS.index(label)] += int(n)
-            if last_ms < 0:
-                return
-            # The stamp of a window's end on the clock of the time stamps; frames before it are late once the watermark is there.
-            passed_ms = last_ms + (timerValues.getCurrentWatermarkInMs() - last_us // 1000)
-            done = {i: c for i, c in counts.items() if (int(i) + 1) * window_ms <= min(passed_ms, last_ms)}
-            self.state.update((last_ms, last_us, json.dumps({i: c for i, c in counts.items() if i not in done})))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(-(-last_us // 1000) + close_ms)
-            if done:
-                yield self._rows(key, done, last_ms + frame_ms)
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            if self.state.exists():
-                last_ms, _, text = self.state.get()
-                self.state.clear()
-                yield self._rows(key, json.loads(text), last_ms + frame_ms)
-
-        def close(self) -> None:
-            pass
+    def windows(key, counts: dict[str, list[int]], total_ms: int) -> Iterator[pd.DataFrame]:
+        out = []
+        for index in sorted(map(int, counts)):
+            start, end = index * window_ms, min((index + 1) * window_ms, total_ms)
+            if end - start >= min_tail_ms:
+                out.append([key[0], key[1], index, start / 1000.0, end / 1000.0, *counts[str(index)]])
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    def step(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last_ms, last_us, text = state.get if state.exists else (-1, 0, "{}")
+        counts = json.loads(text)
+        if state.hasTimedOut:
+            state.remove()
+            yield from windows(key, counts, last_ms + frame_ms)
+            return
+        for part in rows:
+            # Not a filter on the stream: that would go below the watermark and take the end marker with it.
+            part = part.dropna(subset=["t_ms"])
+            if part.empty:
+                continue
+            t, us = part["t_ms"].astype("int64"), part["ts"].astype("datetime64[us]").astype("int64")
+            last_ms, last_us = max(last_ms, int(t.max())), max(last_us, int(us.max()))
+            index = t // window_ms
+            if max_windows is not None:
+                part, index = part[index < max_windows], index[index < max_windows]
+            for (i, label), n in Counter(zip(index.tolist(), part["label"].tolist())).items():
+                own = counts.setdefault(str(i), [0] * width)
+                own[0] += n
+                if label in FRAME_LABELS:
+                    own[1 + FRAME_LABELS.index(label)] += n
+        if last_ms < 0:
+            return
+        # The stamp of a window's end on the clock of the time stamps; frames before it are late once the watermark is there.
+        passed_ms = last_ms + (state.getCurrentWatermarkMs() - last_us // 1000)
+        done = {i: c for i, c in counts.items() if (int(i) + 1) * window_ms <= min(passed_ms, last_ms)}
+        state.update((last_ms, last_us, json.dumps({i: c for i, c in counts.items() if i not in done})))
+        _wake_at(state, -(-last_us // 1000) + close_ms)
+        yield from windows(key, done, last_ms + frame_ms)
 
     return (
         _watched(labels, delay)
         .select(*CONV, "t_ms", "label", "ts")
         .groupBy(*CONV)
-        .transformWithStateInPandas(statefulProcessor=Windows(), outputStructType=LABELLED, outputMode="Append", timeMode="EventTime")
+        .applyInPandasWithState(step, LABELLED, _WINDOWS, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
@@ -210,17 +206,8 @@ PIECES = StructType(
         StructField("closed", BooleanType()),
     ]
 )
-_TOKEN = StructType([StructField("us", LongType()), StructField("seq", LongType()), StructField("text", StringType())])
-_SEGMENT = StructType(
-    [
-        StructField("start_us", LongType()),
-        StructField("last_us", LongType()),
-        StructField("n", LongType()),
-        StructField("part", LongType()),
-        StructField("text", StringType()),
-        StructField("said", BooleanType()),
-    ]
-)
+#: As JSON: the open segment [start, last time, tokens of the piece, part, its text, anything said] and the waiting tokens [time, seq, text].
+_SEGMENT = StructType([StructField("open", StringType()), StructField("waiting", StringType())])
 
 
 def segment_pieces(
@@ -229,82 +216,58 @@ def segment_pieces(
     """The segments of ``token_segments`` in pieces of at most ``max_tokens`` tokens, for roles that may never pause.
 
     A piece goes out as soon as it is full; the last one of a segment has ``closed`` set and the segment's end. Joined in the order
-    of ``part`` (``join_pieces``), they are the segment. Tokens wait in list state until the watermark has passed them, so that late
+    of ``part`` (``join_pieces``), they are the segment. Tokens wait in the state until the watermark has passed them, so that late
     ones take their place; of the open segment only the current piece is kept. White space at a segment's edges is dropped: at the
-    start as it comes, behind the last word by handing it on to the next piece. Blank segments give nothing. Needs
-    the RocksDB state store.
+    start as it comes, behind the last word by handing it on to the next piece. Blank segments give nothing.
     """
-    from pyspark.sql.streaming import StatefulProcessor
-
     names = [f.name for f in PIECES.fields]
 
-    class Segments(StatefulProcessor):
-        def init(self, handle) -> None:
-            self.handle = handle
-            self.segment = handle.getValueState("segment", _SEGMENT)
-            self.waiting = handle.getListState("waiting", _TOKEN)
-
-        def _advance(self, key, until_us: int, fresh: list[tuple[int, int, str]]) -> pd.DataFrame:
-            """Take the waiting tokens before ``until_us`` in order, close what has been silent, set the next timer."""
-            held = sorted([*(tuple(t) for t in self.waiting.get()), *fresh])
-            ready = bisect.bisect_left(held, (until_us,))
-            open_ = self.segment.get() if self.segment.exists() else None
-            out: list[list] = []
-
-            def send(closed: bool) -> None:
-                nonlocal open_
-                start, last, n, part, text, said = open_
-                rest = text[len(text.rstrip(WHITESPACE)) :]
-                if said:
-                    stamp = [pd.Timestamp(us, unit="us") for us in (start, last)]
-                    out.append([*key, stamp[0], part, stamp[1], text.rstrip(WHITESPACE), closed])
-                open_ = None if closed else (start, last, 0, part + said, rest, said)
-
-            for us, _, text in held[:ready]:
-                if open_ and us - open_[1] > gap_ms * 1000:
-                    send(True)
-                if open_ and open_[2] == max_tokens:
-                    send(False)
-                start, _, n, part, before, said = open_ or (us, us, 0, 0, "", False)
-                text = before + (text or "")
-                if not said:
-                    text = text.lstrip(WHITESPACE)
-                open_ = (start, us, n + 1, part, text, said or bool(text))
-            if open_ and until_us - open_[1] > gap_ms * 1000:
+    def step(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Take the waiting tokens before the watermark in order, close what has been silent, set the next timer."""
+        open_, held = map(json.loads, state.get) if state.exists else (None, [])
+        until_us = state.getCurrentWatermarkMs() * 1000
+        for part in rows:
+            us = part["ts"].astype("datetime64[us]").astype("int64")
+            held += map(list, zip(us.tolist(), part["seq"].tolist(), part["text"].tolist()))
+        held.sort()
+        ready = bisect.bisect_left(held, [until_us])
+        out: list[list] = []
+
+        def send(closed: bool) -> None:
+            nonlocal open_
+            start, last, n, part, text, said = open_
+            rest = text[len(text.rstrip(WHITESPACE)) :]
+            if said:
+                stamp = [pd.Timestamp(us, unit="us") for us in (start, last)]
+                out.append([*key, stamp[0], part, stamp[1], text.rstrip(WHITESPACE), closed])
+            open_ = None if closed else (start, last, 0, part + said, rest, said)
+
+        for us, _, text in held[:ready]:
+            if open_ and us - open_[1] > gap_ms * 1000:
                 send(True)
-            if open_:
-                self.segment.update(open_)
-            elif self.segment.exists():
-                self.segment.clear()
-            if held[ready:]:
-                self.waiting.put(held[ready:])
-            elif ready:
-                self.waiting.clear()
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            due = [t[0] for t in held[ready : ready + 1]] + ([open_[1] + gap_ms * 1000] if open_ else [])
-            if due:
-                self.handle.registerTimer(min(due) // 1000 + 1)
-            return pd.DataFrame(out, columns=names)
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            for part in rows:
-                us = part["ts"].astype("datetime64[us]").astype("int64")
-                fresh = list(zip(us.tolist(), part["seq"].tolist(), part["text"].tolist()))
-                self.waiting.appendList(fresh)
-            yield self._advance(key, timerValues.getCurrentWatermarkInMs() * 1000, [])
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            yield self._advance(key, timerValues.getCurrentWatermarkInMs() * 1000, [])
-
-        def close(self) -> None:
-            pass
+            if open_ and open_[2] == max_tokens:
+                send(False)
+            start, _, n, part, before, said = open_ or (us, us, 0, 0, "", False)
+            text = before + (text or "")
+            if not said:
+                text = text.lstrip(WHITESPACE)
+            open_ = (start, us, n + 1, part, text, said or bool(text))
+        if open_ and until_us - open_[1] > gap_ms * 1000:
+            send(True)
+        due = [t[0] for t in held[ready : ready + 1]] + ([open_[1] + gap_ms * 1000] if open_ else [])
+        if due:
+            state.update((json.dumps(open_), json.dumps(held[ready:])))
+            _wake_at(state, min(due) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     return (
         _watched(tokens, delay)
         .select(*CONV, "role", "ts", "seq", "text")
         .groupBy(*CONV, "role")
-        .transformWithStateInPandas(statefulProcessor=Segments(), outputStructType=PIECES, outputMode="Append", timeMode="EventTime")
+        .applyInPandasWithState(step, PIECES, _SEGMENT, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
@@ -372,72 +335,53 @@ def conversation_ends(
     micro-batch; those after the end are ignored until the conversation is forgotten, ``forget_ms`` after it ended,
     which keeps the state from growing for ever. An event-time timer at ``last +
     silence`` fires when the watermark passes it. One conversation's share of a batch is
-    held in memory, so bound the batch at the source (``maxBytesPerTrigger``). Needs the
-    RocksDB state store (``session.STATE_STORE_KEY``).
+    held in memory, so bound the batch at the source (``maxBytesPerTrigger``).
     """
-    from pyspark.sql.streaming import StatefulProcessor
-
-    class Ends(StatefulProcessor):
-        def init(self, handle) -> None:
-            self.handle = handle
-            self.state = handle.getValueState("conversation", _STATE)
-
-        def _wake_at(self, us: int) -> None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(-(-us // 1000))
-
-        def _finish(self, key, reason, first, end, n) -> pd.DataFrame:
-            self.state.update((first, end, n, True))
-            self._wake_at(end + forget_ms * 1000)
-            stamp = lambda us: pd.Timestamp(us, unit="us")
-            return pd.DataFrame(
-                [[key[0], key[1], reason, stamp(first), stamp(end), n]], columns=[f.name for f in ENDED.fields]
-            )
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            first, last, n, done = self.state.get() if self.state.exists() else (None, None, 0, False)
+    names = [f.name for f in ENDED.fields]
+
+    def finish(key, state: GroupState, reason: str, first: int, end: int, n: int) -> pd.DataFrame:
+        forget = -(-end // 1000) + forget_ms
+        if forget > state.getCurrentWatermarkMs():
+            state.update((first, end, n, True))
+            _wake_at(state, forget)
+        elif state.exists:
+            state.remove()
+        return pd.DataFrame([[key[0], key[1], reason, pd.Timestamp(first, unit="us"), pd.Timestamp(end, unit="us"), n]], columns=names)
+
+    def step(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first, last, n, done = state.get if state.exists else (None, None, 0, False)
+        if state.hasTimedOut:
+            quiet, longest = (None, None) if done else (last + silence_ms * 1000, first + max_duration_ms * 1000)
             if done:
+                state.remove()
+            elif quiet <= longest:
+                yield finish(key, state, "silence", first, quiet, n)
+            else:
+                yield finish(key, state, "max_duration", first, longest, n)
+            return
+        if done:
+            _wake_at(state, -(-last // 1000) + forget_ms)  # input takes the timer away
+            return
+        batch = pd.concat(rows)
+        stamps = batch["ts"].astype("datetime64[us]").astype("int64")
+        for us, _, text in sorted(zip(stamps.tolist(), batch["seq"].tolist(), batch["text"].tolist()), key=lambda t: t[:2]):
+            if first is None:
+                first = us
+            elif us - last >= silence_ms * 1000:
+                yield finish(key, state, "silence", first, last + silence_ms * 1000, n)
                 return
-            batch = pd.concat(rows)
-            batch["us"] = batch["ts"].astype("datetime64[us]").astype("int64")
-            for us, text in batch.sort_values(["us", "seq"])[["us", "text"]].itertuples(index=False):
-                us = int(us)
-                if first is None:
-                    first = us
-                elif us - last >= silence_ms * 1000:
-                    yield self._finish(key, "silence", first, last + silence_ms * 1000, n)
-                    return
-                if us - first >= max_duration_ms * 1000:
-                    yield self._finish(key, "max_duration", first, first + max_duration_ms * 1000, n)
-                    return
-                last, n = us, n + 1
-                if END_TOKEN in text:
-                    yield self._finish(key, "end_token", first, us, n)
-                    return
-            self.state.update((first, last, n, False))
-            self._wake_at(min(last + silence_ms * 1000, first + max_duration_ms * 1000))
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            if not self.state.exists():
+            if us - first >= max_duration_ms * 1000:
+                yield finish(key, state, "max_duration", first, first + max_duration_ms * 1000, n)
                 return
-            first, last, n, done = self.state.get()
-            if done:
-                self.state.clear()
+            last, n = us, n + 1
+            if END_TOKEN in text:
+                yield finish(key, state, "end_token", first, us, n)
                 return
-            quiet, longest = last + silence_ms * 1000, first + max_duration_ms * 1000
-            if quiet <= longest:
-                yield self._finish(key, "silence", first, quiet, n)
-            else:
-                yield self._finish(key, "max_duration", first, longest, n)
-
-        def close(self) -> None:
-            pass
+        state.update((first, last, n, False))
+        _wake_at(state, -(-min(last + silence_ms * 1000, first + max_duration_ms * 1000) // 1000))
 
     return (
         _watched(tokens, delay)
         .groupBy(*CONV)
-        .transformWithStateInPandas(
-            statefulProcessor=Ends(), outputStructType=ENDED, outputMode="Append", timeMode="EventTime"
-        )
+        .applyInPandasWithState(step, ENDED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
