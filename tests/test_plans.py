@@ -3,11 +3,13 @@
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from queries import inputs as I
 from queries import systems, transcript
 from talkmetry.operators import events as E
 from talkmetry.plans import analysis
+from talkmetry.plans import evaluators as P
 from talkmetry.session import shared_dir
 from talkmetry.sinks import write
 
@@ -249,3 +251,38 @@ def test_segments_that_never_pause_go_out_in_pieces(spark, tmp_path):
     assert pieces.filter("closed").count() == pieces.select("conv_index", "start_ts").distinct().count()
     whole = run(live.token_segments, "segments")[1]
     assert rows(live.join_pieces(pieces)) == rows(whole)
+
+
+def test_plugin_groups_in_common_batches(spark):
+    """A group's rows, order and types are its own however batches are cut, and groups are dealt to as many tasks as named."""
+
+    def seen(pdf):
+        if pdf["extra"].dtype == "float64":
+            raise ValueError(f"{int(pdf['extra'].isna().sum())} of {len(pdf)}")
+        return {"first": int(pdf["seg_id"].iloc[0]), "top": int(pdf["extra"].max()), "size": len(pdf)}
+
+    def seen_of_all(parts):
+        return {"firsts": ",".join(str(x) for x in parts["first"]), "top": int(parts["top"].max()), "rows": int(parts["size"].sum())}
+
+    big, n = 2**60 + 1, 30
+    segs = spark.createDataFrame(
+        [("r", c, s, big + c) for c in range(n) for s in range(c + 1)] + [("r", None, s, big) for s in range(3)],
+        "run string, conv_index long, seg_id long, extra long",
+    )
+    fields = T.StructType.fromDDL
+    ev = P.conversation_plugin("seen", seen, fields("first long, top long, size long"), fields("firsts string, top long, rows long"), seen_of_all, chunk_rows=4)
+    asked = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(asked)
+    want = {c: (",".join(str(f) for f in range(0, c + 1, 4)), big + c, c + 1, "ok", None) for c in range(n)}
+    want |= {None: ("0", big, 3, "ok", None)}
+    try:
+        for size in ("1", "7", "10000"):
+            spark.conf.set(asked, size)
+            out = ev.run(P.Tables(segs))
+            assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+            assert {r["conv_index"]: tuple(r)[2:] for r in out.collect()} == want
+        broken = segs.filter("conv_index IN (3, 5)").withColumn("extra", F.when(~((F.col("conv_index") == 3) & (F.col("seg_id") == 2)), F.col("extra")))
+        got = {r["conv_index"]: tuple(r)[2:] for r in ev.run(P.Tables(broken)).collect()}
+        assert got == {3: (None, None, None, "error", "1 of 4"), 5: want[5]}
+    finally:
+        spark.conf.set(asked, before)
