@@ -71,7 +71,9 @@ def hot_keys(df: DataFrame, keys: Sequence[str], axis: str, limit: int | None =
     large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys)
     fractions = F.array(*[F.lit(i / BLOCKS) for i in range(1, BLOCKS)])
     if large.isEmpty():
-        return df.sparkSession.createDataFrame([], rows.withColumn(_CUTS, F.array(_AXIS)).drop(_AXIS).schema)
+        fields = rows.withColumn(_CUTS, F.array(_AXIS)).drop(_AXIS).schema
+        # Empty by a filter the optimizer sees; an empty list of Python rows is only found empty by running it.
+        return df.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]).filter(F.lit(False))
     cuts = _of_keys(rows, materialize(large, "hot-keys"), "left_semi").groupBy(*keys).agg(F.percentile_approx(_AXIS, fractions, 20 * BLOCKS).alias(_CUTS))
     return materialize(cuts, "hot-cuts")
 

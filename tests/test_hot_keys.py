@@ -38,6 +38,13 @@ def test_hot_table_is_small_and_finds_the_hot_key(segments):
     assert hot_keys(segments, KEYS, "start_ms", NEVER).count() == 0
 
 
+def test_plain_window_without_hot_keys(segments):
+    """No join and no edge branch is left in the plan before anything runs."""
+    df = segments.select(*KEYS, "seg_id", "start_ms", "end_ms")
+    plan = scan(df, KEYS, ["start_ms", "seg_id"], Scan(max_before={"m": "end_ms"}), NEVER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan and plan.count("Window") == 1
+
+
 def test_scan_equals_window(segments):
     spec = Scan(prev={"p": "role"}, next={"n": "start_ms2"}, max_before={"m": "end_ms"}, sum_before={"s": "len"}, index="i")
     df = segments.select(*KEYS, "seg_id", "role", "start_ms", F.col("start_ms").alias("start_ms2"), "end_ms", F.length("text").alias("len"))
