@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from talkmetry.constants import KEYS
-from talkmetry.operators.ordered import BLOCK, Scan, hot_keys, scan, with_blocks, without_keys
+from talkmetry.operators.ordered import BLOCK, Scan, dealt, hot_keys, scan, with_blocks, without_keys
 
 
 def merge_intervals(
@@ -21,14 +21,15 @@ def merge_intervals(
     """Merge intervals that touch: a new run starts when ``start - max_end > gap``.
 
     A key with too many rows is merged as a segmented prefix scan (``_merge_blocks``): each of its time blocks is
-    one task, and no task sees the results of all blocks. Other keys are one window.
+    one task, and no task sees the results of all blocks. Other keys are one window, dealt to as many tasks as the session
+    names, as the sort holds many times the bytes that the planner would fill fewer tasks by.
     """
     rows = df.select(*keys, "start_ms", "end_ms", F.lit(1).cast("long").alias("n_merged"))
     if hot is None:
         hot = hot_keys(rows, keys, "start_ms", limit)
     blocks = with_blocks(rows, hot, "start_ms", "inner")
     cold = without_keys(rows, hot)
-    return _merge_once(cold, gap_ms, keys).unionByName(_merge_blocks(blocks, gap_ms, keys))
+    return _merge_once(dealt(cold, keys), gap_ms, keys).unionByName(_merge_blocks(blocks, gap_ms, keys))
 
 
 def _opened(rows: DataFrame, gap_ms: int, part: Sequence[str], order: Sequence[str]) -> tuple[Column, WindowSpec]:

@@ -139,6 +139,11 @@ def scan(
     return out.filter(F.col(_SIDE) == 0).drop(_SIDE, _COUNT, BLOCK)
 
 
+def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A key's rows together, in as many tasks as the session names. Such a number is not coalesced."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def scan_given(df: DataFrame, keys: Sequence[str], order: Sequence[str], spec: Scan, hot: DataFrame | None) -> DataFrame:
     """``scan`` cut at the hot keys the caller found, or plain windows where it names none.
 

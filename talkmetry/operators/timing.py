@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from talkmetry.constants import KEYS, THRESHOLDS, TIMING_SUPPORT_MS, Thresholds
 from talkmetry.operators.conversation import known_roles
 from talkmetry.operators.intervals import merge_intervals
-from talkmetry.operators.ordered import Scan, hot_keys, scan_given
+from talkmetry.operators.ordered import Scan, dealt, hot_keys, scan_given
 from talkmetry.operators.ranks import quartiles_of_counts
 from talkmetry.session import materialize
 
@@ -30,7 +30,11 @@ def adjacent_runs(runs: DataFrame, hot: DataFrame | None = None) -> DataFrame:
 
     Runs of a role lie more than the merge gap apart, so a conversation has at most eleven a second however
     many rows they came from. Where that is still too much for one task, store the runs and pass ``hot_runs`` of them.
+    Else they are dealt to as many tasks as the session names: the planner fills fewer up to a size before sorting, of which
+    the sorts here and in ``turn_events`` hold many times as much.
     """
+    if hot is None:
+        runs = dealt(runs, KEYS)
     rows = runs.withColumn("_place", F.when(F.col("role") == "tutor", 0).otherwise(1))
     spec = Scan(next={"next_start_ms": "start_ms", "next_role": "role"})
     return scan_given(rows, KEYS, ["start_ms", "_place"], spec, hot).drop("_place")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from queries import inputs
-from talkmetry.operators import events, frames
+from talkmetry.operators import events, frames, timing
 
 QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
 
@@ -83,6 +83,16 @@ def test_frames_are_dealt_before_they_are_made(spark, sf):
     assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_runs_are_dealt_before_they_are_sorted(spark):
+    """The planner does not fill the sorts of the runs, and of the events between them, into a few tasks by bytes."""
+    named = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    said = spark.sql("SELECT string(id % 3) AS run, id % 9 AS conv_index, IF(id % 2 = 0, 'tutor', 'student') AS role, id * 700 AS start_ms, id * 700 + 400 AS end_ms FROM range(99)")
+    runs = timing.speech_runs(said)
+    assert runs.rdd.getNumPartitions() == named
+    for made in (timing.timing_samples(runs), events.turn_events(runs)):
+        assert made.rdd.getNumPartitions() == named
+
+
 def test_frames_of_odd_events(spark, tmp_path):
     """Events without a time, or before the clock starts, move no frame."""
     rows = "SELECT * FROM VALUES (0, CAST(NULL AS TIMESTAMP), 7, 2.0D), (1, TIMESTAMP '2023-12-31 23:59:57', 7, 1.0D), (2, TIMESTAMP '2024-01-01 00:00:01', 7, 0.5D) t(event_id, ts, user_id, value)"
